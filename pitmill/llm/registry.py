@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mpeg_audio, ngram_jaccard, url_filter, warc_bundles
+from . import mpeg_audio, ngram_jaccard, span_dedup, url_filter, warc_bundles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op3_mpeg_audio": mpeg_audio.op3_mpeg_audio,
+    "op4_span_dedup": span_dedup.op4_span_dedup,
     "op6_warc_bundles": warc_bundles.op6_warc_bundles,
     "op7_url_filter": url_filter.op7_url_filter,
 }
