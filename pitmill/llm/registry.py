@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mpeg_audio, ngram_jaccard, span_dedup, url_filter, warc_bundles
+from . import decontamination, mpeg_audio, ngram_jaccard, span_dedup, url_filter, warc_bundles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op3_mpeg_audio": mpeg_audio.op3_mpeg_audio,
     "op4_span_dedup": span_dedup.op4_span_dedup,
