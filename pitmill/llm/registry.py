@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mpeg_audio, ngram_jaccard, span_dedup, url_filter, warc_bundles
+from . import decontamination, mpeg_audio, ngram_jaccard, sentence_pieces, span_dedup, url_filter, warc_bundles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
     "op3_mpeg_audio": mpeg_audio.op3_mpeg_audio,
     "op4_span_dedup": span_dedup.op4_span_dedup,
+    "op5_sentence_pieces": sentence_pieces.op5_sentence_pieces,
     "op6_warc_bundles": warc_bundles.op6_warc_bundles,
     "op7_url_filter": url_filter.op7_url_filter,
 }
