@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mpeg_audio, ngram_jaccard, quality, sentence_pieces, span_dedup, url_filter, warc_bundles
+from . import decontamination, mpeg_audio, ngram_jaccard, quality, sentence_pieces, span_dedup, toxicity, url_filter, warc_bundles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "op5_sentence_pieces": sentence_pieces.op5_sentence_pieces,
     "op6_warc_bundles": warc_bundles.op6_warc_bundles,
     "op9_quality_nbsvm": quality.op9_quality_nbsvm,
+    "op10_toxicity": toxicity.op10_toxicity,
     "op7_url_filter": url_filter.op7_url_filter,
 }
 

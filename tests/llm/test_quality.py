@@ -20,7 +20,7 @@ def corpus(n, seed=4):
 def test_indicators_are_distinct_and_local():
     got = indicators(pa.array(["abcabc", "", None, "ab", "xyz abc"]))
     assert got.shape == (5, BUCKETS) and got[1].sum() == got[2].sum() == got[3].sum() == 0
-    alone = np.concatenate([indicators(pa.array([t])) for t in ["abcabc", "", None, "ab", "xyz abc"]])
+    alone = np.concatenate([indicators(pa.array([t], pa.string())) for t in ["abcabc", "", None, "ab", "xyz abc"]])
     assert (got == alone).all() and got[0].sum() == 3
 
 
