@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mpeg_audio, ngram_jaccard, quality, sentence_pieces, span_dedup, toxicity, url_filter, warc_bundles
+from . import decontamination, log_bilinear, mpeg_audio, ngram_jaccard, quality, sentence_pieces, span_dedup, toxicity, url_filter, warc_bundles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op6_warc_bundles": warc_bundles.op6_warc_bundles,
     "op9_quality_nbsvm": quality.op9_quality_nbsvm,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op8_log_bilinear": log_bilinear.op8_log_bilinear,
     "op7_url_filter": url_filter.op7_url_filter,
 }
 
