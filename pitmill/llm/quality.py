@@ -168,6 +168,20 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that reach the threshold, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                for part in slices(batch.slice(start, 256), "text"):
+                    yield part.filter(pa.array(shared.value.scores(indicators(part.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
