@@ -39,8 +39,10 @@ CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 class Pieces:
     """A model's vocabulary, as small tables that go to the tasks."""
 
-    #: Piece -> (id, score); a mere beginning of a piece -> None.
-    search: dict[str, tuple[int, float] | None]
+    #: Piece -> (id, score).
+    search: dict[str, tuple[int, float]]
+    #: The pieces as a trie: character -> (what may follow, id or -1, score).
+    trie: dict[str, tuple]
     bytes_of: list[bytes]
     byte_ids: list[int]
     longest: int
@@ -51,12 +53,22 @@ class Pieces:
     cache: dict[str, bytes] = field(default_factory=dict)
 
 
+def build_trie(search: dict[str, tuple[int, float]]) -> dict[str, tuple]:
+    root: dict[str, tuple] = {}
+    for piece, (k, score) in search.items():
+        node = root
+        for c in piece[:-1]:
+            node = node.setdefault(c, ({}, -1, 0.0))[0]
+        node[piece[-1]] = (node.get(piece[-1], ({},))[0], k, score)
+    return root
+
+
 def load_pieces(path: str = MODEL) -> Pieces:
     """Read a model file on the driver."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    search: dict[str, tuple[int, float] | None] = {}
+    search: dict[str, tuple[int, float]] = {}
     bytes_of, byte_ids, inner, worst = [b""] * len(model), [-1] * 256, set(), 0.0
     for k in range(len(model)):
         piece = model.id_to_piece(k)
@@ -66,14 +78,12 @@ def load_pieces(path: str = MODEL) -> Pieces:
         elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
             bytes_of[k] = piece.replace(BLANK, " ").encode("utf-8")
             worst = min(worst, model.get_score(k))
-            for n in range(1, len(piece)):
-                search.setdefault(piece[:n], None)
             search[piece] = (k, model.get_score(k))
             inner.update(piece[i : i + 2] for i in range(len(piece) - 1))
     if min(byte_ids) < 0:
         raise ValueError("the model has no byte pieces, so not every text could be decoded")
     blanks_lead = not any(x[1] == BLANK != x[0] for x in inner)
-    return Pieces(search, bytes_of, byte_ids, max(map(len, search)), worst - UNKNOWN_PENALTY, frozenset(inner), blanks_lead)
+    return Pieces(search, build_trie(search), bytes_of, byte_ids, max(map(len, search)), worst - UNKNOWN_PENALTY, frozenset(inner), blanks_lead)
 
 
 class StreamingViterbi:
@@ -97,22 +107,23 @@ class StreamingViterbi:
 
     def _search(self, until: int) -> list[int]:
         """Search from all places before ``until`` (counted from base)."""
-        search, longest, unknown, text, scores, back = self.pieces.search, self.pieces.longest, self.pieces.unknown, self.text, self.scores, self.back
+        trie, longest, unknown, text, scores, back = self.pieces.trie, self.pieces.longest, self.pieces.unknown, self.text, self.scores, self.back
         out: list[int] = []
         for at in range(self.done - self.base, until):
             place = at + self.base
             score = scores.pop(place)
-            single = False
-            for end in range(at + 1, min(at + longest, len(text)) + 1):
-                found = search.get(text[at:end], False)
-                if found is False:
+            single, node, end = False, trie, place
+            for c in text[at : at + longest]:
+                found = node.get(c)
+                if found is None:
                     break
-                if found is not None:
-                    total = score + found[1]
-                    single |= end == at + 1
-                    if end + self.base not in scores or total > scores[end + self.base]:
-                        scores[end + self.base] = total
-                        back[end + self.base] = (place, found[0])
+                node, k, gain = found
+                end += 1
+                if k >= 0:
+                    single |= end == place + 1
+                    if end not in scores or score + gain > scores[end]:
+                        scores[end] = score + gain
+                        back[end] = (place, k)
             if not single and (place + 1 not in scores or score + unknown > scores[place + 1]):
                 scores[place + 1] = score + unknown
                 back[place + 1] = (place, -1)
@@ -158,6 +169,39 @@ def encode_stream(parts: Iterable[str], pieces: Pieces) -> Iterator[int]:
     yield from search.finish()
 
 
+def search_short(text: str, pieces: Pieces) -> list[int]:
+    """The same search over a text that fits the window, and is committed at its end."""
+    n = len(text)
+    scores, start, ids = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    scores[0] = 0.0
+    trie, unknown = pieces.trie, pieces.unknown
+    for at in range(n):
+        score, node, end, single = scores[at], trie, at, False
+        for c in text[at:]:
+            found = node.get(c)
+            if found is None:
+                break
+            node, k, gain = found
+            end += 1
+            if k >= 0:
+                single |= end == at + 1
+                gain += score
+                if gain > scores[end]:
+                    scores[end], start[end], ids[end] = gain, at, k
+        if not single and score + unknown > scores[at + 1]:
+            scores[at + 1], start[at + 1], ids[at + 1] = score + unknown, at, -1
+    out: list[int] = []
+    while n:
+        at = start[n]
+        if ids[n] >= 0:
+            out.append(ids[n])
+        else:
+            out += [pieces.byte_ids[b] for b in reversed(text[at:n].encode("utf-8"))]
+        n = at
+    out.reverse()
+    return out
+
+
 def _cuts(chunk: str, inner: frozenset[str]) -> Iterator[str]:
     start = 0
     for k in range(1, len(chunk)):
@@ -172,9 +216,10 @@ def _ids(chunk: str, pieces: Pieces) -> bytes:
     for cut in _cuts(chunk, pieces.inner):
         ids = cache.get(cut)
         if ids is None:
-            ids = array("i", encode_stream([cut], pieces)).tobytes()
             if len(cut) < 64:
-                cache[cut] = ids
+                ids = cache[cut] = array("i", search_short(cut, pieces)).tobytes()
+            else:
+                ids = array("i", encode_stream([cut], pieces)).tobytes()
         out += ids
     if len(chunk) < 64:
         cache[chunk] = out
