@@ -6,6 +6,8 @@ and SQL (name -> DuckDB text over the same tables).
 
 from __future__ import annotations
 
-MODULES = ()
+from . import fundamentals, market, scoring
+
+MODULES = (market, fundamentals, scoring)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
