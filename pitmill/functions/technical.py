@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from .semantics import divide, positive
 
-SECURITY_DAYS = Window.partitionBy("security_id").orderBy("trade_date")
 
+def security_days() -> WindowSpec:
+    """The days of a security in order; every factor's default window."""
+    return Window.partitionBy("security_id").orderBy("trade_date")
 
-def rows(w: WindowSpec, n: int, skip: int = 0) -> WindowSpec:
+
+
+def rows(w: WindowSpec | None, n: int, skip: int = 0) -> WindowSpec:
     """The last ``n`` rows, or those up to ``skip`` rows ago."""
-    return w.rowsBetween(-(n - 1), -skip)
+    return (w or security_days()).rowsBetween(-(n - 1), -skip)
 
 
 def at_least(x: Column, counted: Column, w: WindowSpec, least: int) -> Column:
@@ -24,33 +28,34 @@ def at_least(x: Column, counted: Column, w: WindowSpec, least: int) -> Column:
     return F.when(F.count(counted).over(w) >= least, x)
 
 
-def moving_average(x: Column, n: int, w: WindowSpec = SECURITY_DAYS, least: int | None = None) -> Column:
+def moving_average(x: Column, n: int, w: WindowSpec | None = None, least: int | None = None) -> Column:
     frame = rows(w, n)
     return at_least(F.avg(x).over(frame), x, frame, n if least is None else least)
 
 
-def momentum(price: Column, near: int, far: int, w: WindowSpec = SECURITY_DAYS) -> Column:
+def momentum(price: Column, near: int, far: int, w: WindowSpec | None = None) -> Column:
     """Return from ``far`` to ``near`` rows ago."""
+    w = w or security_days()
     return divide(F.lag(price, near).over(w) if near else price, positive(F.lag(price, far).over(w))) - 1
 
 
-def high_gap(price: Column, n: int = 252, least: int = 20, w: WindowSpec = SECURITY_DAYS) -> Column:
+def high_gap(price: Column, n: int = 252, least: int = 20, w: WindowSpec | None = None) -> Column:
     frame = rows(w, n)
     return at_least(divide(price, F.max(price).over(frame)) - 1, price, frame, least)
 
 
-def skipped_volatility(daily_return: Column, skip: int = 21, n: int = 231, least: int = 60, w: WindowSpec = SECURITY_DAYS) -> Column:
+def skipped_volatility(daily_return: Column, skip: int = 21, n: int = 231, least: int = 60, w: WindowSpec | None = None) -> Column:
     """Annualised deviation of the returns of ``n`` rows that end ``skip`` rows ago."""
     frame = rows(w, n + skip, skip)
     return at_least(F.stddev_samp(daily_return).over(frame) * F.sqrt(F.lit(252.0)), daily_return, frame, least)
 
 
-def skipped_mean(x: Column, skip: int = 21, n: int = 231, least: int = 60, w: WindowSpec = SECURITY_DAYS) -> Column:
+def skipped_mean(x: Column, skip: int = 21, n: int = 231, least: int = 60, w: WindowSpec | None = None) -> Column:
     frame = rows(w, n + skip, skip)
     return at_least(F.avg(x).over(frame), x, frame, least)
 
 
-def max_drawdown(daily_return: Column, skip: int = 21, n: int = 231, least: int = 60, w: WindowSpec = SECURITY_DAYS) -> Column:
+def max_drawdown(daily_return: Column, skip: int = 21, n: int = 231, least: int = 60, w: WindowSpec | None = None) -> Column:
     """Largest fall from a running peak within the window, in percent (0 or below)."""
     frame = rows(w, n + skip, skip)
     fold = F.aggregate(
@@ -66,24 +71,24 @@ def max_drawdown(daily_return: Column, skip: int = 21, n: int = 231, least: int
     return at_least(fold, daily_return, frame, least)
 
 
-def k_ratio(price: Column, n: int = 756, least: int = 504, w: WindowSpec = SECURITY_DAYS) -> Column:
+def k_ratio(price: Column, n: int = 756, least: int = 504, w: WindowSpec | None = None) -> Column:
     """Slope of log price on the row number, over its standard error times the number of rows."""
     frame = rows(w, n)
     y = F.when(price > 0, F.log(price))
-    x = F.when(y.isNotNull(), F.row_number().over(w).cast("double"))
+    x = F.when(y.isNotNull(), F.row_number().over(w or security_days()).cast("double"))
     k = F.count(y).over(frame)
     slope = F.regr_slope(y, x).over(frame)
     error = F.sqrt(divide(F.greatest(F.regr_syy(y, x).over(frame) - slope * F.regr_sxy(y, x).over(frame), F.lit(0.0)), (k - 2) * F.regr_sxx(y, x).over(frame)))
     return F.when(k >= least, divide(slope, k * F.nullif(error, F.lit(0.0))))
 
 
-def bollinger(price: Column, n: int = 20, width: float = 2.0, w: WindowSpec = SECURITY_DAYS) -> tuple[Column, Column, Column]:
+def bollinger(price: Column, n: int = 20, width: float = 2.0, w: WindowSpec | None = None) -> tuple[Column, Column, Column]:
     frame = rows(w, n)
     middle, spread = F.avg(price).over(frame), F.stddev_pop(price).over(frame) * width
     return tuple(at_least(x, price, frame, n) for x in (middle - spread, middle, middle + spread))
 
 
-def williams_r(high: Column, low: Column, close: Column, n: int = 14, w: WindowSpec = SECURITY_DAYS) -> Column:
+def williams_r(high: Column, low: Column, close: Column, n: int = 14, w: WindowSpec | None = None) -> Column:
     frame = rows(w, n)
     top, bottom = F.max(high).over(frame), F.min(low).over(frame)
     return at_least(divide(top - close, top - bottom) * -100, close, frame, n)
@@ -93,14 +98,14 @@ def flow_multiplier(high: Column, low: Column, close: Column) -> Column:
     return F.coalesce(divide((close - low) - (high - close), high - low), F.lit(0.0))
 
 
-def chaikin_flow(high: Column, low: Column, close: Column, volume: Column, n: int = 20, w: WindowSpec = SECURITY_DAYS) -> Column:
+def chaikin_flow(high: Column, low: Column, close: Column, volume: Column, n: int = 20, w: WindowSpec | None = None) -> Column:
     frame = rows(w, n)
     return at_least(divide(F.sum(flow_multiplier(high, low, close) * volume).over(frame), F.sum(volume).over(frame)), close, frame, n)
 
 
 def with_money_flow(prices: DataFrame, n: int = 14, name: str = "mfi_14") -> DataFrame:
     """Money flow index; 100 without outflow, 50 without any flow."""
-    w, frame = SECURITY_DAYS, rows(SECURITY_DAYS, n)
+    w, frame = security_days(), rows(None, n)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     out = prices.withColumn("_typical", typical).withColumn("_before", F.lag("_typical").over(w))
     flow = F.col("_typical") * F.col("volume")
@@ -110,8 +115,8 @@ def with_money_flow(prices: DataFrame, n: int = 14, name: str = "mfi_14") -> Dat
     return out.withColumn(name, F.when(F.count("_before").over(frame) >= n, index)).drop("_typical", "_before", "_in", "_out")
 
 
-def accumulation(high: Column, low: Column, close: Column, volume: Column, w: WindowSpec = SECURITY_DAYS) -> Column:
-    return F.sum(flow_multiplier(high, low, close) * volume).over(w.rowsBetween(Window.unboundedPreceding, 0))
+def accumulation(high: Column, low: Column, close: Column, volume: Column, w: WindowSpec | None = None) -> Column:
+    return F.sum(flow_multiplier(high, low, close) * volume).over((w or security_days()).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def smoothed(prices: DataFrame, value: str, alphas: dict[str, tuple[float, int]], key: str = "security_id", time: str = "trade_date") -> DataFrame:

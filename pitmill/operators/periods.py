@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = ["security_id", "fiscal_year", "fiscal_month"]
-IN_YEAR = Window.partitionBy("security_id", "fiscal_year").orderBy("fiscal_month")
-IN_TIME = Window.partitionBy("security_id").orderBy("fiscal_year", "fiscal_month")
+
+
+def in_year() -> WindowSpec:
+    return Window.partitionBy("security_id", "fiscal_year").orderBy("fiscal_month")
+
+
+def in_time() -> WindowSpec:
+    return Window.partitionBy("security_id").orderBy("fiscal_year", "fiscal_month")
 
 
 def wide_statements(statements: DataFrame, accounts: list[str]) -> DataFrame:
@@ -22,12 +28,12 @@ def wide_statements(statements: DataFrame, accounts: list[str]) -> DataFrame:
 
 def single_quarters(wide: DataFrame, flows: list[str]) -> DataFrame:
     """Cumulated flows to those of a quarter: less the row before in the same year. Balances pass through."""
-    return wide.withColumns({c: F.col(c) - F.when(F.row_number().over(IN_YEAR) == 1, 0.0).otherwise(F.lag(c).over(IN_YEAR)) for c in flows})
+    return wide.withColumns({c: F.col(c) - F.when(F.row_number().over(in_year()) == 1, 0.0).otherwise(F.lag(c).over(in_year())) for c in flows})
 
 
 def trailing(quarters: DataFrame, flows: list[str], n: int = 4) -> DataFrame:
     """Sums over the last ``n`` rows where all have a value."""
-    w = IN_TIME.rowsBetween(-(n - 1), 0)
+    w = in_time().rowsBetween(-(n - 1), 0)
     return quarters.withColumns({c: F.when(F.count(c).over(w) == n, F.sum(c).over(w)) for c in flows})
 
 
@@ -36,7 +42,7 @@ def annual(wide: DataFrame, month: int = 12) -> DataFrame:
 
 
 def with_lags(frame: DataFrame, columns: list[str], lags: list[int]) -> DataFrame:
-    return frame.withColumns({f"{c}_l{k}": F.lag(c, k).over(IN_TIME) for c in columns for k in lags})
+    return frame.withColumns({f"{c}_l{k}": F.lag(c, k).over(in_time()) for c in columns for k in lags})
 
 
 def with_formulas(frame: DataFrame, formulas: Mapping[str, str], digits: int | None = 6) -> DataFrame:

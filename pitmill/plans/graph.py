@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.cross_section import average_rank, neutralized, ordinal, quantile_exact, shrunk_z_score, z_score
@@ -217,21 +217,22 @@ def ranks(inputs, config, context):
     return result(frame, value.cast("double"), F.lit(None).cast("string"))
 
 
-IN_TIME = Window.partitionBy("security_id").orderBy("trade_date")
+def in_time() -> WindowSpec:
+    return Window.partitionBy("security_id").orderBy("trade_date")
 
 
 @register("lag")
 def lag(inputs, config, context):
     k = config.get("periods", 1)
-    before = lambda c: F.lag(c, k).over(IN_TIME)
-    return result(inputs[0], before("value"), F.when(F.row_number().over(IN_TIME) <= k, "lag_insufficient_history").otherwise(before("invalid_reason")))
+    before = lambda c: F.lag(c, k).over(in_time())
+    return result(inputs[0], before("value"), F.when(F.row_number().over(in_time()) <= k, "lag_insufficient_history").otherwise(before("invalid_reason")))
 
 
 @register("rolling_max", "rolling_min")
 def rolling(inputs, config, context):
     """All rows of the window must be there and valid."""
     n = config["window"]
-    w = IN_TIME.rowsBetween(-(n - 1), 0)
+    w = in_time().rowsBetween(-(n - 1), 0)
     value = (F.max if config["op"] == "max" else F.min)("value").over(w)
     bad = F.when(F.count("*").over(w) < n, "rolling_insufficient_history").when(F.count(F.when(F.col("is_valid"), 1)).over(w) < n, "rolling_input_invalid")
     return result(inputs[0], value, bad)

@@ -122,7 +122,7 @@ def eval_turnover(spark, d):
 
 def risk_appetite_daily(spark, d):
     """Each month end's regression of 6-month excess returns on volatility across securities."""
-    w = t.SECURITY_DAYS
+    w = t.security_days()
     p = price_daily(spark, d).withColumn("ret", divide("close", F.lag("close").over(w)) - 1)
     p = p.select("security_id", "trade_date", F.round(t.momentum(F.col("close"), 0, 126), 6).alias("r"), F.round(t.at_least(F.stddev_samp("ret").over(t.rows(w, 126)), F.col("ret"), t.rows(w, 126), 60), 6).alias("v")).where("r IS NOT NULL AND v IS NOT NULL")
     from ..operators.asof import month_ends, snapshot

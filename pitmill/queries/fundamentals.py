@@ -120,7 +120,7 @@ def asof_statements(spark, d):
 def valuation_multiples(spark, d):
     names = [n for n in VALUATION if n != "ev_flag"]
     frame = p.with_formulas(daily_statements(spark, d), VALUATION, None)
-    return frame.select(*DAY, *(F.round(n, 6).alias(n) for n in names if n not in ("mcap", "ev")), "ev_flag")
+    return frame.select(*DAY, *(F.round(n, 9).alias(n) for n in names if n not in ("mcap", "ev")), "ev_flag")
 
 
 def _valuation_sql(select):
@@ -142,8 +142,8 @@ WACC = {
 def wacc(spark, d):
     betas = rolling_beta(spark, d).withColumnRenamed("week_end", "beta_date")
     frame = asof_join(daily_statements(spark, d).drop("report_date"), betas, ["security_id"], "trade_date", "beta_date")
-    frame = p.with_formulas(frame, WACC, None).withColumn("economic_profit_change", F.col("economic_profit") - F.lag("economic_profit", 252).over(t.SECURITY_DAYS))
-    return frame.select(*DAY, *(F.round(c, 8 if c == "cost_of_equity" else 4).alias(c) for c in ("cost_of_equity", "cost_of_debt", "wacc", "roic", "spread", "economic_profit", "economic_profit_change")))
+    frame = p.with_formulas(frame, WACC, None).withColumn("economic_profit_change", F.col("economic_profit") - F.lag("economic_profit", 252).over(t.security_days()))
+    return frame.select(*DAY, *(F.round(c, 8).alias(c) for c in ("cost_of_equity", "cost_of_debt", "wacc", "roic", "spread", "economic_profit", "economic_profit_change")))
 
 
 def _wacc_sql():
@@ -153,7 +153,7 @@ def _wacc_sql():
     for name, text in WACC.items():
         inner = f"SELECT *, {text} AS {name} FROM ({inner})"
     names = ("cost_of_equity", "cost_of_debt", "wacc", "roic", "spread", "economic_profit", "economic_profit_change")
-    body = f"SELECT security_id, trade_date, {', '.join(f"round({n}, {8 if n == 'cost_of_equity' else 4}) AS {n}" for n in names)} FROM (SELECT *, economic_profit - lag(economic_profit, 252) OVER (PARTITION BY security_id ORDER BY trade_date) AS economic_profit_change FROM ({inner}))"
+    body = f"SELECT security_id, trade_date, {', '.join(f"round({n}, 8) AS {n}" for n in names)} FROM (SELECT *, economic_profit - lag(economic_profit, 252) OVER (PARTITION BY security_id ORDER BY trade_date) AS economic_profit_change FROM ({inner}))"
     from .market import _WEEK
 
     more = {
@@ -200,7 +200,10 @@ _YEARLY = {
     "last_shares": "SELECT security_id, max_by(shares, known_date) AS shares FROM shares_monthly GROUP BY 1",
     "yearly": "SELECT w.security_id, fiscal_year, report_date, round(CASE WHEN DIV > 150000 THEN DIV ELSE 0.0 END / shares, 6) AS dps FROM wide w JOIN last_shares USING (security_id) WHERE fiscal_month = 12",
 }
-BY_YEAR = Window.partitionBy("security_id").orderBy("fiscal_year")
+
+
+def by_year():
+    return Window.partitionBy("security_id").orderBy("fiscal_year")
 
 
 def dividend_asof(spark, d):
@@ -211,18 +214,18 @@ def dividend_asof(spark, d):
 
 def dividend_streaks(spark, d):
     """Consecutive years with a dividend, and with a growing one: islands between breaks."""
-    y = _yearly_dividends(spark, d).withColumn("before", F.lag("dps").over(BY_YEAR))
+    y = _yearly_dividends(spark, d).withColumn("before", F.lag("dps").over(by_year()))
     for name, good in (("paid", F.col("dps") > 0), ("grew", F.coalesce(F.col("dps") > F.col("before"), F.lit(False)))):
         island = f"_{name}"
-        y = y.withColumn(island, F.sum(F.when(good, 0).otherwise(1)).over(BY_YEAR.rowsBetween(Window.unboundedPreceding, 0)))
+        y = y.withColumn(island, F.sum(F.when(good, 0).otherwise(1)).over(by_year().rowsBetween(Window.unboundedPreceding, 0)))
         w = Window.partitionBy("security_id", island).orderBy("fiscal_year").rowsBetween(Window.unboundedPreceding, 0)
         y = y.withColumn(f"{name}_years", F.sum(F.when(good, 1).otherwise(0)).over(w))
     return y.select("security_id", "fiscal_year", "dps", "paid_years", "grew_years")
 
 
 def dividend_growth(spark, d):
-    y = _yearly_dividends(spark, d).withColumn("b1", F.lag("dps", 1).over(BY_YEAR)).withColumn("b3", F.lag("dps", 3).over(BY_YEAR))
-    w = BY_YEAR.rowsBetween(-4, 0)
+    y = _yearly_dividends(spark, d).withColumn("b1", F.lag("dps", 1).over(by_year())).withColumn("b3", F.lag("dps", 3).over(by_year()))
+    w = by_year().rowsBetween(-4, 0)
     growth = F.when(F.col("b1") > 0, (F.col("dps") / F.col("b1") - 1) * 100)
     cagr = F.when((F.col("dps") > 0) & (F.col("b3") > 0), (F.pow(F.col("dps") / F.col("b3"), F.lit(1 / 3)) - 1) * 100)
     return y.select("security_id", "fiscal_year", F.round(growth, 6).alias("dps_yoy"), F.round(cagr, 6).alias("dps_cagr_3y"), (F.col("dps") < F.col("b1")).alias("cut"), F.round(F.when(F.count("dps").over(w) >= 3, F.stddev_samp("dps").over(w)), 6).alias("dps_volatility"))
@@ -275,7 +278,7 @@ SQL = {name: text() for name, (_, text) in RATIOS.items()} | {
     "quarter_ttm": sql("statements", f"SELECT s.security_id, s.fiscal_year, s.fiscal_month, {', '.join(f'round(s.{c}, 4) AS {c}_q, round(t.{c}, 4) AS {c}_ttm' for c in FLOWS)} FROM single s JOIN ttm t USING (security_id, fiscal_year, fiscal_month)", **PERIODS),
     "annual_select": sql("statements", "SELECT security_id, fiscal_year, fiscal_month, SALE, NI, TA, report_date FROM wide WHERE fiscal_month = 12", **PERIODS),
     "asof_statements": sql(_V, "SELECT security_id, trade_date, fiscal_year, fiscal_month, report_date, round(NI, 4) AS NI, SEQ FROM daily", **PERIODS, **DAILY),
-    "valuation_multiples": _valuation_sql("SELECT security_id, trade_date, " + ", ".join(f"round({n}, 6) AS {n}" for n in VALUATION if n not in ("mcap", "ev", "ev_flag")) + ", ev_flag FROM ({inner})"),
+    "valuation_multiples": _valuation_sql("SELECT security_id, trade_date, " + ", ".join(f"round({n}, 9) AS {n}" for n in VALUATION if n not in ("mcap", "ev", "ev_flag")) + ", ev_flag FROM ({inner})"),
     "wacc": _wacc_sql(),
     "rim_upside": sql(_V, f"SELECT security_id, trade_date, round(rim_upside, 6) AS rim_upside FROM ({_chain('SELECT * FROM daily', RIM)})", **PERIODS, **DAILY),
     "equity_duration": sql(_V, _DURATION.format(inner=_chain("SELECT * FROM daily", {"eps": VALUATION["eps"], "per": VALUATION["per"]})), **PERIODS, **DAILY),

@@ -10,9 +10,7 @@ from ..functions.semantics import divide, finite
 from ..operators.asof import latest_version
 from ..sources.views import benchmark, cut, price_daily, read, sql
 
-W = t.SECURITY_DAYS
 KEYS = ["security_id", "trade_date"]
-close, high, low, volume = (F.col(c) for c in ("close", "high", "low", "volume"))
 OVER = "OVER (PARTITION BY security_id ORDER BY trade_date"
 
 
@@ -31,7 +29,7 @@ def latest_version_prices(spark, d):
 
 def factor_wide(spark, d):
     p = price_daily(spark, d)
-    return out(p, na_20=t.moving_average(close, 20), ret_1m=t.momentum(close, 0, 21), high_52w=t.high_gap(close))
+    return out(p, na_20=t.moving_average(F.col("close"), 20), ret_1m=t.momentum(F.col("close"), 0, 21), high_52w=t.high_gap(F.col("close")))
 
 
 def factor_melt_long(spark, d):
@@ -47,27 +45,27 @@ def factor_coverage(spark, d):
 
 
 def moving_averages(spark, d):
-    return out(price_daily(spark, d), **{f"na_{n}": t.moving_average(close, n) for n in (5, 10, 20, 60, 120, 200)})
+    return out(price_daily(spark, d), **{f"na_{n}": t.moving_average(F.col("close"), n) for n in (5, 10, 20, 60, 120, 200)})
 
 
 def momentum(spark, d):
-    return out(price_daily(spark, d), ret_1m=t.momentum(close, 0, 21), tr_3_1=t.momentum(close, 21, 63), tr_6_1=t.momentum(close, 21, 126), tr_12_1=t.momentum(close, 21, 252))
+    return out(price_daily(spark, d), ret_1m=t.momentum(F.col("close"), 0, 21), tr_3_1=t.momentum(F.col("close"), 21, 63), tr_6_1=t.momentum(F.col("close"), 21, 126), tr_12_1=t.momentum(F.col("close"), 21, 252))
 
 
 def high_gap(spark, d):
-    return out(price_daily(spark, d), high_52w_gap=t.high_gap(close))
+    return out(price_daily(spark, d), high_52w_gap=t.high_gap(F.col("close")))
 
 
 def with_returns(p):
-    return p.withColumn("ret", divide(close, F.lag(close).over(W)) - 1)
+    return p.withColumn("ret", divide(F.col("close"), F.lag(F.col("close")).over(t.security_days())) - 1)
 
 
 def volatility_12_1(spark, d):
-    return out(with_returns(price_daily(spark, d)), vol_12_1_ann=t.skipped_volatility(F.col("ret")), risk_adj_mom=divide(t.momentum(close, 21, 252), t.skipped_volatility(F.col("ret"))))
+    return out(with_returns(price_daily(spark, d)), vol_12_1_ann=t.skipped_volatility(F.col("ret")), risk_adj_mom=divide(t.momentum(F.col("close"), 21, 252), t.skipped_volatility(F.col("ret"))))
 
 
 def turnover_12_1(spark, d):
-    p = price_daily(spark, d).withColumn("turnover", close * volume)
+    p = price_daily(spark, d).withColumn("turnover", F.col("close") * F.col("volume"))
     return p.select(*KEYS, cut(t.skipped_mean(F.col("turnover")), 4).alias("adturn_12_1"))
 
 
@@ -76,20 +74,20 @@ def rolling_mdd(spark, d):
 
 
 def k_ratio(spark, d):
-    return out(price_daily(spark, d), k_ratio_3y=t.k_ratio(close, 504, 252))
+    return out(price_daily(spark, d), k_ratio_3y=t.k_ratio(F.col("close"), 504, 252))
 
 
 def bollinger(spark, d):
-    lower, middle, upper = t.bollinger(close)
+    lower, middle, upper = t.bollinger(F.col("close"))
     return out(price_daily(spark, d), lower=lower, middle=middle, upper=upper)
 
 
 def williams(spark, d):
-    return out(price_daily(spark, d), williams_r_14=t.williams_r(high, low, close))
+    return out(price_daily(spark, d), williams_r_14=t.williams_r(F.col("high"), F.col("low"), F.col("close")))
 
 
 def cmf(spark, d):
-    return out(price_daily(spark, d), cmf_20=t.chaikin_flow(high, low, close, volume), ad_line=t.accumulation(high, low, close, volume))
+    return out(price_daily(spark, d), cmf_20=t.chaikin_flow(F.col("high"), F.col("low"), F.col("close"), F.col("volume")), ad_line=t.accumulation(F.col("high"), F.col("low"), F.col("close"), F.col("volume")))
 
 
 def mfi(spark, d):
@@ -97,7 +95,7 @@ def mfi(spark, d):
 
 
 def _wilder(spark, d):
-    p = price_daily(spark, d).withColumn("change", close - F.lag(close).over(W))
+    p = price_daily(spark, d).withColumn("change", F.col("close") - F.lag(F.col("close")).over(t.security_days()))
     gain, loss = F.greatest("change", F.lit(0.0)), F.greatest(-F.col("change"), F.lit(0.0))
     return p.withColumn("gain", F.when(F.col("change").isNotNull(), gain)).withColumn("loss", F.when(F.col("change").isNotNull(), loss)).where("change IS NOT NULL")
 
@@ -118,7 +116,7 @@ def macd(spark, d):
 
 
 def ad_oscillator(spark, d):
-    p = price_daily(spark, d).withColumn("ad", t.accumulation(high, low, close, volume))
+    p = price_daily(spark, d).withColumn("ad", t.accumulation(F.col("high"), F.col("low"), F.col("close"), F.col("volume")))
     p = t.smoothed(p, "ad", {"fast": (2 / 4, 3), "slow": (2 / 11, 10)})
     return p.select(*KEYS, F.round(F.col("fast") - F.col("slow"), 4).alias("ad_oscillator"))
 
@@ -151,9 +149,9 @@ def rolling_beta(spark, d):
 
 def chart_signals(spark, d):
     """Gap against the previous close, volume against its 20-row mean, trend by averages."""
-    p = price_daily(spark, d).withColumn("before", F.lag(close).over(W)).withColumn("mean_volume", t.moving_average(volume, 20)).withColumn("short", t.moving_average(close, 5)).withColumn("long", t.moving_average(close, 20))
-    gap = F.when(low > F.col("before") * 1.02, "gap_up").when(high < F.col("before") * 0.98, "gap_down").otherwise("none")
-    surge = F.when(volume > 2 * F.col("mean_volume"), "surge").when(volume < 0.5 * F.col("mean_volume"), "dry").otherwise("normal")
+    p = price_daily(spark, d).withColumn("before", F.lag(F.col("close")).over(t.security_days())).withColumn("mean_volume", t.moving_average(F.col("volume"), 20)).withColumn("short", t.moving_average(F.col("close"), 5)).withColumn("long", t.moving_average(F.col("close"), 20))
+    gap = F.when(F.col("low") > F.col("before") * 1.02, "gap_up").when(F.col("high") < F.col("before") * 0.98, "gap_down").otherwise("none")
+    surge = F.when(F.col("volume") > 2 * F.col("mean_volume"), "surge").when(F.col("volume") < 0.5 * F.col("mean_volume"), "dry").otherwise("normal")
     trend = F.when(F.col("long").isNull(), "unknown").when(F.col("short") > F.col("long"), "up").when(F.col("short") < F.col("long"), "down").otherwise("flat")
     return p.select(*KEYS, gap.alias("gap"), surge.alias("volume_signal"), trend.alias("trend"))
 

@@ -14,13 +14,12 @@ from ..operators.screening import screen, weighted_scores
 from ..sources.views import price_daily, security_master, shares_monthly, sql
 from .market import _GAP, _lag, _ma
 
-close = F.col("close")
 IDS = ["mom_1m", "high_gap", "na_ratio"]
 
 
 def factors(spark, d):
     """Three daily factors, long."""
-    wide = price_daily(spark, d).select("security_id", "trade_date", F.round(t.momentum(close, 0, 21), 6).alias("mom_1m"), F.round(t.high_gap(close), 6).alias("high_gap"), F.round(divide(close, t.moving_average(close, 20)) - 1, 6).alias("na_ratio"))
+    wide = price_daily(spark, d).select("security_id", "trade_date", F.round(t.momentum(F.col("close"), 0, 21), 6).alias("mom_1m"), F.round(t.high_gap(F.col("close")), 6).alias("high_gap"), F.round(divide(F.col("close"), t.moving_average(F.col("close"), 20)) - 1, 6).alias("na_ratio"))
     return wide.unpivot(["security_id", "trade_date"], IDS, "factor_id", "factor_value").where("factor_value IS NOT NULL")
 
 
@@ -51,7 +50,7 @@ def snapshot_incremental(spark, d):
 
 def universe(spark, d):
     """Active securities above floors of size and of 20-row traded value, on each security's last day."""
-    p = price_daily(spark, d).withColumn("traded", t.moving_average(close * F.col("volume"), 20, least=1))
+    p = price_daily(spark, d).withColumn("traded", t.moving_average(F.col("close") * F.col("volume"), 20, least=1))
     last = p.groupBy("security_id").agg(F.max_by(F.struct("close", "traded"), "trade_date").alias("x"))
     shares = shares_monthly(price_daily(spark, d)).groupBy("security_id").agg(F.max_by("shares", "known_date").alias("shares"))
     out = security_master(spark, d).where("is_active").join(last, "security_id").join(shares, "security_id").withColumn("mcap", F.col("x.close") * F.col("shares"))
@@ -141,8 +140,8 @@ def bands_blend(spark, d):
 def sector_leaders(spark, d):
     """By sector: members, mean month return, share near their 52-week high."""
     p = price_daily(spark, d)
-    w = t.SECURITY_DAYS
-    p = p.withColumn("r21", t.momentum(close, 0, 21)).withColumn("near", close >= 0.9 * F.max("high").over(t.rows(w, 252)))
+    w = t.security_days()
+    p = p.withColumn("r21", t.momentum(F.col("close"), 0, 21)).withColumn("near", F.col("close") >= 0.9 * F.max("high").over(t.rows(w, 252)))
     last = p.groupBy("security_id").agg(F.max_by(F.struct("r21", "near"), "trade_date").alias("x")).join(F.broadcast(security_master(spark, d)), "security_id")
     return last.groupBy("sector").agg(F.count("*").alias("n"), F.round(F.avg("x.r21"), 5).alias("mean_return"), F.round(F.avg(F.col("x.near").cast("double")), 5).alias("strong_share"))
 

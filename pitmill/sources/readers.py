@@ -36,7 +36,8 @@ REPORT = T.StructType([T.StructField(n, T.StringType()) for n in ("report_id", "
 
 def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Analyst reports as JSON: (reports, estimates, rows that are no JSON)."""
-    raw = spark.read.schema(T.StructType([*REPORT.fields, T.StructField("_bad", T.StringType())])).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    schema = T.StructType([*REPORT.fields, T.StructField("_bad", T.StringType())])
+    raw = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
     good = raw.where("_bad IS NULL")
     number = lambda c: F.regexp_replace(c, ",", "").try_cast("double")
     day = F.col("register_date").try_cast("date")
