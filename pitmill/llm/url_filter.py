@@ -105,11 +105,10 @@ def train(labelled: DataFrame, n: int = 3, buckets: int = 4096, rounds: int = 30
     grams = rows.select("i", "y", F.explode(ngram_buckets(url_host(F.col("url")), url_path(F.col("url")), n, buckets)).alias("b"))
     norms = grams.groupBy("i").agg(F.sqrt(F.count("*")).alias("norm"))
     x = grams.groupBy("i", "y", "b").count().join(norms, "i").select("i", "y", "b", (F.col("count") / F.col("norm")).alias("v"))
+    x = x.union(rows.select("i", "y", F.lit(buckets), F.lit(1.0)))  # the bias: a bucket that all share, so that every pair has a product
     other = x.select(F.col("i").alias("j"), "b", F.col("v").alias("u"))
-    products = x.join(other, "b").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("k"))
-    ids = rows.select("i", "y").withColumnRenamed("i", "j")
-    full = rows.select("i", "y").join(F.broadcast(ids.select("j")), F.lit(True)).join(products, ["i", "j"], "left")  # at most MAX_LABELLED squared
-    lines = full.groupBy("i", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", F.coalesce("k", F.lit(0.0)).alias("k")))), lambda e: e["k"] + 1).alias("line"))
+    products = x.join(other, "b").groupBy("i", "y", "j").agg(F.sum(F.col("v") * F.col("u")).alias("k"))
+    lines = products.groupBy("i", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "k"))), lambda e: e["k"]).alias("line"))
     one = lines.agg(F.array_sort(F.collect_list(F.struct("i", "y", "line"))).alias("m"))
     solved = one.select(
         "m",
@@ -123,10 +122,10 @@ def train(labelled: DataFrame, n: int = 3, buckets: int = 4096, rounds: int = 30
         ).alias("a"),
     )
     alpha = solved.select(F.explode(F.zip_with("m", "a", lambda e, c: F.struct(e["i"].alias("i"), c.alias("c")))).alias("e")).select("e.i", "e.c")
-    weights = [0.0] * buckets
+    weights = [0.0] * (buckets + 1)
     for row in x.join(alpha, "i").groupBy("b").agg(F.sum(F.col("v") * F.col("c")).alias("w")).collect():  # one row a bucket at most
         weights[row["b"]] = row["w"]
-    return weights, alpha.agg(F.sum("c")).first()[0]
+    return weights[:-1], weights[-1]
 
 
 def judge(urls: DataFrame, model: tuple[list[float], float], rules: Sequence[tuple[str, str, str]] = tuple(RULES), n: int = 3, url: str = "url") -> DataFrame:
