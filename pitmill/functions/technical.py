@@ -71,15 +71,26 @@ def max_drawdown(daily_return: Column, skip: int = 21, n: int = 231, least: int
     return at_least(fold, daily_return, frame, least)
 
 
-def k_ratio(price: Column, n: int = 756, least: int = 504, w: WindowSpec | None = None) -> Column:
-    """Slope of log price on the row number, over its standard error times the number of rows."""
-    frame = rows(w, n)
-    y = F.when(price > 0, F.log(price))
-    x = F.when(y.isNotNull(), F.row_number().over(w or security_days()).cast("double"))
-    k = F.count(y).over(frame)
-    slope = F.regr_slope(y, x).over(frame)
-    error = F.sqrt(divide(F.greatest(F.regr_syy(y, x).over(frame) - slope * F.regr_sxy(y, x).over(frame), F.lit(0.0)), (k - 2) * F.regr_sxx(y, x).over(frame)))
-    return F.when(k >= least, divide(slope, k * F.nullif(error, F.lit(0.0))))
+def with_k_ratio(prices: DataFrame, n: int = 756, least: int = 504, price: str = "close", name: str = "k_ratio") -> DataFrame:
+    """Slope of log price on the row number, over its standard error times the number of rows.
+
+    The sums of a window are differences of running sums, so a row costs the same
+    whatever the window's length. Log prices are taken from the first one on.
+    """
+    w = security_days()
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    y = F.when(F.col(price) > 0, F.log(price))
+    out = prices.withColumn("_y", y).withColumn("_x", F.row_number().over(w).cast("double"))
+    out = out.withColumn("_y", F.col("_y") - F.first("_y", True).over(running)).withColumn("_x", F.when(F.col("_y").isNotNull(), F.col("_x")))
+    terms = {"k": F.col("_y") * 0 + 1, "x": F.col("_x"), "y": F.col("_y"), "xx": F.col("_x") ** 2, "xy": F.col("_x") * F.col("_y"), "yy": F.col("_y") ** 2}
+    out = out.withColumns({f"_c{t}": F.coalesce(F.sum(c).over(running), F.lit(0.0)) for t, c in terms.items()})
+    out = out.withColumns({f"_s{t}": F.col(f"_c{t}") - F.lag(f"_c{t}", n, 0.0).over(w) for t in terms})
+    k = F.col("_sk")
+    centred = lambda a, b: F.col(f"_s{a}{b}") - divide(F.col(f"_s{a}") * F.col(f"_s{b}"), k)
+    out = out.withColumns({"_sxx": centred("x", "x"), "_sxy": centred("x", "y"), "_syy": centred("y", "y")}).withColumn("_slope", divide("_sxy", "_sxx"))
+    error = F.sqrt(divide(F.greatest(F.col("_syy") - F.col("_slope") * F.col("_sxy"), F.lit(0.0)), (k - 2) * F.col("_sxx")))
+    out = out.withColumn(name, F.when(k >= least, divide("_slope", k * F.nullif(error, F.lit(0.0)))))
+    return out.select(*prices.columns, name)
 
 
 def bollinger(price: Column, n: int = 20, width: float = 2.0, w: WindowSpec | None = None) -> tuple[Column, Column, Column]:

@@ -74,7 +74,7 @@ def rolling_mdd(spark, d):
 
 
 def k_ratio(spark, d):
-    return out(price_daily(spark, d), k_ratio_3y=t.k_ratio(F.col("close"), 504, 252))
+    return out(t.with_k_ratio(price_daily(spark, d), 504, 252), k_ratio_3y=F.col("k_ratio"))
 
 
 def bollinger(spark, d):
