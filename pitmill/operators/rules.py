@@ -59,22 +59,27 @@ def outline(rows: DataFrame, document: list[str], order: str, indent: str) -> Da
 
 
 def context_paths(rows: DataFrame, document: list[str], order: str, indent: str, text: str) -> DataFrame:
-    """The names of the rows above each row, by a stack that a row's indent cuts: an ordered fold within a document."""
-
-    def fold(group):
-        stack: list[tuple[int, str]] = []
-        paths = []
-        group = group.sort_values(order)
-        for depth, name in zip(group[indent], group[text], strict=True):
-            while stack and stack[-1][0] >= depth:
-                stack.pop()
-            paths.append(" > ".join(n for _, n in stack))
-            stack.append((depth, name))
-        group["path"] = paths
-        return group
+    """The names of the rows above each row, by a stack that a row's indent cuts.
+
+    An ordered fold: rows are sorted within the partitions that hold whole
+    documents, and read once; only the stack of the document at hand is kept.
+    """
+
+    def fold(batches):
+        current, stack = None, []
+        for batch in batches:
+            paths = []
+            for key, depth, name in zip(batch[document].itertuples(index=False, name=None), batch[indent], batch[text], strict=True):
+                if key != current:
+                    current, stack = key, []
+                while stack and stack[-1][0] >= depth:
+                    stack.pop()
+                paths.append(" > ".join(n for _, n in stack))
+                stack.append((depth, name))
+            yield batch.assign(path=paths)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", path string"
-    return rows.groupBy(*document).applyInPandas(fold, schema)
+    return rows.repartition(*document).sortWithinPartitions(*document, order).mapInPandas(fold, schema)
 
 
 def checks(wide: DataFrame, key: list[str], formulas: dict[str, tuple[str, str]], absolute: float = 1.0, relative: float = 0.01) -> DataFrame:
