@@ -30,7 +30,7 @@ from .common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, UNKNOWN_PENALTY = "▁", 10.0
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Blanks with what follows up to the next blank; valid if no piece has a blank after another character.
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
