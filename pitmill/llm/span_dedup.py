@@ -1,10 +1,12 @@
 """Removal of repeated runs of sentences.
 
 A sentence ends at a word that ends in ``.``, ``!`` or ``?`` (a closing quote or
-bracket may follow), at a line break, or after ``MAX_WORDS`` words; it reaches
-to the next one's first word, so that the sentences of a text, joined, give the
-text. Every run of ``RUN`` consecutive sentences with at least ``MIN_WORDS``
-words is hashed over its lower-cased words and joined globally. The first place
+bracket may follow) or at a line break. One of more than ``MAX_WORDS`` words is cut
+into pieces after words that their hash chooses, so that an insertion moves no
+later cut. Each reaches to the next one's first word, so that the sentences of a
+text, joined, give the text. Every run of ``RUN`` consecutive sentences, or of as many more as
+``MIN_WORDS`` words take, is hashed over its lower-cased words and joined
+globally. The first place
 of a run is in the document with the smallest id, and there the earliest; the
 sentences that any other place covers are removed.
 
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, ints, lower_ascii, mix, sequence_hashes, slices, span_hashes, staged, table, text_bytes, word_spans
+from .common import _powers, ints, lower_ascii, mix, slices, span_hashes, staged, table, text_bytes, word_spans
 
 RUN, MAX_WORDS, MIN_WORDS = 3, 16, 12
+#: In a long sentence, about one word in so many ends a piece.
+CUT = 8
 LAST_ID = (1 << 63) - 1
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 _END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -53,8 +57,10 @@ def sentences(raw: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS)
     opens = np.append(True, over[:-1])
     opens[first[:-1][first[:-1] < n]] = True
     at = np.flatnonzero(opens)
-    place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    at = np.flatnonzero(place % max_words == 0)
+    size = np.diff(np.append(at, n))
+    chosen = np.append(False, words[:-1] & np.uint64(CUT - 1) == 0)
+    opens[at] = True
+    at = np.flatnonzero(opens | chosen & np.repeat(size > max_words, size))
     stop = np.append(at[1:], n)
     power, inverse = _powers(max(n, 1 << 20) + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -62,11 +68,26 @@ def sentences(raw: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS)
     return starts[at], mix((sums[stop] - sums[at]) * inverse[at] + (stop - at).astype(np.uint64)), stop - at, np.searchsorted(at, first)
 
 
-def runs(hashes: np.ndarray, words: np.ndarray, run: int, min_words: int) -> np.ndarray:
-    """Hashes of the runs that begin at each sentence of a slice; those too short are 0."""
-    h = sequence_hashes(hashes, run)
+def runs(hashes: np.ndarray, words: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each sentence of a slice the hash of the run that begins there, and the index after its last sentence.
+
+    A run has ``run`` sentences, or as many more as ``min_words`` words take. Runs
+    beyond the slice have an end of n + 1.
+    """
+    n = len(hashes)
     total = np.append(0, np.cumsum(words))
-    return np.where(total[run:] - total[:-run] >= min_words, h, np.uint64(0)) if len(h) else h
+    end = np.maximum(np.arange(n) + run, np.searchsorted(total, total[:-1] + min_words))
+    inside = np.minimum(end, n)
+    power, inverse = _powers(max(n, 1 << 20) + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * power[:n], out=sums[1:])
+    value = mix((sums[inside] - sums[:-1]) * inverse[:n] + (inside - np.arange(n)).astype(np.uint64))
+    return value, end
+
+
+def own_runs(h: np.ndarray, end: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Hashes of the runs within one text; ends never decrease, so these are the first ones."""
+    return h[a : a + int(np.searchsorted(end[a:b], b, side="right"))]
 
 
 def run_table(docs: DataFrame, run: int, min_words: int, max_words: int) -> DataFrame:
@@ -76,11 +97,11 @@ def run_table(docs: DataFrame, run: int, min_words: int, max_words: int) -> Data
         for batch in batches:
             for part in slices(batch, "text"):
                 _, hashes, words, first = sentences(*text_bytes(part.column(1)), max_words)
-                h = runs(hashes, words, run, min_words)
+                h, end = runs(hashes, words, run, min_words)
                 found: list[tuple[np.ndarray, np.ndarray]] = []
                 for a, b in zip(first[:-1], first[1:], strict=True):
-                    own, pos = np.unique(h[a : max(a, b - run + 1)], return_index=True)
-                    found.append((own[own != 0], pos[own != 0].astype(np.int32)))
+                    own, pos = np.unique(own_runs(h, end, a, b), return_index=True)
+                    found.append((own, pos.astype(np.int32)))
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x, _ in found])
                 keys = np.concatenate([x for x, _ in found])
                 check = (mix(keys ^ _SALT) >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -106,20 +127,21 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max
             for part in slices(batch, "text"):
                 raw, offsets = text_bytes(part.column(at))
                 starts, hashes, words, first = sentences(raw, offsets, max_words)
-                h = runs(hashes, words, run, min_words)
+                h, end = runs(hashes, words, run, min_words)
                 texts, cuts = part.column(at).to_pylist(), part.column(len(names)).to_pylist()
                 removed = np.zeros(len(texts), np.int32)
                 for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    own = h[a : max(a, b - run + 1)]
-                    value, pos, which = np.unique(own, return_index=True, return_inverse=True)
-                    again = (pos[which] != np.arange(len(own))) & (own != 0)
+                    own = own_runs(h, end, a, b)
+                    _, pos, which = np.unique(own, return_index=True, return_inverse=True)
+                    again = pos[which] != np.arange(len(own))
                     if cuts[k]:
                         again |= np.isin(own, own[np.array(cuts[k])])
                     if not again.any():
                         continue
-                    gone = np.zeros(b - a, bool)
-                    for d in range(run):
-                        gone[d : d + len(own)] |= again
+                    change = np.zeros(b - a + 1, np.int64)
+                    np.add.at(change, np.flatnonzero(again), 1)
+                    np.add.at(change, end[a : a + len(own)][again] - a, -1)
+                    gone = np.cumsum(change[:-1]) > 0
                     edges = np.append(starts[a:b], offsets[k + 1])
                     edges[0] = offsets[k]
                     data = raw[offsets[k] : offsets[k + 1]].tobytes()

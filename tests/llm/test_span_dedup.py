@@ -1,24 +1,35 @@
 import random
 import re
 
-from pitmill.llm.span_dedup import MAX_WORDS, MIN_WORDS, RUN, dedup_spans
+import numpy as np
+
+from pitmill.llm.common import span_hashes
+from pitmill.llm.span_dedup import CUT, MAX_WORDS, MIN_WORDS, RUN, dedup_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def lower(w):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), w)
+
+
+def chosen(w):
+    raw = np.frombuffer(lower(w).encode(), np.uint8)
+    return int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]) % CUT == 0
+
+
 def split(text):
     words = list(WORD.finditer(text))
-    starts, count = [], 0
+    opens = []
     for k, w in enumerate(words):
         before = words[k - 1].group() if k else "."
         gap = text[words[k - 1].end() : w.start()] if k else ""
-        if k == 0 or re.search(r"[.!?][\"')\]]?$", before) or re.search(r"[\n\x0b\f\r]", gap) or count == MAX_WORDS:
-            starts.append(k)
-            count = 0
-        count += 1
+        opens.append(k == 0 or bool(re.search(r"[.!?][\"')\]]?$", before) or re.search(r"[\n\x0b\f\r]", gap)))
+    first = [k for k, o in enumerate(opens) if o] + [len(words)]
+    starts = [k for a, b in zip(first, first[1:]) for k in range(a, b) if k == a or b - a > MAX_WORDS and chosen(words[k - 1].group())]
     bounds = [0, *(words[k].start() for k in starts[1:]), len(text)]
     groups = [[w.group() for w in words[a:b]] for a, b in zip(starts, [*starts[1:], len(words)])]
-    return [(text[a:b], [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in g]) for a, b, g in zip(bounds, bounds[1:], groups)] if words else []
+    return [(text[a:b], [lower(w) for w in g]) for a, b, g in zip(bounds, bounds[1:], groups)] if words else []
 
 
 def brute_force(rows):
@@ -26,10 +37,13 @@ def brute_force(rows):
     for key, text in sorted(rows, key=lambda r: r[0]):
         parts = split(text or "")
         gone = set()
-        for k in range(len(parts) - RUN + 1):
-            words = [tuple(w) for _, w in parts[k : k + RUN]]
-            if sum(map(len, words)) >= MIN_WORDS and seen.setdefault(tuple(words), (key, k)) != (key, k):
-                gone |= set(range(k, k + RUN))
+        for k in range(len(parts)):
+            end = k + RUN
+            while end < len(parts) and sum(len(w) for _, w in parts[k:end]) < MIN_WORDS:
+                end += 1
+            words = [tuple(w) for _, w in parts[k:end]]
+            if end <= len(parts) and sum(map(len, words)) >= MIN_WORDS and seen.setdefault(tuple(words), (key, k)) != (key, k):
+                gone |= set(range(k, end))
         out[key] = text if not gone else "".join(t for k, (t, _) in enumerate(parts) if k not in gone)
     return out
 
@@ -38,7 +52,7 @@ def test_equals_brute_force(spark):
     rng = random.Random(5)
     bank = [" ".join(rng.choice(["Ab", "cd", "efg", "h", "ijkl"]) + str(rng.randrange(30)) for _ in range(rng.randint(1, 40))) + rng.choice([". ", "!\n", "?) ", "\n\n", " "]) for _ in range(60)]
     rows = [(k, "".join(rng.choice(bank) if rng.random() < 0.5 else "".join(bank[i : i + 5]) for i in [rng.randrange(55) for _ in range(rng.randint(0, 8))])) for k in range(60)]
-    rows += [(100, None), (101, ""), (102, " \n "), (103, rows[3][1].upper()), (104, "one two. " * 3000)]
+    rows += [(100, None), (101, ""), (102, " \n "), (103, rows[3][1].upper()), (104, "one two. " * 3000), (105, "OH!! " * 500), (106, "Oh!! " * 20)]
     df = spark.createDataFrame([(k, t, 7) for k, t in rows], "doc_id long, text string, run int").repartition(4)
     got = {r.doc_id: r.text for r in dedup_spans(df).collect()}
     assert got == brute_force(rows)
