@@ -3,7 +3,7 @@
 A sentence ends at a word that ends in ``.``, ``!`` or ``?`` (a closing quote or
 bracket may follow) or at a line break. One of more than ``MAX_WORDS`` words is cut
 into pieces after words that their hash chooses, so that an insertion moves no
-later cut. Each reaches to the next one's first word, so that the sentences of a
+later cut; a piece has at most twice as many words. Each reaches to the next one's first word, so that the sentences of a
 text, joined, give the text. Every run of ``RUN`` consecutive sentences, or of as many more as
 ``MIN_WORDS`` words take, is hashed over its lower-cased words and joined
 globally. The first place
@@ -61,6 +61,8 @@ def sentences(raw: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS)
     chosen = np.append(False, words[:-1] & np.uint64(CUT - 1) == 0)
     opens[at] = True
     at = np.flatnonzero(opens | chosen & np.repeat(size > max_words, size))
+    place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+    at = np.flatnonzero(place % (2 * max_words) == 0)
     stop = np.append(at[1:], n)
     power, inverse = _powers(max(n, 1 << 20) + 1)
     sums = np.zeros(n + 1, np.uint64)

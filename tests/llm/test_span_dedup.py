@@ -27,6 +27,7 @@ def split(text):
         opens.append(k == 0 or bool(re.search(r"[.!?][\"')\]]?$", before) or re.search(r"[\n\x0b\f\r]", gap)))
     first = [k for k, o in enumerate(opens) if o] + [len(words)]
     starts = [k for a, b in zip(first, first[1:]) for k in range(a, b) if k == a or b - a > MAX_WORDS and chosen(words[k - 1].group())]
+    starts = [k for a, b in zip(starts, [*starts[1:], len(words)]) for k in range(a, b, 2 * MAX_WORDS)]
     bounds = [0, *(words[k].start() for k in starts[1:]), len(text)]
     groups = [[w.group() for w in words[a:b]] for a, b in zip(starts, [*starts[1:], len(words)])]
     return [(text[a:b], [lower(w) for w in g]) for a, b, g in zip(bounds, bounds[1:], groups)] if words else []
@@ -52,7 +53,7 @@ def test_equals_brute_force(spark):
     rng = random.Random(5)
     bank = [" ".join(rng.choice(["Ab", "cd", "efg", "h", "ijkl"]) + str(rng.randrange(30)) for _ in range(rng.randint(1, 40))) + rng.choice([". ", "!\n", "?) ", "\n\n", " "]) for _ in range(60)]
     rows = [(k, "".join(rng.choice(bank) if rng.random() < 0.5 else "".join(bank[i : i + 5]) for i in [rng.randrange(55) for _ in range(rng.randint(0, 8))])) for k in range(60)]
-    rows += [(100, None), (101, ""), (102, " \n "), (103, rows[3][1].upper()), (104, "one two. " * 3000), (105, "OH!! " * 500), (106, "Oh!! " * 20)]
+    rows += [(100, None), (101, ""), (102, " \n "), (103, rows[3][1].upper()), (104, "one two. " * 3000), (105, "OH!! " * 500), (106, "Oh!! " * 20), (107, "As " * 200)]
     df = spark.createDataFrame([(k, t, 7) for k, t in rows], "doc_id long, text string, run int").repartition(4)
     got = {r.doc_id: r.text for r in dedup_spans(df).collect()}
     assert got == brute_force(rows)
