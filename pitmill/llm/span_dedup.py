@@ -34,7 +34,7 @@ from .common import _powers, ints, lower_ascii, mix, slices, span_hashes, staged
 
 RUN, MAX_WORDS, MIN_WORDS = 3, 16, 12
 #: In a long sentence, about one word in so many ends a piece.
-CUT = 8
+CUT = 16
 LAST_ID = (1 << 63) - 1
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 _END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
