@@ -34,9 +34,8 @@ from .common import _powers, ints, lower_ascii, mix, slices, span_hashes, staged
 
 RUN, MAX_WORDS, MIN_WORDS = 3, 16, 12
 #: In a long sentence, about one word in so many ends a piece.
-CUT = 16
+CUT = 3
 LAST_ID = (1 << 63) - 1
-_SALT = np.uint64(0x2545F4914F6CDD1D)
 _END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _CLOSE = np.isin(np.arange(256), [ord(c) for c in "\"')]"])
 _BREAK = np.isin(np.arange(256), [10, 11, 12, 13])
@@ -58,7 +57,7 @@ def sentences(raw: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS)
     opens[first[:-1][first[:-1] < n]] = True
     at = np.flatnonzero(opens)
     size = np.diff(np.append(at, n))
-    chosen = np.append(False, words[:-1] & np.uint64(CUT - 1) == 0)
+    chosen = np.append(False, words[:-1] % np.uint64(CUT) == 0)
     opens[at] = True
     at = np.flatnonzero(opens | chosen & np.repeat(size > max_words, size))
     place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
@@ -93,7 +92,7 @@ def own_runs(h: np.ndarray, end: np.ndarray, a: int, b: int) -> np.ndarray:
 
 
 def run_table(docs: DataFrame, run: int, min_words: int, max_words: int) -> DataFrame:
-    """(run, check, doc_id, pos): each document's runs, with the first place of each."""
+    """(run, doc_id, pos): each document's runs, with the first place of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,19 +105,18 @@ def run_table(docs: DataFrame, run: int, min_words: int, max_words: int) -> Data
                     found.append((own, pos.astype(np.int32)))
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x, _ in found])
                 keys = np.concatenate([x for x, _ in found])
-                check = (mix(keys ^ _SALT) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([ints(keys, pa.int64()), pa.array(check), pa.array(ids), pa.array(np.concatenate([x for _, x in found]))], ["run", "check", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([ints(keys, pa.int64()), pa.array(ids), pa.array(np.concatenate([x for _, x in found]))], ["run", "doc_id", "pos"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), "text")
-    return rows.mapInArrow(work, "run long, check int, doc_id long, pos int")
+    return rows.mapInArrow(work, "run long, doc_id long, pos int")
 
 
 def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``, and n_sentences and n_removed."""
     docs = docs.drop("n_sentences", "n_removed")
     listed = staged(run_table(docs, run, min_words, max_words), "runs")
-    firsts = listed.groupBy("run", "check").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
-    later = listed.join(firsts, ["run", "check"]).where("doc_id > _first")
+    firsts = listed.groupBy("run").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+    later = listed.join(firsts, "run").where("doc_id > _first")
     cut = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_cut"))
     joined = docs.join(cut, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == cut["_id"], "left").drop("_id")
     names = docs.columns

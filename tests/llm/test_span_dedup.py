@@ -65,3 +65,16 @@ def test_empty_nulls_and_repeated_rows(spark):
     rows = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in dedup_spans(rows).collect())
     assert got == [(0, "", 4), (1, text, 0), (1, text, 0), (2, "", 0)]
+
+
+def test_passage_of_51_words_in_text_without_punctuation(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    rows, passages = [], []
+    for k in range(60):
+        passages.append(words(51))
+        rows += [(key, " ".join(words(rng.randint(40, 90)) + passages[k] + words(rng.randint(40, 90)))) for key in (k, 1000 + k)]
+    got = {r.doc_id: r for r in dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].n_removed == 0 for k in range(60))
+    left = [len(set(got[1000 + k].text.split()) & set(passages[k])) for k in range(60)]
+    assert all(got[1000 + k].n_removed >= 3 for k in range(60)) and max(left) <= 39
