@@ -15,8 +15,9 @@ a run and document enters the shuffle; a run that a third of all documents hold
 costs one minimum, combined before the shuffle, and a join that splits.
 
 A null text stays null, and one without words stays as it is. Rows that share an
-id count as one document and keep what only they share. Rows without an id come
-after all others. Other columns pass through unchanged; an input column named
+id count as one document and keep what only they share. Rows without an id are
+documents of their own, which come after all others in the order of the input.
+Other columns pass through unchanged; an input column named
 ``n_sentences`` or ``n_removed`` is replaced.
 """
 
@@ -35,7 +36,6 @@ from .common import _powers, ints, lower_ascii, mix, slices, span_hashes, staged
 RUN, MAX_WORDS, MIN_WORDS = 3, 16, 12
 #: In a long sentence, about one word in so many ends a piece.
 CUT = 3
-LAST_ID = (1 << 63) - 1
 _END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _CLOSE = np.isin(np.arange(256), [ord(c) for c in "\"')]"])
 _BREAK = np.isin(np.arange(256), [10, 11, 12, 13])
@@ -92,34 +92,41 @@ def own_runs(h: np.ndarray, end: np.ndarray, a: int, b: int) -> np.ndarray:
 
 
 def run_table(docs: DataFrame, run: int, min_words: int, max_words: int) -> DataFrame:
-    """(run, doc_id, pos): each document's runs, with the first place of each."""
+    """(run, id, no_id): the runs of each row of ``docs`` (_id, _no_id, text), each run once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 _, hashes, words, first = sentences(*text_bytes(part.column(1)), max_words)
                 h, end = runs(hashes, words, run, min_words)
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    own, pos = np.unique(own_runs(h, end, a, b), return_index=True)
-                    found.append((own, pos.astype(np.int32)))
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x, _ in found])
-                keys = np.concatenate([x for x, _ in found])
-                yield pa.RecordBatch.from_arrays([ints(keys, pa.int64()), pa.array(ids), pa.array(np.concatenate([x for _, x in found]))], ["run", "doc_id", "pos"])
+                found = [np.unique(own_runs(h, end, a, b)) for a, b in zip(first[:-1], first[1:], strict=True)]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([ints(np.concatenate(found), pa.int64()), part.column(0).take(at), part.column(2).take(at)], ["run", "id", "no_id"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), "text")
-    return rows.mapInArrow(work, "run long, doc_id long, pos int")
+    return docs.select("_id", "text", "_no_id").mapInArrow(work, "run long, id long, no_id boolean")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with _id and _no_id: the id, or for rows without one the number of their row.
+
+    Only the rows without an id are staged, so that their numbers stay the same.
+    """
+    given = F.col("doc_id").cast("long")
+    none = staged(docs.where(given.isNull()).withColumn("_id", F.monotonically_increasing_id()), "no_ids")
+    return docs.where(given.isNotNull()).withColumn("_id", given).withColumn("_no_id", F.lit(False)).unionByName(none.withColumn("_no_id", F.lit(True)))
 
 
 def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``, and n_sentences and n_removed."""
     docs = docs.drop("n_sentences", "n_removed")
+    names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
+    docs = identified(docs)
     listed = staged(run_table(docs, run, min_words, max_words), "runs")
-    firsts = listed.groupBy("run").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
-    later = listed.join(firsts, "run").where("doc_id > _first")
-    cut = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_cut"))
-    joined = docs.join(cut, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == cut["_id"], "left").drop("_id")
-    names = docs.columns
+    named, row = F.when(~F.col("no_id"), F.col("id")), F.when(F.col("no_id"), F.col("id"))
+    firsts = listed.groupBy("run").agg(F.min(named).alias("_first"), F.min(row).alias("_row"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    later = listed.join(firsts, "run").where("CASE WHEN no_id THEN _first IS NOT NULL OR id > _row ELSE id > _first END")
+    cut = later.groupBy(F.col("id").alias("_of"), F.col("no_id").alias("_none")).agg(F.collect_set("run").alias("_cut"))
+    joined = docs.join(cut, (docs["_id"] == cut["_of"]) & (docs["_no_id"] == cut["_none"]), "left")
     at = names.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +135,14 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max
                 raw, offsets = text_bytes(part.column(at))
                 starts, hashes, words, first = sentences(raw, offsets, max_words)
                 h, end = runs(hashes, words, run, min_words)
-                texts, cuts = part.column(at).to_pylist(), part.column(len(names)).to_pylist()
+                texts, cuts = part.column(at).to_pylist(), part.column(len(names))
                 removed = np.zeros(len(texts), np.int32)
                 for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
                     own = own_runs(h, end, a, b)
                     _, pos, which = np.unique(own, return_index=True, return_inverse=True)
                     again = pos[which] != np.arange(len(own))
-                    if cuts[k]:
-                        again |= np.isin(own, own[np.array(cuts[k])])
+                    if cuts[k].is_valid:
+                        again |= np.isin(own, cuts[k].values.to_numpy(zero_copy_only=False).view(np.uint64))
                     if not again.any():
                         continue
                     change = np.zeros(b - a + 1, np.int64)
@@ -151,7 +158,6 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max
                 columns = [part.column(c) if c != at else pa.array(texts, part.column(at).type) for c in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first).astype(np.int32)), pa.array(removed)], [*names, "n_sentences", "n_removed"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
     return joined.select(*(joined[f"`{c}`"] for c in names), "_cut").mapInArrow(work, schema)
 
 

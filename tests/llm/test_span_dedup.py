@@ -78,3 +78,13 @@ def test_passage_of_51_words_in_text_without_punctuation(spark):
     assert all(got[k].n_removed == 0 for k in range(60))
     left = [len(set(got[1000 + k].text.split()) & set(passages[k])) for k in range(60)]
     assert all(got[1000 + k].n_removed >= 3 for k in range(60)) and max(left) <= 39
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(2)
+    text = lambda n: "".join(" ".join(f"q{rng.randrange(10**6)}" for _ in range(6)) + ". " for _ in range(n))
+    a, b, c, own = text(4), text(5), text(4), [text(n) for n in (3, 9, 1, 6, 2, 8)]
+    rows = [(1, a), (5, own[0] + a), (5, own[1] + b), (5, own[2]), (7, b + own[3]), (None, own[4] + c), (None, own[5] + c + a), (None, c), (None, "short.")]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, i int").coalesce(1)
+    got = [(r.text, r.n_removed) for r in sorted(dedup_spans(df).collect(), key=lambda r: r.i)]
+    assert got == [(a, 0), (own[0], 4), (own[1] + b, 0), (own[2], 0), (own[3], 5), (own[4] + c, 0), (own[5], 8), ("", 4), ("short.", 0)]
