@@ -14,9 +14,8 @@ Counts cover all training documents. A token's count comes from a table of the
 most frequent ones (at most ``HEAD_TOKENS``, broadcast) or, for the others, by a
 join; tokens are told apart by 64-bit hashes.
 
-A null or empty text has only its end token. Repeated rows count repeatedly; rows
-that share an id get the sum over their rare tokens each, so ids should be
-unique. A null id is never held out. Without training documents every count is 0.
+A null or empty text has only its end token. Repeated rows count repeatedly, and
+rows that share an id or have none are scored each by its own tokens. A null id is never held out. Without training documents every count is 0.
 """
 
 from __future__ import annotations
@@ -301,10 +300,10 @@ def score(docs: DataFrame, counts: Counts, table_of_counts: DataFrame, model: Mo
             yield from flush()
 
     schema = "doc_id long, n_tokens long, n_known long, logs double, rare long, rare_logs double, classes double, tail array<long>, times array<int>"
-    rows = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "scored")
-    tail = rows.select("doc_id", F.explode(F.arrays_zip("tail", "times")).alias("e")).select("doc_id", F.col("e.tail").alias("token"), F.col("e.times").alias("times"))
-    tail = tail.join(table_of_counts, "token").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    out = rows.drop("tail", "times").join(tail, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    tail = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("e")).select("row", F.col("e.tail").alias("token"), F.col("e.times").alias("times"))
+    tail = tail.join(table_of_counts, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
+    out = rows.drop("tail", "times").join(tail, "row", "left")
     more, more_logs = F.coalesce("more", F.lit(0)), F.coalesce("more_logs", F.lit(0.0))
     base = F.col("logs") + more_logs - F.col("n_tokens") * float(np.log10(counts.total + counts.distinct + 1))
     full = F.col("classes") + F.col("rare_logs") + more_logs - F.col("rare") * float(np.log10(counts.rare_total))

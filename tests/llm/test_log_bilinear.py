@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from pitmill.llm.log_bilinear import class_scores, contexts_of, score_texts, start_model, tokens
+from pitmill.llm.log_bilinear import class_scores, contexts_of, count_tokens, frequent, score, score_texts, start_model, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,3 +55,14 @@ def test_tokens_and_empty_tables(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     only = score_texts(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).collect()
     assert len(only) == 2 and not only[0].held_out and only[0].n_known == 3
+
+
+def test_rows_that_share_an_id_keep_their_own_tail(spark):
+    docs = spark.createDataFrame([(1, "a b b c d"), (1, "c d e"), (None, "e f"), (None, "a a a g h")], "doc_id long, text string")
+    counts = count_tokens(docs).persist()
+    n = Counter(w for r in docs.collect() for w in [*r.text.split(), None])
+    head = frequent(counts, limit=2, classes=2)
+    assert 0 < len(head.token) < len(n)
+    got = sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in score(docs, head, counts, start_model(head.noise)).collect())
+    split = [[*r.text.split(), None] for r in docs.collect()]
+    assert got == sorted((len(ws), len(ws), round(sum(math.log10((n[w] + 1) / (sum(n.values()) + len(n) + 1)) for w in ws), 6)) for ws in split)
