@@ -12,7 +12,9 @@ are one class from the start. Within a prefix token's group every member is
 first tested against one pivot, the member with the fewest rarer tokens; links
 found are contracted to components; only pairs from different components that
 the length and position bounds allow are tested afterwards. No link between
-different components is lost, so the components are exact.
+different components is lost, so the components are exact. Every link lies within
+a component: at the end all pairs of each component are tested, block by block,
+for the number of links.
 
 How rare a token is comes from a sketch of fixed size. Any order is a valid
 global order, so the sketch changes the work and never the result.
@@ -38,6 +40,8 @@ SKETCH_BITS = 20
 BLOCK_TOKENS = 1_000_000
 #: So many ids at most are broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
+#: Members of a component that are tested against as many others at a time.
+BLOCK_DOCS, BLOCK_COLUMNS = 128, 1 << 14
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -186,11 +190,65 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, level)
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
 
 
+def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of common tokens of each two sets."""
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = np.cumsum(times > 1) - 1  # tokens of a single set are in no intersection
+    kept = times[column] > 1
+    owner, column = owner[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_COLUMNS):
+        a, b = np.searchsorted(column, [at, at + BLOCK_COLUMNS])
+        held = np.zeros((len(sets), int(column[b - 1]) + 1 - at), np.float32)
+        held[owner[a:b], column[a:b] - at] = 1
+        common += (held @ held.T).astype(np.int64)
+    common[np.diag_indices(len(sets))] = [len(s) for s in sets]
+    return common
+
+
+def link_counts(found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep, n_links): for each node of ``found`` (node, component) all the nodes of its component that it links with.
+
+    The members of a component are dealt into blocks by a hash, and each two blocks
+    are one group. The two members of a pair have one link.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, block = (group.column(c).to_numpy() for c in ("node", "block"))
+        text = group.column("text")
+        sets = list(shingle_sets(text.chunk(0) if text.num_chunks else pa.array([], pa.string()), width))
+        size = np.array([len(s) for s in sets])
+        common = common_tokens(sets)
+        link = (100 * common >= percent * (size[:, None] + size - common)) & (common > 0) & (node[:, None] != node)
+        if group.column("x")[0] != group.column("y")[0]:
+            link &= block[:, None] != block
+        names, which = np.unique(node, return_inverse=True)
+        linked = np.zeros((len(names), len(names)), bool)
+        a, b = np.nonzero(link)
+        linked[which[a], which[b]] = True
+        return pa.table({"rep": names, "n": linked.sum(1).astype(np.int64)})
+
+    members = found.join(found.groupBy("component").agg(F.count("*").alias("k")), "component")
+    twos = members.where("k = 2").select(F.col("node").alias("rep"), F.lit(1).cast("long").alias("n_links"))
+    n_blocks = F.ceil(F.col("k") / BLOCK_DOCS).cast("int")
+    more = members.where("k > 2").select("node", "component", n_blocks.alias("blocks"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("block"))
+    if found.count() <= BROADCAST_IDS // 2:
+        more = F.broadcast(more)
+    rows = docs.join(more, docs["doc_id"] == more["node"]).select("node", "component", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "block", "text")
+    counted = rows.groupBy("component", "x", "y").applyInArrow(run, "rep long, n long")
+    return twos.unionByName(counted.groupBy("rep").agg(F.sum("n").alias("n_links")))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of ``docs`` (doc_id, text; other columns are not read).
 
-    n_links counts the verified links of the document's class, which the pivot
-    scheme keeps to those it needed; 0 means that no other set is similar.
+    n_links counts the other classes that the document's class links with; 0 means
+    that no other set is similar.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -219,9 +277,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     cross = cross.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = staged(verified(enough_shared(cross, live, percent), docs, width, percent, level), "links")
 
-    every = links.union(more)
     found = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if not more.isEmpty() else near
-    degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = link_counts(found, docs, width, percent)
     classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
     out = rows.join(classes.drop("n"), ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -66,3 +66,17 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("block", [3, 128])
+def test_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr("pitmill.llm.ngram_jaccard.BLOCK_DOCS", block)
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base[:k] + [f"z{k}"] * (k > 0) + base[k + 1 :]) for k in range(0, 150, 12)]
+    texts += [texts[3], texts[5]] + [" ".join(base[: 150 - 4 * k]) for k in range(1, 9)] + ["p q r s", "p q r s t"] + [f"{x} b c d e f g h i j k l m n o p q r s t" for x in "uv"]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    kinds = list({frozenset(s): s for s in sets}.values())
+    want = {k: sum(s != t and 100 * len(s & t) >= 80 * len(s | t) for t in kinds) for k, s in enumerate(sets)}
+    got = {r.doc_id: r.n_links for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 3, 80).collect()}
+    assert got == want and max(want.values()) > 10
