@@ -2,7 +2,9 @@
 
 Texts become sequences of canonical tokens: words lose punctuation at their ends
 and case; numbers, units after a number and names (capitalised, not at the start
-of a sentence) become typed placeholders, whose surface is kept as a slot.
+of a sentence) become typed placeholders, whose surface is kept as a slot; names
+or numbers with one blank between them are read as one slot too. Windows of the lower-cased
+words are joined too, so that a verbatim copy depends on no case and no line breaks.
 Windows of ``WINDOW`` canonical tokens are hash-joined with those of the
 benchmark (an item with fewer tokens is one window). Matches on one diagonal (the
 document's place less the item's) give the share of the item that is covered
@@ -38,6 +40,7 @@ BITMAP_BITS = 24
 UNITS = """mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs pound pounds oz ounce ounces ton tons tonne tonnes
 ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years
 percent degree degrees dollar dollars cent cents euro euros usd eur gbp mph kmh km/h m/s hz khz mhz w kw kwh j kj v a ohm kb mb gb tb""".split()
+_KIND = np.uint64(0x706C61696E)  # tells windows of different kinds of tokens apart
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65))
 _DIGIT = np.isin(np.arange(256), [*range(48, 58)])
 _NUMERIC = _DIGIT | np.isin(np.arange(256), [ord(c) for c in ".,:/-+$%"])
@@ -52,13 +55,21 @@ def _unit_hashes() -> np.ndarray:
     return span_hashes(raw, np.append(0, ends[:-1]), ends)
 
 
-def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts of a slice: token hashes, whether each is a slot, byte starts and ends; and for each text the index of its first token (n + 1)."""
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[Tokens, Tokens, Tokens]:
+    """Of all texts of a slice: token hashes, whether each is a slot, byte starts and ends; and for each text the index of its first token (n + 1).
+
+    Three times: with typed slots for single words, with one slot for a run of names
+    or of numbers, and with the lower-cased words as they are.
+    """
     starts, ends, _ = word_spans(raw, offsets)
     # the first and the last byte of each word that can be in a token
     body = np.append(np.flatnonzero(_WORD_BYTE[raw]), len(raw))
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, bool), starts, ends, np.zeros(len(offsets), np.int64)
+        none = np.empty(0, np.uint64), np.empty(0, bool), starts, ends, np.zeros(len(offsets), np.int64)
+        return none, none, none
     tail = raw[ends - 1]
     head = body[np.searchsorted(body, starts)]
     last = body[np.maximum(np.searchsorted(body, ends) - 1, 0)] + 1
@@ -79,11 +90,16 @@ def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     accented = (first == 0xC3) & (following >= 0x80) & (following <= 0x9E)
     name = ~number & ~opens & (last - head > 1) & ((_UPPER[first] & ~_UPPER[following]) | accented)
     out = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, hashes)))
-    return out, number | unit | name, head, last, np.searchsorted(head, offsets)
+    first_of = np.searchsorted(head, offsets)
+    joins = np.append(False, (number | name)[1:] & (out[1:] == out[:-1]) & (head[1:] == last[:-1] + 1))[: len(head)]
+    joins[first_of[:-1][first_of[:-1] < len(head)]] = False
+    at = np.flatnonzero(~joins)
+    merged = out[at], (number | unit | name)[at], head[at], last[np.append(at[1:], len(head)) - 1] if len(at) else last, np.searchsorted(head[at], offsets)
+    return (out, number | unit | name, head, last, first_of), merged, (hashes, np.zeros(len(head), bool), head, last, first_of)
 
 
 def windows(texts: DataFrame, key: str, widths: list[int], bitmap=None) -> DataFrame:
-    """(hash, key, pos, n, slots) of every window; with ``bitmap`` (a broadcast) only of those that it may contain.
+    """(hash, key, pos, n, slots, kind) of every window; with ``bitmap`` (a broadcast) only of those that it may contain.
 
     Without a bitmap each text gives windows of ``max(widths)`` tokens, or one of
     all its tokens if it has fewer. With it, each text gives windows of each of ``widths``.
@@ -94,34 +110,34 @@ def windows(texts: DataFrame, key: str, widths: list[int], bitmap=None) -> DataF
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, offsets = text_bytes(part.column(1))
-                tokens, slot, head, last, first = canonical(raw, offsets)
-                of = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 rows: list[tuple] = []
-                for width in range(1, largest + 1) if bitmap is None else widths:
-                    h = sequence_hashes(tokens, width)
-                    good = of[: len(h)] == of[width - 1 :] if len(h) else np.empty(0, bool)
-                    if bitmap is None and width < largest:
-                        good &= np.diff(first)[of[: len(h)]] == width
-                    if bitmap is not None:
-                        place = h >> np.uint64(64 - BITMAP_BITS)
-                        good &= bitmap.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
-                    for at in np.flatnonzero(good):
-                        values = [raw[head[t] : last[t]].tobytes().decode("utf-8", "replace").lower() for t in range(at, at + width) if slot[t]]
-                        text = int(of[at])
-                        rows.append((int(h[at].view(np.int64)), text, int(at - first[text]), int(first[text + 1] - first[text]), values))
+                for kind, (tokens, slot, head, last, first) in enumerate(canonical(raw, offsets)):
+                    of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                    for width in range(1, largest + 1) if bitmap is None else widths:
+                        h = sequence_hashes(tokens, width) ^ _KIND * np.uint64(kind)
+                        good = of[: len(h)] == of[width - 1 :] if len(h) else np.empty(0, bool)
+                        if bitmap is None and width < largest:
+                            good &= np.diff(first)[of[: len(h)]] == width
+                        if bitmap is not None:
+                            place = h >> np.uint64(64 - BITMAP_BITS)
+                            good &= bitmap.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
+                        for at in np.flatnonzero(good):
+                            values = [raw[head[t] : last[t]].tobytes().decode("utf-8", "replace").lower() for t in range(at, at + width) if slot[t]]
+                            text = int(of[at])
+                            rows.append((int(h[at].view(np.int64)), text, int(at - first[text]), int(first[text + 1] - first[text]), values, kind))
                 if rows:
-                    hashes, text, pos, n, slots = zip(*rows, strict=True)
-                    columns = pa.array(hashes, pa.int64()), part.column(0).take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(slots, pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays(list(columns), ["hash", key, "pos", "n", "slots"])
+                    hashes, text, pos, n, slots, kinds = zip(*rows, strict=True)
+                    columns = pa.array(hashes, pa.int64()), part.column(0).take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(kinds, pa.int32())
+                    yield pa.RecordBatch.from_arrays(list(columns), ["hash", key, "pos", "n", "slots", "kind"])
 
     rows = texts.select(F.col(key).cast("long"), "text").where(F.col(key).isNotNull())
-    return rows.mapInArrow(run, f"hash long, {key} long, pos int, n int, slots array<string>")
+    return rows.mapInArrow(run, f"hash long, {key} long, pos int, n int, slots array<string>, kind int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, long_match: int = LONG_MATCH) -> DataFrame:
     """Pairs (doc_id, item_id) of ``docs`` (doc_id, text) and ``benchmark`` (item_id, text), with what was matched."""
     spark = docs.sparkSession
-    items = windows(benchmark, "item_id", [window]).select(F.col("hash"), "item_id", F.col("pos").alias("item_pos"), F.col("n").alias("item_tokens"), F.col("slots").alias("item_slots"))
+    items = windows(benchmark, "item_id", [window]).select(F.col("hash"), "item_id", F.col("pos").alias("item_pos"), F.col("n").alias("item_tokens"), F.col("slots").alias("item_slots"), "kind")
     items = items.distinct().persist()
     try:
         places = items.select(F.shiftrightunsigned("hash", 64 - BITMAP_BITS).alias("p"), F.least(F.col("item_tokens"), F.lit(window)).alias("w"))
@@ -131,16 +147,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     finally:
         items.unpersist()
     bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    found = windows(docs, "doc_id", widths, bitmap).join(items, "hash").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    found = windows(docs, "doc_id", widths, bitmap).join(items, ["hash", "kind"]).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("item_pos", F.col("item_pos") + F.least("item_tokens", F.lit(window)) - 1))))
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))))
-    lines = found.groupBy("doc_id", "item_id", "item_tokens", "diagonal").agg(F.size(covered).alias("matched_tokens"), pairs.alias("pairs"))
+    lines = found.groupBy("doc_id", "item_id", "kind", "item_tokens", "diagonal").agg(F.size(covered).alias("matched_tokens"), pairs.alias("pairs"))
     side = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
     lines = lines.withColumn("n_slots", F.size("pairs")).withColumn("n_changed_slots", F.size(F.filter("pairs", lambda p: p["i"] != p["d"])))
     lines = lines.withColumn("consistent", (side("i") == F.col("n_slots")) & (side("d") == F.col("n_slots")))
     lines = lines.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens"))
     lines = lines.where(F.col("consistent") & ((F.col("coverage") >= min_coverage) | (F.col("matched_tokens") >= long_match)))
-    best = F.max_by(F.struct("matched_tokens", "item_tokens", "coverage", "n_slots", "n_changed_slots"), F.struct("matched_tokens", -F.col("n_changed_slots"), -F.col("diagonal")))
+    best = F.max_by(F.struct("matched_tokens", "item_tokens", "coverage", "n_slots", "n_changed_slots"), F.struct("coverage", -F.col("kind"), "matched_tokens", -F.col("n_changed_slots"), -F.col("diagonal")))
     return lines.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 

@@ -68,3 +68,12 @@ def test_exact_windows_equal_brute_force(spark):
             if any(len(c) / len(x) >= 0.5 or len(c) >= 30 for c in diagonals.values()):
                 want.add((d, i))
     assert set(pairs(spark, docs, bench)) == want
+
+
+def test_case_line_breaks_and_longer_names(spark):
+    item = "Anna met Berta near Calais while Dora saw Emil at Florence and then Greta left with Hugo for Izmir."
+    rows = [(1, item.upper()), (2, item.lower()), (3, "\n".join(item.split())), (4, ITEM.upper()), (9, "\n".join(ITEM.split()))]
+    rows += [(5, ITEM.replace("Boston", "New York").replace("120", "1 200").replace("Denver", "San Jose")), (6, "Nothing of this kind is said here at all, by anyone in any place.")]
+    got = pairs(spark, [(k, t, 0, 0, "") for k, t in rows], [(70, ITEM), (71, item)])
+    assert set(got) == {(1, 71), (2, 71), (3, 71), (4, 70), (9, 70), (5, 70)}
+    assert got[5, 70].coverage == 1 and got[5, 70].n_changed_slots == 3
