@@ -5,11 +5,15 @@ model does; of equal sums the one whose last piece starts earlier wins. A
 character without a piece costs ``UNKNOWN_PENALTY`` more than the worst piece
 and is written as byte pieces, so that every text can be decoded exactly.
 
-The search keeps scores for as many positions as the longest piece has
-characters. Back pointers are kept only from the last committed boundary on:
-whenever the paths to all open positions have gone through one boundary, the ids
-up to it are committed. Where no piece crosses a pair of characters the paths
-must converge, so texts are cut there and the cuts' ids are cached.
+The search goes through every text in one direction. Only as many places as the
+longest piece has characters are open at a time; back pointers are kept from the
+last committed boundary on, and whenever the paths to all open places have gone
+through one boundary, the ids up to it are committed. Where no piece has a blank
+after another character, the paths converge before each blank, so the ids of the
+stretches between blanks are cached.
+
+The vocabulary at ``MODEL`` was made for BPE merges, so its ids, though valid and
+decoded exactly, differ from those that the library's merges give.
 
 A null text has null ids; an empty one has none. Repeated rows give repeated
 results. A literal U+2581, which the model uses for a blank, is written as bytes.
@@ -30,7 +34,8 @@ from .common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, UNKNOWN_PENALTY = "▁", 10.0
-CACHE_ENTRIES = 200_000
+#: Stretches shorter than ``CACHED`` characters are kept, so many of them; longer ones are fed in parts.
+CACHE_ENTRIES, CACHED, FEED = 400_000, 64, 4096
 #: Blanks with what follows up to the next blank; valid if no piece has a blank after another character.
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
@@ -47,8 +52,6 @@ class Pieces:
     byte_ids: list[int]
     longest: int
     unknown: float
-    #: Pairs of neighbouring characters that some piece contains.
-    inner: frozenset[str]
     blanks_lead: bool
     cache: dict[str, bytes] = field(default_factory=dict)
 
@@ -83,36 +86,60 @@ def load_pieces(path: str = MODEL) -> Pieces:
     if min(byte_ids) < 0:
         raise ValueError("the model has no byte pieces, so not every text could be decoded")
     blanks_lead = not any(x[1] == BLANK != x[0] for x in inner)
-    return Pieces(search, build_trie(search), bytes_of, byte_ids, max(map(len, search)), worst - UNKNOWN_PENALTY, frozenset(inner), blanks_lead)
+    return Pieces(search, build_trie(search), bytes_of, byte_ids, max(map(len, search)), worst - UNKNOWN_PENALTY, blanks_lead)
 
 
 class StreamingViterbi:
-    """Takes characters piecemeal and gives ids as soon as no later character can change them."""
+    """Takes characters piecemeal and gives ids as soon as no later character can change them.
+
+    ``text`` and the lists begin at one place, ``base`` characters into what was
+    fed. Places before ``committed`` have given their ids; what was committed is
+    dropped in blocks of a few windows.
+    """
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-        self.text = ""  # from ``base`` on
-        self.base = self.done = 0  # place of text[0]; places below ``done`` have been searched from
-        self.scores = {0: 0.0}  # of open places only
-        self.back: dict[int, tuple[int, int]] = {}  # place -> (start, id); id -1: a character without piece
-        self.committed = self.checked = 0
+        self.pieces, self.window = pieces, 4 * pieces.longest
+        self._restart()
 
-    def feed(self, text: str) -> list[int]:
-        self.text += text
-        return self._search(len(self.text) - self.pieces.longest + 1)
+    def _restart(self) -> None:
+        self.text, self.base = "", 0
+        self.scores, self.sizes, self.ids = [0.0], [0], [-1]  # of the last piece on the best path to each place; id -1: a character without piece
+        self.done = self.far = self.committed = self.checked = 0  # searched from; furthest place reached; ids given; last looked for a shared boundary
 
-    def finish(self) -> list[int]:
-        out = self._search(len(self.text))
-        return out + self._commit(self.base + len(self.text))
+    def feed(self, text: str) -> list[int]:
+        self._extend(text)
+        out: list[int] = []
+        self._search(len(self.text) - self.pieces.longest + 1, out)
+        return out
 
-    def _search(self, until: int) -> list[int]:
-        """Search from all places before ``until`` (counted from base)."""
-        trie, longest, unknown, text, scores, back = self.pieces.trie, self.pieces.longest, self.pieces.unknown, self.text, self.scores, self.back
+    def finish(self, text: str = "") -> list[int]:
+        """The ids of what is left, and of ``text``; the search can then begin anew."""
+        if text:
+            self._extend(text)
         out: list[int] = []
-        for at in range(self.done - self.base, until):
-            place = at + self.base
-            score = scores.pop(place)
-            single, node, end = False, trie, place
+        self._search(len(self.text), out)
+        self._commit(len(self.text), out)
+        self._restart()
+        return out
+
+    def _extend(self, text: str) -> None:
+        n = len(text)
+        self.text += text
+        self.scores += [-1e300] * n
+        self.sizes += [0] * n
+        self.ids += [-1] * n
+
+    def _search(self, until: int, out: list[int]) -> None:
+        """Search from all places before ``until``, and commit what later characters cannot change."""
+        trie, longest, unknown, text, scores, sizes, ids = self.pieces.trie, self.pieces.longest, self.pieces.unknown, self.text, self.scores, self.sizes, self.ids
+        far = self.far
+        for at in range(self.done, until):
+            if far == at:  # the only open place: all paths have converged here
+                self._commit(at, out)
+            elif at - max(self.committed, self.checked) >= self.window:
+                self.checked = at
+                self._commit(self._shared(at, far), out)
+            score, single, node, end = scores[at], False, trie, at
             for c in text[at : at + longest]:
                 found = node.get(c)
                 if found is None:
@@ -120,45 +147,51 @@ class StreamingViterbi:
                 node, k, gain = found
                 end += 1
                 if k >= 0:
-                    single |= end == place + 1
-                    if end not in scores or score + gain > scores[end]:
-                        scores[end] = score + gain
-                        back[end] = (place, k)
-            if not single and (place + 1 not in scores or score + unknown > scores[place + 1]):
-                scores[place + 1] = score + unknown
-                back[place + 1] = (place, -1)
-            self.done = place + 1
-            if self.done - self.checked >= 4 * longest:
-                self.checked = self.done
-                out += self._commit(self._common())
-        drop = self.committed - self.base
-        self.text, self.base = self.text[drop:], self.committed
-        return out
-
-    def _common(self) -> int:
-        """The last boundary that the best paths to all open places share."""
-        open_places = set(self.scores)
-        while len(open_places) > 1:
-            last = max(open_places)
-            open_places.remove(last)
-            open_places.add(self.back[last][0])
-        return open_places.pop()
-
-    def _commit(self, boundary: int) -> list[int]:
-        parts: list[list[int]] = []
-        place = boundary
-        while place > self.committed:
-            start, k = self.back.pop(place)
+                    single |= end == at + 1
+                    gain += score
+                    if gain > scores[end]:
+                        scores[end], sizes[end], ids[end] = gain, end - at, k
+                        if end > far:
+                            far = end
+            if not single and score + unknown > scores[at + 1]:
+                scores[at + 1], sizes[at + 1], ids[at + 1] = score + unknown, 1, -1
+                if at >= far:
+                    far = at + 1
+        self.done, self.far = max(self.done, until), far
+        if self.committed >= self.window:
+            self._drop()
+
+    def _shared(self, at: int, far: int) -> int:
+        """The last boundary that the best paths to all open places (``at`` to ``far``) share."""
+        places = {p for p in range(at, far + 1) if self.scores[p] > -1e300}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.sizes[last])
+        return places.pop()
+
+    def _commit(self, boundary: int, out: list[int]) -> None:
+        """Give the ids from the last committed boundary to this one."""
+        place, stop = boundary, self.committed
+        if place <= stop:
+            return
+        found: list[int] = []
+        while place > stop:
+            at, k = place - self.sizes[place], self.ids[place]
             if k >= 0:
-                parts.append([k])
+                found.append(k)
             else:
-                parts.append([self.pieces.byte_ids[b] for b in self.text[start - self.base : place - self.base].encode("utf-8")])
-            place = start
-        if boundary > self.committed:
-            self.committed = boundary
-            for p in [p for p in self.back if p <= boundary]:
-                del self.back[p]
-        return [k for part in reversed(parts) for k in part]
+                found += [self.pieces.byte_ids[b] for b in reversed(self.text[at:place].encode("utf-8"))]
+            place = at
+        found.reverse()
+        out += found
+        self.committed = boundary
+
+    def _drop(self) -> None:
+        n = self.committed
+        self.text, self.base = self.text[n:], self.base + n
+        del self.scores[:n], self.sizes[:n], self.ids[:n]
+        self.done, self.far, self.checked, self.committed = self.done - n, self.far - n, max(0, self.checked - n), 0
 
 
 def encode_stream(parts: Iterable[str], pieces: Pieces) -> Iterator[int]:
@@ -169,68 +202,25 @@ def encode_stream(parts: Iterable[str], pieces: Pieces) -> Iterator[int]:
     yield from search.finish()
 
 
-def search_short(text: str, pieces: Pieces) -> list[int]:
-    """The same search over a text that fits the window, and is committed at its end."""
-    n = len(text)
-    scores, start, ids = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-    scores[0] = 0.0
-    trie, unknown = pieces.trie, pieces.unknown
-    for at in range(n):
-        score, node, end, single = scores[at], trie, at, False
-        for c in text[at:]:
-            found = node.get(c)
-            if found is None:
-                break
-            node, k, gain = found
-            end += 1
-            if k >= 0:
-                single |= end == at + 1
-                gain += score
-                if gain > scores[end]:
-                    scores[end], start[end], ids[end] = gain, at, k
-        if not single and score + unknown > scores[at + 1]:
-            scores[at + 1], start[at + 1], ids[at + 1] = score + unknown, at, -1
-    out: list[int] = []
-    while n:
-        at = start[n]
-        if ids[n] >= 0:
-            out.append(ids[n])
-        else:
-            out += [pieces.byte_ids[b] for b in reversed(text[at:n].encode("utf-8"))]
-        n = at
-    out.reverse()
-    return out
-
-
-def _cuts(chunk: str, inner: frozenset[str]) -> Iterator[str]:
-    start = 0
-    for k in range(1, len(chunk)):
-        if chunk[k - 1 : k + 1] not in inner:
-            yield chunk[start:k]
-            start = k
-    yield chunk[start:]
-
-
-def _ids(chunk: str, pieces: Pieces) -> bytes:
-    cache, out = pieces.cache, b""
-    for cut in _cuts(chunk, pieces.inner):
-        ids = cache.get(cut)
-        if ids is None:
-            if len(cut) < 64:
-                ids = cache[cut] = array("i", search_short(cut, pieces)).tobytes()
-            else:
-                ids = array("i", encode_stream([cut], pieces)).tobytes()
-        out += ids
-    if len(chunk) < 64:
-        cache[chunk] = out
-    return out
+def _ids(chunk: str, pieces: Pieces, search: StreamingViterbi) -> bytes:
+    """Ids of a stretch of text that no piece crosses at its ends, so that the search has converged there."""
+    ids = array("i", search.finish(chunk)).tobytes() if len(chunk) <= FEED else b"".join(_parts(chunk, search))
+    if len(chunk) < CACHED:
+        pieces.cache[chunk] = ids
+    return ids
+
+
+def _parts(chunk: str, search: StreamingViterbi) -> Iterator[bytes]:
+    for at in range(0, len(chunk), FEED):
+        yield array("i", search.feed(chunk[at : at + FEED])).tobytes()
+    yield array("i", search.finish()).tobytes()
 
 
 def encode(text: str, pieces: Pieces) -> np.ndarray:
     """Ids of a text, with the blank that the model puts in front of one."""
     if not text:
         return np.empty(0, np.int32)
-    cache, found = pieces.cache, []
+    cache, found, search = pieces.cache, [], StreamingViterbi(pieces)
     if len(cache) > CACHE_ENTRIES:
         cache.clear()
     for k, part in enumerate(text.split(BLANK)):
@@ -239,7 +229,7 @@ def encode(text: str, pieces: Pieces) -> np.ndarray:
         part = (BLANK if not k else "") + part.replace(" ", BLANK)
         for chunk in CHUNK.findall(part) if pieces.blanks_lead else [part]:
             ids = cache.get(chunk)
-            found.append(_ids(chunk, pieces) if ids is None else ids)
+            found.append(_ids(chunk, pieces, search) if ids is None else ids)
     return np.frombuffer(b"".join(found), np.int32)
 
 

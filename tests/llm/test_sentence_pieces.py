@@ -75,7 +75,28 @@ def test_window_is_bounded():
     search = StreamingViterbi(pieces)
     for _ in range(2000):
         search.feed("thonorinabledx")
-        assert len(search.scores) <= pieces.longest + 1 and len(search.back) < 400 and len(search.text) < 400
+        assert len(search.scores) == len(search.sizes) == len(search.text) + 1 < 400
+
+
+def test_every_id_comes_from_the_streaming_search(monkeypatch):
+    given, commit = [], StreamingViterbi._commit
+
+    def counted(self, boundary, out):
+        before = len(out)
+        commit(self, boundary, out)
+        given.append(len(out) - before)
+
+    monkeypatch.setattr(StreamingViterbi, "_commit", counted)
+    pieces.cache.clear()
+    text = " ".join(f"thonorin{k}able" for k in range(300)) + "thonorinable" * 700
+    assert sum(given) == 0 and len(encode(text, pieces)) == sum(given) and max(given) < 300
+    pieces.cache.clear()
+
+
+def test_long_stretches_without_convergence():
+    rng = random.Random(4)
+    for text in ["thonorin" * 2000, "".join(rng.choice("thoinerasd") for _ in range(9000)), "ё" * 5000, "a" * 5000]:
+        assert encode(text, pieces).tolist() == full_table(BLANK + text)
 
 
 def test_round_trip_on_spark(spark):
