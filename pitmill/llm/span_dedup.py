@@ -4,9 +4,10 @@ A sentence ends at a word that ends in ``.``, ``!`` or ``?`` (a closing quote or
 bracket may follow) or at a line break. One of more than ``MAX_WORDS`` words is cut
 into pieces after words that their hash chooses, so that an insertion moves no
 later cut; a piece has at most twice as many words. Each reaches to the next one's first word, so that the sentences of a
-text, joined, give the text. Every run of ``RUN`` consecutive sentences, or of as many more as
-``MIN_WORDS`` words take, is hashed over its lower-cased words and joined
-globally. The first place
+text, joined, give the text. Every run of ``RUN`` consecutive sentences is hashed
+over its lower-cased words and joined globally, however short they are; a run
+that begins with pieces, which are no sentences, has as many more as
+``MIN_WORDS`` words take. The first place
 of a run is in the document with the smallest id, and there the earliest; the
 sentences that any other place covers are removed.
 
@@ -41,12 +42,12 @@ _CLOSE = np.isin(np.arange(256), [ord(c) for c in "\"')]"])
 _BREAK = np.isin(np.arange(256), [10, 11, 12, 13])
 
 
-def sentences(raw: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all sentences of a slice: byte start, hash, number of words; and for each text the index of its first sentence (n + 1)."""
+def sentences(raw: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all sentences of a slice: byte start, hash, number of words, whether it is a piece; and for each text the index of its first sentence (n + 1)."""
     starts, ends, first = word_spans(raw, offsets)
     n = len(starts)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool), np.zeros(len(offsets), np.int64)
     words = span_hashes(lower_ascii(raw), starts, ends)
     last, before = raw[ends - 1], raw[np.maximum(ends - 2, starts)]
     breaks = np.zeros(len(raw) + 1, np.int64)
@@ -59,25 +60,28 @@ def sentences(raw: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS)
     size = np.diff(np.append(at, n))
     chosen = np.append(False, words[:-1] % np.uint64(CUT) == 0)
     opens[at] = True
-    at = np.flatnonzero(opens | chosen & np.repeat(size > max_words, size))
+    long = np.repeat(size > max_words, size)
+    at = np.flatnonzero(opens | chosen & long)
     place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
     at = np.flatnonzero(place % (2 * max_words) == 0)
     stop = np.append(at[1:], n)
     power, inverse = _powers(max(n, 1 << 20) + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words * power[:n], out=sums[1:])
-    return starts[at], mix((sums[stop] - sums[at]) * inverse[at] + (stop - at).astype(np.uint64)), stop - at, np.searchsorted(at, first)
+    return starts[at], mix((sums[stop] - sums[at]) * inverse[at] + (stop - at).astype(np.uint64)), stop - at, long[at], np.searchsorted(at, first)
 
 
-def runs(hashes: np.ndarray, words: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def runs(hashes: np.ndarray, words: np.ndarray, piece: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """For each sentence of a slice the hash of the run that begins there, and the index after its last sentence.
 
-    A run has ``run`` sentences, or as many more as ``min_words`` words take. Runs
-    beyond the slice have an end of n + 1.
+    A run has ``run`` sentences, or as many more as ``min_words`` words take if there
+    are pieces among these. Runs beyond the slice have an end of n + 1 or more.
     """
     n = len(hashes)
-    total = np.append(0, np.cumsum(words))
-    end = np.maximum(np.arange(n) + run, np.searchsorted(total, total[:-1] + min_words))
+    total, pieces = np.append(0, np.cumsum(words)), np.append(0, np.cumsum(piece))
+    end = np.arange(n) + run
+    longer = pieces[np.minimum(end, n)] > pieces[:-1]
+    end = np.where(longer, np.maximum(end, np.searchsorted(total, total[:-1] + min_words)), end)
     inside = np.minimum(end, n)
     power, inverse = _powers(max(n, 1 << 20) + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -86,9 +90,9 @@ def runs(hashes: np.ndarray, words: np.ndarray, run: int, min_words: int) -> tup
     return value, end
 
 
-def own_runs(h: np.ndarray, end: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Hashes of the runs within one text; ends never decrease, so these are the first ones."""
-    return h[a : a + int(np.searchsorted(end[a:b], b, side="right"))]
+def own_runs(end: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The sentences at which the runs within one text begin."""
+    return a + np.flatnonzero(end[a:b] <= b)
 
 
 def run_table(docs: DataFrame, run: int, min_words: int, max_words: int) -> DataFrame:
@@ -97,9 +101,9 @@ def run_table(docs: DataFrame, run: int, min_words: int, max_words: int) -> Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                _, hashes, words, first = sentences(*text_bytes(part.column(1)), max_words)
-                h, end = runs(hashes, words, run, min_words)
-                found = [np.unique(own_runs(h, end, a, b)) for a, b in zip(first[:-1], first[1:], strict=True)]
+                _, hashes, words, piece, first = sentences(*text_bytes(part.column(1)), max_words)
+                h, end = runs(hashes, words, piece, run, min_words)
+                found = [np.unique(h[own_runs(end, a, b)]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
                 yield pa.RecordBatch.from_arrays([ints(np.concatenate(found), pa.int64()), part.column(0).take(at), part.column(2).take(at)], ["run", "id", "no_id"])
 
@@ -133,12 +137,13 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, offsets = text_bytes(part.column(at))
-                starts, hashes, words, first = sentences(raw, offsets, max_words)
-                h, end = runs(hashes, words, run, min_words)
+                starts, hashes, words, piece, first = sentences(raw, offsets, max_words)
+                h, end = runs(hashes, words, piece, run, min_words)
                 texts, cuts = part.column(at).to_pylist(), part.column(len(names))
                 removed = np.zeros(len(texts), np.int32)
                 for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    own = own_runs(h, end, a, b)
+                    begins = own_runs(end, a, b)
+                    own = h[begins]
                     _, pos, which = np.unique(own, return_index=True, return_inverse=True)
                     again = pos[which] != np.arange(len(own))
                     if cuts[k].is_valid:
@@ -146,8 +151,8 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max
                     if not again.any():
                         continue
                     change = np.zeros(b - a + 1, np.int64)
-                    np.add.at(change, np.flatnonzero(again), 1)
-                    np.add.at(change, end[a : a + len(own)][again] - a, -1)
+                    np.add.at(change, begins[again] - a, 1)
+                    np.add.at(change, end[begins[again]] - a, -1)
                     gone = np.cumsum(change[:-1]) > 0
                     edges = np.append(starts[a:b], offsets[k + 1])
                     edges[0] = offsets[k]

@@ -30,7 +30,8 @@ def split(text):
     starts = [k for a, b in zip(starts, [*starts[1:], len(words)]) for k in range(a, b, 2 * MAX_WORDS)]
     bounds = [0, *(words[k].start() for k in starts[1:]), len(text)]
     groups = [[w.group() for w in words[a:b]] for a, b in zip(starts, [*starts[1:], len(words)])]
-    return [(text[a:b], [lower(w) for w in g]) for a, b, g in zip(bounds, bounds[1:], groups)] if words else []
+    long = {k for a, b in zip(first, first[1:]) for k in range(a, b) if b - a > MAX_WORDS}
+    return [(text[a:b], [lower(w) for w in g], k in long) for a, b, g, k in zip(bounds, bounds[1:], groups, starts)] if words else []
 
 
 def brute_force(rows):
@@ -40,12 +41,13 @@ def brute_force(rows):
         gone = set()
         for k in range(len(parts)):
             end = k + RUN
-            while end < len(parts) and sum(len(w) for _, w in parts[k:end]) < MIN_WORDS:
+            pieces = any(p for _, _, p in parts[k:end])
+            while pieces and end < len(parts) and sum(len(w) for _, w, _ in parts[k:end]) < MIN_WORDS:
                 end += 1
-            words = [tuple(w) for _, w in parts[k:end]]
-            if end <= len(parts) and sum(map(len, words)) >= MIN_WORDS and seen.setdefault(tuple(words), (key, k)) != (key, k):
+            words = [tuple(w) for _, w, _ in parts[k:end]]
+            if end <= len(parts) and (not pieces or sum(map(len, words)) >= MIN_WORDS) and seen.setdefault(tuple(words), (key, k)) != (key, k):
                 gone |= set(range(k, end))
-        out[key] = text if not gone else "".join(t for k, (t, _) in enumerate(parts) if k not in gone)
+        out[key] = text if not gone else "".join(t for k, (t, _, _) in enumerate(parts) if k not in gone)
     return out
 
 
@@ -67,6 +69,14 @@ def test_empty_nulls_and_repeated_rows(spark):
     assert got == [(0, "", 4), (1, text, 0), (1, text, 0), (2, "", 0)]
 
 
+def test_runs_of_short_sentences(spark):
+    text = "Yes. No. Ok. Fine."
+    rows = [(1, f"{text} Something else here. {text}"), (2, f"Before it. {text} After it."), (3, "Yes. No."), (4, "Ok. Fine. Yes. No. Sure.")]
+    got = {r.doc_id: r.text for r in dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows)
+    assert (got[1], got[2], got[3]) == (f"{text} Something else here. ", "Before it. After it.", "Yes. No.")
+
+
 def test_passage_of_51_words_in_text_without_punctuation(spark):
     rng = random.Random(11)
     words = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
