@@ -2,10 +2,12 @@
 
 A token is the 64-bit hash of a shingle of lower-cased words. Two sets whose
 Jaccard similarity reaches the threshold share a token in their prefixes under
-*every* global order of the tokens. Three orders are used: rare tokens first,
-and the same within either half of the tokens first. The first order gives
-candidates by a join on prefix tokens; a candidate must share as many of them as
-its sizes ask for, then pass the other two before its sets are intersected.
+*every* global order of the tokens, and as many as their sizes ask for. Three
+orders are used: rare tokens first, and the same within either half of the
+tokens first, so that the last two test different tokens. One pass over the
+texts gives the prefixes under all of them. A join on prefix tokens of the first
+order gives candidates; of these only pairs that share enough prefix tokens under
+each of the three orders have their texts fetched and their sets intersected.
 
 Groups of copies are kept from growing quadratically. Documents with equal sets
 are one class from the start. Within a prefix token's group every member is
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import ints, lower_ascii, mix, sequence_hashes, slices, span_hashes, staged, table, text_bytes, word_spans
 from .components import components
 
-SKETCH_BITS = 20
+SKETCH_BITS, ORDERS = 20, 3
 BLOCK_TOKENS = 1_000_000
 #: So many ids at most are broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
@@ -123,19 +125,37 @@ def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> n
 
 
 def postings(docs: DataFrame, width: int, percent: int, level) -> DataFrame:
-    """(token, doc_id, pos, n): each document's prefix under the first order. ``level``: a broadcast of ``rarity``."""
+    """(token, doc_id, pos, n): each document's prefix under the first order; the row at place 0 also has all its prefixes. ``level``: a broadcast of ``rarity``.
+
+    ``prefixes`` has the lowest 32 bits of the keys under each order, and ``lost`` how
+    many keys of a prefix at most are no longer told apart by these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [(i, len(s), prefix(s, level.value, 0, percent)) for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True) if len(s)]
-                if found:
-                    ids, sizes, keys = zip(*found, strict=True)
-                    each = [len(k) for k in keys]
-                    columns = np.concatenate(keys), np.repeat(np.array(ids, np.int64), each), np.concatenate([np.arange(k, dtype=np.int32) for k in each]), np.repeat(np.array(sizes, np.int32), each)
-                    yield pa.RecordBatch.from_arrays([ints(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["token", "doc_id", "pos", "n"])
-
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "token long, doc_id long, pos int, n int")
+                found = [(i, len(s), [prefix(s, level.value, o, percent) for o in range(ORDERS)]) for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True) if len(s)]
+                if not found:
+                    continue
+                ids, sizes, keys = zip(*found, strict=True)
+                each = np.array([len(k[0]) for k in keys])
+                first = np.cumsum(each) - each
+                columns = np.concatenate([k[0] for k in keys]), np.repeat(np.array(ids, np.int64), each), np.arange(each.sum()) - np.repeat(first, each), np.repeat(np.array(sizes), each)
+                none = np.ones(int(each.sum()), bool)
+                none[first] = False
+                short = [[np.unique(x.astype(np.uint32)) for x in k] for k in keys]
+                lost = np.zeros(len(none), np.int32)
+                lost[first] = [n - min(len(x) for x in k) for n, k in zip(each, short, strict=True)]
+                rows = [ints(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                for o in range(ORDERS):
+                    size = np.zeros(len(none), np.int32)
+                    size[first] = [len(k[o]) for k in short]
+                    offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32), mask=np.append(none, False))
+                    rows.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([k[o] for k in short]).view(np.int32))))
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(lost)], names)
+
+    names = ["token", "doc_id", "pos", "n", *(f"prefix{o}" for o in range(ORDERS)), "lost"]
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "token long, doc_id long, pos int, n int, " + "".join(f"prefix{o} array<int>, " for o in range(ORDERS)) + "lost int")
 
 
 def may_link(i: Column, n: Column, j: Column, m: Column, percent: int) -> Column:
@@ -147,27 +167,33 @@ def may_link(i: Column, n: Column, j: Column, m: Column, percent: int) -> Column
     return apart * (100 + percent) <= (n + m) * (100 - percent)
 
 
-def enough_shared(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share as many prefix tokens as a link needs.
+def of_wanted(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ``pairs``: by a broadcast of the wanted ids where their number allows it, else by a shuffled semi-join."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, "doc_id", "left_semi")
+
 
-    A link has a certain number of common tokens. Of these, only as many as the
-    longer rest of the two sets, beyond its prefix, can be missing from the prefixes.
+def enough_shared(pairs: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share as many prefix tokens under every order as a link needs.
+
+    A link has a certain number of common tokens. Of these, under any order, only as
+    many as the longer rest of the two sets, beyond its prefix, can be missing from
+    the prefixes.
     """
-    a = live.select(F.col("doc_id").alias("a"), "token", F.col("n").alias("a_n"))
-    b = live.select(F.col("doc_id").alias("b"), "token", F.col("n").alias("b_n"))
-    shared = pairs.join(a, "a").join(b, ["b", "token"]).groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared"))
+    signs = of_wanted(listed.where("pos = 0").select("doc_id", "n", *(f"prefix{o}" for o in range(ORDERS)), "lost"), pairs)
+    a, b = (signs.select(*(F.col(c).alias(k if c == "doc_id" else f"{k}_{c}") for c in signs.columns)) for k in "ab")
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    needed = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent)) - F.greatest(rest("a_n"), rest("b_n"))
-    return shared.where(F.col("shared") >= needed).select("a", "b")
-
+    needed = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent)) - F.greatest(rest("a_n"), rest("b_n")) - F.least("a_lost", "b_lost")
+    both = pairs.join(a, "a").join(b, "b")
+    for o in range(ORDERS):
+        both = both.where(F.size(F.array_intersect(f"a_prefix{o}", f"b_prefix{o}")) >= needed)
+    return both.select("a", "b")
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, level) -> DataFrame:
-    """The pairs (a, b) that link: those that pass the other orders' prefix filters and then the exact test.
 
-    Texts travel instead of token sets, since they compress and hashes do not.
-    The scan of all texts is filtered by a broadcast of the wanted ids where
-    their number allows it, and by a shuffled semi-join otherwise.
-    """
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the exact test. Texts travel instead of token sets, since they compress and hashes do not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,16 +202,12 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, level)
                 x, y = (list(shingle_sets(part.column(c), width)) for c in (2, 3))
                 good = np.zeros(part.num_rows, bool)
                 for k, (s, t) in enumerate(zip(x, y, strict=True)):
-                    if len(s) and len(t) and all(len(np.intersect1d(prefix(s, level.value, o, percent), prefix(t, level.value, o, percent))) for o in (1, 2)):
-                        common = len(np.intersect1d(s, t, assume_unique=True))
-                        good[k] = 100 * common >= percent * (len(s) + len(t) - common)
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    good[k] = len(s) > 0 and 100 * common >= percent * (len(s) + len(t) - common)
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(good)) for c in (0, 1)], ["a", "b"])
 
     pairs = staged(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = staged(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), "texts")
+    texts = staged(of_wanted(docs.select("doc_id", "text"), pairs), "texts")
     both = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
 
@@ -258,15 +280,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = staged(rows.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     listed = staged(postings(docs, width, percent, level), "postings")
-    shared = listed.groupBy("token").agg(F.count("*").alias("_k")).where("_k > 1").select("token")
-    live = listed.join(shared, "token").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    places = listed.select("token", "doc_id", "pos", "n")
+    shared = places.groupBy("token").agg(F.count("*").alias("_k")).where("_k > 1").select("token")
+    live = places.join(shared, "token").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     live = staged(live.select("token", "doc_id", "pos", "n"), "live")
 
     pivot = live.groupBy("token").agg(F.min(F.struct("pos", "n", "doc_id")).alias("p"), F.count("*").alias("_k")).where("_k > 1")
     star = live.join(pivot.select("token", "p"), "token").where(F.col("doc_id") != F.col("p.doc_id"))
     star = star.where(may_link(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n"), percent))
     star = staged(star.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct(), "stars")
-    links = staged(verified(enough_shared(star, live, percent), docs, width, percent, level), "links")
+    links = staged(verified(enough_shared(star, listed, percent), docs, width, percent), "links")
 
     near = components(links)
     named = live.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -275,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     x, y = (named.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("doc_id", "pos", "n", "component"))) for k in "xy")
     cross = x.join(y, (x["token"] == y["token"]) & (x["x_doc_id"] < y["y_doc_id"]) & (x["x_component"] != y["y_component"]) & may_link(x["x_pos"], x["x_n"], y["y_pos"], y["y_n"], percent))
     cross = cross.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = staged(verified(enough_shared(cross, live, percent), docs, width, percent, level), "links")
+    more = staged(verified(enough_shared(staged(cross, "cross"), listed, percent), docs, width, percent), "links")
 
     found = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if not more.isEmpty() else near
     degree = link_counts(found, docs, width, percent)
