@@ -1,7 +1,8 @@
 import math
 
-from pitmill.llm.url_filter import LABELLED_URLS, RULES, judge, train
+from pitmill.llm.url_filter import RULES, judge, labelled_urls, train
 
+LABELLED_URLS = labelled_urls()
 URLS = [
     (1, "http://a.example.org/es/1?x#y", "a.example.org", "/es/1", "example.org/es/", "block"),
     (2, "https://Example.ORG/en/19.html", "example.org", "/en/19.html", "example.org/en/1", "block"),
@@ -37,7 +38,7 @@ def test_training_separates_and_equals_plain_descent(spark):
     got = {r.url: r.block_score for r in judge(rows, model, []).collect()}
     assert sum((got[u] >= 0.5) == bool(y) for u, y in LABELLED_URLS) >= 0.95 * len(LABELLED_URLS)
     few = LABELLED_URLS[:2] + LABELLED_URLS[-2:]
-    weights, bias = train(spark.createDataFrame(few, "url string, label int"), rounds=20, decay=0.0)
+    weights, bias = train(spark.createDataFrame(few, "url string, label int"), rounds=20, rate=2.0, decay=0.0, momentum=0.0)
     # the same by descent on the weights themselves
     from pitmill.llm.url_filter import ngram_buckets, url_host, url_path
     from pyspark.sql import functions as F
@@ -58,3 +59,24 @@ def test_training_separates_and_equals_plain_descent(spark):
 
 def test_no_labels(spark):
     assert train(spark.createDataFrame([], "url string, label int"))[1] == 0.0
+
+
+def test_held_out_recall(spark):
+    rows = lambda part: spark.createDataFrame(part, "url string, label int")
+    model = train(rows([x for k, x in enumerate(LABELLED_URLS) if k % 5]))
+    got = judge(rows([x for k, x in enumerate(LABELLED_URLS) if not k % 5]), model, []).collect()
+    assert sum(r.verdict == "block" for r in got if r.label) >= 0.9 * sum(r.label for r in got)
+    assert sum(r.verdict == "block" for r in got if not r.label) <= 0.05 * len(got)
+
+
+def test_many_rules_are_joined_with_the_same_result(spark):
+    rules = [*RULES, ("", "/", "block"), ("x.com", "", "block")] + [(f"h{k}.example.net", f"/{k % 7}", "allow" if k % 2 else "block") for k in range(400)]
+    urls = [(k, u) for k, u, *_ in URLS] + [(100 + k, f"http://{'www.' * (k % 3)}h{k}.example.net/{k % (7 + k % 2)}/x") for k in range(60)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    model = [0.0] * 8, -1.0
+    few = {}
+    for r in [r for at in range(0, len(rules), 150) for r in judge(df, model, rules[at : at + 150]).where("rule IS NOT NULL").collect()]:
+        few[r.page_id, r.url] = max(few.get((r.page_id, r.url), ("", "")), (r.rule, r.verdict), key=lambda x: len(x[0]))
+    got = {(r.page_id, r.url): (r.rule, r.verdict) for r in judge(df, model, rules).where("rule IS NOT NULL").collect()}
+    assert got == few and len(got) > 30 and judge(df, model, rules).count() == len(urls)
+    assert judge(df.limit(0), model, rules).collect() == []
