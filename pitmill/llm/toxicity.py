@@ -8,19 +8,21 @@ errors spent on each, and states are made deterministic as words ask for them,
 so that a word costs one table lookup a character. Terms of 5 letters allow one
 error, of 9 two; a beginning allows one from 6 letters on.
 
-Each match is weighted by its window: inside quotation marks or next to words
-of reporting it counts as quoted, next to words of address as aimed at someone.
+Each match is weighted by its window: inside quotation marks, which one pass over
+the whole text pairs line by line, or next to words of reporting it counts as
+quoted, next to words of address as aimed at someone.
 A logistic model over the sums of both kinds, fitted on at most ``TRAIN_ROWS``
 labelled rows, gives the score; every document is scored on its whole text.
 
 A null or empty text has no match. Without labels of both kinds every score is
-the share of toxic labels, or 0.5. Repeated rows give repeated results. Other
+the share of toxic labels, or 0.5. A score equal to the threshold is toxic. Repeated rows give repeated results. Other
 columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,19 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 from .labelled import held_out, training_rows
 
-TRAIN_ROWS, MAX_CANDIDATES, MAX_TERMS = 20_000, 50_000, 500
+#: So many labelled rows at most are learned from, which bounds the lexicon: each of its terms is in ``MIN_DOCS`` of them.
+TRAIN_ROWS = 20_000
 MIN_EVIDENCE, MIN_ODDS, MIN_DOCS, MAX_NEAR = 18.0, 20.0, 6, 0.0005
 STEMS = range(4, 9)
 WINDOW = 6
 THRESHOLD = 0.5
 WORD = re.compile(r"\w+")
-#: Words of reporting and of address around a match. Fixed values.
-REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word words term termed insult slur alleged reported".split())
-ADDRESS = frozenset("you your yours yourself u ur he she they him her them are is".split())
-QUOTES = "\"“”„«»"
+#: Words of reporting and of address around a match, in English, German, French and Spanish. Fixed values.
+REPORTING = frozenset("""said says say wrote writes called calls quote quoted quotes word words term termed insult slur alleged reported
+sagte sagt schrieb schreibt nannte nennt zitat zitiert wort beleidigung angeblich berichtet
+dit disait écrit écrivait appelle appelait citation cite mot terme insulte injure rapporté
+dijo dice escribió escribe llamó llama cita citó palabra término insulto presuntamente""".split())
+ADDRESS = frozenset("""you your yours yourself u ur he she they him her them are is
+du dich dir dein deine ihr euch euer sie bist seid er ihn
+tu toi ton vous votre il elle êtes es
+tú usted ustedes eres ti él ella""".split())
+#: What closes an opening mark of quotation. Fixed values.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "”": "”", "«": "»", "»": "«", "‘": "’"}
+MARK = re.compile("[\"“”„«»‘’\n]")
 
 
 @dataclass
@@ -166,6 +177,25 @@ def errors_allowed(term: str, whole: bool) -> int:
 FEATURES = 7
 
 
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Places of a text from which on it is in so many open quotations; a line break ends all of them.
+
+    An apostrophe closes a quotation that its counterpart has opened and nothing else.
+    """
+    places, depths, stack = [-1], [0], []
+    for m in MARK.finditer(text):
+        c = m.group()
+        if c == "\n":
+            stack.clear()
+        elif stack and c in CLOSING[stack[-1]]:
+            stack.pop()
+        elif c in CLOSING:
+            stack.append(c)
+        places.append(m.start())
+        depths.append(len(stack))
+    return places, depths
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Sums over the matches of a text: exact ones that are plain, aimed or quoted, misspelled ones that are plain or quoted, the number of terms, and their share of the words."""
     if not text:
@@ -177,11 +207,10 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         return [0.0] * FEATURES
     wanted = {k for k, _ in hits}
     places = {k: m.start() for k, m in enumerate(WORD.finditer(low)) if k in wanted}
+    marks, depths = quotations(low)
     out = [0.0] * FEATURES
     for k, (_, errors) in hits:
-        at = places[k]
-        line = max(low.rfind("\n", 0, at), at - 400) + 1
-        inside = sum(low.count(q, line, at) for q in QUOTES) % 2 == 1
+        inside = depths[bisect_right(marks, places[k]) - 1] > 0
         around = words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]
         quoted = inside or any(w in REPORTING for w in around)
         if errors:
@@ -201,30 +230,35 @@ def candidates(text: str | None) -> set[str]:
 
 
 def learn_lexicon(rows: DataFrame, min_evidence: float = MIN_EVIDENCE, min_odds: float = MIN_ODDS) -> Lexicon:
-    """From (doc_id, text, label): the candidates of toxic documents are counted, the frequent ones of them in the others too."""
+    """From (doc_id, text, label): candidates are counted by label, and those with enough evidence go to the driver."""
 
-    def count(wanted) -> object:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
                 seen: Counter[str] = Counter()
-                for text in batch.column(0):
-                    own = candidates(text.as_py())
-                    seen.update(own if wanted is None else own & wanted.value)
+                for text in part.column(0):
+                    seen.update(candidates(text.as_py()))
                 if seen:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-        return run
-
-    def counts(label: int, wanted=None) -> DataFrame:
-        return rows.where(F.col("label") == label).select("text").mapInArrow(count(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    def counts(label: int) -> DataFrame:
+        return rows.where(F.col("label") == label).select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Lexicon({})
-    found = {r.term: r.n for r in counts(1).where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-    others = {r.term: r.n for r in counts(0, rows.sparkSession.sparkContext.broadcast(frozenset(found))).collect()}
-    terms = choose(found, others, toxic, clean, min_evidence, min_odds)
+    found = staged(counts(1).where(F.col("n") >= MIN_DOCS), "candidates")
+    # of a beginning's documents, how many the most frequent word with it explains
+    explained = found.where("endswith(term, '$')").select(F.explode(F.array(*(F.when(F.length("term") > k, F.substring("term", 1, k)) for k in STEMS))).alias("term"), "n").groupBy("term").agg(F.max("n").alias("explained"))
+    n, m, share = F.col("n"), F.col("m"), toxic / (toxic + clean)
+    odds = (n + 0.5) / (toxic + 1) / ((m + 0.5) / (clean + 1))
+    p = n / (n + m)
+    evidence = n * F.log(p / share) + F.when(m > 0, m * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    both = found.join(counts(0).withColumnRenamed("n", "m"), "term", "left").withColumn("m", F.coalesce("m", F.lit(0))).withColumn("evidence", evidence)
+    kept = both.where((F.col("evidence") >= min_evidence) & (odds >= min_odds)).join(explained, "term", "left")
+    terms = choose([(r.term, r.n, r.m, r.evidence, r.explained or 0) for r in kept.collect()])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(terms)
@@ -239,32 +273,24 @@ def learn_lexicon(rows: DataFrame, min_evidence: float = MIN_EVIDENCE, min_odds:
     return Lexicon(terms, frozenset(r.term for r in common if r.n > max(1, MAX_NEAR * clean)))
 
 
-def choose(found: dict[str, int], others: dict[str, int], toxic: int, clean: int, min_evidence: float, min_odds: float) -> dict[str, bool]:
-    """Terms by log-likelihood ratio; a beginning replaces the words that it covers, unless one word explains most of it."""
-    scored: list[tuple[float, int, str]] = []
-    share = toxic / (toxic + clean)
-    for term, n in found.items():
-        m = others.get(term, 0)
-        odds = (n + 0.5) / (toxic + 1) / ((m + 0.5) / (clean + 1))
-        p = n / (n + m)
-        evidence = n * np.log(p / share) + (m * np.log((1 - p) / (1 - share)) if m else 0.0)
-        if evidence >= min_evidence and odds >= min_odds:
-            scored.append((m, -evidence, term))
-    # of a beginning's documents, how many the most frequent word with it explains
-    explained: Counter[str] = Counter()
-    for term, n in found.items():
-        for k in STEMS if term.endswith("$") else ():
-            explained[term[:k]] = max(explained[term[:k]], n)
+def choose(scored: list[tuple[str, int, int, float, int]]) -> dict[str, bool]:
+    """Terms from (term, toxic documents, others, evidence, documents that one word explains).
+
+    A beginning replaces the words that it covers, unless one word explains most of it.
+    """
+    found = {term: n for term, n, *_ in scored}
     kept: list[str] = []
-    for _, _, term in sorted(scored, key=lambda x: (x[0] > 0, x[1], -len(x[2]), x[2])):
-        whole, bare = term.endswith("$"), term.rstrip("$")
-        stems = [k for k in kept if not k.endswith("$")]
-        if len(kept) == MAX_TERMS or any(bare.startswith(k) for k in stems):
+    stems: set[str] = set()
+    for term, n, _, _, explained in sorted(scored, key=lambda x: (x[2] > 0, -x[3], -len(x[0]), x[0])):
+        bare = term.rstrip("$")
+        if any(bare[:k] in stems for k in STEMS):
             continue
-        if whole or explained[term] < 0.6 * found[term] and not any(k.startswith(term) and found[k] >= 0.9 * found[term] for k in stems):
+        if term.endswith("$"):
+            kept.append(term)
+        elif explained < 0.6 * n and not any(k.startswith(term) and found[k] >= 0.9 * n for k in stems):
             kept.append(term)
-    kept = [t for t in kept if not any(t != k and not k.endswith("$") and t.rstrip("$").startswith(k) for k in kept)]
-    return {t.rstrip("$"): t.endswith("$") for t in kept}
+            stems.add(term)
+    return {t.rstrip("$"): t.endswith("$") for t in kept if not any(t.rstrip("$")[:k] in stems and t != t.rstrip("$")[:k] for k in STEMS)}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.1, rounds: int = 60) -> np.ndarray:

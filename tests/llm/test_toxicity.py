@@ -38,6 +38,13 @@ def test_quotation_is_told_from_abuse():
     lexicon = Lexicon({"idiot": True})
     aimed, quoted = features("You are an idiot today", lexicon), features('He wrote "what an idiot" there', lexicon)
     assert aimed[0] > 0 == aimed[3] and quoted[3] > 0 == quoted[0]
+    long = "x" * 9 + " and so on" * 60
+    for text in [f'"{long} idiot {long}" he', f"„{long} idiot“ sagte", f"« {long} « a » idiot » b", f'a "b" “{long} idiot {long}” c', f"‘don’t» {long}", f'a "{long} idiot']:
+        got = features(text, lexicon)
+        assert (got[3] > 0 == got[0]) == ("idiot" in text), text
+    for text in [f'"{long}" idiot {long}', f'"{long}\nidiot {long}', f"isn’t ”a” idiot {long}", f"« {long} » idiot » b"]:
+        got = features(text, lexicon)
+        assert got[0] > 0 == got[3], text
     assert features(None, lexicon) == features("", lexicon) == features("calm words", lexicon) == [0.0] * FEATURES
 
 
@@ -67,3 +74,43 @@ def test_nulls_and_empty_tables(spark):
     got = score(docs, train(docs, none)).collect()
     assert len(got) == 4 and {r.score for r in got} == {0.5}
     assert score(docs.limit(0), (Lexicon({}), fit_logistic(np.empty((0, FEATURES)), np.empty(0)))).collect() == []
+
+
+def test_ties_at_the_threshold(spark):
+    docs = spark.createDataFrame([(1, "calm"), (2, "idiot")], "doc_id long, text string")
+    theta = np.zeros(FEATURES + 1)
+    assert [r.predicted for r in score(docs, (Lexicon({"idiot": True}), theta)).collect()] == [1, 1]
+
+
+def test_score_equals_brute_force(spark):
+    """Every term by plain edit distance over the whole text, and the context by hand."""
+    rng, terms = random.Random(8), {"idiot": True, "lostra": False, "scum": True}
+    lexicon, theta = Lexicon(terms), np.array([0.9, 0.4, 0.5, -0.7, -0.2, 0.3, 0.1, -1.2])
+    words = ["you", "said", "calm", "idiot", "idoit", "lostraun", "lostru", "scum", "scam", "tree", "are", "wrote"]
+    rows = [(k, "\n".join(" ".join(rng.choice(words) if rng.random() < 0.9 else f'"{rng.choice(words)} {rng.choice(words)}"' for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 4)))) for k in range(80)]
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(rows, "doc_id long, text string"), (lexicon, theta)).collect()}
+    reporting, address = {"said", "wrote"}, {"you", "are"}
+    for key, text in rows:
+        every, inside = [], []
+        for line in text.split("\n"):
+            for part, quoted in [(p, k % 2 == 1) for k, p in enumerate(line.split('"'))]:
+                every += part.split()
+                inside += [quoted] * len(part.split())
+        sums, seen = [0.0] * 6, set()
+        for k, w in enumerate(every):
+            costs = [(d, t) for t, whole in terms.items() if (d := distance(w, t) if whole else min(distance(w[:n], t) for n in range(len(w) + 1))) <= errors_allowed(t, whole)]
+            if not costs:
+                continue
+            errors, term = min(costs)
+            around = set(every[max(0, k - 6) : k] + every[k + 1 : k + 7])
+            quoted = inside[k] or bool(around & reporting)
+            if errors:
+                sums[4 if quoted else 2] += 1
+            else:
+                sums[3 if quoted else 0] += 1
+                sums[1] += bool(not quoted and around & address)
+                seen.add(term)
+        exact = sums[0] + sums[3]
+        sums[5] = len(seen)
+        x = np.append(np.log1p(sums), np.log1p(100 * exact / len(every)) if every else 0.0)
+        assert abs(got[key] - 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1])))) < 1e-9, text
