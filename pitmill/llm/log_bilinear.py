@@ -1,14 +1,19 @@
 """A log-bilinear language model, trained with noise-contrastive estimation, and an add-one unigram baseline.
 
-The model predicts the class of a token, one of the ``CLASSES`` most frequent
-tokens or "rare", from the classes of the ``CONTEXT`` tokens before it: their
-vectors pass a matrix for each place, and the sum's product with a target vector
-plus a bias is the score of the target. Each task trains on all its training
+The model predicts the class of a token and then the token within its class. The
+``SINGLES`` most frequent tokens are classes of their own; the other tokens that
+occur at least ``MODELLED_COUNT`` times, whose number grows with the corpus, are
+dealt by rank into ``GROUPS`` classes. The classes of the ``CONTEXT`` tokens before
+give a vector each, which passes a matrix for its place; the sum's product with a
+target vector plus a bias is the score of a class, and likewise, with vectors of
+their own, of the tokens of a group. All rarer tokens are one class, in which each
+has its add-one share of the counts.
+
+Training goes in ``ROUNDS``: in each, every task trains on its share of the
 documents from the same start, against noise from the unigram distribution, and
-the tasks' parameters are averaged by the tokens they have seen. For scoring,
-batched matrix products give all targets' scores of each distinct context, so
-that log-probabilities are normalised exactly. A rare token's class probability
-is multiplied by its add-one share among the rare ones.
+the tasks' changes are averaged by the tokens they have seen. For scoring, batched
+matrix products give the scores of all classes for each distinct context, and of
+all tokens of a group, so that log-probabilities are normalised exactly.
 
 Counts cover all training documents. A token's count comes from a table of the
 most frequent ones (at most ``HEAD_TOKENS``, broadcast) or, for the others, by a
@@ -30,12 +35,15 @@ from pyspark.sql import functions as F
 
 from .common import ints, lists, lower_ascii, slices, span_hashes, staged, table, text_bytes, word_spans
 
-CLASSES, CONTEXT, WIDTH = 512, 2, 32
-NOISE, BATCH, RATE = 64, 2048, 0.15
+SINGLES, GROUPS, CONTEXT, WIDTH = 256, 255, 2, 24
+CLASSES = 1 + SINGLES + GROUPS
+#: Tokens with a vector of their own: occurrences that it takes to learn one, and the bound of the model's size.
+MODELLED_COUNT, MODELLED_TOKENS = 256, 1 << 16
+NOISE, BATCH, RATE, LARGEST_STEP, ROUNDS = 64, 4096, 0.5, 0.1, 2
+CHUNK = 4096
 HEAD_TOKENS = 1 << 18
 COUNT_BLOCK, SCORE_BLOCK = 3_000_000, 1_000_000
 END = np.uint64(0x656E64206F662074)
-SUM_PARTITIONS = 16
 
 
 def held_out(key: str) -> Column:
@@ -80,7 +88,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Counts:
-    """What the tasks need of the counts: totals, and the frequent tokens sorted by hash with their counts and classes."""
+    """What the tasks need of the counts: totals, and the frequent tokens sorted by hash with their counts, classes and places in the list of all groups' tokens (-1: none)."""
 
     total: int
     distinct: int
@@ -88,7 +96,12 @@ class Counts:
     token: np.ndarray
     count: np.ndarray
     label: np.ndarray
+    member: np.ndarray
+    #: Of the classes, the rare one first, the share of the tokens.
     noise: np.ndarray
+    #: Of the groups' tokens in order, the share among them all; and the first of each class (classes + 1).
+    share: np.ndarray
+    first: np.ndarray
 
     def places(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each token among the frequent ones, and whether it is one."""
@@ -97,11 +110,14 @@ class Counts:
         at = np.minimum(np.searchsorted(self.token, found), len(self.token) - 1)
         return at, self.token[at] == found
 
-    def classes(self, at: np.ndarray, known: np.ndarray) -> np.ndarray:
-        return np.where(known, self.label[at], 0) if len(self.token) else np.zeros(len(at), np.int64)
+    def classes(self, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each token, and its place among the groups' tokens (-1: none)."""
+        if not len(self.token):
+            return np.zeros(len(at), np.int64), np.full(len(at), -1)
+        return np.where(known, self.label[at], 0), np.where(known, self.member[at], -1)
 
 
-def frequent(counts: DataFrame, limit: int = HEAD_TOKENS, classes: int = CLASSES) -> Counts:
+def frequent(counts: DataFrame, limit: int = HEAD_TOKENS, singles: int = SINGLES, groups: int = GROUPS, modelled_count: int = MODELLED_COUNT, modelled: int = MODELLED_TOKENS) -> Counts:
     """Totals and the tokens above the lowest count that at most ``limit`` tokens reach."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -114,13 +130,23 @@ def frequent(counts: DataFrame, limit: int = HEAD_TOKENS, classes: int = CLASSES
     rows = counts.where(level >= lowest).toPandas() if lowest is not None else None
     token = rows["token"].to_numpy(np.int64).view(np.uint64) if rows is not None else np.empty(0, np.uint64)
     count = rows["n"].to_numpy(np.int64) if rows is not None else np.empty(0, np.int64)
-    best = np.lexsort((token, -count, token != END))[: classes - 1]  # the end token is always a class
-    label = np.zeros(len(token), np.int64)
-    label[best] = np.arange(1, len(best) + 1)
-    rare = total - int(count[best].sum())
-    noise = np.append(float(rare), count[best].astype(float)) + 1
+    best = np.lexsort((token, -count, token != END))  # the end token is always a class
+    own = best[:singles]
+    grouped = best[singles:modelled]
+    grouped = grouped[count[grouped] >= modelled_count]
+    label, member = np.zeros(len(token), np.int64), np.full(len(token), -1)
+    label[own] = np.arange(1, len(own) + 1)
+    group = np.arange(len(grouped)) * groups // max(1, len(grouped))  # by rank, so that no group is much larger
+    label[grouped] = 1 + singles + group
+    member[grouped] = np.arange(len(grouped))
+    mass = np.bincount(label, weights=count, minlength=1 + singles + groups)
+    rare = total - int(mass[1:].sum())
+    mass[0] = rare
+    share = count[grouped] / max(1, count[grouped].sum())
+    first = np.searchsorted(label[grouped], np.arange(len(mass) + 1))
+    noise = (mass + 1) / (mass + 1).sum()
     order = np.argsort(token)
-    return Counts(int(total), int(distinct), float(rare + distinct - len(best) + 1), token[order], count[order], label[order], noise / noise.sum())
+    return Counts(int(total), int(distinct), float(rare + distinct - len(own) - len(grouped) + 1), token[order], count[order], label[order], member[order], noise, share, first)
 
 
 @dataclass
@@ -129,13 +155,18 @@ class Model:
     target: np.ndarray
     matrices: np.ndarray
     bias: np.ndarray
+    word: np.ndarray  # target vectors of the groups' tokens
+    word_bias: np.ndarray
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.target, self.matrices, self.bias, self.word, self.word_bias
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in (self.context, self.target, self.matrices, self.bias)])
+        return np.concatenate([x.reshape(-1) for x in self.parts()])
 
     def like(self, flat: np.ndarray) -> Model:
         out, at = [], 0
-        for x in (self.context, self.target, self.matrices, self.bias):
+        for x in self.parts():
             out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return Model(*out)
@@ -144,12 +175,12 @@ class Model:
         return sum(self.context[contexts[:, j]] @ self.matrices[j] for j in range(contexts.shape[1]))
 
 
-def start_model(noise: np.ndarray, width: int = WIDTH, context: int = CONTEXT, seed: int = 3) -> Model:
-    """Small vectors, and the unigram distribution as bias."""
+def start_model(noise: np.ndarray, share: np.ndarray, width: int = WIDTH, context: int = CONTEXT, seed: int = 3) -> Model:
+    """Small vectors, and the unigram distribution as biases."""
     rng = np.random.default_rng(seed)
     n = len(noise)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return Model(draw(n + 1, width), draw(n, width), np.stack([np.eye(width, dtype=np.float32)] * context) + draw(context, width, width), np.log(noise).astype(np.float32))
+    return Model(draw(n + 1, width), draw(n, width), np.stack([np.eye(width, dtype=np.float32)] * context) + draw(context, width, width), np.log(noise).astype(np.float32), draw(len(share), width), np.log(share).astype(np.float32))
 
 
 def contexts_of(label: np.ndarray, n: np.ndarray, before: int, context: int = CONTEXT) -> np.ndarray:
@@ -162,99 +193,157 @@ def contexts_of(label: np.ndarray, n: np.ndarray, before: int, context: int = CO
     return out
 
 
-def _add_rows(into: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
-    for d in range(rows.shape[1]):
-        into[:, d] += np.bincount(index, weights=rows[:, d], minlength=len(into))
+def _sums(index: np.ndarray, scale: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of ``index`` (under 2^16), and the sums of their rows times ``scale``, and of ``scale``."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")
+    ordered, scale = index[order], scale[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[first], np.add.reduceat(rows[order] * scale[:, None], first, axis=0), np.add.reduceat(scale, first)
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Trainer:
-    """Noise-contrastive estimation in minibatches, with steps scaled by past gradients."""
+    """Noise-contrastive estimation in minibatches, with steps scaled by past gradients.
 
-    def __init__(self, model: Model, noise: np.ndarray, seed: int):
-        self.model, self.rng = Model(*(x.copy() for x in (model.context, model.target, model.matrices, model.bias))), np.random.default_rng(seed)
-        self.noise, self.log_noise = noise, np.log(NOISE * noise).astype(np.float32)
-        self.past = [np.full(x.shape, 1e-2, np.float32) for x in (model.context, model.target, model.matrices, model.bias)]
+    Classes are told from noise classes, and the groups' tokens from noise tokens of
+    all groups; within a group these scores give the conditional probabilities.
+    """
 
-    def learn(self, contexts: np.ndarray, label: np.ndarray) -> None:
+    def __init__(self, model: Model, counts: Counts, seed: int):
+        self.model, self.rng = Model(*(x.copy() for x in model.parts())), np.random.default_rng(seed)
+        self.past = Model(*(np.full(x.shape, 1e-2, np.float32) for x in model.parts()))
+        self.noise = [(np.cumsum(p) / p.sum(), np.log(NOISE * p).astype(np.float32)) if len(p) else None for p in (counts.noise, counts.share)]
+
+    def learn(self, contexts: np.ndarray, label: np.ndarray, member: np.ndarray) -> None:
         order = self.rng.permutation(len(label))
         for at in range(0, len(label), BATCH):
             chosen = order[at : at + BATCH]
-            self._step(contexts[chosen], label[chosen])
-
-    def _step(self, contexts: np.ndarray, label: np.ndarray) -> None:
-        m, n = self.model, len(label)
-        drawn = self.rng.choice(len(self.noise), NOISE, p=self.noise)
+            self._step(contexts[chosen], label[chosen], member[chosen])
+
+    def _move(self, name: str, index, gradient: np.ndarray) -> None:
+        x, past = getattr(self.model, name), getattr(self.past, name)
+        scale = past[index] + gradient * gradient
+        past[index] = scale
+        x[index] += np.clip(RATE * gradient / np.sqrt(scale), -LARGEST_STEP, LARGEST_STEP)
+
+    def _contrast(self, q: np.ndarray, true: np.ndarray, vectors: str, bias: str, noise: tuple[np.ndarray, np.ndarray], n: np.float32) -> np.ndarray:
+        """Tell true outputs from noise, which all rows share; moves the outputs and returns the gradient of ``q``."""
+        v, b, (upto, log_noise) = getattr(self.model, vectors), getattr(self.model, bias), noise
+        drawn = np.minimum(np.searchsorted(upto, self.rng.random(NOISE)), len(b) - 1)
+        own, other = v[true], v[drawn]
+        up = _logistic(log_noise[true] - b[true] - np.einsum("nd,nd->n", q, own)) / n  # gradient of the log-likelihood for the true ones
+        down = -_logistic(q @ other.T + (b[drawn] - log_noise[drawn])) / n
+        dq = up[:, None] * own + down @ other
+        index, gradient, shift = _sums(true, up, q)
+        more, gradient_more, _ = _sums(drawn, np.ones(NOISE, np.float32), np.column_stack([down.T @ q, down.sum(0)]))
+        self._move(vectors, index, gradient)
+        self._move(bias, index, shift)
+        self._move(vectors, more, gradient_more[:, :-1])
+        self._move(bias, more, gradient_more[:, -1])
+        return dq
+
+    def _step(self, contexts: np.ndarray, label: np.ndarray, member: np.ndarray) -> None:
+        m, n = self.model, np.float32(len(label))
         inputs = [m.context[contexts[:, j]] for j in range(contexts.shape[1])]
         q = sum(x @ w for x, w in zip(inputs, m.matrices, strict=True))
-        hit = np.einsum("nd,nd->n", q, m.target[label]) + m.bias[label] - self.log_noise[label]
-        miss = q @ m.target[drawn].T + m.bias[drawn] - self.log_noise[drawn]
-        up = 1 / (1 + np.exp(np.clip(hit, -30, 30)))  # gradient of the log-likelihood for the true token
-        down = -1 / (1 + np.exp(-np.clip(miss, -30, 30)))
-        gradients = [np.zeros_like(x) for x in (m.context, m.target, m.matrices, m.bias)]
-        dq = up[:, None] * m.target[label] + down @ m.target[drawn]
-        _add_rows(gradients[1], label, up[:, None] * q)
-        np.add.at(gradients[1], drawn, down.T @ q)
-        gradients[3] += np.bincount(label, weights=up, minlength=len(m.bias)) + np.bincount(drawn, weights=down.sum(0), minlength=len(m.bias))
-        for j, x in enumerate(inputs):
-            gradients[2][j] = x.T @ dq
-            _add_rows(gradients[0], contexts[:, j], dq @ m.matrices[j].T)
-        for x, g, past in zip((m.context, m.target, m.matrices, m.bias), gradients, self.past, strict=True):
-            g /= n
-            past += g * g
-            x += RATE * g / np.sqrt(past)
-
-
-def train(docs: DataFrame, counts: Counts) -> Model:
-    """Every task trains on all its documents; sums of parameters are formed on executors, ``SUM_PARTITIONS`` of them go to the driver."""
-    spark = docs.sparkSession
-    start = start_model(counts.noise)
-    shared = spark.sparkContext.broadcast((counts, start))
+        dq = self._contrast(q, label, "target", "bias", self.noise[0], n)
+        inside = np.flatnonzero(member >= 0)
+        if len(inside):
+            dq[inside] += self._contrast(q[inside], member[inside], "word", "word_bias", self.noise[1], n)
+        one = np.ones(len(label), np.float32)
+        moves = [_sums(contexts[:, j], one, dq @ m.matrices[j].T)[:2] for j in range(len(inputs))]
+        self._move("matrices", slice(None), np.stack([x.T @ dq for x in inputs]))
+        for index, gradient in moves:
+            self._move("context", index, gradient)
+
+
+def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
+    """In each round every task trains on its part of the documents; the changes are averaged by the tokens seen, chunk by chunk on the executors.
+
+    The driver gets the model's parameters, whose number has a fixed bound, once a round.
+    """
+    model = start_model(counts.noise, counts.share)
+    for k in range(rounds):
+        share = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
+        model = train_round(share, counts, model, k)
+    return model
+
+
+def train_round(docs: DataFrame, counts: Counts, start: Model, seed: int) -> Model:
+    shared = docs.sparkSession.sparkContext.broadcast((counts, start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, start = shared.value
-        trainer, seen = Trainer(start, counts.noise, 17), 0
+        trainer, seen = Trainer(start, counts, 17 + seed), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 found, n = tokens(part.column(0))
-                label = counts.classes(*counts.places(found))
-                trainer.learn(contexts_of(label, n, len(counts.noise)), label)
+                label, member = counts.classes(*counts.places(found))
+                trainer.learn(contexts_of(label, n, len(counts.noise), len(start.matrices)), label, member)
                 seen += len(label)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([trainer.model.flat().astype(np.float32).tobytes()], pa.binary())], ["weight", "parameters"])
+            change = (trainer.model.flat() - start.flat()).astype(np.float16)
+            rows = [(k, change[at : at + CHUNK]) for k, at in enumerate(range(0, len(change), CHUNK))]
+            rows = [(k, c.tobytes()) for k, c in rows if not k or c.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([float(seen)] * len(rows)), pa.array([c for _, c in rows], pa.binary())], ["chunk", "weight", "change"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, total = 0.0, None
+        weight: dict[int, float] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for w, p in zip(batch.column(0), batch.column(1), strict=True):
-                values = np.frombuffer(p.as_py(), np.float32) * np.float64(w.as_py())
-                weight, total = weight + w.as_py(), values if total is None else total + values
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], ["weight", "parameters"])
-
-    schema = "weight double, parameters binary"
-    sums = docs.select("text").mapInArrow(run, schema).repartition(SUM_PARTITIONS).mapInArrow(add, schema).collect()
+            for k, w, c in zip(*(batch.column(i) for i in range(3)), strict=True):
+                k, w = k.as_py(), w.as_py()
+                total[k] = total.get(k, 0.0) + w * np.frombuffer(c.as_py(), np.float16).astype(np.float64)
+                weight[k] = weight.get(k, 0.0) + w
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([weight[k] for k in total]), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "weight", "change"])
+
+    schema = "chunk int, weight double, change binary"
+    sums = {r.chunk: r for r in docs.select("text").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).collect()}
+    shared.unpersist()
     if not sums:
         return start
-    return start.like(sum(np.frombuffer(r.parameters, np.float64) for r in sums) / sum(r.weight for r in sums))
+    flat = start.flat().astype(np.float64)
+    for k, r in sums.items():
+        flat[k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(r.change, np.float64) / sums[0].weight
+    return start.like(flat)
+
+
+def _log_softmax(scores: np.ndarray) -> np.ndarray:
+    scores -= scores.max(1, keepdims=True)
+    scores -= np.log(np.exp(scores).sum(1, keepdims=True))
+    return scores
 
 
-def class_scores(model: Model, contexts: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Normalised natural log-probability of each token's class."""
+def token_scores(model: Model, contexts: np.ndarray, label: np.ndarray, member: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Normalised natural log-probability of each token: of its class, and within its group."""
     base = len(model.context)
     code = contexts[:, 0]
     for j in range(1, contexts.shape[1]):
         code = code * base + contexts[:, j]
-    _, first, which = np.unique(code, return_index=True, return_inverse=True)
-    distinct = contexts[first]
+    _, at_first, which = np.unique(code, return_index=True, return_inverse=True)
+    distinct = contexts[at_first]
     order = np.argsort(which, kind="stable")
-    bounds = np.searchsorted(which[order], np.arange(0, len(first) + 2048, 2048))
-    out = np.empty(len(label))
-    for k, at in enumerate(range(0, len(first), 2048)):
-        scores = model.predicted(distinct[at : at + 2048]) @ model.target.T + model.bias
-        top = scores.max(1, keepdims=True)
-        scores -= top + np.log(np.exp(scores - top).sum(1, keepdims=True))
+    bounds = np.searchsorted(which[order], np.arange(0, len(distinct) + 2048, 2048))
+    out, q = np.empty(len(label)), np.empty((len(distinct), model.target.shape[1]), np.float32)
+    for k, at in enumerate(range(0, len(distinct), 2048)):
+        q[at : at + 2048] = model.predicted(distinct[at : at + 2048])
+        scores = _log_softmax(q[at : at + 2048] @ model.target.T + model.bias)
         mine = order[bounds[k] : bounds[k + 1]]
         out[mine] = scores[which[mine] - at, label[mine]]
+    inside = np.flatnonzero(member >= 0)
+    inside = inside[np.argsort(label[inside], kind="stable")]
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(label[inside]) != 0)), len(inside)) if len(inside) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        g = int(label[inside[a]])
+        words, bias = model.word[first[g] : first[g + 1]], model.word_bias[first[g] : first[g + 1]]
+        for at in range(a, b, 8192):
+            mine = inside[at : min(at + 8192, b)]
+            scores = _log_softmax(q[which[mine]] @ words.T + bias)
+            out[mine] += scores[np.arange(len(mine)), member[mine] - first[g]]
     return out
 
 
@@ -269,10 +358,10 @@ def score(docs: DataFrame, counts: Counts, table_of_counts: DataFrame, model: Mo
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            label, n = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            value = class_scores(model, contexts_of(label, n, len(counts.noise)), label) / np.log(10)
+            (label, member), n = (np.concatenate([h[1][c] for h in held]) for c in (0, 1)), np.concatenate([h[2] for h in held])
+            value = token_scores(model, contexts_of(label, n, len(counts.noise), len(model.matrices)), label, member, counts.first) / np.log(10)
             at = 0
-            for ids, label, n, found, places, known in held:
+            for ids, (label, _), n, found, places, known in held:
                 begin = np.cumsum(n) - n
                 add = lambda x: np.add.reduceat(x, begin)  # noqa: B023, E731
                 logs = np.where(known, logs_of[places] if len(logs_of) else 0.0, 0.0)
