@@ -8,19 +8,23 @@ words are joined too, so that a verbatim copy depends on no case and no line bre
 Windows of ``WINDOW`` canonical tokens are hash-joined with those of the
 benchmark (an item with fewer tokens is one window). Matches on one diagonal (the
 document's place less the item's) give the share of the item that is covered
-and its slots: a document that puts *one* value for each slot value of the item,
-and different values for different ones, has the same question with other
+and its slots. Diagonals that lie within ``WINDOW`` of the next are also taken
+together, so that words put in or left out split no item. A document that puts
+*one* value for each slot value of the item has the same question with other
 parameters; slots that contradict each other mean that only the wording agrees.
+Values that fall together weigh less: the coverage counts times the number of the
+document's distinct values over the item's.
 
-A document is contaminated by an item if the slots of its best diagonal are
-consistent and it covers half of the item, or ``LONG_MATCH`` of its tokens.
+A document is contaminated by an item if its best diagonal or group of diagonals
+is consistent and covers, so weighted, half of the item, or ``LONG_MATCH`` of its
+tokens.
 
 Before the join, document windows pass a bitmap of the benchmark's hashes. Its
 size is fixed; a larger benchmark lets more rows through to the same join.
 
 Null and empty texts, and texts without a canonical token, match nothing, on
-either side. Rows that share an id are read as one document. Rows without an id
-are left out of the result. An empty benchmark or corpus gives no rows.
+either side. Rows that share an id are matched one by one and reported once. Rows without
+an id are left out of the result. An empty benchmark or corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ints, lower_ascii, sequence_hashes, slices, span_hashes, table, text_bytes, word_spans
+from .common import ints, lower_ascii, sequence_hashes, slices, span_hashes, staged, table, text_bytes, word_spans
 
 WINDOW, MIN_COVERAGE, LONG_MATCH = 8, 0.5, 30
 BITMAP_BITS = 24
@@ -99,7 +103,7 @@ def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[Tokens, Tokens, Tok
 
 
 def windows(texts: DataFrame, key: str, widths: list[int], bitmap=None) -> DataFrame:
-    """(hash, key, pos, n, slots, kind) of every window; with ``bitmap`` (a broadcast) only of those that it may contain.
+    """(hash, key, row, pos, n, slots, kind) of every window; with ``bitmap`` (a broadcast) only of those that it may contain.
 
     Without a bitmap each text gives windows of ``max(widths)`` tokens, or one of
     all its tokens if it has fewer. With it, each text gives windows of each of ``widths``.
@@ -127,36 +131,41 @@ def windows(texts: DataFrame, key: str, widths: list[int], bitmap=None) -> DataF
                             rows.append((int(h[at].view(np.int64)), text, int(at - first[text]), int(first[text + 1] - first[text]), values, kind))
                 if rows:
                     hashes, text, pos, n, slots, kinds = zip(*rows, strict=True)
-                    columns = pa.array(hashes, pa.int64()), part.column(0).take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(kinds, pa.int32())
-                    yield pa.RecordBatch.from_arrays(list(columns), ["hash", key, "pos", "n", "slots", "kind"])
+                    columns = pa.array(hashes, pa.int64()), part.column(0).take(pa.array(text)), part.column(2).take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(kinds, pa.int32())
+                    yield pa.RecordBatch.from_arrays(list(columns), ["hash", key, "row", "pos", "n", "slots", "kind"])
 
-    rows = texts.select(F.col(key).cast("long"), "text").where(F.col(key).isNotNull())
-    return rows.mapInArrow(run, f"hash long, {key} long, pos int, n int, slots array<string>, kind int")
+    rows = texts.select(F.col(key).cast("long"), "text", F.monotonically_increasing_id()).where(F.col(key).isNotNull())
+    return rows.mapInArrow(run, f"hash long, {key} long, row long, pos int, n int, slots array<string>, kind int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, long_match: int = LONG_MATCH) -> DataFrame:
     """Pairs (doc_id, item_id) of ``docs`` (doc_id, text) and ``benchmark`` (item_id, text), with what was matched."""
     spark = docs.sparkSession
     items = windows(benchmark, "item_id", [window]).select(F.col("hash"), "item_id", F.col("pos").alias("item_pos"), F.col("n").alias("item_tokens"), F.col("slots").alias("item_slots"), "kind")
-    items = items.distinct().persist()
-    try:
-        places = items.select(F.shiftrightunsigned("hash", 64 - BITMAP_BITS).alias("p"), F.least(F.col("item_tokens"), F.lit(window)).alias("w"))
-        bits = np.zeros(1 << BITMAP_BITS, bool)
-        bits[places.select("p").distinct().toPandas()["p"].to_numpy(np.int64)] = True  # at most 2^BITMAP_BITS rows
-        widths = sorted(r.w for r in places.select("w").distinct().collect())  # at most ``window``
-    finally:
-        items.unpersist()
+    items = staged(items.distinct(), "items")
+    places = items.select(F.shiftrightunsigned("hash", 64 - BITMAP_BITS).alias("p"), F.least(F.col("item_tokens"), F.lit(window)).alias("w"))
+    bits = np.zeros(1 << BITMAP_BITS, bool)
+    bits[places.select("p").distinct().toPandas()["p"].to_numpy(np.int64)] = True  # at most 2^BITMAP_BITS rows
+    widths = sorted(r.w for r in places.select("w").distinct().collect())  # at most ``window``
     bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
     found = windows(docs, "doc_id", widths, bitmap).join(items, ["hash", "kind"]).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("item_pos", F.col("item_pos") + F.least("item_tokens", F.lit(window)) - 1))))
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))))
-    lines = found.groupBy("doc_id", "item_id", "kind", "item_tokens", "diagonal").agg(F.size(covered).alias("matched_tokens"), pairs.alias("pairs"))
+    of = ["doc_id", "row", "item_id", "kind", "item_tokens"]
+    lines = found.groupBy(*of, "diagonal").agg(covered.alias("covered"), pairs.alias("pairs"))
+    w = Window.partitionBy(*of).orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > window, F.lit(False)).cast("int")
+    lines = lines.withColumn("apart", apart).withColumn("near", F.sum("apart").over(w)).withColumn("alone", F.array("diagonal"))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    grouped = lines.groupBy(*of, "near").agg(union("covered"), union("pairs"), F.min("diagonal").alias("diagonal"), F.count("*").alias("n_diagonals"))
+    lines = lines.select(*of, "diagonal", "covered", "pairs", F.lit(1).cast("long").alias("n_diagonals")).unionByName(grouped.where("n_diagonals > 1").drop("near"))
     side = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
     lines = lines.withColumn("n_slots", F.size("pairs")).withColumn("n_changed_slots", F.size(F.filter("pairs", lambda p: p["i"] != p["d"])))
-    lines = lines.withColumn("consistent", (side("i") == F.col("n_slots")) & (side("d") == F.col("n_slots")))
-    lines = lines.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens"))
-    lines = lines.where(F.col("consistent") & ((F.col("coverage") >= min_coverage) | (F.col("matched_tokens") >= long_match)))
-    best = F.max_by(F.struct("matched_tokens", "item_tokens", "coverage", "n_slots", "n_changed_slots"), F.struct("coverage", -F.col("kind"), "matched_tokens", -F.col("n_changed_slots"), -F.col("diagonal")))
+    lines = lines.where(side("i") == F.col("n_slots")).withColumn("matched_tokens", F.size("covered"))
+    lines = lines.withColumn("coverage", F.col("matched_tokens") / F.col("item_tokens")).withColumn("weight", F.when(F.col("n_slots") > 0, side("d") / F.col("n_slots")).otherwise(1.0))
+    lines = lines.where((F.col("coverage") * F.col("weight") >= min_coverage) | (F.col("matched_tokens") * F.col("weight") >= long_match))
+    order = F.struct(F.col("coverage") * F.col("weight"), -F.col("kind"), "matched_tokens", -F.col("n_diagonals"), -F.col("n_changed_slots"), -F.col("diagonal"), -F.col("row"))
+    best = F.max_by(F.struct("matched_tokens", "item_tokens", "coverage", "n_slots", "n_changed_slots", "weight", "n_diagonals"), order)
     return lines.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
