@@ -70,3 +70,57 @@ def horizons(periods: DataFrame, snapshot: Column, end: str = "period_end") -> D
     up = F.row_number().over(Window.partitionBy("security_id", future).orderBy(end))
     down = F.row_number().over(Window.partitionBy("security_id", future).orderBy(F.desc(end)))
     return periods.withColumn("horizon", F.concat(F.lit("FY"), F.when(future, up).otherwise(1 - down).cast("string")))
+
+
+def nearest_future(days: DataFrame, estimates: DataFrame, max_age: int = 180, time: str = "trade_date") -> DataFrame:
+    """For each (security_id, day) the newest estimate, at most ``max_age`` days old, of the nearest target period that has not ended.
+
+    ``estimates``: (security_id, metric_id, target_end, as_of_date, consensus_mean), one a
+    day. An estimate holds until the next one of its period, its age or its period's
+    end; days and these intervals meet by month.
+    """
+    w = Window.partitionBy("security_id", "metric_id", "target_end").orderBy("as_of_date")
+    ends = [F.date_add("as_of_date", max_age + 1), F.date_add("target_end", 1), F.lead("as_of_date").over(w)]
+    spans = estimates.withColumn("valid_to", F.least(*ends)).where("valid_to > as_of_date")
+    found = active(spans, days.select("security_id", F.col(time).alias("as_of")).distinct(), ["security_id"], "as_of_date")
+    best = found.groupBy("security_id", F.col("as_of").alias(time)).agg(F.min(F.struct("target_end", "consensus_mean")).alias("b"))
+    return days.join(best, ["security_id", time], "left").select("security_id", time, F.col("b.target_end").alias("target_end"), F.col("b.consensus_mean").alias("estimate"))
+
+
+def estimate_history(estimates: DataFrame, metric: str | None = None, first: str | None = None, last: str | None = None, target_from: str | None = None) -> DataFrame:
+    """Estimates of a metric that became known between two days, for target periods that end on a day or later."""
+    out = estimates
+    for column, test, value in (("metric_id", "__eq__", metric), ("as_of_date", "__ge__", first), ("as_of_date", "__le__", last), ("target_end", "__ge__", target_from)):
+        if value is not None:
+            out = out.where(getattr(F.col(column), test)(F.lit(value)))
+    return out
+
+
+def lookback_revisions(estimates: DataFrame, by: list[str], time: str, value: str, lookbacks: list[int]) -> DataFrame:
+    """rev_k: percent change against the newest estimate with the same key at least k days older; acceleration: the last 30 days against half of the 60 before."""
+    out = estimates
+    change = lambda now, then: divide((F.col(now) - F.col(then)) * 100, F.greatest(F.abs(then), F.lit(0.1)))
+    for k in lookbacks:
+        then = estimates.select(*by, F.col(time).alias("_then"), F.col(value).alias(f"_b{k}"))
+        out = asof_join(out.withColumn("_look", F.date_sub(time, k)), then, by, "_look", "_then").drop("_look", "_then")
+    out = out.withColumns({f"rev_{k}": change(value, f"_b{k}") for k in lookbacks})
+    if {30, 90} <= set(lookbacks):
+        out = out.withColumn("acceleration", F.col("rev_30") - change("_b30", "_b90") / 2)
+    return out.drop(*(f"_b{k}" for k in lookbacks))
+
+
+def strict_targets(days: DataFrame, events: DataFrame, providers: list[str], least: int = 3, time: str = "factor_date") -> DataFrame:
+    """On each day the target of the first of ``providers`` whose newest event so far is positive and of ``least`` analysts."""
+    rank = F.posexplode(F.array(*map(F.lit, providers)))
+    asked = days.select("security_id", time, rank.alias("_rank", "provider"))
+    newest = asof_join(asked, events.where(F.col("provider").isin(providers)).withColumnRenamed(time, "_known"), ["security_id", "provider"], time, "_known")
+    good = newest.where(F.col("_known").isNotNull() & (F.col("target") > 0) & (F.col("analyst_count") >= least))
+    best = good.groupBy("security_id", time).agg(F.min(F.struct("_rank", "provider", "target")).alias("b"))
+    return days.join(best, ["security_id", time], "left").select("security_id", time, F.col("b.provider").alias("provider"), F.col("b.target").alias("target"))
+
+
+def implied_surprise(eps: str, shares: str, net_income: str, operating_income: str) -> Column:
+    """Percent by which the operating income that the consensus EPS implies, at today's relation to net income, exceeds today's."""
+    implied = divide(F.col(operating_income) * F.col(eps) * F.col(shares), F.col(net_income))
+    good = (F.col(eps) > 0) & (F.col(shares) > 0) & (F.col(net_income) > 0) & (F.col(operating_income) > 0)
+    return F.when(good, divide(implied - F.col(operating_income), F.abs(operating_income)) * 100)

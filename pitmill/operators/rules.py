@@ -88,3 +88,63 @@ def checks(wide: DataFrame, key: list[str], formulas: dict[str, tuple[str, str]]
     out = wide.select(*key, F.explode(sides).alias("c")).select(*key, "c.*").withColumn("difference", F.col("left_side") - F.col("right_side"))
     limit = F.greatest(F.lit(absolute), F.abs("right_side") * relative)
     return out.withColumn("status", F.when(F.col("difference").isNull(), "SKIP").when(F.abs("difference") <= limit, "PASS").otherwise("FAIL"))
+
+
+def amounts_by_pattern(rows: DataFrame, key: list[str], picks: dict[str, tuple[str, list[str] | None, bool]], tie: str, name: str = "account_name", amount: str = "amount") -> DataFrame:
+    """For each of ``picks`` (column -> (pattern, statement types, without sign)) the amount of the largest size among the accounts that fit."""
+
+    def pick(pattern: str, kinds: list[str] | None, size: bool):
+        fits = F.col(name).rlike(pattern) & F.col(amount).isNotNull()
+        if kinds:
+            fits &= F.col("statement_type").isin(kinds)
+        found = F.max_by(F.when(fits, F.col(amount)), F.when(fits, F.struct(F.abs(amount), -F.col(tie))))
+        return F.abs(found) if size else found
+
+    return rows.groupBy(*key).agg(*(pick(*p).alias(c) for c, p in picks.items()))
+
+
+def map_facts(facts: DataFrame, rules: Sequence[tuple[int, str, str, str]], forms: Sequence[str], unmapped: str = "UNMAPPED") -> DataFrame:
+    """Facts of the given forms with canonical_id and fiscal_month, by rules (priority, part, text, canonical); a part is tag, label or note."""
+    canonical = None
+    for _, part, text, to in sorted(rules):
+        fits = F.contains(F.col(part), F.lit(text))
+        canonical = F.when(fits, to) if canonical is None else canonical.when(fits, to)
+    found = F.lit(unmapped) if canonical is None else canonical.otherwise(unmapped)
+    return facts.where(F.col("form").isin(list(forms))).withColumn("canonical_id", found).withColumn("fiscal_month", F.month("end_date"))
+
+
+def with_overrides(classified: DataFrame, overrides: DataFrame, key: str, code: str, confidence: str, least: float) -> DataFrame:
+    """Manual classes (key, override) win; what rules decide with less confidence than ``least`` is marked for review."""
+    out = classified.join(overrides, key, "left")
+    manual = F.col("override").isNotNull()
+    return out.select(key, F.coalesce("override", code).alias(code), F.when(manual, "override").otherwise("rule").alias("source"), (~manual & (F.coalesce(confidence, F.lit(0.0)) < least)).alias("needs_review"))
+
+
+#: Metrics that stand in for sold quantities. Fixed values.
+QUANTITY_PROXIES = ["shipment_volume", "capacity", "utilization_rate"]
+
+
+def normalize_metrics(raw: DataFrame) -> DataFrame:
+    """Add metric_name, value_type, product_name and flags to rows (metric_id, unit, segment, product)."""
+    blank = lambda c: F.when(F.trim(c) != "", F.col(c))
+    flags = F.concat_ws(",", F.when(F.startswith("unit", F.lit("inferred")), "UNIT_INFERRED"), F.when(F.col("metric_id").isin(QUANTITY_PROXIES), "QUANTITY_PROXY_USED"))
+    name = F.initcap(F.regexp_replace("metric_id", "_", " "))
+    return raw.withColumn("metric_name", name).withColumn("value_type", F.when(F.startswith("metric_id", F.lit("derived_")), "derived").otherwise("reported")).withColumn("product_name", F.coalesce(blank("product"), blank("segment"), F.lit("company"))).withColumn("flags", flags)
+
+
+AMOUNT_POLICIES, CASH_DIRECTIONS = ["as_reported", "absolute", "negate", "negative_absolute"], ["inflow", "outflow"]
+
+
+def with_sign_policy(rows: DataFrame, accounts: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Add amount_policy, cash_direction and normalized_amount: the row's rule decides, else its account, else its statement type.
+
+    ``accounts``: (canonical_id, policy, direction) and ``defaults``: (statement_type,
+    policy, direction), tables of parameters. Unknown policies mean as reported.
+    """
+    out = rows.join(F.broadcast(accounts.toDF("canonical_id", "_ap", "_ad")), "canonical_id", "left").join(F.broadcast(defaults.toDF("statement_type", "_dp", "_dd")), "statement_type", "left")
+    given = lambda *cs: F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in cs))
+    policy, direction = given("rule_policy", "_ap", "_dp"), given("rule_direction", "_ad", "_dd")
+    out = out.withColumn("amount_policy", F.when(policy.isin(AMOUNT_POLICIES), policy).otherwise("as_reported")).withColumn("cash_direction", F.when(direction.isin(CASH_DIRECTIONS), direction).otherwise(""))
+    a = F.col("amount")
+    turned = F.when(F.col("amount_policy") == "absolute", F.abs(a)).when(F.col("amount_policy") == "negate", -a).when(F.col("amount_policy") == "negative_absolute", -F.abs(a)).otherwise(a)
+    return out.withColumn("normalized_amount", turned).drop("_ap", "_ad", "_dp", "_dd")

@@ -83,3 +83,108 @@ def screen(values: DataFrame, conditions: Sequence[dict], match_all: bool = True
         hits = one if hits is None else hits.unionByName(one)
     found = hits.groupBy("trade_date", "security_id").agg(F.sum(F.col("_met").cast("int")).alias("n_matched"), *(F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"value_{k}") for k in range(len(conditions))))
     return found.where(F.col("n_matched") >= (len(conditions) if match_all else 1))
+
+
+#: Bases in order of preference. Fixed values.
+BASES = ["ttm", "annual", "quarterly"]
+
+
+def basis_fallback(rows: DataFrame, key: list[str], wanted: str | None = None) -> DataFrame:
+    """One row a key: the wanted basis, else ttm, annual, quarterly, else any; of equal ones the newest."""
+    order = ([wanted] if wanted else []) + BASES
+    rank = F.coalesce(*(F.when(F.col("financial_basis") == b, k) for k, b in enumerate(order)), F.lit(len(order)))
+    w = Window.partitionBy(*key).orderBy(rank, F.desc("updated_at"), "financial_basis")
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def mark_validity(values: DataFrame, limits: DataFrame, strict: bool = False) -> DataFrame:
+    """Add is_missing, is_valid and invalid_reason; values out of their factor's limits are named and, unless ``strict``, stay valid.
+
+    ``limits``: (factor_id, lower, upper), a table of parameters.
+    """
+    v = F.col("factor_value")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    out = values.join(F.broadcast(limits), "factor_id", "left")
+    off = F.coalesce((v < F.col("lower")) | (v > F.col("upper")), F.lit(False))
+    reason = F.when(v.isNull(), "MISSING").when(off, "OUT_OF_RANGE").when(~finite, "NON_FINITE").otherwise("")
+    return out.withColumn("is_missing", v.isNull()).withColumn("is_valid", finite & ~off if strict else finite).withColumn("invalid_reason", reason).drop("lower", "upper")
+
+
+def winsorize_by_factor(values: DataFrame, by: list[str], quantiles: DataFrame, default: tuple[float, float]) -> DataFrame:
+    """Keep values between their group's quantiles, which depend on the factor; ``quantiles``: (factor_id, low_q, high_q), a table of parameters."""
+    own = {r.factor_id: (r.low_q, r.high_q) for r in quantiles.collect()}
+    every = sorted({*default, *(q for pair in own.values() for q in pair)})
+    place = lambda k: F.coalesce(*(F.when(F.col("factor_id") == f, every.index(pair[k])) for f, pair in own.items()), F.lit(every.index(default[k])))
+    q = F.percentile("factor_value", every).over(Window.partitionBy(*by))
+    out = values.withColumn("_q", q).withColumn("_low", F.get("_q", place(0))).withColumn("_high", F.get("_q", place(1)))
+    out = out.withColumn("winsorized", F.greatest("_low", F.least("_high", "factor_value"))).withColumn("is_winsorized", (F.col("factor_value") < F.col("_low")) | (F.col("factor_value") > F.col("_high")))
+    return out.drop("_q", "_low", "_high")
+
+
+def style_detail(scores: DataFrame, marks: DataFrame, weights: DataFrame, core: dict[str, list[str]]) -> DataFrame:
+    """Style scores over the factors at hand, with confidence and the ids that are missing or invalid; without all its ``core`` factors a style has no score."""
+    every = scores.select("trade_date", "security_id").distinct().crossJoin(F.broadcast(weights))
+    rows = every.join(scores, ["trade_date", "security_id", "factor_id"], "left").join(marks, ["trade_date", "security_id", "factor_id"], "left")
+    have = F.col("score").isNotNull()
+    listed = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("factor_id")))), ",")
+    out = rows.groupBy("trade_date", "security_id", "style").agg(
+        divide(F.sum(F.col("weight") * F.col("score")), F.sum(F.when(have, F.col("weight")))).alias("score"),
+        divide(F.coalesce(F.sum(F.when(have, F.col("weight"))), F.lit(0.0)), F.sum("weight")).alias("confidence"),
+        listed(~have).alias("missing"), listed(~F.col("is_valid")).alias("invalid"),
+    )
+    lacks = F.lit(False)
+    for style, ids in core.items():
+        lacks = lacks | ((F.col("style") == style) & F.arrays_overlap(F.split("missing", ","), F.array(*map(F.lit, ids))))
+    return out.withColumn("score", F.when(~lacks, F.col("score")))
+
+
+def breakdown(scores: DataFrame, weights: DataFrame) -> DataFrame:
+    """Each factor's share of its style's weight at hand, and its part of the score."""
+    rows = scores.where("score IS NOT NULL").join(F.broadcast(weights), "factor_id")
+    share = divide("weight", F.sum("weight").over(Window.partitionBy("trade_date", "security_id", "style")))
+    return rows.withColumn("share", share).withColumn("part", F.col("score") * F.col("share"))
+
+
+def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """A page of ordered rows, with each one's place and the number of all rows, which is counted apart."""
+    counted = rows.agg(F.count("*").alias("n_all"))
+    part = rows.orderBy(*order).offset(offset).limit(limit)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + offset  # over a page only
+    return part.withColumn("place", place).crossJoin(F.broadcast(counted))
+
+
+def top_k(rows: DataFrame, value: str, k: int, tie: str = "security_id") -> DataFrame:
+    """The k largest values, ties by id, with rank and the number of all rows."""
+    return page(rows, [F.desc_nulls_last(value), F.asc(tie)], 0, k).select(F.col("place").alias("rank"), tie, value, "n_all")
+
+
+def canonical_ids(names: Sequence[str], aliases: dict[str, str]) -> list[str]:
+    """Factor ids for names as people write them: case, blanks and deltas do not count, and aliases are resolved."""
+    plain = [n.strip().lower().replace("δ", "d").replace(" ", "_") for n in names]
+    return [aliases.get(n, n) for n in plain]
+
+
+def impute_zero(value: str, sector: Column, allowed: Sequence[str], intensive: Sequence[str], evidence: Sequence[str]) -> tuple[Column, Column]:
+    """Zero for a missing value where the sector allows it and there is evidence of operations; and whether that was done."""
+    some = F.coalesce(*evidence).isNotNull()
+    done = F.col(value).isNull() & some & F.coalesce(sector.isin(list(allowed)) & ~sector.isin(list(intensive)), F.lit(False))
+    return F.when(done, 0.0).otherwise(F.col(value)), done
+
+
+def index_premium(prices: DataFrame, rates: DataFrame, years: float = 2.0) -> DataFrame:
+    """(market, expected, premium): the yearly return of each market's index over its last ``years``, and what it exceeds the market's rate by."""
+    last = F.max("trade_date").over(Window.partitionBy("market"))
+    seen = prices.withColumn("_last", last).where(F.col("trade_date") >= F.date_sub("_last", int(years * 365)))
+    ends = seen.groupBy("market").agg(F.max_by("close", "trade_date").alias("b"), F.min_by("close", "trade_date").alias("a"), F.datediff(F.max("trade_date"), F.min("trade_date")).alias("days"))
+    expected = (F.pow(divide("b", "a"), divide(F.lit(365.25), "days")) - 1) * 100
+    return ends.withColumn("expected", expected).join(rates, "market").withColumn("premium", F.col("expected") - F.col("rate"))
+
+
+def eligible(rows: DataFrame, subtypes: Sequence[str], classes: Sequence[str], floors: DataFrame) -> DataFrame:
+    """Active securities of the given share classes and none of the subtypes (nor names that say so), above their country's floors.
+
+    ``floors``: (country, least_mcap, least_traded), a table of parameters.
+    """
+    named = F.col("name").rlike(r"\b(" + "|".join(subtypes) + r")\b")
+    kept = rows.where(F.col("is_active") & F.col("share_class").isin(list(classes)) & ~F.col("asset_subtype").isin(list(subtypes)) & ~named)
+    return kept.join(F.broadcast(floors), "country").where("mcap >= least_mcap AND traded >= least_traded").drop("least_mcap", "least_traded")

@@ -6,8 +6,8 @@ and SQL (name -> DuckDB text over the same tables).
 
 from __future__ import annotations
 
-from . import backtests, consensus_views, extras, fundamentals, graphs, market, rules_quality, scoring
+from . import backtests, consensus_views, extras, feeds, fundamentals, graphs, market, pit_scores, rules_quality, scoring
 
-MODULES = (market, fundamentals, scoring, graphs, backtests, consensus_views, rules_quality, extras)
+MODULES = (market, fundamentals, scoring, graphs, backtests, consensus_views, rules_quality, extras, feeds, pit_scores)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
