@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import divide
 
-PERIODS = {"monthly": "month", "quarterly": "quarter", "annual": "year"}
+#: Months of a period.
+PERIODS = {"monthly": 1, "quarterly": 3, "semiannual": 6, "annual": 12}
 
 
 def rebalance_calendar(days: DataFrame, every: str = "quarterly", time: str = "trade_date") -> DataFrame:
-    """(segment_id, rebalance_date, signal_date, end_date): the first day of each period, the trading day before it, and the day before the next one.
+    """(segment_id, rebalance_date, signal_date, next_date): the first day of each period, the trading day before it, and the next period's first day.
 
     The table of days has one row a trading day, and is put in order as one series.
     """
     series = Window.partitionBy(F.lit(0)).orderBy(time)
-    d = days.select(time).distinct().withColumn("signal_date", F.lag(time).over(series)).withColumn("_p", F.date_trunc(PERIODS[every], time))
+    d = days.select(time).distinct().withColumn("signal_date", F.lag(time).over(series)).withColumn("_p", F.floor((F.year(time) * 12 + F.month(time) - 1) / PERIODS[every]))
     first = d.withColumn("_before", F.lag("_p").over(series)).where("_before IS NULL OR _before <> _p")
     out = first.withColumn("segment_id", F.row_number().over(series)).withColumn("next", F.lead(time).over(series))
     return out.where("signal_date IS NOT NULL").select("segment_id", F.col(time).alias("rebalance_date"), "signal_date", F.col("next").alias("next_date"))

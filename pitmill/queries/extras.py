@@ -40,13 +40,14 @@ def roe_three_years(spark, d):
     return y.select("security_id", "fiscal_year", F.round(F.when(ok, F.avg("roe").over(f)), 8).alias("roe_3y"))
 
 
-def neighbour_outliers(spark, d):
-    """Amounts of more than 1.3 times both neighbours' size become NULL."""
+def neighbour_outliers(spark, d, times: float = 100.0):
+    """Amounts of more than ``times`` both neighbours' size become NULL; every third quarter's inventory is published in the wrong unit."""
     w = Window.partitionBy("security_id", "canonical_id").orderBy("fiscal_year", "fiscal_month")
     near = F.greatest(F.abs(F.lag("amount").over(w)), F.abs(F.lead("amount").over(w)))
     both = F.lag("amount").over(w).isNotNull() & F.lead("amount").over(w).isNotNull()
-    s = statements(spark, d).where("statement_type = 'BS'")
-    return s.select("security_id", "canonical_id", "fiscal_year", "fiscal_month", F.when(~(both & (F.abs("amount") > 1.3 * near)), F.col("amount")).alias("amount"))
+    wrong = (F.col("canonical_id") == "INVT") & (F.col("fiscal_month") == 9)
+    s = statements(spark, d).where("statement_type = 'BS'").withColumn("amount", F.when(wrong, F.col("amount") * 1000).otherwise(F.col("amount")))
+    return s.select("security_id", "canonical_id", "fiscal_year", "fiscal_month", F.when(~(both & (F.abs("amount") > times * near)), F.col("amount")).alias("amount"))
 
 
 def expanding_median(spark, d):
@@ -201,7 +202,7 @@ _pick = lambda p: "CASE " + " ".join(f"WHEN n_{k} >= 3 THEN {repr(k) if p is Non
 SQL = {
     "us_dividends": sql("price_daily", "SELECT security_id, trade_date, coalesce(sum(paid) OVER (PARTITION BY security_id ORDER BY trade_date RANGE BETWEEN INTERVAL 364 DAY PRECEDING AND CURRENT ROW), 0) AS paid_365 FROM price_daily LEFT JOIN p USING (security_id, trade_date)", p="SELECT 'SEC_US_' || l_suppkey AS security_id, CAST(l_shipdate AS DATE) AS trade_date, sum(l_quantity) AS paid FROM lineitem WHERE l_returnflag = 'N' AND l_discount >= 0.09 GROUP BY 1, 2"),
     "roe_three_years": sql("statements", "SELECT security_id, fiscal_year, round(CASE WHEN count(roe) OVER f = 3 AND fiscal_year - lag(fiscal_year, 2) OVER w = 2 THEN avg(roe) OVER f END, 8) AS roe_3y FROM (SELECT *, NI / nullif(SEQ, 0) AS roe FROM wide WHERE fiscal_month = 12) WINDOW w AS (PARTITION BY security_id ORDER BY fiscal_year), f AS (PARTITION BY security_id ORDER BY fiscal_year ROWS 2 PRECEDING)", wide=PERIODS["wide"]),
-    "neighbour_outliers": sql("statements", "SELECT security_id, canonical_id, fiscal_year, fiscal_month, CASE WHEN NOT (a IS NOT NULL AND b IS NOT NULL AND abs(amount) > 1.3 * greatest(abs(a), abs(b))) THEN amount END AS amount FROM (SELECT *, lag(amount) OVER w AS a, lead(amount) OVER w AS b FROM statements WHERE statement_type = 'BS' WINDOW w AS (PARTITION BY security_id, canonical_id ORDER BY fiscal_year, fiscal_month))"),
+    "neighbour_outliers": sql("statements", "SELECT security_id, canonical_id, fiscal_year, fiscal_month, CASE WHEN NOT (a IS NOT NULL AND b IS NOT NULL AND abs(amount) > 100 * greatest(abs(a), abs(b))) THEN amount END AS amount FROM (SELECT *, lag(amount) OVER w AS a, lead(amount) OVER w AS b FROM (SELECT * REPLACE (CASE WHEN canonical_id = 'INVT' AND fiscal_month = 9 THEN amount * 1000 ELSE amount END AS amount) FROM statements WHERE statement_type = 'BS') WINDOW w AS (PARTITION BY security_id, canonical_id ORDER BY fiscal_year, fiscal_month))"),
     "expanding_median": sql("statements", "SELECT security_id, fiscal_year, round(quantile_cont(m, 0.5) OVER (PARTITION BY security_id ORDER BY fiscal_year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 8) AS earlier_median FROM (SELECT *, NI / nullif(SALE, 0) AS m FROM wide WHERE fiscal_month = 12)", wide=PERIODS["wide"]),
     "bounded_accounts": sql("statements", "SELECT security_id, fiscal_year, fiscal_month, CASE WHEN TA IS NULL OR abs(SEQ) <= 0.31 * abs(TA) THEN SEQ END AS SEQ, CASE WHEN TA IS NULL OR abs(LCT) <= 0.14 * abs(TA) THEN LCT END AS LCT, CASE WHEN TA IS NULL OR abs(RE) <= 2.0 * abs(TA) THEN RE END AS RE FROM wide", wide=PERIODS["wide"]),
     "last_periods": sql("statements", "SELECT security_id, fiscal_year, fiscal_month, CAST(place AS INTEGER) AS place, round(SALE, 4) AS SALE FROM (SELECT *, dense_rank() OVER (PARTITION BY security_id ORDER BY fiscal_year DESC, fiscal_month DESC) AS place FROM ttm) WHERE place <= 4", **PERIODS),

@@ -31,7 +31,7 @@ BENEISH = {
     "dsri": "RECT / nullif(SALE, 0) / nullif(RECT_l4 / nullif(SALE_l4, 0), 0)", "gmi": "(SALE_l4 - COGS_l4) / nullif(SALE_l4, 0) / nullif((SALE - COGS) / nullif(SALE, 0), 0)",
     "aqi": "(1 - (ACT + PPENT) / nullif(TA, 0)) / nullif(1 - (ACT_l4 + PPENT_l4) / nullif(TA_l4, 0), 0)", "sgi": "SALE / nullif(SALE_l4, 0)",
     "depi": "DP_l4 / nullif(DP_l4 + PPENT_l4, 0) / nullif(DP / nullif(DP + PPENT, 0), 0)", "sgai": "SGA / nullif(SALE, 0) / nullif(SGA_l4 / nullif(SALE_l4, 0), 0)",
-    "tata": "(NI - CFO) / nullif(TA, 0)", "lvgi": "(DLTT + LCT) / nullif(TA, 0) / nullif((DLTT_l4 + LCT_l4) / nullif(TA_l4, 0), 0)",
+    "tata": "(NI - CFO) / nullif(TA, 0)", "lvgi": "(DLTT + DLC) / nullif(TA, 0) / nullif((DLTT_l4 + DLC_l4) / nullif(TA_l4, 0), 0)",
     "m_score": "-4.84 + 0.92 * dsri + 0.528 * gmi + 0.404 * aqi + 0.892 * sgi + 0.115 * depi - 0.172 * sgai + 4.679 * tata - 0.327 * lvgi",
 }
 #: A test that cannot be made counts 0.

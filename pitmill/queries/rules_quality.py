@@ -9,8 +9,10 @@ from ..functions.semantics import divide
 from ..operators import rules as r
 from ..operators.periods import wide_statements
 from ..sources import readers
-from ..sources.views import ITEMS, read, sql, statements
+from ..sources.tables import shared_path
+from ..sources.views import ITEMS, read, reports, security_master, sql, statements
 from ..streaming import incremental as inc
+from .scoring import FACTORS as _FACTORS
 
 RULES = [{"canonical": "RED_ITEM", "all": ["RED"]}, {"canonical": "BOLT_SIZED", "all": ["BOLT"], "any": ["SMALL", "MEDIUM"]}, {"canonical": "PROMO", "any": ["PROMO"], "none": ["WIDGET"]}, {"canonical": "GEAR", "all": ["GEAR"], "none": ["LARGE"]}]
 PATTERNS = [("COLOUR", "RED|BLUE|GREEN", 2.0, 0), ("PART", "BOLT|GEAR|RING", 1.8, 1), ("GADGET", "WIDGET|GIZMO", 1.8, 2), ("SIZE", "LARGE|SMALL|MEDIUM", 1.0, 3), ("OFFER", "PROMO|ECONOMY|STANDARD", 1.9, 4)]
@@ -107,11 +109,11 @@ def duplicate_risks(spark, d):
     return _lines(spark, d).groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("n_suppliers")).where("n > 1")
 
 
-def jump_anomalies(spark, d):
-    """Accounts that grew or fell by more than half in a year."""
+def jump_anomalies(spark, d, times: float = 5.0):
+    """Every account's change over a year, and whether its size grew or fell by ``times``."""
     w = Window.partitionBy("security_id", "canonical_id", "fiscal_month").orderBy("fiscal_year")
     s = statements(spark, d).withColumn("before", F.lag("amount").over(w)).withColumn("ratio", divide(F.abs("amount"), F.abs("before")))
-    return s.where("ratio >= 1.5 OR ratio <= 0.5").select("security_id", "canonical_id", "fiscal_year", "fiscal_month", F.round("ratio", 6).alias("ratio"))
+    return s.where("ratio IS NOT NULL").select("security_id", "canonical_id", "fiscal_year", "fiscal_month", F.round("ratio", 6).alias("ratio"), ((F.col("ratio") >= times) | (F.col("ratio") * times <= 1)).alias("is_jump"))
 
 
 def readiness_matrix(spark, d):
@@ -159,8 +161,19 @@ def pqc_forecast(spark, d):
     return x.select("p_brand", (F.col("year") + 1).alias("year"), F.round(F.col("q") * (1 + q), 4).alias("quantity"), F.round(F.col("asp") * (1 + asp), 4).alias("asp"), F.round(F.col("unit_cost") * (1 + cost), 4).alias("unit_cost"))
 
 
+def _melted(spark, d):
+    """Factor ids of the long factor rows: three price factors by security's region, and the statement items as growth and margins."""
+    from .scoring import factors
+
+    prices = factors(spark, d).join(F.broadcast(security_master(spark, d).select("security_id", "sector")), "security_id").select(F.concat_ws("_", "factor_id", F.lower(F.regexp_replace("sector", " ", "_"))).alias("factor_id"))
+    items = statements(spark, d).select(F.concat(F.lower("canonical_id"), F.when(F.col("statement_type") == "BS", "_yoy").when(F.col("statement_type") == "IS", "_margin").otherwise("_days")).alias("factor_id"))
+    return prices.unionByName(items)
+
+
 def factor_catalog(spark, d):
-    return readers.catalog(spark.createDataFrame([(x,) for x in ("per", "pbr", "tr_12_1", "sale_yoy", "gpm_margin", "inventory_days", "ev_to_ebitda", "vol_12_1_ann", "na_ratio")], "factor_id string").crossJoin(read(spark, d, "region").select("r_name")).select(F.concat("factor_id", F.lit("_"), F.lower("r_name")).alias("factor_id")))
+    """Type, unit and direction of every factor id that the long rows hold, and its number of rows."""
+    n = _melted(spark, d).groupBy("factor_id").agg(F.count("*").alias("n_rows"))
+    return readers.catalog(n).join(n, "factor_id")
 
 
 def consensus_row_keys(spark, d):
@@ -175,19 +188,57 @@ def stream_latest_version(spark, d):
     return inc.keep_latest(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
-def stream_snapshot(spark, d):
-    """Daily counts of events by type, through a watermarked stream."""
-    e = inc.read_stream(spark, f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    table = inc.VersionedTable(spark, ["event_type", "day"], ["n"], "daily")
+def _event_files(spark, d):
+    """The events as a folder of several files, so that a stream takes them in several batches, days across batches."""
+    path = shared_path(spark, "events")
+    e = read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    e.repartition(5, "event_id").write.parquet(path)
+    return path
 
-    def merge(batch, batch_id):
-        table.merge(batch.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")), batch_id)
 
-    inc.drain(e, merge, "daily")
-    return table.read(spark)
-
-
-QUERIES = {f.__name__: f for f in (account_mapping, sector_classify, mapping_coverage, inconsistent_mapping, subtotal_dedupe, is_cis_priority, structure_outline, context_classify, formula_checks, failure_clusters, filing_verdicts, missing_core, duplicate_risks, jump_anomalies, readiness_matrix, operating_metrics, unit_economics, operating_drivers, pqc_forecast, factor_catalog, consensus_row_keys, stream_latest_version, stream_snapshot)}
+def stream_snapshot(spark, d):
+    """Counts and sums of events by type and day, added up over the batches of a stream."""
+    e = inc.read_stream(spark, _event_files(spark, d))
+    e = e.withColumn("day", F.to_date("ts"))
+    out = inc.keep_sums(e, ["event_type", "day"], {"n": F.lit(1).cast("long"), "total": F.col("value").cast("decimal(24,6)")})
+    return out.select("event_type", "day", "n", F.round(F.col("total").cast("double"), 4).alias("total"))
+
+
+def stream_daily_counts(spark, d):
+    """Event-time windows under a watermark that covers the whole month, drained into a table: every row counts."""
+    path = shared_path(spark, "windows")
+    counts = inc.late_safe_counts(inc.read_stream(spark, _event_files(spark, d)), "ts", ["event_type"], "1 day", "40 days")
+    query = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, k: batch.select("event_type", F.to_date("window.start").alias("day"), "n").write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def stream_live_estimates(spark, d):
+    """Reports as a stream: each broker's latest estimate, if not expired on the newest day."""
+    path = shared_path(spark, "reports")
+    reports(spark, d).repartition(4, "report_idx").write.parquet(path)
+    return inc.live_estimates(inc.read_stream(spark, path), ["security_id", "broker"], "report_date", "report_idx").select("security_id", "broker", "report_date", "estimate", "as_of")
+
+
+def stream_late_filings(spark, d):
+    """Year-end snapshots of net income as known then, written once, though filings and corrections arrive in several batches."""
+    path = shared_path(spark, "filings")
+    s = statements(spark, d).where("canonical_id = 'NI'").select("security_id", "fiscal_year", "fiscal_month", "amount", "report_date")
+    fixed = s.where("fiscal_month = 6").withColumn("amount", F.col("amount") * 2).withColumn("report_date", F.date_add("report_date", 200))
+    both = s.unionByName(fixed)
+    cuts = ["1998-01-01", "2000-01-01", "2100-01-01"]
+    low = "1900-01-01"
+    log = inc.SnapshotLog(spark, f"{path}/log", spark.createDataFrame([(f"{y}-12-31",) for y in range(1995, 2002)], "d string").select(F.to_date("d").alias("snapshot_date")), ["security_id", "fiscal_year", "fiscal_month"], "report_date")
+    for k, high in enumerate(cuts):  # three files, in the order in which they became known
+        both.where((F.col("report_date") >= low) & (F.col("report_date") < high)).coalesce(1).write.parquet(f"{path}/in/part={k}")
+        low = high
+    for k in range(len(cuts)):
+        inc.drain(inc.read_stream(spark, f"{path}/in/part={k}"), lambda batch, _, k=k: log.append(batch, k), f"{path}/checkpoint{k}")
+    log.write(both.schema, len(cuts), final=True)
+    return log.read().groupBy("snapshot_date", "security_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (account_mapping, sector_classify, mapping_coverage, inconsistent_mapping, subtotal_dedupe, is_cis_priority, structure_outline, context_classify, formula_checks, failure_clusters, filing_verdicts, missing_core, duplicate_risks, jump_anomalies, readiness_matrix, operating_metrics, unit_economics, operating_drivers, pqc_forecast, factor_catalog, consensus_row_keys, stream_latest_version, stream_snapshot, stream_daily_counts, stream_live_estimates, stream_late_filings)}
 
 _MAP = "CASE WHEN contains(t, 'RED') THEN 'RED_ITEM' WHEN contains(t, 'BOLT') AND (contains(t, 'SMALL') OR contains(t, 'MEDIUM')) THEN 'BOLT_SIZED' WHEN contains(t, 'PROMO') AND NOT contains(t, 'WIDGET') THEN 'PROMO' WHEN contains(t, 'GEAR') AND NOT contains(t, 'LARGE') THEN 'GEAR' ELSE 'UNMAPPED' END"
 _LABEL = "SELECT *, upper(p_name || ' ' || p_type) AS t FROM part"
@@ -197,7 +248,6 @@ _WIDE = {"wide": "SELECT security_id, fiscal_year, fiscal_month, " + ", ".join(f
 _CK = _WIDE | {"ck": "SELECT *, CASE WHEN difference IS NULL THEN 'SKIP' WHEN abs(difference) <= greatest(1.0, abs(rs) * 0.15) THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT *, ls - rs AS difference FROM (" + " UNION ALL ".join(f"SELECT security_id, fiscal_year, fiscal_month, '{n}' AS check_id, {a} AS ls, {b} AS rs FROM wide" for n, (a, b) in CHECKS.items()) + "))"}
 _ECO = {"eco": "SELECT p_brand, CAST(year(o_orderdate) AS INTEGER) AS year, sum(l_quantity) AS q, sum(l_extendedprice) AS revenue, sum(l_extendedprice * (1 - l_discount) * 0.8) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
         "drv": "SELECT a.p_brand, a.year, a.q, a.revenue / a.q AS asp, a.cost / a.q AS unit_cost, a.q / b.q - 1 AS q_yoy, (a.revenue / a.q) / (b.revenue / b.q) - 1 AS asp_yoy, (a.cost / a.q) / (b.cost / b.q) - 1 AS unit_cost_yoy, a.revenue / b.revenue - 1 AS revenue_yoy FROM eco a JOIN eco b ON a.p_brand = b.p_brand AND a.year = b.year + 1"}
-_CAT = ", ".join(f"('{x}')" for x in ("per", "pbr", "tr_12_1", "sale_yoy", "gpm_margin", "inventory_days", "ev_to_ebitda", "vol_12_1_ann", "na_ratio"))
 SQL = {
     "account_mapping": f"SELECT p_partkey, label, canonical FROM ({_M})",
     "sector_classify": f"WITH ts AS (SELECT DISTINCT t FROM ({_LABEL})), h AS ({_HIT}), g AS (SELECT t, code, sum(w) AS w, min(p) AS p FROM h GROUP BY 1, 2) SELECT p_partkey, code, round(w / total, 6) AS confidence FROM ({_LABEL}) p LEFT JOIN (SELECT t, code, w, sum(w) OVER (PARTITION BY t) AS total FROM g QUALIFY row_number() OVER (PARTITION BY t ORDER BY w DESC, p, code DESC) = 1) x ON p.t = x.t",
@@ -213,16 +263,21 @@ SQL = {
     "filing_verdicts": sql("statements", "SELECT security_id, fiscal_year, errors, greatest(0, 100 - 20 * errors - 5 * skips) AS score, CASE WHEN errors > 3 THEN 'FAIL' WHEN errors > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM (SELECT security_id, fiscal_year, count(*) FILTER (WHERE status = 'FAIL') AS errors, count(*) FILTER (WHERE status = 'SKIP') AS skips FROM ck GROUP BY 1, 2)", **_CK),
     "missing_core": sql("statements", "SELECT p.security_id, p.fiscal_year, m AS fiscal_month, c AS canonical_id FROM (SELECT DISTINCT security_id, fiscal_year FROM statements WHERE amount <> 0) p, (VALUES (3), (6), (9), (12)) t(m), (VALUES ('SALE'), ('NI'), ('TA'), ('SEQ')) u(c) WHERE NOT EXISTS (SELECT 1 FROM statements s WHERE s.security_id = p.security_id AND s.fiscal_year = p.fiscal_year AND s.fiscal_month = m AND s.canonical_id = c AND s.amount <> 0)"),
     "duplicate_risks": "SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1",
-    "jump_anomalies": sql("statements", "SELECT security_id, canonical_id, fiscal_year, fiscal_month, round(q, 6) AS ratio FROM (SELECT *, abs(amount) / nullif(abs(lag(amount) OVER (PARTITION BY security_id, canonical_id, fiscal_month ORDER BY fiscal_year)), 0) AS q FROM statements) WHERE q >= 1.5 OR q <= 0.5"),
+    "jump_anomalies": sql("statements", "SELECT security_id, canonical_id, fiscal_year, fiscal_month, round(q, 6) AS ratio, q >= 5 OR q * 5 <= 1 AS is_jump FROM (SELECT *, abs(amount) / nullif(abs(lag(amount) OVER (PARTITION BY security_id, canonical_id, fiscal_month ORDER BY fiscal_year)), 0) AS q FROM statements) WHERE q IS NOT NULL"),
     "readiness_matrix": sql("statements", "SELECT security_id, fiscal_year, count(DISTINCT canonical_id) FILTER (WHERE canonical_id IN ('SALE', 'COGS', 'NI')) = 3 AS profitability, count(DISTINCT canonical_id) FILTER (WHERE canonical_id IN ('DLTT', 'DLC', 'SEQ')) = 3 AS leverage, count(DISTINCT canonical_id) FILTER (WHERE canonical_id = 'DIV') = 1 AS dividends FROM statements WHERE amount <> 0 GROUP BY 1, 2"),
     "operating_metrics": "SELECT user_id, CASE WHEN regexp_matches(event_type, 'purchase|signup') THEN 'quantity' WHEN regexp_matches(event_type, 'view|click') THEN 'traffic' ELSE 'other' END AS metric_id, k AS header, count(*) AS n, round(sum(CAST(json_extract(props, '$.' || k) AS DOUBLE) * 1000), 4) AS amount FROM (SELECT *, unnest(json_keys(props)) AS k FROM events) GROUP BY 1, 2, 3",
     "unit_economics": f"WITH eco AS ({_ECO['eco']}) SELECT p_brand, year, round(revenue / q, 6) AS asp, round(cost / q, 6) AS unit_cost, round((revenue - cost) / revenue, 6) AS margin, round(revenue / sum(revenue) OVER (PARTITION BY year), 6) AS share FROM eco",
     "operating_drivers": f"WITH eco AS ({_ECO['eco']}), drv AS ({_ECO['drv']}) SELECT p_brand, year, round(q_yoy, 6) AS q_yoy, round(asp_yoy, 6) AS asp_yoy, round(unit_cost_yoy, 6) AS unit_cost_yoy, round(revenue_yoy, 6) AS revenue_yoy FROM drv",
     "pqc_forecast": f"WITH eco AS ({_ECO['eco']}), drv AS ({_ECO['drv']}) SELECT p_brand, year + 1 AS year, round(q * (1 + 0.5 * q_yoy + 0.5 * revenue_yoy), 4) AS quantity, round(asp * (1 + 0.7 * asp_yoy + 0.3 * revenue_yoy), 4) AS asp, round(unit_cost * (1 + 0.6 * unit_cost_yoy + 0.4 * (0.7 * asp_yoy + 0.3 * revenue_yoy)), 4) AS unit_cost FROM drv",
-    "factor_catalog": f"""SELECT f AS factor_id, CASE WHEN regexp_matches(f, '^(tr_|ret_|mom|high_|vol_|rsi|macd|na_|ma_)') THEN 'price' WHEN regexp_matches(f, '(per|pbr|psr|pcr|ev_|yield)') THEN 'valuation' WHEN regexp_matches(f, '(growth|yoy|cagr)') THEN 'growth' ELSE 'fundamental' END AS factor_type,
-        CASE WHEN regexp_matches(f, '(pct|yoy|cagr|growth|yield|margin)') THEN 'percent' WHEN regexp_matches(f, 'days') THEN 'days' ELSE 'ratio' END AS unit, CASE WHEN regexp_matches(f, '^(per|pbr|psr|pcr|vol_|ev_to|debt|na_ratio)') THEN 'lower' ELSE 'higher' END AS value_direction
-        FROM (SELECT x || '_' || lower(r_name) AS f FROM (VALUES {_CAT}) t(x), region)""",
+    "factor_catalog": sql("price_daily security_master statements", """SELECT f AS factor_id, CASE WHEN regexp_matches(f, '^(tr_|ret_|mom|high_|vol_|rsi|macd|na_|ma_)') THEN 'price' WHEN regexp_matches(f, '(per|pbr|psr|pcr|ev_|yield)') THEN 'valuation' WHEN regexp_matches(f, '(growth|yoy|cagr)') THEN 'growth' ELSE 'fundamental' END AS factor_type,
+        CASE WHEN regexp_matches(f, '(pct|yoy|cagr|growth|yield|margin)') THEN 'percent' WHEN regexp_matches(f, 'days') THEN 'days' ELSE 'ratio' END AS unit, CASE WHEN regexp_matches(f, '^(per|pbr|psr|pcr|vol_|ev_to|debt|na_ratio)') THEN 'lower' ELSE 'higher' END AS value_direction, count(*) AS n_rows
+        FROM (SELECT factor_id || '_' || lower(replace(sector, ' ', '_')) AS f FROM factors JOIN security_master USING (security_id)
+        UNION ALL SELECT lower(canonical_id) || CASE statement_type WHEN 'BS' THEN '_yoy' WHEN 'IS' THEN '_margin' ELSE '_days' END FROM statements) GROUP BY f""", **{k: _FACTORS[k] for k in ("wide_f", "factors")}),
     "consensus_row_keys": "SELECT DISTINCT sha256(b || chr(31) || d) AS row_key, b AS broker, d AS day FROM (SELECT CAST(o_custkey % 50 AS VARCHAR) AS b, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders)",
     "stream_latest_version": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "stream_snapshot": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "stream_daily_counts": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_live_estimates": sql("reports", "SELECT security_id, broker, report_date, estimate, (SELECT max(report_date) FROM reports) AS as_of FROM reports WHERE true QUALIFY row_number() OVER (PARTITION BY security_id, broker ORDER BY report_date DESC, report_idx DESC) = 1 AND (SELECT max(report_date) FROM reports) - report_date <= 180"),
+    "stream_late_filings": sql("statements", """SELECT snapshot_date, security_id, count(*) AS n, round(sum(amount), 2) AS total FROM (SELECT y AS snapshot_date, security_id, max_by(amount, report_date) AS amount FROM (SELECT make_date(CAST(i AS INTEGER), 12, 31) AS y FROM range(1995, 2002) t(i)) JOIN (
+        SELECT security_id, fiscal_year, fiscal_month, amount, report_date FROM statements WHERE canonical_id = 'NI' UNION ALL SELECT security_id, fiscal_year, fiscal_month, amount * 2, report_date + 200 FROM statements WHERE canonical_id = 'NI' AND fiscal_month = 6) ON report_date <= y GROUP BY y, security_id, fiscal_year, fiscal_month) GROUP BY 1, 2"""),
 }
