@@ -5,9 +5,10 @@ Jaccard similarity reaches the threshold share a token in their prefixes under
 *every* global order of the tokens, and as many as their sizes ask for. Three
 orders are used: rare tokens first, and the same within either half of the
 tokens first, so that the last two test different tokens. One pass over the
-texts gives the prefixes under all of them. A join on prefix tokens of the first
-order gives candidates; of these only pairs that share enough prefix tokens under
-each of the three orders have their texts fetched and their sets intersected.
+texts gives the prefixes under all of them, those of the first order as rows and
+all as bitmaps. A join on prefix tokens of the first order gives candidates; of
+these only pairs whose bitmaps allow enough shared prefix tokens under each of the
+three orders have their texts fetched and their sets intersected.
 
 Groups of copies are kept from growing quadratically. Documents with equal sets
 are one class from the start. Within a prefix token's group every member is
@@ -39,6 +40,8 @@ from .common import ints, lower_ascii, mix, sequence_hashes, slices, span_hashes
 from .components import components
 
 SKETCH_BITS, ORDERS = 20, 3
+#: Longs of a prefix's bitmap.
+SIGN_WORDS = 8
 BLOCK_TOKENS = 1_000_000
 #: So many ids at most are broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
@@ -124,11 +127,19 @@ def prefix(tokens: np.ndarray, level: np.ndarray, order: int, percent: int) -> n
     return np.sort(np.partition(keys, p - 1)[:p])
 
 
+def signatures(keys: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each prefix a bitmap of ``SIGN_WORDS`` longs of its keys' lowest bits, and how many keys fell on a bit that was taken."""
+    bits = SIGN_WORDS * 64
+    held = np.zeros((len(each), bits), np.uint8)
+    held[np.repeat(np.arange(len(each)), each), (keys & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(held, axis=1, bitorder="little").view(np.int64), (each - held.sum(1)).astype(np.int32)
+
+
 def postings(docs: DataFrame, width: int, percent: int, level) -> DataFrame:
-    """(token, doc_id, pos, n): each document's prefix under the first order; the row at place 0 also has all its prefixes. ``level``: a broadcast of ``rarity``.
+    """(token, doc_id, pos, n): each document's prefix under the first order; the row at place 0 also has the signatures of its prefixes. ``level``: a broadcast of ``rarity``.
 
-    ``prefixes`` has the lowest 32 bits of the keys under each order, and ``lost`` how
-    many keys of a prefix at most are no longer told apart by these.
+    ``signs`` has the bitmaps of the prefixes under all orders, and ``lost`` for each
+    how many keys share a bit with others of the same prefix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,21 +152,17 @@ def postings(docs: DataFrame, width: int, percent: int, level) -> DataFrame:
                 each = np.array([len(k[0]) for k in keys])
                 first = np.cumsum(each) - each
                 columns = np.concatenate([k[0] for k in keys]), np.repeat(np.array(ids, np.int64), each), np.arange(each.sum()) - np.repeat(first, each), np.repeat(np.array(sizes), each)
-                none = np.ones(int(each.sum()), bool)
-                none[first] = False
-                short = [[np.unique(x.astype(np.uint32)) for x in k] for k in keys]
-                lost = np.zeros(len(none), np.int32)
-                lost[first] = [n - min(len(x) for x in k) for n, k in zip(each, short, strict=True)]
                 rows = [ints(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
-                for o in range(ORDERS):
-                    size = np.zeros(len(none), np.int32)
-                    size[first] = [len(k[o]) for k in short]
-                    offsets = pa.array(np.append(0, np.cumsum(size)).astype(np.int32), mask=np.append(none, False))
-                    rows.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([k[o] for k in short]).view(np.int32))))
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(lost)], names)
+                signs, lost = zip(*(signatures(np.concatenate([k[o] for k in keys]), each) for o in range(ORDERS)), strict=True)
+                at = np.full(len(columns[0]), -1)
+                at[first] = np.arange(len(first))
+                none = at < 0
+                for values, kind in ((np.concatenate(signs, axis=1), pa.int64()), (np.stack(lost, axis=1), pa.int32())):
+                    offsets = pa.array(np.append(0, np.cumsum(~none) * values.shape[1]).astype(np.int32), mask=np.append(none, False))
+                    rows.append(pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1), kind)))
+                yield pa.RecordBatch.from_arrays(rows, ["token", "doc_id", "pos", "n", "signs", "lost"])
 
-    names = ["token", "doc_id", "pos", "n", *(f"prefix{o}" for o in range(ORDERS)), "lost"]
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "token long, doc_id long, pos int, n int, " + "".join(f"prefix{o} array<int>, " for o in range(ORDERS)) + "lost int")
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "token long, doc_id long, pos int, n int, signs array<long>, lost array<int>")
 
 
 def may_link(i: Column, n: Column, j: Column, m: Column, percent: int) -> Column:
@@ -176,19 +183,22 @@ def of_wanted(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def enough_shared(pairs: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share as many prefix tokens under every order as a link needs.
+    """The pairs (a, b) that may share as many prefix tokens under every order as a link needs.
 
     A link has a certain number of common tokens. Of these, under any order, only as
     many as the longer rest of the two sets, beyond its prefix, can be missing from
-    the prefixes.
+    the prefixes. Shared tokens fall on shared bits, one each but for the lost ones, so
+    the bits that two prefixes share bound their common tokens from above; very long
+    prefixes fill their bitmaps and pass.
     """
-    signs = of_wanted(listed.where("pos = 0").select("doc_id", "n", *(f"prefix{o}" for o in range(ORDERS)), "lost"), pairs)
-    a, b = (signs.select(*(F.col(c).alias(k if c == "doc_id" else f"{k}_{c}") for c in signs.columns)) for k in "ab")
+    signs = of_wanted(listed.where("pos = 0").select("doc_id", "n", "signs", "lost"), pairs)
+    a, b = (signs.toDF(k, f"{k}_n", f"{k}_signs", f"{k}_lost") for k in "ab")
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    needed = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent)) - F.greatest(rest("a_n"), rest("b_n")) - F.least("a_lost", "b_lost")
+    needed = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent)) - F.greatest(rest("a_n"), rest("b_n"))
     both = pairs.join(a, "a").join(b, "b")
     for o in range(ORDERS):
-        both = both.where(F.size(F.array_intersect(f"a_prefix{o}", f"b_prefix{o}")) >= needed)
+        bits = sum((F.bit_count(F.get("a_signs", F.lit(k)).bitwiseAND(F.get("b_signs", F.lit(k)))) for k in range(o * SIGN_WORDS, (o + 1) * SIGN_WORDS)), F.lit(0))
+        both = both.where(bits + F.least(F.get("a_lost", F.lit(o)), F.get("b_lost", F.lit(o))) >= needed)
     return both.select("a", "b")
 
 

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pitmill.llm.components import components
-from pitmill.llm.ngram_jaccard import near_duplicates
+from pitmill.llm.ngram_jaccard import near_duplicates, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,3 +81,13 @@ def test_counts_every_link(spark, monkeypatch, block):
     want = {k: sum(s != t and 100 * len(s & t) >= 80 * len(s | t) for t in kinds) for k, s in enumerate(sets)}
     got = {r.doc_id: r.n_links for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 3, 80).collect()}
     assert got == want and max(want.values()) > 10
+
+
+def test_signatures_bound_common_keys():
+    rng = np.random.default_rng(3)
+    for n in (1, 20, 300, 3000):
+        a, b = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for _ in "ab")
+        b[: n // 2] = a[: n // 2]
+        (x, y), (la, lb) = signatures(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        shared = sum(int(i & j).bit_count() for i, j in zip(x.view(np.uint64).tolist(), y.view(np.uint64).tolist()))
+        assert shared + min(la, lb) >= len(np.intersect1d(a, b))
