@@ -35,7 +35,7 @@ from .common import slices, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK, UNKNOWN_PENALTY = "▁", 10.0
 #: Stretches shorter than ``CACHED`` characters are kept, so many of them; longer ones are fed in parts.
-CACHE_ENTRIES, CACHED, FEED = 400_000, 64, 4096
+CACHE_ENTRIES, CACHED, FEED = 200_000, 64, 4096
 #: Blanks with what follows up to the next blank; valid if no piece has a blank after another character.
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
