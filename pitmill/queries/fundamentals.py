@@ -11,6 +11,7 @@ from ..operators import periods as p
 from ..operators.asof import asof_join
 from ..sources.views import FLOWS, ITEMS, price_daily, shares_monthly, sql, statements
 from .market import rolling_beta
+from .fundamentals_sql import ratio_sql, valuation_sql
 from .market import SQL as MARKET_SQL
 
 ALL = list(ITEMS)
@@ -297,3 +298,4 @@ SQL = {name: text() for name, (_, text) in RATIOS.items()} | {
         round(arg_max_null((amount - b) / nullif(abs(b), 0), fiscal_year) * 100, 6) AS change FROM (SELECT *, lag(amount) OVER (PARTITION BY security_id, canonical_id ORDER BY fiscal_year) AS b FROM statements WHERE fiscal_month = 12) GROUP BY 1, 2"""),
     "ratio_history": sql(_V, f"SELECT security_id, fiscal_year, fiscal_month, round(max_by(per, trade_date), 6) AS per, max(trade_date) AS as_of FROM ({_chain('SELECT * FROM daily', {'eps': VALUATION['eps'], 'per': VALUATION['per']})}) WHERE per IS NOT NULL GROUP BY 1, 2, 3", **PERIODS, **DAILY),
 }
+SQL |= ratio_sql(PERIODS) | {"valuation_multiples": valuation_sql(PERIODS, DAILY)}

@@ -117,7 +117,8 @@ def _multiples(spark, d):
 
 def _bands(spark, d):
     rows = _multiples(spark, d)
-    current = rows.groupBy("security_id", "factor_id").agg(F.max_by(F.struct("multiple", "close"), "trade_date").alias("x")).select("security_id", "factor_id", "x.*")
+    last = price_daily(spark, d).groupBy("security_id").agg(F.max_by("close", "trade_date").alias("close"))
+    current = rows.groupBy("security_id", "factor_id").agg(F.max_by("multiple", "trade_date").alias("multiple")).join(last, "security_id")
     own = rows.groupBy("security_id", "factor_id", F.trunc("trade_date", "month").alias("m")).agg(F.max_by("multiple", "trade_date").alias("v")).groupBy("security_id", "factor_id").agg(F.round(F.percentile("v", 0.5), 9).alias("own"))
     current = current.join(security_master(spark, d).select("security_id", "sector", F.lit("ALL").alias("market")), "security_id")
     return lab.fair_prices(current, own, ["sector", "market"])
@@ -182,7 +183,7 @@ _MULT = PERIODS | DAILY | {
         UNION ALL SELECT security_id, trade_date, close, round(close / (SEQ / shares), 9), 'pbr' FROM daily WHERE shares > 0 AND SEQ > 0
         UNION ALL SELECT security_id, trade_date, close, round(close * shares / SALE, 9), 'psr' FROM daily WHERE SALE > 0 AND shares IS NOT NULL
         UNION ALL SELECT security_id, trade_date, close, round(close * shares / CFO, 9), 'pcr' FROM daily WHERE CFO > 0 AND shares IS NOT NULL""",
-    "cur": "SELECT c.*, sector FROM (SELECT security_id, factor_id, max_by(multiple, trade_date) AS multiple, max_by(close, trade_date) AS close FROM multiples GROUP BY 1, 2) c JOIN security_master USING (security_id)",
+    "cur": "SELECT c.*, close, sector FROM (SELECT security_id, factor_id, max_by(multiple, trade_date) AS multiple FROM multiples GROUP BY 1, 2) c JOIN (SELECT security_id, max_by(close, trade_date) AS close FROM price_daily GROUP BY 1) USING (security_id) JOIN security_master USING (security_id)",
     "own": "SELECT security_id, factor_id, round(quantile_cont(v, 0.5), 9) AS own FROM (SELECT security_id, factor_id, max_by(multiple, trade_date) AS v FROM multiples GROUP BY 1, 2, date_trunc('month', trade_date)) GROUP BY 1, 2",
     "bands": """SELECT *, close * target / multiple AS fair_price FROM (SELECT c.*, list_sort([own, s, m])[2] AS target FROM cur c JOIN own USING (security_id, factor_id) JOIN (SELECT factor_id, sector, round(quantile_cont(multiple, 0.5), 9) AS s FROM cur GROUP BY 1, 2) USING (factor_id, sector) JOIN (SELECT factor_id, round(quantile_cont(multiple, 0.5), 9) AS m FROM cur GROUP BY 1) USING (factor_id))""",
 }
