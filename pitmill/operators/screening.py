@@ -34,16 +34,16 @@ def factor_scores(values: DataFrame, group: str = "industry_group", sector: str
     )
     rows = levelled.withColumn("_c", F.explode(choices)).withColumn("at", F.col("_c.at")).withColumn("code", F.col("_c.code")).drop("_c")
     by = [*DAY_FACTOR, "at", "code"]
-    bounds = rows.groupBy(*by).agg(F.percentile("factor_value", [winsor[0], winsor[1], 0.5]).alias("q"), F.count("factor_value").alias("n_peers"))
-    rows = rows.join(bounds, by).withColumn("winsorized", F.greatest(F.col("q")[0], F.least(F.col("q")[1], "factor_value")))
-    middle = rows.groupBy(*by).agg(F.percentile("winsorized", 0.5).alias("median"))
-    rows = rows.join(middle, by).withColumn("_off", F.abs(F.col("winsorized") - F.col("median")))
-    spread = rows.groupBy(*by).agg(F.percentile("_off", 0.5).alias("mad"))
+    w = Window.partitionBy(*by)  # one shuffle for all statistics of a group
+    rows = rows.withColumns({"q": F.percentile("factor_value", [winsor[0], winsor[1]]).over(w), "n_peers": F.count("factor_value").over(w)})
+    rows = rows.withColumn("winsorized", F.greatest(F.col("q")[0], F.least(F.col("q")[1], "factor_value")))
+    rows = rows.withColumn("median", F.percentile("winsorized", 0.5).over(w))
+    rows = rows.withColumn("mad", F.percentile(F.abs(F.col("winsorized") - F.col("median")), 0.5).over(w))
     value = F.col("winsorized")
     turned = F.when(F.col("factor_id").isin(list(lower_better)), -value).otherwise(value) if lower_better else value
-    rows = rows.withColumn("_turned", turned).withColumn("score", percentile_score(F.col("_turned"), by)).join(spread, by)
+    rows = rows.withColumn("_turned", turned).withColumn("score", percentile_score(F.col("_turned"), by))
     rows = rows.where(F.col("at") == F.col("level")).withColumn("robust_z", robust_z(value, F.col("median"), F.col("mad")))
-    return rows.withColumn("confidence", F.when(F.col("n_peers") < least, 0.25).otherwise(1.0)).drop("_off", "_turned", "q", "at", "code")
+    return rows.withColumn("confidence", F.when(F.col("n_peers") < least, 0.25).otherwise(1.0)).drop("_turned", "q", "at", "code")
 
 
 def weighted_scores(scores: DataFrame, weights: DataFrame, name: str = "style") -> DataFrame:

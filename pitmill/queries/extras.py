@@ -143,7 +143,7 @@ def missing_score_dates(spark, d):
 
 def sector_full_outer(spark, d):
     """Price and factor statistics of sectors side by side, also where one is missing."""
-    m = F.broadcast(security_master(spark, d))
+    m = security_master(spark, d)
     prices = price_daily(spark, d).join(m, "security_id").where("volume > 40").groupBy("sector").agg(F.count("*").alias("n_days"), F.max("close").alias("top"))
     facts = sc.snapshots(spark, d).where("factor_id = 'mom_1m' AND factor_value > 20").join(m, "security_id").groupBy("sector").agg(F.count("*").alias("n_high"))
     return prices.join(facts, "sector", "full_outer")
@@ -151,7 +151,7 @@ def sector_full_outer(spark, d):
 
 def country_risk(spark, d):
     """Sectors as countries: percentile of month volatility and of drawdown among the last 24 months, weighted."""
-    p = price_daily(spark, d).join(F.broadcast(security_master(spark, d).select("security_id", "sector")), "security_id")
+    p = price_daily(spark, d).join(security_master(spark, d).select("security_id", "sector"), "security_id")
     m = p.groupBy("sector", F.trunc("trade_date", "month").alias("month")).agg(F.round(F.stddev_samp("close") / F.avg("close"), 9).alias("vol"), F.round(F.min("close") / F.max("close") - 1, 9).alias("fall"))
     w = Window.partitionBy("sector").orderBy("month").rowsBetween(-23, 0)
 

@@ -11,7 +11,7 @@ from .scoring import FACTORS, snapshots
 
 def context(spark, d):
     rows = snapshots(spark, d)
-    master = F.broadcast(security_master(spark, d).select("security_id", "industry_group", "sector"))
+    master = security_master(spark, d).select("security_id", "industry_group", "sector")
     base = rows.select("trade_date", "security_id").distinct().join(master, "security_id")
     return g.Context(rows.select("trade_date", "security_id", "factor_id", "factor_value"), base.select("trade_date", "security_id", "industry_group", "sector"))
 

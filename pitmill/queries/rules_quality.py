@@ -165,7 +165,7 @@ def _melted(spark, d):
     """Factor ids of the long factor rows: three price factors by security's region, and the statement items as growth and margins."""
     from .scoring import factors
 
-    prices = factors(spark, d).join(F.broadcast(security_master(spark, d).select("security_id", "sector")), "security_id").select(F.concat_ws("_", "factor_id", F.lower(F.regexp_replace("sector", " ", "_"))).alias("factor_id"))
+    prices = factors(spark, d).join(security_master(spark, d).select("security_id", "sector"), "security_id").select(F.concat_ws("_", "factor_id", F.lower(F.regexp_replace("sector", " ", "_"))).alias("factor_id"))
     items = statements(spark, d).select(F.concat(F.lower("canonical_id"), F.when(F.col("statement_type") == "BS", "_yoy").when(F.col("statement_type") == "IS", "_margin").otherwise("_days")).alias("factor_id"))
     return prices.unionByName(items)
 

@@ -58,7 +58,7 @@ def universe(spark, d):
 
 
 def _valued(spark, d):
-    return snapshots(spark, d).join(F.broadcast(security_master(spark, d)), "security_id")
+    return snapshots(spark, d).join(security_master(spark, d), "security_id")
 
 
 def factor_scores(spark, d):
@@ -95,7 +95,7 @@ def industry_snapshot(spark, d):
 
 def screen_top_percent(spark, d):
     top = screen(snapshots(spark, d), [{"factor_id": "mom_1m", "op": "top_percent", "value": 20}])
-    return top.join(F.broadcast(security_master(spark, d).select("security_id", "name", "sector")), "security_id").select("trade_date", "security_id", "name", "sector", "n_matched", F.col("value_0").alias("mom_1m"))
+    return top.join(security_master(spark, d).select("security_id", "name", "sector"), "security_id").select("trade_date", "security_id", "name", "sector", "n_matched", F.col("value_0").alias("mom_1m"))
 
 
 ANY = [{"factor_id": "mom_1m", "op": ">", "value": 0.5}, {"factor_id": "high_gap", "op": "between", "value": [-0.2, 0.0]}]
@@ -128,7 +128,7 @@ def bands_blend(spark, d):
     """Target price ratio as the median of own history, sector and market, with bands and a signal at 5 %."""
     p = price_daily(spark, d)
     last = p.groupBy("security_id").agg(F.max_by("close", "trade_date").alias("close"), F.round(F.percentile("close", 0.5), 6).alias("own"))
-    rows = last.join(F.broadcast(security_master(spark, d).select("security_id", "sector")), "security_id")
+    rows = last.join(security_master(spark, d).select("security_id", "sector"), "security_id")
     sector = rows.groupBy("sector").agg(F.round(F.percentile("close", 0.5), 6).alias("of_sector"))
     market = rows.agg(F.round(F.percentile("close", 0.5), 6).alias("of_market"))
     out = rows.join(F.broadcast(sector), "sector").crossJoin(F.broadcast(market)).withColumn("target", F.array_sort(F.array("own", "of_sector", "of_market"))[1])
@@ -142,7 +142,7 @@ def sector_leaders(spark, d):
     p = price_daily(spark, d)
     w = t.security_days()
     p = p.withColumn("r21", t.momentum(F.col("close"), 0, 21)).withColumn("near", F.col("close") >= 0.9 * F.max("high").over(t.rows(w, 252)))
-    last = p.groupBy("security_id").agg(F.max_by(F.struct("r21", "near"), "trade_date").alias("x")).join(F.broadcast(security_master(spark, d)), "security_id")
+    last = p.groupBy("security_id").agg(F.max_by(F.struct("r21", "near"), "trade_date").alias("x")).join(security_master(spark, d), "security_id")
     return last.groupBy("sector").agg(F.count("*").alias("n"), F.round(F.avg("x.r21"), 5).alias("mean_return"), F.round(F.avg(F.col("x.near").cast("double")), 5).alias("strong_share"))
 
 
