@@ -41,3 +41,65 @@ def test_nulls_empty_and_no_labels(spark):
     got = score(docs, train(docs, labels)).collect()
     assert len(got) == 4 and {r.score for r in got} == {0.5}
     assert score(docs.limit(0), fit([], np.empty(0, np.int64))).collect() == []
+
+
+def brute_buckets(text):
+    """N-grams of a text by the definition, one at a time."""
+    import re
+
+    from pitmill.llm.common import mix, span_hashes
+    from pitmill.llm.quality import _KIND, BYTE_BUCKETS, SHAPE_BUCKETS
+
+    b = (text or "").encode()
+    out = {(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 18 for i in range(len(b) - 2)}
+    shapes, before = [], None
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", b):
+        w = m.group()
+        kinds = [int(_KIND[c]) for c in w]
+        h = span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        shape = kinds[0]
+        for more in (kinds[-1], min(len(w), 15), min(kinds.count(2), 2), min(kinds.count(1), 2), int(h == before)):
+            shape = shape * 41 + more
+        shapes.append(shape)
+        before = h
+    for x, y in zip(shapes, shapes[1:]):
+        out.add(BYTE_BUCKETS + int(mix(np.array([x * 1_000_003 + y], np.uint64))[0]) % SHAPE_BUCKETS)
+    return sorted(out)
+
+
+def test_score_equals_brute_force(spark):
+    rows = corpus(200, seed=9)
+    texts = ["", None, "ab", "a b", "A1 A1 zz!", "é ü “x” 12.5%", " \n ", "x " * 3000] + [t for _, t, _ in rows[:30]]
+    model = fit([np.array(brute_buckets(t)) for _, t, _ in rows], np.array([q for *_, q in rows]))
+    got = {r.doc_id: (r.score, r.predicted) for r in score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        margin = sum(float(model.weights[b]) for b in brute_buckets(t)) + model.bias
+        want = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -50, 50)))
+        assert abs(got[k][0] - want) < 1e-4 and got[k][1] == int(got[k][0] >= 0.3)
+
+
+def test_training_reaches_the_optimum():
+    """Against the hinge-loss optimum by plain subgradient steps on the same scaled indicators."""
+    rng = np.random.default_rng(2)
+    labels = rng.integers(0, 2, 120)
+    rows = [np.unique(np.where(rng.random(12) < 0.65, rng.integers(0, 40, 12) + 40 * y, rng.integers(0, 80, 12))) for y in labels]
+    model = fit(rows, labels, rounds=400)
+    order = np.random.default_rng(1).permutation(len(rows))
+    used = order[len(rows) // 5 :]
+    sums = np.ones((2, BUCKETS))
+    for k in used:
+        sums[labels[k], rows[k]] += 1
+    ratio = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
+    x = np.zeros((len(used), 81))
+    for i, k in enumerate(used):
+        x[i, rows[k]] = ratio[rows[k]]
+        x[i, 80] = 1
+    y, share = 2.0 * labels[used] - 1, labels.mean()
+    cost = np.where(y > 0, 5 / share, 5 / (1 - share)) / np.mean((x**2).sum(1))
+    loss = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    w = best = np.zeros(81)
+    for step in range(1, 20001):
+        w = w - (w - x.T @ (cost * y * (y * (x @ w) < 1))) / step
+        best = min(best, w, key=loss)
+    mine = np.append(np.divide(model.weights[:80], ratio[:80], out=np.zeros(80), where=ratio[:80] != 0), model.bias)
+    assert loss(mine) <= 1.02 * loss(best)
