@@ -53,7 +53,11 @@ class Pieces:
     longest: int
     unknown: float
     blanks_lead: bool
+    #: Characters that are pieces.
+    single: frozenset[str] = frozenset()
     cache: dict[str, bytes] = field(default_factory=dict)
+    #: The generation before; what is asked for again moves on.
+    older: dict[str, bytes] = field(default_factory=dict)
 
 
 def build_trie(search: dict[str, tuple[int, float]]) -> dict[str, tuple]:
@@ -86,7 +90,7 @@ def load_pieces(path: str = MODEL) -> Pieces:
     if min(byte_ids) < 0:
         raise ValueError("the model has no byte pieces, so not every text could be decoded")
     blanks_lead = not any(x[1] == BLANK != x[0] for x in inner)
-    return Pieces(search, build_trie(search), bytes_of, byte_ids, max(map(len, search)), worst - UNKNOWN_PENALTY, blanks_lead)
+    return Pieces(search, build_trie(search), bytes_of, byte_ids, max(map(len, search)), worst - UNKNOWN_PENALTY, blanks_lead, frozenset(p for p in search if len(p) == 1))
 
 
 class StreamingViterbi:
@@ -132,14 +136,14 @@ class StreamingViterbi:
     def _search(self, until: int, out: list[int]) -> None:
         """Search from all places before ``until``, and commit what later characters cannot change."""
         trie, longest, unknown, text, scores, sizes, ids = self.pieces.trie, self.pieces.longest, self.pieces.unknown, self.text, self.scores, self.sizes, self.ids
-        far = self.far
+        single, far = self.pieces.single, self.far
         for at in range(self.done, until):
             if far == at:  # the only open place: all paths have converged here
                 self._commit(at, out)
             elif at - max(self.committed, self.checked) >= self.window:
                 self.checked = at
                 self._commit(self._shared(at, far), out)
-            score, single, node, end = scores[at], False, trie, at
+            score, node, end = scores[at], trie, at
             for c in text[at : at + longest]:
                 found = node.get(c)
                 if found is None:
@@ -147,13 +151,12 @@ class StreamingViterbi:
                 node, k, gain = found
                 end += 1
                 if k >= 0:
-                    single |= end == at + 1
                     gain += score
                     if gain > scores[end]:
                         scores[end], sizes[end], ids[end] = gain, end - at, k
                         if end > far:
                             far = end
-            if not single and score + unknown > scores[at + 1]:
+            if text[at] not in single and score + unknown > scores[at + 1]:
                 scores[at + 1], sizes[at + 1], ids[at + 1] = score + unknown, 1, -1
                 if at >= far:
                     far = at + 1
@@ -221,15 +224,22 @@ def encode(text: str, pieces: Pieces) -> np.ndarray:
     if not text:
         return np.empty(0, np.int32)
     cache, found, search = pieces.cache, [], StreamingViterbi(pieces)
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
+    if len(cache) > CACHE_ENTRIES // 2:
+        pieces.older, pieces.cache = cache, {}
+        cache = pieces.cache
     for k, part in enumerate(text.split(BLANK)):
         if k:
             found.append(array("i", [pieces.byte_ids[b] for b in BLANK.encode("utf-8")]).tobytes())
         part = (BLANK if not k else "") + part.replace(" ", BLANK)
         for chunk in CHUNK.findall(part) if pieces.blanks_lead else [part]:
             ids = cache.get(chunk)
-            found.append(_ids(chunk, pieces, search) if ids is None else ids)
+            if ids is None:
+                ids = pieces.older.get(chunk)
+                if ids is None:
+                    ids = _ids(chunk, pieces, search)
+                else:
+                    cache[chunk] = ids
+            found.append(ids)
     return np.frombuffer(b"".join(found), np.int32)
 
 

@@ -88,9 +88,11 @@ def test_every_id_comes_from_the_streaming_search(monkeypatch):
 
     monkeypatch.setattr(StreamingViterbi, "_commit", counted)
     pieces.cache.clear()
+    pieces.older.clear()
     text = " ".join(f"thonorin{k}able" for k in range(300)) + "thonorinable" * 700
     assert sum(given) == 0 and len(encode(text, pieces)) == sum(given) and max(given) < 300
     pieces.cache.clear()
+    pieces.older.clear()
 
 
 def test_long_stretches_without_convergence():
