@@ -13,7 +13,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: A few of each module by default; all of them with TEST_ALL_QUERIES=1.
 SOME = """price_daily_from_lines factor_melt_long momentum rsi rolling_beta annual_margins piotroski valuation_multiples dividend_streaks unit_scale_repair
 snapshot_incremental style_scores screen_mixed_all bands_market graph_nested graph_shrunk_zscore graph_weighted_renormalized nav_curve eval_ic
-target_consensus_boundaries composite_provider sector_classify formula_checks stream_latest_version""".split()
+target_consensus_boundaries composite_provider sector_classify formula_checks stream_latest_version factor_catalog stream_snapshot
+stream_late_filings dividend_scan risk_free_rates metric_flags asof_stale_forward strict_targets validity_marks screen_filtered lab_factor run_ranking
+rebalance_semiannual vectors_train_test central_band sign_policy reports_json industry_winsorized beneish""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
 
