@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
-        edges = staged(small, "edges")
+        before, edges = edges, staged(small, "edges")
+        drop_staged(before)
         roots = edges.select(F.col("b").alias("a")).distinct()
         loose = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a").union(edges.join(roots, "a", "left_semi").select("a"))
         if loose.isEmpty():

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ints, lower_ascii, mix, sequence_hashes, slices, span_hashes, staged, table, text_bytes, word_spans
+from .common import drop_staged, ints, lower_ascii, mix, sequence_hashes, slices, span_hashes, staged, table, text_bytes, word_spans
 from .components import components
 
 SKETCH_BITS, ORDERS = 20, 3
@@ -219,7 +219,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     pairs = staged(pairs, "pairs")
     texts = staged(of_wanted(docs.select("doc_id", "text"), pairs), "texts")
     both = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
+    links = staged(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct(), "links")
+    drop_staged(pairs, texts)
+    return links
 
 
 def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
@@ -299,7 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     star = live.join(pivot.select("token", "p"), "token").where(F.col("doc_id") != F.col("p.doc_id"))
     star = star.where(may_link(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n"), percent))
     star = staged(star.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct(), "stars")
-    links = staged(verified(enough_shared(star, listed, percent), docs, width, percent), "links")
+    links = verified(enough_shared(star, listed, percent), docs, width, percent)
 
     near = components(links)
     named = live.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -308,7 +310,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     x, y = (named.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("doc_id", "pos", "n", "component"))) for k in "xy")
     cross = x.join(y, (x["token"] == y["token"]) & (x["x_doc_id"] < y["y_doc_id"]) & (x["x_component"] != y["y_component"]) & may_link(x["x_pos"], x["x_n"], y["y_pos"], y["y_n"], percent))
     cross = cross.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = staged(verified(enough_shared(staged(cross, "cross"), listed, percent), docs, width, percent), "links")
+    cross = staged(cross, "cross")
+    drop_staged(live, named, star)
+    more = verified(enough_shared(cross, listed, percent), docs, width, percent)
+    drop_staged(listed, cross)
 
     found = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if not more.isEmpty() else near
     degree = link_counts(found, docs, width, percent)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, ints, lower_ascii, mix, slices, span_hashes, staged, table, text_bytes, word_spans
+from .common import _powers, drop_staged, ints, lower_ascii, mix, slices, span_hashes, staged, table, text_bytes, word_spans
 
 RUN, MAX_WORDS, MIN_WORDS = 3, 16, 12
 #: In a long sentence, about one word in so many ends a piece.
@@ -130,6 +130,8 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max
     firsts = listed.groupBy("run").agg(F.min(named).alias("_first"), F.min(row).alias("_row"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = listed.join(firsts, "run").where("CASE WHEN no_id THEN _first IS NOT NULL OR id > _row ELSE id > _first END")
     cut = later.groupBy(F.col("id").alias("_of"), F.col("no_id").alias("_none")).agg(F.collect_set("run").alias("_cut"))
+    cut = staged(cut, "cuts")
+    drop_staged(listed)
     joined = docs.join(cut, (docs["_id"] == cut["_of"]) & (docs["_no_id"] == cut["_none"]), "left")
     at = names.index("text")
 
