@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -155,3 +156,35 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets), ints(values, kind))
 
 
+def bitmap(df: DataFrame, place: Column, bits: int) -> np.ndarray:
+    """A bitmap of 2^``bits`` bits, packed into bytes, in which the bits ``place`` (0 to 2^bits - 1) of all rows are set.
+
+    Its size is fixed. Pieces of 32768 bits are put together in Spark; at most 2^(bits - 15) of these, 4 KB each, reach the driver.
+    """
+    place = place + 1  # Spark counts such places from 1
+    pieces = df.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b"))
+    out = np.zeros(1 << max(bits - 3, 12), np.uint8)
+    for k, piece in pieces.collect():
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(piece, np.uint8)
+    return out
+
+
+def bitmap_has(packed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the bits ``place`` (uint64) are set."""
+    return packed[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+#: A group that holds more than one in so many rows is hot; there are fewer such groups than this number.
+HOT_SHARE = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` left-joined with the columns of ``groups``, one row a ``key``, whose column ``size`` counts the group's rows among ``total``.
+
+    Hot groups, at most ``HOT_SHARE`` of them, are broadcast, so their rows stay where they are; no other
+    key has more than a 1024th of the rows in the shuffle. Both inputs should be staged, as they are read more than once.
+    """
+    hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE > total))
+    others = groups.where(F.col(size) * HOT_SHARE <= total)
+    rest = rows.join(hot.select(key), key, "left_anti").join(others, key, "left")
+    return rows.join(hot, key).unionByName(rest)

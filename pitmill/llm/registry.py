@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, log_bilinear, mpeg_audio, ngram_jaccard, quality, sentence_pieces, span_dedup, toxicity, url_filter, warc_bundles
+from . import (
+    decontamination,
+    exact_dedup,
+    filter_audit,
+    log_bilinear,
+    mpeg_audio,
+    ngram_jaccard,
+    quality,
+    sentence_pieces,
+    span_dedup,
+    toxicity,
+    url_filter,
+    warc_bundles,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +34,8 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op8_log_bilinear": log_bilinear.op8_log_bilinear,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
-SQL: dict[str, str] = dict(warc_bundles.ORACLE)
+SQL: dict[str, str] = warc_bundles.ORACLE | exact_dedup.ORACLE | filter_audit.ORACLE
