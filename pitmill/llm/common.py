@@ -89,9 +89,10 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and for each text the index of its first word (n + 1)."""
-    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+def word_spans(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, or of the runs of ``word`` bytes, and for each text the index of its first word (n + 1)."""
+    if word is None:
+        word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(raw), bool)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    collocations,
     decontamination,
     exact_dedup,
     filter_audit,
@@ -35,7 +36,8 @@ QUERIES: dict[str, Query] = {
     "op8_log_bilinear": log_bilinear.op8_log_bilinear,
     "op7_url_filter": url_filter.op7_url_filter,
     "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
-SQL: dict[str, str] = warc_bundles.ORACLE | exact_dedup.ORACLE | filter_audit.ORACLE
+SQL: dict[str, str] = warc_bundles.ORACLE | exact_dedup.ORACLE | collocations.ORACLE | filter_audit.ORACLE
