@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_has, join_groups, lower_ascii, mix, slices, span_hashes, staged, table, text_bytes, word_spans
@@ -254,6 +254,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_W
     return staged(words.unionByName(phrases).where(F.col("n") >= least), "phrases"), staged(totals, "totals")
 
 
+def score() -> Column:
+    """floor(1000 * a * total / (l * r)), exact for products of up to 38 digits."""
+    above = "CAST(1000 * CAST(a AS DECIMAL(16,0)) * CAST(total AS DECIMAL(16,0)) AS DECIMAL(38,0))"
+    return F.expr(f"{above} div CAST(CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(18,0)) AS DECIMAL(38,0))")
+
+
 def collocations(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, top: int = TOP) -> DataFrame:
     """The best ``top`` candidates of each language: lang, rank, phrase, a, l, r, n, score."""
     phrases, totals = frequent_phrases(docs, least, max_words)
@@ -269,8 +275,7 @@ def collocations(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS
     cuts = cuts.join(phrases.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"])
     cuts = staged(cuts.join(phrases.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"]).drop("first", "rest"), "cuts")
     cuts = join_groups(cuts, totals, "lang", "total", every)
-    score = F.expr("CAST(1000 * CAST(a AS DECIMAL(19,0)) * CAST(total AS DECIMAL(15,0)) AS DECIMAL(38,0)) div CAST(CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)) AS DECIMAL(38,0))")
-    best = cuts.groupBy("lang", "phrase", "a", F.col("total").alias("n")).agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("b"))
+    best = cuts.groupBy("lang", "phrase", "a", F.col("total").alias("n")).agg(F.min(F.struct(score().alias("score"), "cut", "l", "r")).alias("b"))
     best = best.select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")
     order = [F.desc("score"), F.desc("a"), "phrase"]
     # first within salts, so that no task orders a whole language

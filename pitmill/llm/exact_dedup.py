@@ -116,12 +116,10 @@ def exact_copies(docs: DataFrame, prefix: int = PREFIX_BYTES, every_digest: bool
 def drop_copies(docs: DataFrame, prefix: int = PREFIX_BYTES) -> DataFrame:
     """``docs`` without the copies, all columns as they were; of rows that share id and text any one stays.
 
-    Only the rows of groups are joined; what no other text equals is told by its null hash.
+    What has no copies meets nothing in the join and passes.
     """
     found = staged(exact_copies(docs, prefix), "copies")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    kept = found.where("kept AND group_size > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.lit(True).alias("_kept"))
-    state = gone.join(kept, (F.col("_id").eqNullSafe(kept["_id"])) & (gone["_digest"] == kept["_digest"]), "left").select(gone["_id"], gone["_digest"], "_kept")
+    state = found.where("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("kept").alias("_kept"))
     digest = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
     marked = docs.withColumn("_key", digest).join(state, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left")
     whole = marked.where("_digest IS NULL").select(docs.columns)
