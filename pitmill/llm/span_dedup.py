@@ -1,22 +1,25 @@
 """Removal of repeated runs of sentences.
 
 A sentence ends at a word that ends in ``.``, ``!`` or ``?`` (a closing quote or
-bracket may follow) or at a line break. One of more than ``MAX_WORDS`` words is cut
-into pieces after words that their hash chooses, so that an insertion moves no
-later cut; a piece has at most twice as many words. Each reaches to the next one's first word, so that the sentences of a
+bracket may follow) or at a line break; it stays whole whatever its length. Each reaches to the next one's first word, so that the sentences of a
 text, joined, give the text. Every run of ``RUN`` consecutive sentences is hashed
-over its lower-cased words and joined globally, however short they are; a run
-that begins with pieces, which are no sentences, has as many more as
-``MIN_WORDS`` words take. The first place
+over its lower-cased words and joined globally, however short they are, and so is
+every run of ``PAIR`` that has ``MIN_WORDS`` words. The first place
 of a run is in the document with the smallest id, and there the earliest; the
 sentences that any other place covers are removed.
 
+Only a stretch of more than ``MAX_WORDS`` words without any end is no sentence. It is cut
+into pieces after words that their hash chooses, so that an insertion moves no
+later cut. Runs of pieces have at least ``RUN`` of them and ``MIN_WORDS`` words; no run
+has pieces and sentences.
+
 Within a document all but the first place of a run is known at once, so one row
 a run and document enters the shuffle; a run that a third of all documents hold
 costs one minimum, combined before the shuffle, and a join that splits.
 
-A null text stays null, and one without words stays as it is. Rows that share an
-id count as one document and keep what only they share. Rows without an id are
+A null text stays null, and one without words stays as it is. Of rows that share an
+id, one is the earlier place and the others are later ones, in the order of the
+input. Rows without an id are
 documents of their own, which come after all others in the order of the input.
 Other columns pass through unchanged; an input column named
 ``n_sentences`` or ``n_removed`` is replaced.
@@ -34,9 +37,9 @@ from pyspark.sql import types as T
 
 from .common import _powers, drop_staged, ints, lower_ascii, mix, slices, span_hashes, staged, table, text_bytes, word_spans
 
-RUN, MAX_WORDS, MIN_WORDS = 3, 16, 12
-#: In a long sentence, about one word in so many ends a piece.
-CUT = 3
+RUN, PAIR, MIN_WORDS, MAX_WORDS = 3, 2, 12, 100
+#: In a stretch without an end, about one word in so many ends a piece, and no piece has more words than this.
+CUT, PIECE_WORDS = 3, 32
 _END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _CLOSE = np.isin(np.arange(256), [ord(c) for c in "\"')]"])
 _BREAK = np.isin(np.arange(256), [10, 11, 12, 13])
@@ -63,7 +66,7 @@ def sentences(raw: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS)
     long = np.repeat(size > max_words, size)
     at = np.flatnonzero(opens | chosen & long)
     place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    at = np.flatnonzero(place % (2 * max_words) == 0)
+    at = np.flatnonzero((place == 0) | long & (place % PIECE_WORDS == 0))
     stop = np.append(at[1:], n)
     power, inverse = _powers(max(n, 1 << 20) + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -71,53 +74,66 @@ def sentences(raw: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS)
     return starts[at], mix((sums[stop] - sums[at]) * inverse[at] + (stop - at).astype(np.uint64)), stop - at, long[at], np.searchsorted(at, first)
 
 
-def runs(hashes: np.ndarray, words: np.ndarray, piece: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each sentence of a slice the hash of the run that begins there, and the index after its last sentence.
-
-    A run has ``run`` sentences, or as many more as ``min_words`` words take if there
-    are pieces among these. Runs beyond the slice have an end of n + 1 or more.
-    """
+def runs(hashes: np.ndarray, words: np.ndarray, piece: np.ndarray, first: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All runs within the texts of a slice: sentence at which one begins, index after its last, hash; and for each text the index of its first run (n + 1)."""
     n = len(hashes)
     total, pieces = np.append(0, np.cumsum(words)), np.append(0, np.cumsum(piece))
-    end = np.arange(n) + run
-    longer = pieces[np.minimum(end, n)] > pieces[:-1]
-    end = np.where(longer, np.maximum(end, np.searchsorted(total, total[:-1] + min_words)), end)
-    inside = np.minimum(end, n)
+    begin = np.arange(n)
+    enough = np.searchsorted(total, total[:-1] + min_words)  # where a run has the words
+    found = []
+    for end, kind in ((begin + run, False), (np.where(enough <= begin + PAIR, begin + PAIR, n + 1), False), (np.maximum(begin + run, enough), True)):
+        inside = np.minimum(end, n)
+        among = pieces[inside] - pieces[:-1]
+        good = (end <= n) & (among == (end - begin if kind else 0))
+        found.append((begin[good], end[good]))
+    if run == PAIR:
+        del found[1]
+    begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    text = np.searchsorted(first, begin, side="right") - 1
+    inside = end <= first[text + 1]
+    begin, end, text = begin[inside], end[inside], text[inside]
+    order = np.argsort(begin, kind="stable")
+    begin, end, text = begin[order], end[order], text[order]
     power, inverse = _powers(max(n, 1 << 20) + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * power[:n], out=sums[1:])
-    value = mix((sums[inside] - sums[:-1]) * inverse[:n] + (inside - np.arange(n)).astype(np.uint64))
-    return value, end
+    return begin, end, mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)), np.searchsorted(text, np.arange(len(first)))
 
 
-def own_runs(end: np.ndarray, a: int, b: int) -> np.ndarray:
-    """The sentences at which the runs within one text begin."""
-    return a + np.flatnonzero(end[a:b] <= b)
+PLACE = ["_no_id", "_id", "_row"]
 
 
 def run_table(docs: DataFrame, run: int, min_words: int, max_words: int) -> DataFrame:
-    """(run, id, no_id): the runs of each row of ``docs`` (_id, _no_id, text), each run once."""
+    """(run, and the place of its row): the runs of each row of ``docs``, each run once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                _, hashes, words, piece, first = sentences(*text_bytes(part.column(1)), max_words)
-                h, end = runs(hashes, words, piece, run, min_words)
-                found = [np.unique(h[own_runs(end, a, b)]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                _, hashes, words, piece, first = sentences(*text_bytes(part.column(3)), max_words)
+                _, _, h, of = runs(hashes, words, piece, first, run, min_words)
+                found = [np.unique(h[a:b]) for a, b in zip(of[:-1], of[1:], strict=True)]
                 at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([ints(np.concatenate(found), pa.int64()), part.column(0).take(at), part.column(2).take(at)], ["run", "id", "no_id"])
+                yield pa.RecordBatch.from_arrays([ints(np.concatenate(found), pa.int64()), *(part.column(c).take(at) for c in range(3))], ["run", *PLACE])
 
-    return docs.select("_id", "text", "_no_id").mapInArrow(work, "run long, id long, no_id boolean")
+    return docs.select(*PLACE, "text").mapInArrow(work, "run long, _no_id boolean, _id long, _row long")
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with _id and _no_id: the id, or for rows without one the number of their row.
+    """``docs`` with the place of each row: whether it has no id, the id (null: 0), and the number of the row where others share its id.
 
-    Only the rows without an id are staged, so that their numbers stay the same.
+    Only rows without an id and rows of repeated ids are staged, so that their numbers stay the same.
     """
     given = F.col("doc_id").cast("long")
-    none = staged(docs.where(given.isNull()).withColumn("_id", F.monotonically_increasing_id()), "no_ids")
-    return docs.where(given.isNotNull()).withColumn("_id", given).withColumn("_no_id", F.lit(False)).unionByName(none.withColumn("_no_id", F.lit(True)))
+    numbered = lambda df: df.withColumn("_no_id", given.isNull()).withColumn("_id", F.coalesce(given, F.lit(0)).cast("long"))
+    zero = F.lit(0).cast("long")
+    again = staged(docs.where(given.isNotNull()).groupBy(given.alias("_again")).count().where("count > 1").select("_again"), "repeated_ids")
+    none = docs.where(given.isNull())
+    once, rest = docs.where(given.isNotNull()), none
+    if not again.isEmpty():
+        rest = none.unionByName(once.join(again, given == F.col("_again"), "left_semi"))
+        once = once.join(again, given == F.col("_again"), "left_anti")
+    rest = staged(numbered(rest).withColumn("_row", F.monotonically_increasing_id()), "shared_ids")
+    return numbered(once).withColumn("_row", zero).unionByName(rest)
 
 
 def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
@@ -126,13 +142,12 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max
     names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
     docs = identified(docs)
     listed = staged(run_table(docs, run, min_words, max_words), "runs")
-    named, row = F.when(~F.col("no_id"), F.col("id")), F.when(F.col("no_id"), F.col("id"))
-    firsts = listed.groupBy("run").agg(F.min(named).alias("_first"), F.min(row).alias("_row"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = listed.join(firsts, "run").where("CASE WHEN no_id THEN _first IS NOT NULL OR id > _row ELSE id > _first END")
-    cut = later.groupBy(F.col("id").alias("_of"), F.col("no_id").alias("_none")).agg(F.collect_set("run").alias("_cut"))
-    cut = staged(cut, "cuts")
+    place = F.struct(*PLACE)
+    firsts = listed.groupBy("run").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    later = listed.join(firsts, "run").where(place > F.col("_first"))
+    cut = staged(later.groupBy(*PLACE).agg(F.collect_set("run").alias("_cut")), "cuts")
     drop_staged(listed)
-    joined = docs.join(cut, (docs["_id"] == cut["_of"]) & (docs["_no_id"] == cut["_none"]), "left")
+    joined = docs.join(cut, PLACE, "left")
     at = names.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +155,12 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max
             for part in slices(batch, "text"):
                 raw, offsets = text_bytes(part.column(at))
                 starts, hashes, words, piece, first = sentences(raw, offsets, max_words)
-                h, end = runs(hashes, words, piece, run, min_words)
+                begin, end, h, of = runs(hashes, words, piece, first, run, min_words)
                 texts, cuts = part.column(at).to_pylist(), part.column(len(names))
                 removed = np.zeros(len(texts), np.int32)
                 for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    begins = own_runs(end, a, b)
-                    own = h[begins]
+                    mine = slice(of[k], of[k + 1])
+                    own = h[mine]
                     _, pos, which = np.unique(own, return_index=True, return_inverse=True)
                     again = pos[which] != np.arange(len(own))
                     if cuts[k].is_valid:
@@ -153,8 +168,8 @@ def dedup_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max
                     if not again.any():
                         continue
                     change = np.zeros(b - a + 1, np.int64)
-                    np.add.at(change, begins[again] - a, 1)
-                    np.add.at(change, end[begins[again]] - a, -1)
+                    np.add.at(change, begin[mine][again] - a, 1)
+                    np.add.at(change, end[mine][again] - a, -1)
                     gone = np.cumsum(change[:-1]) > 0
                     edges = np.append(starts[a:b], offsets[k + 1])
                     edges[0] = offsets[k]
