@@ -2,18 +2,18 @@
 
 A text is split into pieces at punctuation and line breaks, and these into words.
 Every word begins a suffix of its piece, cut to ``MAX_WORDS`` words. Suffixes are
-routed by language and first three words, so that one task has all that share
-them; there, block by block, pointers to them are sorted by a three-way multikey
+routed by language and first two words into buckets of bounded size, so that one bucket has all that share
+them; there pointers to them are sorted by a three-way multikey
 quicksort over word numbers. A partition equal in its first k words is a phrase and its
-size the count; partitions smaller than the least count are abandoned unsorted. Routes
-that begin with the same two words may lie in several tasks, so the
-sizes of two-word partitions are partial and summed afterwards.
+size the count; partitions smaller than the least count are abandoned unsorted. Pairs of words that
+begin more than a 1024th of all suffixes are hot: their suffixes are routed by three words, and the
+sizes of their two-word partitions are partial and summed afterwards.
 
 Only what can be in a frequent phrase is routed: a scan before counts words exactly
-and pairs of words in a sketch of fixed size (saturating counters, an upper bound),
+and pairs of words in a sketch of fixed size (an upper bound),
 and a suffix ends before its first infrequent pair. At a size that fills the sketch, more
-suffixes are routed, and the results are the same. Equal suffixes of a slice of
-text are routed once, with their number, so copies of a passage cost one row a slice.
+suffixes are routed, and the results are the same. A task combines equal suffixes, so copies of
+a passage cost one line a task, and ships those of one bucket as one compressed block.
 
 Candidates are phrases of two or more words with at least ``least`` occurrences. A
 candidate's score is the lowest of its cuts' scores, as an integer of exact decimal
@@ -38,12 +38,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_has, join_groups, lower_ascii, mix, slices, span_hashes, staged, table, text_bytes, word_spans
+from .common import HOT_SHARE, bitmap_has, drop_staged, join_groups, lower_ascii, mix, slices, span_hashes, staged, table, text_bytes, word_spans
 
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
-SLICE, BLOCK = 4_000_000, 400_000
+#: Bytes of text at once, distinct suffixes that a task combines, words for each bucket and least number of buckets.
+SLICE, COMBINED, BUCKET_WORDS, BUCKETS = 4_000_000, 1_000_000, 100_000, 1024
 PAIR_BITS, CHUNK = 23, 1 << 15
-#: Leading columns (language, two words) whose partitions other tasks may share.
+#: Leading columns (language, two words) of partitions that other buckets share where a pair is hot.
 SHARED = 3
 SALTS = 64
 _BREAK = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\v\f\r"])
@@ -77,46 +78,52 @@ class Words:
     def pair_places(self) -> tuple[np.ndarray, np.ndarray]:
         """The words that have a next one in their piece, and the place of each such pair in the sketch."""
         i = np.flatnonzero(self.joined)
-        salt = np.array([zlib.crc32(x.encode()) for x in self.langs], np.uint64)
         h = span_hashes(self.data, self.at[i], self.at[i + 2] - 1)
-        return i, mix(h + mix(salt)[self.lang[i]]) >> np.uint64(64 - PAIR_BITS) if len(i) else h
+        return i, mix(h + self.salts()[self.lang[i]]) >> np.uint64(64 - PAIR_BITS)
 
-    def counted(self, strings: pa.Array, lang: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """Distinct (language, string) and the number of each."""
-        sums = pa.table({"l": lang, "s": strings}).group_by(["l", "s"]).aggregate([([], "count_all")])
-        names = pa.array(self.langs, pa.string()).take(sums.column("l").combine_chunks())
-        return names, sums.column("s").combine_chunks(), sums.column("count_all").combine_chunks()
+    def salts(self) -> np.ndarray:
+        return mix(np.array([zlib.crc32(x.encode()) for x in self.langs], np.uint64))
+
+    def counted(self, **columns) -> pa.Table:
+        """Distinct rows of (l: language, and others) and the number of each."""
+        sums = pa.table(columns).group_by(list(columns)).aggregate([([], "count_all")]).combine_chunks()
+        return sums.set_column(0, "lang", pa.array(self.langs, pa.string()).take(sums.column("l").combine_chunks())).rename_columns({"count_all": "n"})
 
     def words(self) -> tuple[pa.Array, pa.Array, pa.Array]:
         strings = pa.StringArray.from_buffers(self.n, pa.py_buffer(self.at.astype(np.int32)), pa.py_buffer(self.data))
-        lang, word, n = self.counted(strings, self.lang)
+        sums = self.counted(l=self.lang, s=strings)
+        lang, word, n = (sums.column(c).combine_chunks() for c in ("lang", "s", "n"))
         return lang, pc.utf8_slice_codeunits(word, 0, -1), n
 
-    def suffixes(self, pairs: np.ndarray, max_words: int) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """Suffixes of two words or more, each up to its first pair that is not in the bitmap ``pairs``."""
+    def suffixes(self, pairs: np.ndarray, hot: np.ndarray, max_words: int, buckets: int) -> pa.Table:
+        """(lang, bucket, suffix, n) of suffixes of two words or more, each up to its first pair that is not in the bitmap ``pairs``.
+
+        Buckets from ``buckets`` on are those of pairs in the bitmap ``hot``.
+        """
         i, place = self.pair_places()
-        good = np.zeros(self.n + max_words, bool)
-        good[i] = bitmap_has(pairs, place)
+        good, spread = np.zeros(self.n + max_words, bool), np.zeros(self.n, bool)
+        good[i], spread[i] = bitmap_has(pairs, place), bitmap_has(hot, place)
         length, going = np.ones(self.n, np.int64), np.ones(self.n, bool)
         for k in range(max_words - 1):
             going &= good[k : k + self.n]
             length += going
         begin = np.flatnonzero(length > 1)
-        a, b = self.at[begin], self.at[begin + length[begin]] - 1
+        length, spread = length[begin], spread[begin]
+        lead = span_hashes(self.data, self.at[begin], self.at[begin + np.minimum(length, np.where(spread, 3, 2))] - 1)
+        bucket = mix(lead + self.salts()[self.lang[begin]]) % np.uint64(buckets) + spread * np.uint64(buckets)
+        a, b = self.at[begin], self.at[begin + length] - 1
         offsets = np.append(0, np.cumsum(b - a))
         data = self.data[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
         strings = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(data))
-        lang, suffix, n = self.counted(strings, self.lang[begin])
-        return lang, suffix.cast(pa.string()), n
+        return self.counted(l=self.lang[begin], bucket=bucket.astype(np.int32), suffix=strings)
 
 
-def word_and_pair_counts(docs: DataFrame, least: int) -> DataFrame:
-    """(lang, word, n) per slice of text; and per task the counters of pairs as rows with a ``chunk``, cut off at ``least``."""
+def word_and_pair_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n) per slice of text; and per task the counters of pairs as rows with a ``chunk``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "word", "n", "chunk", "counters"]
         pairs = np.zeros(1 << PAIR_BITS, np.int32)
-        any_pair = False
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words = Words(part)
@@ -124,12 +131,9 @@ def word_and_pair_counts(docs: DataFrame, least: int) -> DataFrame:
                     continue
                 lang, word, n = words.words()
                 yield pa.RecordBatch.from_arrays([lang, word, n, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
-                _, place = words.pair_places()
-                np.add.at(pairs, place.astype(np.int64), 1)
-                np.minimum(pairs, least, out=pairs)
-                any_pair |= len(place) > 0
-        if any_pair:
-            chunks = [(k, c) for k, c in enumerate(pairs.reshape(-1, CHUNK)) if c.any()]
+                np.add.at(pairs, words.pair_places()[1].astype(np.int64), 1)
+        chunks = [(k, c) for k, c in enumerate(pairs.reshape(-1, CHUNK)) if c.any()]
+        if chunks:
             packed = pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks], pa.binary())
             none = pa.nulls(len(chunks), pa.string())
             yield pa.RecordBatch.from_arrays([none, none, pa.array([0] * len(chunks), pa.int64()), pa.array([k for k, _ in chunks], pa.int32()), packed], names)
@@ -137,8 +141,8 @@ def word_and_pair_counts(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(work, "lang string, word string, n long, chunk int, counters binary")
 
 
-def frequent_pairs(counted: DataFrame, least: int) -> np.ndarray:
-    """The bitmap of the sketch's counters that reach ``least``: 2^``PAIR_BITS`` bits, added up chunk by chunk on the executors."""
+def pair_bitmaps(counted: DataFrame, least: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the sketch's counters that reach ``least`` and ``hot``: 2^``PAIR_BITS`` bits each, added up chunk by chunk on the executors."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -146,37 +150,58 @@ def frequent_pairs(counted: DataFrame, least: int) -> np.ndarray:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(c), np.int32).astype(np.int64)
         if sums:
-            bits = [np.packbits(s >= least, bitorder="little").tobytes() for s in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["chunk", "bits"])
-
-    chunks = counted.where("chunk IS NOT NULL").select("chunk", "counters").repartition("chunk").mapInArrow(add, "chunk int, bits binary")
-    out = np.zeros((1 << PAIR_BITS) // 8, np.uint8)
-    for k, bits in chunks.collect():
-        out[k * CHUNK // 8 : (k + 1) * CHUNK // 8] = np.frombuffer(bits, np.uint8)
-    return out
-
-
-def routed_suffixes(docs: DataFrame, pairs: np.ndarray, max_words: int) -> DataFrame:
-    """(route, lang, suffix, n), those of one route in one task and next to each other."""
-    known = docs.sparkSession.sparkContext.broadcast(pairs)
+            bits = [pa.array([np.packbits(s >= x, bitorder="little").tobytes() for s in sums.values()], pa.binary()) for x in (least, hot)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *bits], ["chunk", "bits", "hot"])
+
+    chunks = counted.where("chunk IS NOT NULL").select("chunk", "counters").repartition("chunk").mapInArrow(add, "chunk int, bits binary, hot binary")
+    out = np.zeros((2, (1 << PAIR_BITS) // 8), np.uint8)
+    for k, *both in chunks.collect():
+        for row, bits in zip(out, both, strict=True):
+            row[k * CHUNK // 8 : (k + 1) * CHUNK // 8] = np.frombuffer(bits, np.uint8)
+    return out[0], out[1]
+
+
+def packed_blocks(held: list[pa.Table]) -> pa.RecordBatch:
+    """(bucket, lang, block): the suffixes of each bucket and language with their numbers, as compressed lines."""
+    sums = pa.concat_tables(held).group_by(["bucket", "lang", "suffix"]).aggregate([("n", "sum")]).sort_by([("bucket", "ascending"), ("lang", "ascending"), ("suffix", "ascending")])
+    bucket, lang, suffix, n = (sums.column(c).combine_chunks() for c in ("bucket", "lang", "suffix", "n_sum"))
+    lines = pc.binary_join_element_wise(suffix, pc.cast(n, pa.large_string()), pc.cast("", pa.large_string()), pc.cast("\t", pa.large_string()))
+    code = lang.dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.append(True, (np.diff(bucket.to_numpy()) != 0) | (np.diff(code) != 0)))
+    offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    data = memoryview(lines.buffers()[2])
+    edges = offsets[np.append(first, len(lines))].tolist()
+    blocks = [zlib.compress(data[a:b], 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    at = pa.array(first)
+    return pa.RecordBatch.from_arrays([bucket.take(at), lang.take(at), pa.array(blocks, pa.binary())], ["bucket", "lang", "block"])
+
+
+def routed_suffixes(docs: DataFrame, pairs: np.ndarray, hot: np.ndarray, max_words: int, buckets: int) -> DataFrame:
+    """(bucket, lang, block), those of one bucket in one task and next to each other."""
+    known = docs.sparkSession.sparkContext.broadcast((pairs, hot))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words = Words(part)
                 if words.n:
-                    yield pa.RecordBatch.from_arrays(list(words.suffixes(known.value, max_words)), ["lang", "suffix", "n"])
+                    held.append(words.suffixes(*known.value, max_words, buckets))
+                if sum(len(t) for t in held) >= COMBINED:
+                    yield packed_blocks(held)
+                    held = []
+        if sum(len(t) for t in held):
+            yield packed_blocks(held)
 
-    found = docs.select("lang", "text").mapInArrow(work, "lang string, suffix string, n long")
-    route = F.xxhash64("lang", F.substring_index("suffix", " ", SHARED))
-    return found.select(route.alias("route"), "lang", "suffix", "n").repartition("route").sortWithinPartitions("route")
+    found = docs.select("lang", "text").mapInArrow(work, "bucket int, lang string, block binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def multikey_quicksort(keys: np.ndarray, weight: np.ndarray, least: int, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of the equal beginnings of ``keys`` (one row a suffix, -1 after its end), as (a row that begins so, its length, the count).
 
     Three-way partitions by the key at one depth after another; what is smaller than ``least`` is
-    left as it is. Beginnings of ``shared`` keys are all counted, shorter ones not at all.
+    left as it is. Beginnings of ``shared`` keys are all counted, those of under ``SHARED`` keys, single words, not at all.
     """
     out: list[tuple[int, int, int]] = []
     small = [np.empty(0, np.int64)]  # abandoned before their shared keys were told apart
@@ -195,7 +220,7 @@ def multikey_quicksort(keys: np.ndarray, weight: np.ndarray, least: int, shared:
             continue
         equal = pointers[same]
         size = int(weight[equal].sum())
-        if depth + 1 == shared or (depth + 1 > shared and size >= least):
+        if depth + 1 == shared or (depth + 1 >= SHARED and size >= least):
             out.append((int(equal[0]), depth + 1, size))
         if size >= least and depth + 1 < keys.shape[1]:
             stack.append((equal, depth + 1))
@@ -210,48 +235,66 @@ def multikey_quicksort(keys: np.ndarray, weight: np.ndarray, least: int, shared:
     return found[:, 0], found[:, 1], found[:, 2]
 
 
-def count_block(block: pa.Table, least: int, max_words: int) -> pa.RecordBatch:
-    """(lang, phrase, k, n) of a block of whole routes."""
-    lang = block.column("lang").combine_chunks().dictionary_encode()
-    words = pc.split_pattern(block.column("suffix").combine_chunks(), " ")
+def count_bucket(langs: list[str], blocks: list[bytes], hot: bool, least: int, max_words: int) -> list[tuple[str, str, int, int]]:
+    """(lang, phrase, k, n) of a bucket; of a hot one with partial counts of its pairs."""
+    lines = [pc.split_pattern(pa.array([zlib.decompress(b)[:-1].decode()], pa.large_string()), "\t").values for b in blocks]
+    sizes = [len(x) // 2 for x in lines]
+    lines = pa.concat_arrays(lines)
+    # a block is suffix, tab, number, tab and so on
+    suffix, n = (lines.take(pa.array(np.arange(k, len(lines), 2))) for k in (0, 1))
+    lang = pa.array(langs).dictionary_encode()
+    words = pc.split_pattern(suffix, " ")
     coded = words.values.dictionary_encode()
-    sizes = np.diff(words.offsets.to_numpy())
-    keys = np.full((len(sizes), max_words + 1), -1, np.int32)
-    keys[:, 0] = lang.indices.to_numpy()
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    keys[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1] = coded.indices.to_numpy()
-    at, depth, n = multikey_quicksort(keys, block.column("n").to_numpy(), least, SHARED)
-    names = coded.dictionary.to_pylist()
-    phrases = [" ".join([names[c] for c in keys[p, 1:d]]) for p, d in zip(at.tolist(), depth.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([lang.dictionary.take(lang.indices.take(pa.array(at))), pa.array(phrases, pa.string()), pa.array(depth - 1).cast(pa.int32()), pa.array(n)], ["lang", "phrase", "k", "n"])
+    length = np.diff(words.offsets.to_numpy())
+    keys = np.full((len(length), max_words + 1), -1, np.int32)
+    keys[:, 0] = np.repeat(lang.indices.to_numpy(), sizes)
+    row = np.repeat(np.arange(len(length)), length)
+    keys[row, np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length) + 1] = coded.indices.to_numpy()
+    at, depth, count = multikey_quicksort(keys, pc.cast(n, pa.int64()).to_numpy(), least, SHARED if hot else 0)
+    names, of = coded.dictionary.to_pylist(), lang.dictionary.to_pylist()
+    return [(of[keys[p, 0]], " ".join([names[c] for c in keys[p, 1:d]]), d - 1, c) for p, d, c in zip(at.tolist(), depth.tolist(), count.tolist(), strict=True)]
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, n) of all phrases of 1 to ``max_words`` words with ``least`` occurrences or more; and (lang, total) of all words."""
-    counted = staged(word_and_pair_counts(docs, least), "words")
+    counted = staged(word_and_pair_counts(docs), "words")
+    totals = staged(counted.where("chunk IS NULL").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    every = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    buckets = max(BUCKETS, 1 << (every // BUCKET_WORDS).bit_length())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        names = ["lang", "phrase", "k", "n"]
+        partial: dict[tuple, int] = {}  # at most one for each hot pair and language
+        of, langs, blocks = -1, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for lang, phrase, k, n in count_bucket(langs, blocks, of >= buckets, least, max_words) if blocks else []:
+                if of >= buckets and k < SHARED:
+                    partial[lang, phrase, k] = partial.get((lang, phrase, k), 0) + n
+                else:
+                    rows.append((lang, phrase, k, n))
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema)
+
+        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < BLOCK:
-                continue
-            block = pa.Table.from_batches(held)
-            route = block.column("route").to_numpy()
-            cut = int(np.searchsorted(route, route[-1]))  # the last route may go on
-            if cut:
-                yield count_block(block.slice(0, cut), least, max_words)
-            held, size = block.slice(cut).to_batches(), size - cut
-        if size:
-            yield count_block(pa.Table.from_batches(held), least, max_words)
-
-    routed = routed_suffixes(docs, frequent_pairs(counted, least), max_words)
+            for bucket, lang, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != of:
+                    yield from flush()
+                    of, langs, blocks = bucket, [], []
+                langs.append(lang)
+                blocks.append(block)
+        yield from flush()
+        if partial:
+            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*((*key, n) for key, n in partial.items()), strict=True), strict=True)), schema)
+
+    routed = routed_suffixes(docs, *pair_bitmaps(counted, least, max(every // HOT_SHARE, least)), max_words, buckets)
     phrases = routed.mapInArrow(work, "lang string, phrase string, k int, n long").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
     words = counted.where("chunk IS NULL").groupBy("lang", F.col("word").alias("phrase"), F.lit(1).alias("k")).agg(F.sum("n").alias("n"))
-    totals = counted.where("chunk IS NULL").groupBy("lang").agg(F.sum("n").alias("total"))
-    return staged(words.unionByName(phrases).where(F.col("n") >= least), "phrases"), staged(totals, "totals")
+    phrases = staged(words.unionByName(phrases).where(F.col("n") >= least), "phrases")
+    drop_staged(counted)
+    return phrases, totals
 
 
 def score() -> Column:

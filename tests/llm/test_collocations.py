@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from pitmill.llm.collocations import SHARED, collocations, frequent_phrases, multikey_quicksort
 
@@ -54,12 +55,14 @@ def test_equals_brute_force(spark):
         assert got == brute_force(rows, least, top) and len(got) > 20
 
 
-def test_all_frequent_phrases_whatever_the_block(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_all_frequent_phrases_whatever_the_blocks(spark, monkeypatch, hot):
     from pitmill.llm import collocations as module
 
     rows = corpus()
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
-    monkeypatch.setattr(module, "SLICE", 3000)
+    for name, value in (("SLICE", 3000), ("COMBINED", 500), ("BUCKETS", 4), ("HOT_SHARE", hot)):
+        monkeypatch.setattr(module, name, value)
     phrases, totals = frequent_phrases(df, least=20)
     f, n = Counter(), Counter()
     for lang, text in rows:
@@ -78,15 +81,16 @@ def test_multikey_quicksort():
         length = rng.integers(3, 7, 300)
         keys[np.arange(6)[None, :] >= length[:, None]] = -1
         weight = rng.integers(1, 4, 300)
-        at, depth, n = multikey_quicksort(keys, weight, 9, SHARED)
-        got = Counter()
-        for p, d, c in zip(at, depth, n):
-            got[tuple(keys[p, :d])] += int(c)
         want = Counter()
         for row, w, size in zip(keys, weight, length):
             for d in range(SHARED, size + 1):
                 want[tuple(row[:d])] += int(w)
-        assert got == {k: v for k, v in want.items() if len(k) == SHARED or v >= 9}
+        for shared in (SHARED, 0):
+            at, depth, n = multikey_quicksort(keys, weight, 9, shared)
+            got = Counter()
+            for p, d, c in zip(at, depth, n):
+                got[tuple(keys[p, :d])] += int(c)
+            assert got == {k: v for k, v in want.items() if len(k) == shared or v >= 9}
     assert [len(x) for x in multikey_quicksort(np.empty((0, 6), np.int32), np.empty(0, np.int64), 9, SHARED)] == [0, 0, 0]
 
 
