@@ -15,12 +15,17 @@ parameters; slots that contradict each other mean that only the wording agrees.
 Values that fall together weigh less: the coverage counts times the number of the
 document's distinct values over the item's.
 
+Windows with slots need ``MIN_PLAIN`` tokens that are none: a template of little but
+placeholders fits anything. An item of fewer words than that is matched only by a
+document that consists of just these words.
+
 A document is contaminated by an item if its best diagonal or group of diagonals
 is consistent and covers, so weighted, half of the item, or ``LONG_MATCH`` of its
 tokens.
 
 Before the join, document windows pass a bitmap of the benchmark's hashes. Its
-size is fixed; a larger benchmark lets more rows through to the same join.
+size is fixed; a larger benchmark lets more rows through to the same join. Windows that
+more than a 1024th of all that pass share are spread over ``SALTS`` tasks.
 
 Null and empty texts, and texts without a canonical token, match nothing, on
 either side. Rows that share an id are matched one by one and reported once. Rows without
@@ -36,14 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ints, lower_ascii, sequence_hashes, slices, span_hashes, staged, table, text_bytes, word_spans
+from .common import HOT_SHARE, ints, lower_ascii, sequence_hashes, slices, span_hashes, staged, table, text_bytes, word_spans
 
-WINDOW, MIN_COVERAGE, LONG_MATCH = 8, 0.5, 30
+WINDOW, MIN_COVERAGE, LONG_MATCH, MIN_PLAIN = 8, 0.5, 30, 4
+SALTS = 32
 BITMAP_BITS = 24
 #: Units that follow a number. Fixed values.
 UNITS = """mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs pound pounds oz ounce ounces ton tons tonne tonnes
 ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years
 percent degree degrees dollar dollars cent cents euro euros usd eur gbp mph kmh km/h m/s hz khz mhz w kw kwh j kj v a ohm kb mb gb tb""".split()
+VERBATIM = 2  # the kind of windows of words as they are
 _KIND = np.uint64(0x706C61696E)  # tells windows of different kinds of tokens apart
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65))
 _DIGIT = np.isin(np.arange(256), [*range(48, 58)])
@@ -106,7 +113,8 @@ def windows(texts: DataFrame, key: str, widths: list[int], bitmap=None) -> DataF
     """(hash, key, row, pos, n, slots, kind) of every window; with ``bitmap`` (a broadcast) only of those that it may contain.
 
     Without a bitmap each text gives windows of ``max(widths)`` tokens, or one of
-    all its tokens if it has fewer. With it, each text gives windows of each of ``widths``.
+    all its tokens if it has fewer. With it, each text gives windows of each of ``widths``,
+    but one of under ``MIN_PLAIN`` words only if that is the whole text.
     """
     largest = max(widths, default=WINDOW)
 
@@ -120,8 +128,11 @@ def windows(texts: DataFrame, key: str, widths: list[int], bitmap=None) -> DataF
                     for width in range(1, largest + 1) if bitmap is None else widths:
                         h = sequence_hashes(tokens, width) ^ _KIND * np.uint64(kind)
                         good = of[: len(h)] == of[width - 1 :] if len(h) else np.empty(0, bool)
-                        if bitmap is None and width < largest:
+                        if (bitmap is None and width < largest) or width < MIN_PLAIN:
                             good &= np.diff(first)[of[: len(h)]] == width
+                        if kind < VERBATIM:
+                            plain = np.append(0, np.cumsum(~slot))
+                            good &= plain[width:][: len(h)] - plain[: len(h)] >= MIN_PLAIN
                         if bitmap is not None:
                             place = h >> np.uint64(64 - BITMAP_BITS)
                             good &= bitmap.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
@@ -148,7 +159,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     bits[places.select("p").distinct().toPandas()["p"].to_numpy(np.int64)] = True  # at most 2^BITMAP_BITS rows
     widths = sorted(r.w for r in places.select("w").distinct().collect())  # at most ``window``
     bitmap = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    found = windows(docs, "doc_id", widths, bitmap).join(items, ["hash", "kind"]).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    found = staged(windows(docs, "doc_id", widths, bitmap), "windows")
+    hot = found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > found.count())
+    hot = F.broadcast(staged(hot.select("hash", F.lit(True).alias("hot")), "hot_windows"))  # fewer rows than HOT_SHARE
+    found = found.join(hot, "hash", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    items = items.join(hot, "hash", "left").withColumn("salt", F.explode(salts)).drop("hot")
+    found = found.join(items, ["hash", "kind", "salt"]).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("item_pos", F.col("item_pos") + F.least("item_tokens", F.lit(window)) - 1))))
     pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))))
     of = ["doc_id", "row", "item_id", "kind", "item_tokens"]

@@ -1,6 +1,6 @@
 import re
 
-from pitmill.llm.decontamination import contaminated
+from pitmill.llm.decontamination import MIN_PLAIN, contaminated
 
 ITEM = "A train leaves Boston at 9 and travels 120 km before lunch while another train leaves Denver and travels 80 km in the same time."
 
@@ -60,6 +60,8 @@ def test_exact_windows_equal_brute_force(spark):
         w = text.split()
         for i, item in bench:
             x = item.split()
+            if len(x) < MIN_PLAIN and w != x:
+                continue
             size = min(8, len(x))
             diagonals = {}
             for p in range(len(w) - size + 1):
@@ -104,3 +106,17 @@ def test_slots_that_contradict_each_other(spark):
     item = "Today Anna gives 3 red apples to Berta before Anna takes 5 pears and Berta counts 3 of them again for Anna."
     rows = [(1, item.replace("Anna", "Dora").replace("3", "8")), (2, item.replace("gives 3", "gives 4").replace("counts 3", "counts 9").replace("Berta before", "Carla before").replace("for Anna", "for Emma"))]
     assert set(pairs(spark, [(k, t, 0, 0, "") for k, t in rows], [(70, item)])) == {(1, 70)}
+
+
+def test_short_items_fit_only_themselves(spark):
+    bench = [(1, "42"), (2, "in Rome"), (3, "Yes"), (4, "3 + 4 = 7"), (5, "Anna and Berta 5 km")]
+    rows = [(1, "I bought 7 apples at the market"), (2, "We met in Paris yesterday"), (3, "the answer is yes"), (4, "8 + 9 = 17 km"), (5, "Yes, in Rome 42 times"), (6, "then Carla and Dora 9 km away")]
+    rows += [(11, "42"), (12, "in rome."), (13, "YES!"), (14, "yes yes")]
+    got = set(pairs(spark, [(k, t, 0, 0, "") for k, t in rows], bench))
+    assert got == {(11, 1), (12, 2), (13, 3)}
+
+
+def test_a_window_that_a_third_of_the_documents_hold(spark):
+    rows = [(k, f"start {k} " + ITEM.replace("120", str(200 + k))) for k in range(300)] + [(1000 + k, f"quite another text number {k} about nothing at all") for k in range(600)]
+    got = pairs(spark, [(k, t, 0, 0, "") for k, t in rows], [(70, ITEM), (71, ITEM.replace("Boston", "Lima")), (72, "5")])
+    assert set(got) == {(k, i) for k in range(300) for i in (70, 71)}
