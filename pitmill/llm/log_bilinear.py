@@ -3,15 +3,18 @@
 The model predicts the class of a token and then the token within its class. The
 ``SINGLES`` most frequent tokens are classes of their own; the other tokens that
 occur at least ``MODELLED_COUNT`` times, whose number grows with the corpus, are
-dealt by rank into ``GROUPS`` classes. The classes of the ``CONTEXT`` tokens before
+dealt by rank into ``GROUPS`` classes. All rarer tokens, unknown ones too, belong to one of ``TAILS`` classes by
+their last two bytes, so endings, and with them languages and punctuation, are predicted for every token.
+The classes of the ``CONTEXT`` tokens before
 give a vector each, which passes a matrix for its place; the sum's product with a
 target vector plus a bias is the score of a class, and likewise, with vectors of
-their own, of the tokens of a group. All rarer tokens are one class, in which each
-has its add-one share of the counts.
+their own, of the tokens of a group. Within a tail each token
+has its add-one share of the tail's counts, with one place for unknown tokens.
 
-Training goes in ``ROUNDS``: in each, every task trains on its share of the
-documents from the same start, against noise from the unigram distribution, and
-the tasks' changes are averaged by the tokens they have seen. For scoring, batched
+Training goes in ``ROUNDS``: in each, every shard of the round's documents trains from the same start, against
+noise from the unigram distribution, and the shards' changes are averaged by the tokens they have seen. Shards
+hold about ``SHARD_TOKENS`` tokens, are dealt and put in order by a hash of id and text and do not depend on how
+Spark partitions the table (but for rows without an id, which are spread by their place). For scoring, batched
 matrix products give the scores of all classes for each distinct context, and of
 all tokens of a group, so that log-probabilities are normalised exactly.
 
@@ -33,16 +36,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ints, lists, lower_ascii, slices, span_hashes, staged, table, text_bytes, word_spans
+from .common import drop_staged, ints, lists, lower_ascii, mix, slices, span_hashes, staged, table, text_bytes, word_spans
 
-SINGLES, GROUPS, CONTEXT, WIDTH = 256, 255, 2, 24
-CLASSES = 1 + SINGLES + GROUPS
+TAILS, SINGLES, GROUPS, CONTEXT, WIDTH = 128, 192, 192, 2, 24
 #: Tokens with a vector of their own: occurrences that it takes to learn one, and the bound of the model's size.
-MODELLED_COUNT, MODELLED_TOKENS = 256, 1 << 16
-NOISE, BATCH, RATE, LARGEST_STEP, ROUNDS = 64, 4096, 0.5, 0.1, 2
+MODELLED_COUNT, MODELLED_TOKENS = 128, 3 << 14
+NOISE, BATCH, RATE, LARGEST_STEP, ROUNDS = 64, 4096, 0.5, 0.1, 4
+SHARD_TOKENS = 1_000_000
 CHUNK = 4096
 HEAD_TOKENS = 1 << 18
-COUNT_BLOCK, SCORE_BLOCK = 3_000_000, 1_000_000
+COUNT_BLOCK, SCORE_BLOCK, TRAIN_BLOCK = 3_000_000, 1_000_000, 200_000
 END = np.uint64(0x656E64206F662074)
 
 
@@ -50,54 +53,65 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, each text followed by its end token, and the number of tokens of each text."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, each text followed by its end token, the number of tokens of each text, and each token's tail."""
     raw, offsets = text_bytes(column)
     starts, ends, first = word_spans(raw, offsets)
     n = np.diff(first) + 1
     out = np.full(int(n.sum()), END, np.uint64)
     inside = np.ones(len(out), bool)
     inside[np.cumsum(n) - 1] = False
-    out[inside] = span_hashes(lower_ascii(raw), starts, ends)
-    return out, n
+    raw = lower_ascii(raw)
+    out[inside] = span_hashes(raw, starts, ends)
+    tail = np.zeros(len(out), np.int64)
+    last = raw[ends - 1].astype(np.uint64) if len(ends) else np.empty(0, np.uint64)
+    before = np.where(ends - starts > 1, raw[np.maximum(ends - 2, 0)], 32).astype(np.uint64) if len(ends) else last
+    tail[inside] = (mix(before * np.uint64(256) + last) % np.uint64(TAILS)).astype(np.int64)
+    return out, n, tail
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, n) over all of ``docs``; counts are combined within a task first."""
+    """(token, tail, n) over all of ``docs``; counts are combined within a task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([ints(token, pa.int64()), pa.array(n.astype(np.int64))], ["token", "n"])
+            token, at, n = np.unique(np.concatenate([t for t, _ in held]), return_index=True, return_counts=True)
+            tail = np.concatenate([t for _, t in held])[at]
+            return pa.RecordBatch.from_arrays([ints(token, pa.int64()), pa.array(tail.astype(np.int32)), pa.array(n.astype(np.int64))], ["token", "tail", "n"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                held.append(tokens(part.column(0))[0])
-                size += len(held[-1])
+                found, _, tail = tokens(part.column(0))
+                held.append((found, tail.astype(np.uint8)))
+                size += len(found)
                 if size >= COUNT_BLOCK:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "token long, tail int, n long").groupBy("token").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 @dataclass
 class Counts:
-    """What the tasks need of the counts: totals, and the frequent tokens sorted by hash with their counts, classes and places in the list of all groups' tokens (-1: none)."""
+    """What the tasks need of the counts: totals, and the frequent tokens sorted by hash with their counts, classes and places in the list of all groups' tokens (-1: none).
+
+    The first ``TAILS`` classes are the tails.
+    """
 
     total: int
     distinct: int
-    rare_total: float
+    #: Of each tail, the counts of its tokens plus one for each of them and for the unknown ones.
+    tail_total: np.ndarray
     token: np.ndarray
     count: np.ndarray
     label: np.ndarray
     member: np.ndarray
-    #: Of the classes, the rare one first, the share of the tokens.
+    #: Of the classes the share of the tokens.
     noise: np.ndarray
     #: Of the groups' tokens in order, the share among them all; and the first of each class (classes + 1).
     share: np.ndarray
@@ -110,16 +124,17 @@ class Counts:
         at = np.minimum(np.searchsorted(self.token, found), len(self.token) - 1)
         return at, self.token[at] == found
 
-    def classes(self, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def classes(self, at: np.ndarray, known: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The class of each token, and its place among the groups' tokens (-1: none)."""
         if not len(self.token):
-            return np.zeros(len(at), np.int64), np.full(len(at), -1)
-        return np.where(known, self.label[at], 0), np.where(known, self.member[at], -1)
+            return tail, np.full(len(at), -1)
+        return np.where(known, self.label[at], tail), np.where(known, self.member[at], -1)
 
 
 def frequent(counts: DataFrame, limit: int = HEAD_TOKENS, singles: int = SINGLES, groups: int = GROUPS, modelled_count: int = MODELLED_COUNT, modelled: int = MODELLED_TOKENS) -> Counts:
     """Totals and the tokens above the lowest count that at most ``limit`` tokens reach."""
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tails = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()  # at most TAILS rows
+    total, distinct = sum(r.n for r in tails), sum(r.distinct for r in tails)
     level = F.floor(F.log2("n") * 8).cast("int")
     steps = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)  # a few hundred rows
     lowest, have = None, 0
@@ -130,23 +145,28 @@ def frequent(counts: DataFrame, limit: int = HEAD_TOKENS, singles: int = SINGLES
     rows = counts.where(level >= lowest).toPandas() if lowest is not None else None
     token = rows["token"].to_numpy(np.int64).view(np.uint64) if rows is not None else np.empty(0, np.uint64)
     count = rows["n"].to_numpy(np.int64) if rows is not None else np.empty(0, np.int64)
+    tail = rows["tail"].to_numpy(np.int64) if rows is not None else np.empty(0, np.int64)
     best = np.lexsort((token, -count, token != END))  # the end token is always a class
     own = best[:singles]
     grouped = best[singles:modelled]
     grouped = grouped[count[grouped] >= modelled_count]
-    label, member = np.zeros(len(token), np.int64), np.full(len(token), -1)
-    label[own] = np.arange(1, len(own) + 1)
+    label, member = tail.copy(), np.full(len(token), -1)
+    label[own] = TAILS + np.arange(len(own))
     group = np.arange(len(grouped)) * groups // max(1, len(grouped))  # by rank, so that no group is much larger
-    label[grouped] = 1 + singles + group
+    label[grouped] = TAILS + singles + group
     member[grouped] = np.arange(len(grouped))
-    mass = np.bincount(label, weights=count, minlength=1 + singles + groups)
-    rare = total - int(mass[1:].sum())
-    mass[0] = rare
+    modelled_tokens = np.concatenate([own, grouped])
+    mass = np.bincount(label[modelled_tokens], weights=count[modelled_tokens], minlength=TAILS + singles + groups)
+    left = np.zeros(TAILS)
+    for r in tails:
+        mass[r.tail], left[r.tail] = r.n, r.distinct
+    mass[:TAILS] -= np.bincount(tail[modelled_tokens], weights=count[modelled_tokens], minlength=TAILS)
+    left -= np.bincount(tail[modelled_tokens], minlength=TAILS)
     share = count[grouped] / max(1, count[grouped].sum())
     first = np.searchsorted(label[grouped], np.arange(len(mass) + 1))
     noise = (mass + 1) / (mass + 1).sum()
     order = np.argsort(token)
-    return Counts(int(total), int(distinct), float(rare + distinct - len(own) - len(grouped) + 1), token[order], count[order], label[order], member[order], noise, share, first)
+    return Counts(int(total), int(distinct), mass[:TAILS] + left + 1, token[order], count[order], label[order], member[order], noise, share, first)
 
 
 @dataclass
@@ -260,35 +280,79 @@ class Trainer:
             self._move("context", index, gradient)
 
 
+def coded(docs: DataFrame, counts: Counts, rounds: int) -> DataFrame:
+    """(round, shard, place, codes) of every document: its tokens as numbers of classes or, beyond these, of groups' tokens."""
+    known = docs.sparkSession.sparkContext.broadcast(counts)
+    shards = max(1, round(counts.total / (rounds * SHARD_TOKENS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = known.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found, n, tail = tokens(part.column(3))
+                label, member = counts.classes(*counts.places(found), tail)
+                codes = np.where(member >= 0, len(counts.noise) + member, label).astype(np.int32)
+                offsets = pa.py_buffer((np.append(0, np.cumsum(n)) * 4).astype(np.int32))
+                column = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(codes)])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), column], ["round", "shard", "place", "codes"])
+
+    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), "text")
+    rows = docs.select(F.pmod(place, F.lit(rounds)).cast("int").alias("round"), F.pmod(F.shiftrightunsigned(place, 16), F.lit(shards)).cast("int").alias("shard"), place.alias("place"), "text")
+    return rows.mapInArrow(run, "round int, shard int, place long, codes binary")
+
+
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
-    """In each round every task trains on its part of the documents; the changes are averaged by the tokens seen, chunk by chunk on the executors.
+    """In each round every shard trains by itself; the changes are averaged by the tokens seen, chunk by chunk on the executors.
 
     The driver gets the model's parameters, whose number has a fixed bound, once a round.
     """
     model = start_model(counts.noise, counts.share)
+    numbered = staged(coded(docs, counts, rounds), "coded")
     for k in range(rounds):
-        share = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
-        model = train_round(share, counts, model, k)
+        model = train_round(numbered.where(F.col("round") == k), counts, model, k)
+    drop_staged(numbered)
     return model
 
 
-def train_round(docs: DataFrame, counts: Counts, start: Model, seed: int) -> Model:
-    shared = docs.sparkSession.sparkContext.broadcast((counts, start))
+def train_round(rows: DataFrame, counts: Counts, start: Model, seed: int) -> Model:
+    """One round over ``rows`` (shard, place, codes)."""
+    shared = rows.sparkSession.sparkContext.broadcast((counts, start))
+    group = np.repeat(np.arange(len(counts.noise)), np.diff(counts.first))  # of each group's token, its class
+
+    def changes(trainer: Trainer, start: Model, seen: int) -> pa.RecordBatch:
+        change = (trainer.model.flat() - start.flat()).astype(np.float16)
+        chunks = [(k, change[at : at + CHUNK]) for k, at in enumerate(range(0, len(change), CHUNK))]
+        chunks = [(k, c.tobytes()) for k, c in chunks if not k or c.any()]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in chunks], pa.int32()), pa.array([float(seen)] * len(chunks)), pa.array([c for _, c in chunks], pa.binary())], ["chunk", "weight", "change"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, start = shared.value
-        trainer, seen = Trainer(start, counts, 17 + seed), 0
+        classes = len(counts.noise)
+        of, trainer, seen, held, size = None, None, 0, [], 0
+
+        def learn() -> None:
+            codes, n = np.concatenate(held), np.array([len(c) for c in held])
+            member = np.where(codes >= classes, codes - classes, -1)
+            label = np.where(member >= 0, group[member], codes) if len(group) else codes
+            trainer.learn(contexts_of(label, n, classes, len(start.matrices)), label, member)
+
         for batch in batches:
-            for part in slices(batch, "text"):
-                found, n = tokens(part.column(0))
-                label, member = counts.classes(*counts.places(found))
-                trainer.learn(contexts_of(label, n, len(counts.noise), len(start.matrices)), label, member)
-                seen += len(label)
-        if seen:
-            change = (trainer.model.flat() - start.flat()).astype(np.float16)
-            rows = [(k, change[at : at + CHUNK]) for k, at in enumerate(range(0, len(change), CHUNK))]
-            rows = [(k, c.tobytes()) for k, c in rows if not k or c.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([float(seen)] * len(rows)), pa.array([c for _, c in rows], pa.binary())], ["chunk", "weight", "change"])
+            for shard, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != of:
+                    if held:
+                        learn()
+                    if trainer:
+                        yield changes(trainer, start, seen)
+                    of, trainer, seen, held, size = shard, Trainer(start, counts, 17 + seed), 0, [], 0
+                held.append(np.frombuffer(codes.as_buffer(), np.int32))
+                seen, size = seen + len(held[-1]), size + len(held[-1])
+                if size >= TRAIN_BLOCK:
+                    learn()
+                    held, size = [], 0
+        if held:
+            learn()
+        if trainer:
+            yield changes(trainer, start, seen)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight: dict[int, float] = {}
@@ -302,7 +366,8 @@ def train_round(docs: DataFrame, counts: Counts, start: Model, seed: int) -> Mod
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([weight[k] for k in total]), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "weight", "change"])
 
     schema = "chunk int, weight double, change binary"
-    sums = {r.chunk: r for r in docs.select("text").mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).collect()}
+    ordered = rows.select("shard", "codes", "place").repartition("shard").sortWithinPartitions("shard", "place").select("shard", "codes")
+    sums = {r.chunk: r for r in ordered.mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema).collect()}
     shared.unpersist()
     if not sums:
         return start
@@ -350,11 +415,12 @@ def token_scores(model: Model, contexts: np.ndarray, label: np.ndarray, member:
 def score(docs: DataFrame, counts: Counts, table_of_counts: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((counts, model))
-    names = ["doc_id", "n_tokens", "n_known", "logs", "rare", "rare_logs", "classes", "tail", "times"]
+    names = ["doc_id", "n_tokens", "n_known", "logs", "rare_norm", "rare_logs", "classes", "tail", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, model = shared.value
         logs_of = np.log10(counts.count + 1.0)
+        norm_of = np.append(np.log10(counts.tail_total), 0.0)
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -371,16 +437,16 @@ def score(docs: DataFrame, counts: Counts, table_of_counts: DataFrame, model: Mo
                     tail.append(t)
                     times.append(m.astype(np.int32))
                 each = np.array([len(t) for t in tail])
-                columns = [ids, pa.array(n.astype(np.int64)), pa.array(add(known.astype(np.int64))), pa.array(add(logs)), pa.array(add((label == 0).astype(np.int64))), pa.array(add(np.where(label == 0, logs, 0.0))), pa.array(add(value[at : at + len(label)])), lists(np.concatenate(tail), each, pa.int64()), lists(np.concatenate(times), each, pa.int32())]
+                columns = [ids, pa.array(n.astype(np.int64)), pa.array(add(known.astype(np.int64))), pa.array(add(logs)), pa.array(add(norm_of[np.minimum(label, TAILS)])), pa.array(add(np.where(label < TAILS, logs, 0.0))), pa.array(add(value[at : at + len(label)])), lists(np.concatenate(tail), each, pa.int64()), lists(np.concatenate(times), each, pa.int32())]
                 at += len(label)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         size = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                found, n = tokens(part.column(1))
+                found, n, tail = tokens(part.column(1))
                 places, known = counts.places(found)
-                held.append((part.column(0), counts.classes(places, known), n, found, places, known))
+                held.append((part.column(0), counts.classes(places, known, tail), n, found, places, known))
                 size += len(found)
                 if size >= SCORE_BLOCK:
                     yield from flush()
@@ -388,14 +454,14 @@ def score(docs: DataFrame, counts: Counts, table_of_counts: DataFrame, model: Mo
         if held:
             yield from flush()
 
-    schema = "doc_id long, n_tokens long, n_known long, logs double, rare long, rare_logs double, classes double, tail array<long>, times array<int>"
+    schema = "doc_id long, n_tokens long, n_known long, logs double, rare_norm double, rare_logs double, classes double, tail array<long>, times array<int>"
     rows = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("e")).select("row", F.col("e.tail").alias("token"), F.col("e.times").alias("times"))
     tail = tail.join(table_of_counts, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     out = rows.drop("tail", "times").join(tail, "row", "left")
     more, more_logs = F.coalesce("more", F.lit(0)), F.coalesce("more_logs", F.lit(0.0))
     base = F.col("logs") + more_logs - F.col("n_tokens") * float(np.log10(counts.total + counts.distinct + 1))
-    full = F.col("classes") + F.col("rare_logs") + more_logs - F.col("rare") * float(np.log10(counts.rare_total))
+    full = F.col("classes") + F.col("rare_logs") + more_logs - F.col("rare_norm")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + more).alias("n_known"), base.alias("base_score"), full.alias("score"))
 
 

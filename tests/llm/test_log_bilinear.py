@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from pitmill.llm.log_bilinear import contexts_of, count_tokens, frequent, score, score_texts, start_model, token_scores, tokens, train
+from pitmill.llm.log_bilinear import TAILS, contexts_of, count_tokens, frequent, score, score_texts, start_model, token_scores, tokens, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,23 +59,25 @@ def test_score_equals_brute_force(spark):
     counted = count_tokens(docs).persist()
     head = frequent(counted, limit=70, singles=4, groups=3, modelled_count=4)
     model = train(docs, head)
-    assert len(head.token) < counted.count() and len(head.share) > 6 and (head.label == 0).any()
+    assert len(head.token) < counted.count() and len(head.share) > 6 and (head.label < TAILS).any()
     got = {r.doc_id: r.score for r in score(docs, head, counted, model).collect()}
     n = {r.token: r.n for r in counted.collect()}
     place = {int(t): k for k, t in enumerate(head.token)}
-    rare = sum(n.values()) - sum(int(c) for c, k in zip(head.count, head.label) if k) + len(n) - int((head.label > 0).sum()) + 1
+    own = {int(t.view(np.int64)) for t, k in zip(head.token, head.label) if k >= TAILS}
+    ending = {r.token: r.tail for r in counted.collect()}
+    rare = [1 + sum(c + 1 for t, c in n.items() if ending[t] == k and t not in own) for k in range(TAILS)]
     total = 0.0
     for key, text in rows:
-        found, _ = tokens(pa.array([text], pa.string()))
-        classes = [int(head.label[place[int(t)]]) if int(t) in place else 0 for t in found]
+        found, _, tail = tokens(pa.array([text], pa.string()))
+        classes = [int(head.label[place[int(t)]]) if int(t) in place else int(k) for t, k in zip(found, tail)]
         log = 0.0
         for at, (t, c) in enumerate(zip(found, classes)):
             q = sum(model.context[classes[at - 1 - j] if at > j else len(head.noise)] @ model.matrices[j] for j in range(2))
             e = np.exp(model.target @ q + model.bias)
             log += math.log10(e[c] / e.sum())
-            if c == 0:
-                log += math.log10((n.get(int(t.view(np.int64)), 0) + 1) / rare)
-            elif c > 4:
+            if c < TAILS:
+                log += math.log10((n.get(int(t.view(np.int64)), 0) + 1) / rare[c])
+            elif c >= TAILS + 4:
                 a, b = head.first[c], head.first[c + 1]
                 e = np.exp(model.word[a:b] @ q + model.word_bias[a:b])
                 log += math.log10(e[head.member[place[int(t)]] - a] / e.sum())
@@ -83,7 +85,8 @@ def test_score_equals_brute_force(spark):
 
 
 def test_tokens_and_empty_tables(spark):
-    found, n = tokens(pa.array(["A b", None, "a  B"]))
+    found, n, tail = tokens(pa.array(["A b", None, "a  B"]))
+    assert (tail[:2] == tail[4:6]).all() and (tail < TAILS).all()
     assert n.tolist() == [3, 1, 3] and (found[:3] == found[4:]).all()
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     only = score_texts(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).collect()
@@ -99,3 +102,12 @@ def test_rows_that_share_an_id_keep_their_own_tail(spark):
     got = sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in score(docs, head, counts, start_model(head.noise, head.share)).collect())
     split = [[*r.text.split(), None] for r in docs.collect()]
     assert got == sorted((len(ws), len(ws), round(sum(math.log10((n[w] + 1) / (sum(n.values()) + len(n) + 1)) for w in ws), 6)) for ws in split)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    from pitmill.llm import log_bilinear
+
+    monkeypatch.setattr(log_bilinear, "SHARD_TOKENS", 700)
+    docs = spark.createDataFrame(corpus(300, seed=4)[:-1], "doc_id long, text string")
+    one, eight = ({r.doc_id: r.score for r in score_texts(docs.repartition(n)).collect()} for n in (1, 8))
+    assert one.keys() == eight.keys() and all(math.isclose(one[k], eight[k], rel_tol=1e-6, abs_tol=1e-6) for k in one)
