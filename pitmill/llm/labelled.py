@@ -14,9 +14,10 @@ def held_out(key: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """(doc_id, text, label) of at most ``limit`` labelled documents that are not held out, the same ones for the same tables.
 
-    A document with several labels has the largest. The sample has at most
+    A document with several labels has the largest, an id with several texts the smallest of these (null only if it has no other). The sample has at most
     ``limit`` ids, so it is broadcast to the scan of the texts.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
