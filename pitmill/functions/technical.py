@@ -55,20 +55,40 @@ def skipped_mean(x: Column, skip: int = 21, n: int = 231, least: int = 60, w: Wi
     return at_least(F.avg(x).over(frame), x, frame, least)
 
 
-def max_drawdown(daily_return: Column, skip: int = 21, n: int = 231, least: int = 60, w: WindowSpec | None = None) -> Column:
-    """Largest fall from a running peak within the window, in percent (0 or below)."""
-    frame = rows(w, n + skip, skip)
-    fold = F.aggregate(
-        F.collect_list(daily_return).over(frame),
-        F.struct(F.lit(1.0).alias("wealth"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("worst")),
-        lambda s, r: F.struct(
-            (s["wealth"] * (1 + r)).alias("wealth"),
-            F.greatest(s["peak"], s["wealth"] * (1 + r)).alias("peak"),
-            F.least(s["worst"], s["wealth"] * (1 + r) / F.greatest(s["peak"], s["wealth"] * (1 + r)) - 1).alias("worst"),
-        ),
-        lambda s: s["worst"] * 100,
-    )
-    return at_least(fold, daily_return, frame, least)
+def with_max_drawdown(prices: DataFrame, daily_return: str = "ret", skip: int = 21, n: int = 231, least: int = 60, name: str = "max_drawdown") -> DataFrame:
+    """``prices`` (security_id, trade_date and others) with the largest fall from a running peak within the window, in percent (0 or below).
+
+    A stretch of rows has a summary that two stretches combine: the product of its
+    growth, the highest and the lowest product of a beginning, and the worst fall. Blocks of ``n`` rows give each row
+    the summary from its block's begin (running aggregates) and up to its block's end
+    (the same, from the end). A window of ``n`` rows is the end of one block and the begin of the
+    next, so it takes two lookups and no row holds a list. A null return is no change;
+    a return of -1 or below, which no product recovers from, makes every window that holds it -100.
+    """
+    days = security_days()
+    lost = F.coalesce(F.col(daily_return) <= -1, F.lit(False))
+    out = prices.withColumn("_row", F.row_number().over(days)).withColumn("_block", F.floor((F.col("_row") - 1) / n))
+    out = out.withColumn("_g", F.when(lost, 1.0).otherwise(F.coalesce(F.col(daily_return) + 1.0, F.lit(1.0))))
+    block = Window.partitionBy("security_id", "_block").orderBy("trade_date")
+    begin, end = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(0, Window.unboundedFollowing)
+    out = out.withColumn("_p", F.product("_g").over(begin))
+    out = out.withColumn("_before", F.lag("_p", 1, 1.0).over(block))
+    out = out.withColumns({"_peak": F.greatest(F.max("_p").over(begin), F.lit(1.0)), "_trough": F.min("_p").over(begin), "_high": F.max("_p").over(end), "_low": F.min("_p").over(end), "_last": F.last("_p").over(end)})
+    out = out.withColumn("_from_here", F.least(F.col("_low") / F.col("_before") - 1, F.lit(0.0)))
+    out = out.withColumns({"_fall": F.min(F.col("_p") / F.col("_peak") - 1).over(begin), "_fall_after": F.min("_from_here").over(end)})
+    counts = {"_values": F.count(daily_return), "_losses": F.sum(lost.cast("int"))}
+    out = out.withColumns({k: c.over(days.rowsBetween(Window.unboundedPreceding, 0)) for k, c in counts.items()})
+    # up to the window's last row, and from its first to the end of that one's block; one lookup each
+    head = F.lag(F.struct("_row", "_trough", "_fall", "_values", "_losses"), skip).over(days)
+    tail = F.lag(F.struct((F.col("_last") / F.col("_before")).alias("growth"), F.greatest(F.col("_high") / F.col("_before"), F.lit(1.0)).alias("peak"), F.col("_fall_after").alias("fall")), skip + n - 1).over(days)
+    earlier = F.lag(F.struct("_values", "_losses"), skip + n).over(days)
+    out = out.withColumns({"_head": head, "_tail": tail, "_earlier": earlier})
+    whole = (F.col("_head._row") % n == 0) | F.col("_tail").isNull()  # one block, or the first rows of a security
+    across = F.least("_tail.fall", "_head._fall", F.col("_tail.growth") * F.col("_head._trough") / F.col("_tail.peak") - 1)
+    worst = F.when(whole, F.col("_head._fall")).otherwise(across)
+    within = lambda c: F.col(f"_head.{c}") - F.coalesce(F.col(f"_earlier.{c}"), F.lit(0))
+    worst = F.when(within("_losses") > 0, -100.0).otherwise(F.least(worst, F.lit(0.0)) * 100)
+    return out.withColumn(name, F.when(within("_values") >= least, worst)).select(*prices.columns, name)
 
 
 def with_k_ratio(prices: DataFrame, n: int = 756, least: int = 504, price: str = "close", name: str = "k_ratio") -> DataFrame:

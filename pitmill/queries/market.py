@@ -70,7 +70,7 @@ def turnover_12_1(spark, d):
 
 
 def rolling_mdd(spark, d):
-    return out(with_returns(price_daily(spark, d)), mdd1yr_12_1_pct=t.max_drawdown(F.col("ret")))
+    return out(t.with_max_drawdown(with_returns(price_daily(spark, d))), mdd1yr_12_1_pct=F.col("max_drawdown"))
 
 
 def k_ratio(spark, d):
