@@ -6,8 +6,8 @@ and SQL (name -> DuckDB text over the same tables).
 
 from __future__ import annotations
 
-from . import backtests, consensus_views, deepen, extras, feeds, fundamentals, graphs, lab, market, pit_scores, rules_quality, scoring
+from . import accounts, backtests, consensus_views, deepen, extras, feeds, fundamentals, graphs, lab, market, pit_scores, rules_quality, scoring
 
-MODULES = (market, fundamentals, scoring, graphs, backtests, consensus_views, rules_quality, extras, feeds, pit_scores, lab, deepen)
+MODULES = (market, fundamentals, scoring, graphs, backtests, consensus_views, rules_quality, extras, feeds, pit_scores, lab, deepen, accounts)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
