@@ -11,6 +11,7 @@ from ..operators.periods import wide_statements
 from ..sources import readers
 from ..sources.tables import shared_path
 from ..sources.views import ITEMS, read, reports, security_master, sql, statements
+from ..streaming import event_time as et
 from ..streaming import incremental as inc
 from .scoring import FACTORS as _FACTORS
 
@@ -183,8 +184,8 @@ def consensus_row_keys(spark, d):
 
 
 def stream_latest_version(spark, d):
-    """The newest event of each user and type, by a stream of the files."""
-    e = inc.read_stream(spark, f"{d}/events.parquet*").select("user_id", "event_type", "event_id", "ts", "value")
+    """The newest event of each user and type, merged over several batches of a stream."""
+    e = inc.read_stream(spark, _event_files(spark, d)).select("user_id", "event_type", "event_id", "ts", "value")
     return inc.keep_latest(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
@@ -205,12 +206,13 @@ def stream_snapshot(spark, d):
 
 
 def stream_daily_counts(spark, d):
-    """Event-time windows under a watermark that covers the whole month, drained into a table: every row counts."""
+    """Event-time windows, emitted when the watermark closes them and then forgotten; a last row far ahead closes all."""
     path = shared_path(spark, "windows")
-    counts = inc.late_safe_counts(inc.read_stream(spark, _event_files(spark, d)), "ts", ["event_type"], "1 day", "40 days")
-    query = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, k: batch.select("event_type", F.to_date("window.start").alias("day"), "n").write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    source = _event_files(spark, d)
+    end = spark.read.parquet(source).agg((F.max("ts") + F.expr("INTERVAL 90 DAY")).alias("ts"))
+    end.select(F.lit(None).cast("long").alias("event_id"), "ts", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value")).coalesce(1).write.mode("append").parquet(source)
+    counts, _ = et.closed_windows(inc.read_stream(spark, source), "ts", ["event_type"], path, "1 day", "40 days")
+    return counts.select("event_type", F.to_date("start").alias("day"), "n")
 
 
 def stream_live_estimates(spark, d):

@@ -1,4 +1,4 @@
-"""Streams of fact rows: newest versions, adding counts, expiring estimates, immutable snapshots, windowed counts."""
+"""Streams of fact rows: newest versions, adding counts, estimates by the newest day, immutable snapshots. ``event_time`` has what ends with event time."""
 
 from __future__ import annotations
 
@@ -130,15 +130,6 @@ class SnapshotLog:
         return self.spark.read.parquet(f"{self.path}/snapshots").drop("batch")
 
 
-def late_safe_counts(stream: DataFrame, time: str, by: list[str], width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts and sums by event-time window; rows later than the watermark are left out."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
-def without_repeats(stream: DataFrame, keys: list[str], time: str, late: str = "2 days") -> DataFrame:
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
-
-
 def read_stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
     """A folder, or a pattern, of Parquet files as a stream with the schema of what is there."""
     schema = spark.read.parquet(path).schema
