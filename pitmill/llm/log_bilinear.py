@@ -377,10 +377,12 @@ def train_round(rows: DataFrame, counts: Counts, start: Model, seed: int) -> Mod
     return start.like(flat)
 
 
-def _log_softmax(scores: np.ndarray) -> np.ndarray:
+def _log_softmax_at(scores: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Log-softmax of the rows of ``scores`` at (row, column); ``scores`` are used up."""
     scores -= scores.max(1, keepdims=True)
-    scores -= np.log(np.exp(scores).sum(1, keepdims=True))
-    return scores
+    picked = scores[row, column].astype(np.float64)
+    np.exp(scores, out=scores)
+    return picked - np.log(scores.sum(1))[row]
 
 
 def token_scores(model: Model, contexts: np.ndarray, label: np.ndarray, member: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -396,9 +398,10 @@ def token_scores(model: Model, contexts: np.ndarray, label: np.ndarray, member:
     out, q = np.empty(len(label)), np.empty((len(distinct), model.target.shape[1]), np.float32)
     for k, at in enumerate(range(0, len(distinct), 2048)):
         q[at : at + 2048] = model.predicted(distinct[at : at + 2048])
-        scores = _log_softmax(q[at : at + 2048] @ model.target.T + model.bias)
+        scores = q[at : at + 2048] @ model.target.T
+        scores += model.bias
         mine = order[bounds[k] : bounds[k + 1]]
-        out[mine] = scores[which[mine] - at, label[mine]]
+        out[mine] = _log_softmax_at(scores, which[mine] - at, label[mine])
     inside = np.flatnonzero(member >= 0)
     inside = inside[np.argsort(label[inside], kind="stable")]
     edges = np.append(np.flatnonzero(np.append(True, np.diff(label[inside]) != 0)), len(inside)) if len(inside) else [0]
@@ -407,8 +410,9 @@ def token_scores(model: Model, contexts: np.ndarray, label: np.ndarray, member:
         words, bias = model.word[first[g] : first[g + 1]], model.word_bias[first[g] : first[g + 1]]
         for at in range(a, b, 8192):
             mine = inside[at : min(at + 8192, b)]
-            scores = _log_softmax(q[which[mine]] @ words.T + bias)
-            out[mine] += scores[np.arange(len(mine)), member[mine] - first[g]]
+            scores = q[which[mine]] @ words.T
+            scores += bias
+            out[mine] += _log_softmax_at(scores, np.arange(len(mine)), member[mine] - first[g])
     return out
 
 
