@@ -40,7 +40,7 @@ from .common import drop_staged, ints, lists, lower_ascii, mix, slices, span_has
 
 TAILS, SINGLES, GROUPS, CONTEXT, WIDTH = 128, 192, 192, 2, 24
 #: Tokens with a vector of their own: occurrences that it takes to learn one, and the bound of the model's size.
-MODELLED_COUNT, MODELLED_TOKENS = 128, 3 << 14
+MODELLED_COUNT, MODELLED_TOKENS = 256, 3 << 14
 NOISE, BATCH, RATE, LARGEST_STEP, ROUNDS = 64, 4096, 0.5, 0.1, 4
 SHARD_TOKENS = 1_000_000
 CHUNK = 4096
