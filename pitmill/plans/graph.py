@@ -7,8 +7,9 @@ returns such a frame; ``register`` adds further types.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -80,6 +81,111 @@ def run(graph: Mapping, context: Context) -> DataFrame:
     return build(graph, context)[graph["outputs"]["final_node_id"]]
 
 
+#: Node types that look back, and how many rows of a security they need, the row itself included.
+TEMPORAL: dict[str, Callable[[Mapping], int]] = {"lag": lambda c: c.get("periods", 1) + 1, "rolling_max": lambda c: c["window"], "rolling_min": lambda c: c["window"]}
+
+
+def needs_history(graph: Mapping) -> set[str]:
+    """The nodes above some temporal node: their frames must reach back; all others need the experiment's dates alone."""
+    types = {n["id"]: n["type"] for n in graph["nodes"]}
+    above = {n: {e["source"] for e in graph["edges"] if e["target"] == n} for n in types}
+    found: set[str] = set()
+    pending = [s for n, kind in types.items() if kind in TEMPORAL for s in above[n]]
+    while pending:
+        node = pending.pop()
+        if node not in found:
+            found.add(node)
+            pending += above[node]
+    return found
+
+
+def row_limits(graph: Mapping, dates: Sequence[date]) -> dict[str, int]:
+    """For a single date, the rows of a security that suffice of a factor which only temporal nodes read directly."""
+    if len(set(dates)) != 1:
+        return {}
+    specs, history = {n["id"]: n for n in graph["nodes"]}, needs_history(graph)
+    out = {}
+    for name, spec in specs.items():
+        below = [specs[e["target"]] for e in graph["edges"] if e["source"] == name]
+        plain = spec["type"] == "factor_input" and spec.get("config", {}).get("missing") != "median"
+        if plain and below and all(n["type"] in TEMPORAL and n["id"] not in history for n in below):
+            out[name] = max(TEMPORAL[n["type"]](n.get("config", {})) for n in below)
+    return out
+
+
+def at_dates(frame: DataFrame, dates: Sequence[date]) -> DataFrame:
+    """The rows of ``dates``; a table by month reads only their months."""
+    days = sorted(set(dates))
+    if "month" in frame.columns:
+        frame = frame.where(F.col("month").isin(sorted({d.strftime("%Y-%m") for d in days})))
+    return frame.where(F.col("trade_date").isin(days))
+
+
+def up_to(frame: DataFrame, last: date) -> DataFrame:
+    if "month" in frame.columns:
+        frame = frame.where(F.col("month") <= last.strftime("%Y-%m"))
+    return frame.where(F.col("trade_date") <= F.lit(last))
+
+
+def build_dates(graph: Mapping, context: Context, dates: Sequence[date]) -> dict[str, DataFrame]:
+    """All nodes' frames for the experiment's ``dates``.
+
+    What a temporal node needs of the past travels to the nodes above it: these are built on
+    all rows up to the last date, or for a single date on the last few of each security.
+    Everything else is built on the dates alone, so its scan reads nothing else.
+    """
+    last, history, limits = max(dates), needs_history(graph), row_limits(graph, dates)
+    narrow = Context(at_dates(context.factors, dates), at_dates(context.base, dates), context.groups)
+    wide = Context(up_to(context.factors, last), up_to(context.base, last), context.groups)
+    specs, frames = {n["id"]: n for n in graph["nodes"]}, {}
+    for name in topological(graph):
+        spec = specs[name]
+        config = spec.get("config", {})
+        edges = sorted((e for e in graph["edges"] if e["target"] == name), key=lambda e: e.get("target_handle", ""))
+        keeps_past = name in history
+        inputs = [frames[e["source"]] for e in edges]
+        if not keeps_past and spec["type"] not in TEMPORAL:
+            inputs = [at_dates(frame, dates) if e["source"] in history else frame for e, frame in zip(edges, inputs, strict=True)]
+        if name in limits:
+            newest = Window.partitionBy("security_id").orderBy(F.desc("trade_date"))
+            rows = wide.factors.where(F.col("factor_id") == config["factor_id"]).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limits[name]).drop("_n")
+            frames[name] = NODE_TYPES[spec["type"]](inputs, config, Context(rows, wide.base, context.groups))
+            continue
+        frame = NODE_TYPES[spec["type"]](inputs, config, wide if keeps_past or spec["type"] in TEMPORAL else narrow)
+        frames[name] = at_dates(frame, dates) if spec["type"] in TEMPORAL and not keeps_past else frame
+    return frames
+
+
+def run_dates(graph: Mapping, context: Context, dates: Sequence[date], strict: bool = False) -> DataFrame:
+    """The final node's rows at ``dates``; ``strict`` first requires a snapshot of every factor at each of them."""
+    if strict:
+        require_coverage(graph, context.factors, dates)
+    final = graph["outputs"]["final_node_id"]
+    return at_dates(build_dates(graph, context, dates)[final], dates)
+
+
+def uncovered_dates(graph: Mapping, factors: DataFrame, dates: Sequence[date]) -> list[date]:
+    """The dates at which some factor input of the graph has no row. One row a date reaches the driver."""
+    wanted = sorted({n["config"]["factor_id"] for n in graph["nodes"] if n["type"] == "factor_input"})
+    found = at_dates(factors, dates).where(F.col("factor_id").isin(wanted))
+    if "source_date" in factors.columns:
+        found = found.where(F.col("source_date") <= F.col("trade_date"))
+    whole = found.groupBy("trade_date").agg(F.count_distinct("factor_id").alias("n")).where(F.col("n") >= len(wanted))
+    return sorted(set(dates) - {r.trade_date for r in whole.select("trade_date").collect()})
+
+
+def require_coverage(graph: Mapping, factors: DataFrame, dates: Sequence[date]) -> None:
+    """Fail where a run would have to fall back on other than point-in-time snapshots."""
+    ids = [n.get("config", {}).get("factor_id") for n in graph["nodes"] if n["type"] == "factor_input"]
+    if not ids or not all(ids):
+        raise ValueError("point-in-time runs need factor_input nodes with a factor")
+    if any(i.startswith("lab_") for i in ids):
+        raise ValueError("point-in-time runs do not take saved lab factors as inputs")
+    missing = uncovered_dates(graph, factors, dates)
+    if missing:
+        raise ValueError("no complete snapshot at " + ", ".join(d.isoformat() for d in missing))
+
+
 def with_groups(frame: DataFrame, context: Context) -> DataFrame:
     return frame.join(context.base, KEYS, "left")
 

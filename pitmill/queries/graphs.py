@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import graph as g
+from ..sources.tables import read_factors, shared_path, write_factors
 from ..sources.views import security_master, sql
 from .scoring import FACTORS, snapshots
 
 
 def context(spark, d):
-    rows = snapshots(spark, d)
+    """Month-end snapshots, kept as the table by month that runs read: nodes scan it, not what it was made of."""
+    path = shared_path(spark, "snapshots")
+    write_factors(snapshots(spark, d).select("trade_date", "security_id", "factor_id", "factor_value"), path)
+    rows = read_factors(spark, path)
     master = security_master(spark, d).select("security_id", "industry_group", "sector")
-    base = rows.select("trade_date", "security_id").distinct().join(master, "security_id")
-    return g.Context(rows.select("trade_date", "security_id", "factor_id", "factor_value"), base.select("trade_date", "security_id", "industry_group", "sector"))
+    base = rows.select("month", "trade_date", "security_id").distinct().join(master, "security_id")
+    return g.Context(rows.select("month", "trade_date", "security_id", "factor_id", "factor_value"), base.select("month", "trade_date", "security_id", "industry_group", "sector"))
 
 
 def graph(*nodes, edges=(), final=None):
@@ -105,9 +109,49 @@ def graph_reasons(spark, d):
     return g.reasons(g.run(DEFINITIONS["condition"][0], context(spark, d)))
 
 
-QUERIES = {f"graph_{name}": _query(definition) for name, (definition, _) in DEFINITIONS.items()} | {"graph_quality": graph_quality, "graph_reasons": graph_reasons}
+LOOKS_BACK = graph(A, B, ("l", "lag", {"periods": 3}), ("m", "rolling_max", {"op": "max", "window": 6}), ("s", "subtract", {}), ("z", "zscore", {"scope": "sector"}), ("x", "add", {}), edges=["a>l", "b>s", "l>s", "s>z", "b>m", "z>x", "m>x"])
+
+
+def _last_dates(c, k):
+    """The last k dates of the snapshots, at most one row a date."""
+    return sorted(r.trade_date for r in c.factors.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(k).collect())
+
+
+def graph_at_dates(spark, d):
+    """Three dates of a graph that looks back: temporal inputs read the past, the others these dates."""
+    c = context(spark, d)
+    return g.run_dates(LOOKS_BACK, c, _last_dates(c, 3)).withColumn("value", F.round("value", 9))
+
+
+def graph_at_one_date(spark, d):
+    """One date: a lag reads its few rows of each security only; strict, as every factor has its snapshot."""
+    c = context(spark, d)
+    return g.run_dates(one("lag", {"periods": 3}), c, _last_dates(c, 1), strict=True).withColumn("value", F.round("value", 10))
+
+
+def graph_uncovered_dates(spark, d):
+    """The dates among all month ends at which some input has no snapshot, where one factor stopped in 1997."""
+    c = context(spark, d)
+    factors = c.factors.where("factor_id <> 'high_gap' OR trade_date < DATE'1997-01-01'")
+    dates = [r.trade_date for r in c.factors.select("trade_date").distinct().collect()]
+    gaps = g.uncovered_dates(two("add"), factors, dates)
+    return spark.createDataFrame([(x,) for x in gaps], "trade_date date")
+
+
+QUERIES = {"graph_at_dates": graph_at_dates, "graph_at_one_date": graph_at_one_date, "graph_uncovered_dates": graph_uncovered_dates} | {f"graph_{name}": _query(definition) for name, (definition, _) in DEFINITIONS.items()} | {"graph_quality": graph_quality, "graph_reasons": graph_reasons}
 _sql = lambda body: sql("price_daily security_master", body, **_CTE)
-SQL = {f"graph_{name}": _sql(f"SELECT * REPLACE (round(value, 10) AS value) FROM ({text})") for name, (_, text) in DEFINITIONS.items()} | {
+_LAGGED = f"SELECT trade_date, security_id, lag(v, 3) {_IT}) AS lv, row_number() {_IT}) AS p FROM a"
+_MAXED = f"SELECT trade_date, security_id, max(v) {_IT} ROWS 5 PRECEDING) AS mv, count(*) {_IT} ROWS 5 PRECEDING) AS c FROM b"
+_LB = {"lagged": _LAGGED, "maxed": _MAXED,
+       "su": "SELECT trade_date, security_id, b.v, CASE WHEN p > 3 THEN b.v - lv END AS s, CASE WHEN p <= 3 THEN 'lag_insufficient_history' END AS why FROM b JOIN lagged USING (trade_date, security_id)",
+       "zz": "SELECT trade_date, security_id, (s - avg(s) OVER w) / nullif(stddev_pop(s) OVER w, 0) AS z, count(s) OVER w AS n, why FROM su JOIN base USING (trade_date, security_id) WINDOW w AS (PARTITION BY trade_date, sector)",
+       "xx": "SELECT trade_date, security_id, CASE WHEN n >= 2 THEN z END AS z, mv, coalesce(why, CASE WHEN n < 2 OR z IS NULL THEN 'zscore_zero_std' END, CASE WHEN c < 6 THEN 'rolling_insufficient_history' END) AS r FROM zz JOIN maxed USING (trade_date, security_id)"}
+_LAST3 = "(SELECT DISTINCT trade_date FROM snaps ORDER BY trade_date DESC LIMIT {k})"
+SQL = {
+    "graph_at_dates": sql("price_daily security_master", f"SELECT trade_date, security_id, CASE WHEN r IS NULL THEN round(z + mv, 9) END AS value, r IS NULL AS is_valid, r AS invalid_reason FROM xx WHERE trade_date IN {_LAST3.format(k=3)}", **_CTE, **_LB),
+    "graph_at_one_date": _sql(f"SELECT * REPLACE (round(value, 10) AS value) FROM ({DEFINITIONS['lag'][1]}) WHERE trade_date IN {_LAST3.format(k=1)}"),
+    "graph_uncovered_dates": _sql("SELECT trade_date FROM snaps GROUP BY 1 HAVING count(*) FILTER (WHERE factor_id = 'mom_1m') = 0 OR count(*) FILTER (WHERE factor_id = 'high_gap' AND trade_date < DATE '1997-01-01') = 0"),
+} | {f"graph_{name}": _sql(f"SELECT * REPLACE (round(value, 10) AS value) FROM ({text})") for name, (_, text) in DEFINITIONS.items()} | {
     "graph_quality": _sql(f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE is_valid) AS n_valid, count(*) FILTER (WHERE NOT is_valid) AS n_invalid, count(DISTINCT security_id) AS n_securities, min(trade_date) AS first_date, max(trade_date) AS last_date FROM ({DEFINITIONS['log'][1]})"),
     "graph_reasons": _sql(f"SELECT invalid_reason, count(*) AS n_rows FROM ({DEFINITIONS['condition'][1]}) WHERE NOT is_valid GROUP BY 1"),
 }
