@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..functions import technical as t
@@ -11,8 +13,8 @@ from ..operators.asof import latest_version
 from ..operators.periods import with_formulas
 from ..plans import backtest as b
 from ..plans import graph as g
-from ..plans import lab
-from ..sources.tables import shared_path
+from ..plans import lab, valuation
+from ..sources.tables import read_factors, shared_path, write_factors
 from ..sources.views import benchmark, price_daily, security_master, sql, statements
 from . import backtests as bt
 from . import graphs
@@ -112,7 +114,9 @@ DEFAULT = ["per", "pbr", "psr"]
 def _multiples(spark, d):
     wide = formulas(daily_statements(spark, d), VALUATION, MULTIPLES)
     rows = wide.select("security_id", "trade_date", "close", *(F.round(m, 9).alias(m) for m in MULTIPLES)).unpivot(["security_id", "trade_date", "close"], MULTIPLES, "factor_id", "multiple")
-    return rows.where("multiple IS NOT NULL")
+    path = shared_path(spark, "multiples")  # the table of daily factors, which every valuation reads
+    write_factors(rows.where("multiple IS NOT NULL"), path)
+    return read_factors(spark, path).select("security_id", "trade_date", "close", "factor_id", "multiple")
 
 
 def _bands(spark, d):
@@ -129,6 +133,17 @@ def fair_price_bands(spark, d):
     return _bands(spark, d).select("security_id", "factor_id", F.round("target", 7).alias("target"), F.round("fair_price", 5).alias("fair_price"))
 
 
+def valuation_levels(spark, d):
+    """Multiples beside own history, venue, industry and market. Of some industries one factor is only known by quarter, and a third of the securities have no venue."""
+    groups = security_master(spark, d).select("security_id", F.element_at(F.split("security_id", "_"), 3).cast("long").alias("k"), F.col("industry_group").alias("industry"), F.lit("ALL").alias("market"))
+    groups = groups.select("security_id", F.when(F.col("k") % 3 == 0, "MAIN").when(F.col("k") % 3 == 1, "GROWTH").alias("venue"), "industry", "market", "k")
+    rows = _multiples(spark, d).join(groups, "security_id")
+    basis = F.when((F.col("factor_id") == "pcr") & (F.col("industry") < "G"), "quarterly").when((F.col("factor_id") == "psr") & (F.col("k") % 4 == 0), "ttm").otherwise("annual")
+    out = valuation.valuation(rows.withColumn("basis", basis), {"venue": "venue", "industry": "industry", "market": "market"}, as_of=date(1998, 6, 30))
+    shown = [f"{k}_{c}" for k in ("own", "venue", "industry", "market") for c in ("n", "basis", "p25", "p50", "p75")]
+    return out.select("security_id", "factor_id", "basis", "trade_date", F.round("multiple", 7).alias("multiple"), *(F.round(c, 7).alias(c) if c[-3] == "p" else c for c in shown))
+
+
 def central_band(spark, d):
     """One band a security, over the factors of its sector's profile."""
     out = lab.central_band(_bands(spark, d), spark.createDataFrame(PROFILES, "sector string, factor_id string"), DEFAULT)
@@ -171,7 +186,7 @@ def ebitda_coverage(spark, d):
     return latest.join(first, "sector", "left").withColumn("change", F.round(F.col("ev_share") - F.col("baseline"), 6))
 
 
-QUERIES = {q.__name__: q for q in (lab_factor, run_ranking, history_limit, dense_score_neutral, rebalance_semiannual, rebalance_changes, annual_excess, eval_long_short, vectors_train_test, incremental_screen, fair_price_bands, central_band, daily_factor_build, sign_policy, ebitda_coverage)}
+QUERIES = {q.__name__: q for q in (lab_factor, run_ranking, history_limit, dense_score_neutral, rebalance_semiannual, rebalance_changes, annual_excess, eval_long_short, vectors_train_test, incremental_screen, fair_price_bands, valuation_levels, central_band, daily_factor_build, sign_policy, ebitda_coverage)}
 
 P = "price_daily"
 _AB = FACTORS | {"run": "SELECT trade_date, security_id, a.factor_value - b.factor_value AS value FROM (SELECT * FROM snaps WHERE factor_id = 'mom_1m') a JOIN (SELECT * FROM snaps WHERE factor_id = 'high_gap') b USING (trade_date, security_id) WHERE a.factor_value - b.factor_value IS NOT NULL"}
@@ -202,6 +217,25 @@ SQL = {
     "vectors_train_test": sql(P, f"SELECT vector, part, n, round(mean, 6) AS mean, round(t_stat, 5) AS t_stat FROM ({_EVALUATE.format(n=2)})", **_PANEL, vectors="SELECT i * 100 + j * 10 + k AS vector, i / 4.0::DOUBLE AS w_mom_1m, j / 4.0::DOUBLE AS w_high_gap, k / 4.0::DOUBLE AS w_na_ratio FROM range(5) a(i), range(5) b(j), range(5) c(k) WHERE i + j + k = 4 AND greatest(i, j, k) <= 3 AND (i > 0)::INT + (j > 0)::INT + (k > 0)::INT >= 2"),
     "incremental_screen": sql(P, f"SELECT f AS new_factor, w AS weight, CAST(pos AS INTEGER) AS positions, round(train, 6) AS train, round(test, 6) AS test FROM (SELECT vector, max(CASE WHEN part = 'train' THEN mean END) AS train, max(CASE WHEN part = 'test' THEN mean END) AS test FROM ({_EVALUATE.format(n='pos')}) GROUP BY 1) JOIN vectors USING (vector) QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(train, 9) DESC, vector) = 1", **_PANEL,
         vectors="SELECT f, k * 1000 + w * 10 + n AS vector, w / 10.0::DOUBLE AS w, n AS pos, 1 - w / 10.0::DOUBLE AS w_mom_1m, CASE WHEN k = 0 THEN w / 10.0::DOUBLE ELSE 0.0 END AS w_high_gap, CASE WHEN k = 1 THEN w / 10.0::DOUBLE ELSE 0.0 END AS w_na_ratio FROM (VALUES (0, 'high_gap'), (1, 'na_ratio')) a(k, f), range(1, 8) b(w), (VALUES (1), (2), (3), (5)) c(n)"),
+    "valuation_levels": sql(
+        _VAL,
+        "SELECT c.security_id, c.factor_id, c.basis, c.trade_date, round(c.multiple, 7) AS multiple, "
+        + ", ".join(f"{k}.n AS {k}_n, {k}.basis AS {k}_basis, round({k}.a, 7) AS {k}_p25, round({k}.b, 7) AS {k}_p50, round({k}.c, 7) AS {k}_p75" for k in ("own", "venue", "industry", "market"))
+        + """ FROM first_current c LEFT JOIN past own ON own.key = c.security_id AND own.factor_id = c.factor_id LEFT JOIN venue ON venue.key = c.venue AND venue.factor_id = c.factor_id
+        LEFT JOIN industry ON industry.key = c.industry AND industry.factor_id = c.factor_id LEFT JOIN market ON market.key = c.market AND market.factor_id = c.factor_id""",
+        **_MULT,
+        v="""SELECT m.*, industry_group AS industry, 'ALL' AS market, CASE CAST(split_part(security_id, '_', 3) AS BIGINT) % 3 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'GROWTH' END AS venue,
+        CASE WHEN factor_id = 'pcr' AND industry_group < 'G' THEN 3 WHEN factor_id = 'psr' AND CAST(split_part(security_id, '_', 3) AS BIGINT) % 4 = 0 THEN 2 ELSE 1 END AS o
+        FROM multiples m JOIN security_master USING (security_id) WHERE trade_date <= DATE '1998-06-30'""",
+        newest="SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY security_id, factor_id, o ORDER BY trade_date DESC) = 1",
+        first_current="SELECT *, CASE o WHEN 1 THEN 'annual' WHEN 2 THEN 'ttm' ELSE 'quarterly' END AS basis FROM newest QUALIFY row_number() OVER (PARTITION BY security_id, factor_id ORDER BY o) = 1",
+        month_end="SELECT * FROM v WHERE o = 1 QUALIFY row_number() OVER (PARTITION BY security_id, factor_id, date_trunc('month', trade_date) ORDER BY trade_date DESC) = 1",
+        past="SELECT security_id AS key, factor_id, 'annual' AS basis, count(*) AS n, quantile_cont(multiple, 0.25) AS a, quantile_cont(multiple, 0.5) AS b, quantile_cont(multiple, 0.75) AS c FROM month_end GROUP BY 1, 2",
+        **{
+            k: f"SELECT {k} AS key, factor_id, CASE o WHEN 1 THEN 'annual' WHEN 2 THEN 'ttm' ELSE 'quarterly' END AS basis, count(*) AS n, quantile_cont(multiple, 0.25) AS a, quantile_cont(multiple, 0.5) AS b, quantile_cont(multiple, 0.75) AS c FROM newest WHERE {k} IS NOT NULL GROUP BY {k}, factor_id, o QUALIFY row_number() OVER (PARTITION BY {k}, factor_id ORDER BY o) = 1"
+            for k in ("venue", "industry", "market")
+        },
+    ),
     "fair_price_bands": sql(_VAL, "SELECT security_id, factor_id, round(target, 7) AS target, round(fair_price, 5) AS fair_price FROM bands", **_MULT),
     "central_band": sql(_VAL, f"""SELECT security_id, n AS n_factors, round(f, 5) AS fair_price, round(f * 0.9, 5) AS buy_below, round(f * 1.1, 5) AS sell_above, CASE WHEN round(f, 5) / close - 1 > 0.05 THEN 'undervalued' WHEN round(f, 5) / close - 1 < -0.05 THEN 'overvalued' WHEN f IS NOT NULL THEN 'neutral' END AS signal FROM (SELECT security_id, close, CASE WHEN a >= 2 THEN a ELSE b END AS n, CASE WHEN a >= 2 THEN x ELSE y END AS f FROM (
         SELECT security_id, any_value(close) AS close, count(*) FILTER (WHERE {_OWN}) AS a, quantile_cont(fair_price, 0.5) FILTER (WHERE {_OWN}) AS x, count(*) FILTER (WHERE factor_id <> 'pcr') AS b, quantile_cont(fair_price, 0.5) FILTER (WHERE factor_id <> 'pcr') AS y FROM bands WHERE fair_price IS NOT NULL GROUP BY 1))""", **_MULT),
