@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,17 +74,76 @@ def long_short(buckets: DataFrame, n: int) -> DataFrame:
     return buckets.groupBy("trade_date").agg((at(1) - at(n)).alias("long_short"))
 
 
+#: Weight vectors whose scores a task holds at once.
+VECTORS_AT_ONCE = 512
+
+
+def best_of_day(scores: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """Whether a security (row) is among the best ``positions`` of each vector (column); ties go to earlier rows."""
+    n = len(scores)
+    wanted = np.minimum(positions, n)
+    places = np.unique(n - wanted)
+    level = np.partition(scores, places, axis=0)[n - wanted, np.arange(scores.shape[1])]
+    above, equal = scores > level, scores == level
+    return above | (equal & (np.cumsum(equal, axis=0) <= wanted - above.sum(0)))
+
+
+def daily_best(panel: DataFrame, vectors: DataFrame, factors: Sequence[str], positions: int | None = 2) -> DataFrame:
+    """(vector, trade_date, n, total): number and sum of the following returns of each vector's best securities of a day.
+
+    ``vectors`` are parameters and go to the driver and from there to the tasks. A day's securities lie in one task, as a
+    matrix of factors; its product with blocks of the weights gives all scores there, so one row a day and vector leaves the task, never one a security.
+    A missing factor or weight makes a score the last one.
+    """
+    table = vectors.select("vector", *(F.col(f"w_{f}").cast("double") for f in factors), *(["positions"] if positions is None else [])).toPandas()
+    weights = table[[f"w_{f}" for f in factors]].to_numpy(float)
+    names, most = table["vector"].to_numpy(np.int64), table["positions"].to_numpy(np.int64) if positions is None else np.full(len(table), positions)
+    shared = panel.sparkSession.sparkContext.broadcast((weights, names, most))
+
+    def day_rows(day, x: np.ndarray, forward: np.ndarray) -> Iterator[pa.RecordBatch]:
+        weights, names, most = shared.value
+        known = ~np.isnan(forward)
+        for at in range(0, len(names), VECTORS_AT_ONCE):
+            part = slice(at, at + VECTORS_AT_ONCE)
+            scores = np.round(x @ weights[part].T, 9)
+            scores[np.isnan(scores)] = -np.inf
+            best = best_of_day(scores, most[part]) & known[:, None]
+            total = np.where(known, forward, 0.0) @ best
+            yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array([day] * len(total), pa.date32()), pa.array(best.sum(0).astype(np.int64)), pa.array(total)], ["vector", "trade_date", "n", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            x = np.column_stack([rows.column(f).to_numpy().astype(float) for f in factors])
+            yield from day_rows(rows.column("trade_date")[0].as_py(), x, rows.column("forward").to_numpy().astype(float))
+
+        for batch in batches:
+            days = batch.column(0).cast(pa.int32()).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(days)) + 1).tolist(), len(days)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if held and part.num_rows and held[0].column(0)[0] != part.column(0)[0]:
+                    yield from flush()
+                    held = []
+                if part.num_rows:
+                    held.append(part)
+        if held:
+            yield from flush()
+
+    rows = panel.select("trade_date", "security_id", *(F.col(f).cast("double").alias(f) for f in factors), F.col("forward").cast("double").alias("forward"))
+    ordered = rows.repartition("trade_date").sortWithinPartitions("trade_date", "security_id").drop("security_id")
+    return ordered.mapInArrow(run, "vector long, trade_date date, n long, total double")
+
+
 def evaluate_vectors(panel: DataFrame, vectors: DataFrame, factors: Sequence[str], split: str, positions: int | None = 2) -> DataFrame:
     """For each weight vector the mean and t statistic of its best securities' following returns, before and after ``split``.
 
     ``panel``: (trade_date, security_id, factors, forward); ``vectors``: (vector, a
-    weight a factor[, positions]), a table of parameters. One plan over all vectors.
+    weight a factor[, positions]).
     """
-    score = sum((F.col(f"w_{f}") * F.col(f) for f in factors), F.lit(0.0))
-    rows = panel.crossJoin(F.broadcast(vectors)).withColumn("_s", F.round(score, 9))
-    place = F.row_number().over(Window.partitionBy("vector", "trade_date").orderBy(F.desc("_s"), "security_id"))
-    most = F.col("positions") if positions is None else F.lit(positions)
-    daily = rows.withColumn("_p", place).where(F.col("_p") <= most).groupBy("vector", "trade_date").agg(F.avg("forward").alias("r"))
+    daily = daily_best(panel, vectors, factors, positions).where("n > 0").withColumn("r", F.col("total") / F.col("n"))
     part = F.when(F.col("trade_date") < F.lit(split), "train").otherwise("test")
     out = daily.groupBy("vector", part.alias("part")).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), divide(F.avg("r"), F.stddev_samp("r") / F.sqrt(F.count("*").cast("double"))).alias("t_stat"))
     return out

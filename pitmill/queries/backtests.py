@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import technical as t
 from ..functions.semantics import divide
+from ..functions.sliding import with_sliding_percentiles
 from ..operators.asof import asof_join
 from ..plans import backtest as b
+from ..plans import lab
 from ..sources.views import benchmark, price_daily, sql
 from .scoring import FACTORS, factors, snapshots
 
@@ -70,10 +72,9 @@ def weight_vector_grid(spark, d):
     """Eleven blends of two factors; for each the mean following month's return of its two best securities a month."""
     rows = snapshots(spark, d).groupBy("trade_date", "security_id").agg(*(F.max(F.when(F.col("factor_id") == f, F.col("factor_value"))).alias(f) for f in GOOD)).where("mom_1m IS NOT NULL AND high_gap IS NOT NULL")
     panel = rows.join(_forward(spark, d, 1), ["trade_date", "security_id"]).where("forward IS NOT NULL")
-    vectors = spark.range(11).select(F.col("id").alias("vector"), (F.col("id") / 10).alias("w"))
-    scored = panel.crossJoin(F.broadcast(vectors)).withColumn("s", F.col("w") * F.col("mom_1m") + (1 - F.col("w")) * F.col("high_gap"))
-    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("vector", "trade_date").orderBy(F.desc(F.round("s", 9)), "security_id"))).where("_r <= 2")
-    return best.groupBy("vector").agg(F.count("*").alias("n"), F.round(F.avg("forward"), 6).alias("mean_return"))
+    vectors = spark.range(11).select(F.col("id").alias("vector"), (F.col("id") / 10).alias("w_mom_1m"), (1 - F.col("id") / 10).alias("w_high_gap"))
+    best = lab.daily_best(panel, vectors, ["mom_1m", "high_gap"], 2)
+    return best.groupBy("vector").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean_return"))
 
 
 def _month_prices(spark, d):
@@ -136,15 +137,7 @@ def market_stress(spark, d):
     one = Window.partitionBy(F.lit(0)).orderBy("trade_date")  # an index is one series
     i = benchmark(price_daily(spark, d)).withColumn("ret", divide("index_close", F.lag("index_close").over(one)) - 1)
     i = i.withColumn("vol", F.round(F.when(F.count("ret").over(t.rows(one, 20)) >= 20, F.stddev_samp("ret").over(t.rows(one, 20))), 9)).withColumn("drawdown", F.round(F.col("index_close") / F.max("index_close").over(t.rows(one, 63)) - 1, 9))
-    year = t.rows(one, 252)
-
-    def place(name, worse):
-        values = F.collect_list(name).over(year)
-        below = F.size(F.filter(values, lambda x: x < F.col(name) if worse == "high" else x > F.col(name)))
-        ties = F.size(F.filter(values, lambda x: x == F.col(name)))
-        return F.when(F.count(name).over(year) >= 60, (below + (ties + 1) / 2) / F.size(values) * 100)
-
-    i = i.withColumn("vol_place", place("vol", "high")).withColumn("drawdown_place", place("drawdown", "low"))
+    i = with_sliding_percentiles(i, None, "trade_date", {"vol_place": ("vol", False), "drawdown_place": ("drawdown", True)}, 252, 60)
     score = F.round(0.6 * F.col("vol_place") + 0.4 * F.col("drawdown_place"), 4)
     return i.select("trade_date", score.alias("stress"), F.when(score >= 70, "stress").when(score <= 30, "calm").when(score.isNotNull(), "normal").alias("regime"))
 
@@ -175,6 +168,10 @@ EVAL = FACTORS | MONTH | {"fw": f"SELECT trade_date, security_id, {_lead(1)} / c
 _IC = "SELECT trade_date, count(*) AS n, corr(a, b) AS ic FROM (SELECT trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY value, security_id) AS a, row_number() OVER (PARTITION BY trade_date ORDER BY forward, security_id) AS b FROM sc JOIN ({f}) USING (trade_date, security_id) WHERE forward IS NOT NULL) GROUP BY 1 HAVING count(*) >= 5"
 _place = lambda c, op: f"CASE WHEN count({c}) OVER y >= 60 THEN (len(list_filter(list({c}) FILTER (WHERE {c} IS NOT NULL) OVER y, lambda x: x {op} {c})) + (len(list_filter(list({c}) FILTER (WHERE {c} IS NOT NULL) OVER y, lambda x: x = {c})) + 1) / 2.0) / count({c}) OVER y * 100 END"
 P, CLOSE = "price_daily", "close"
+STRESS_SQL = {
+    "i": "SELECT trade_date, round(CASE WHEN count(ret) OVER v >= 20 THEN stddev_samp(ret) OVER v END, 9) AS vol, round(index_close / max(index_close) OVER d - 1, 9) AS dd FROM (SELECT *, index_close / lag(index_close) OVER (ORDER BY trade_date) - 1 AS ret FROM benchmark_index) WINDOW v AS (ORDER BY trade_date ROWS 19 PRECEDING), d AS (ORDER BY trade_date ROWS 62 PRECEDING)",
+    "world": f"SELECT trade_date, round(0.6 * ({_place('vol', '<')}) + 0.4 * ({_place('dd', '>')}), 4) AS stress FROM i WINDOW y AS (ORDER BY trade_date ROWS 251 PRECEDING)",
+}
 SQL = {
     "rebalance_calendar": sql(P, "SELECT * FROM cal", **CAL),
     "signal_values_batch": sql(P, "SELECT * FROM signals", **SIG),
@@ -194,6 +191,5 @@ SQL = {
         pr="SELECT security_id, trade_date, round(close / lag(close, 126) OVER o - 1, 6) AS r, round(CASE WHEN count(ret) OVER f >= 60 THEN stddev_samp(ret) OVER f END, 6) AS v FROM (SELECT *, close / lag(close) OVER (PARTITION BY security_id ORDER BY trade_date) - 1 AS ret FROM price_daily) WINDOW o AS (PARTITION BY security_id ORDER BY trade_date), f AS (PARTITION BY security_id ORDER BY trade_date ROWS 125 PRECEDING)",
         pv="SELECT * FROM pr WHERE r IS NOT NULL AND v IS NOT NULL", me="SELECT max(trade_date) AS d FROM pv GROUP BY date_trunc('month', trade_date)",
         sn="SELECT s.d AS trade_date, s.security_id, p.r, p.v FROM (SELECT security_id, d FROM (SELECT security_id, min(trade_date) AS f FROM pv GROUP BY 1), me WHERE d >= f) s ASOF JOIN pv p ON s.security_id = p.security_id AND s.d >= p.trade_date"),
-    "market_stress": sql("benchmark_index", f"""SELECT trade_date, stress, CASE WHEN stress >= 70 THEN 'stress' WHEN stress <= 30 THEN 'calm' WHEN stress IS NOT NULL THEN 'normal' END AS regime FROM (SELECT trade_date, round(0.6 * ({_place('vol', '<')}) + 0.4 * ({_place('dd', '>')}), 4) AS stress FROM i WINDOW y AS (ORDER BY trade_date ROWS 251 PRECEDING))""",
-        i="SELECT trade_date, round(CASE WHEN count(ret) OVER v >= 20 THEN stddev_samp(ret) OVER v END, 9) AS vol, round(index_close / max(index_close) OVER d - 1, 9) AS dd FROM (SELECT *, index_close / lag(index_close) OVER (ORDER BY trade_date) - 1 AS ret FROM benchmark_index) WINDOW v AS (ORDER BY trade_date ROWS 19 PRECEDING), d AS (ORDER BY trade_date ROWS 62 PRECEDING)"),
+    "market_stress": sql("benchmark_index", "SELECT trade_date, stress, CASE WHEN stress >= 70 THEN 'stress' WHEN stress <= 30 THEN 'calm' WHEN stress IS NOT NULL THEN 'normal' END AS regime FROM world", **STRESS_SQL),
 }
