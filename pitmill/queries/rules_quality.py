@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..sources.tables import shared_path
 from ..sources.views import ITEMS, read, reports, security_master, sql, statements
 from ..streaming import event_time as et
 from ..streaming import incremental as inc
+from ..streaming.chain import SnapshotChain
 from .scoring import FACTORS as _FACTORS
 
 RULES = [{"canonical": "RED_ITEM", "all": ["RED"]}, {"canonical": "BOLT_SIZED", "all": ["BOLT"], "any": ["SMALL", "MEDIUM"]}, {"canonical": "PROMO", "any": ["PROMO"], "none": ["WIDGET"]}, {"canonical": "GEAR", "all": ["GEAR"], "none": ["LARGE"]}]
@@ -230,14 +233,12 @@ def stream_late_filings(spark, d):
     both = s.unionByName(fixed)
     cuts = ["1998-01-01", "2000-01-01", "2100-01-01"]
     low = "1900-01-01"
-    log = inc.SnapshotLog(spark, f"{path}/log", spark.createDataFrame([(f"{y}-12-31",) for y in range(1995, 2002)], "d string").select(F.to_date("d").alias("snapshot_date")), ["security_id", "fiscal_year", "fiscal_month"], "report_date")
+    chain = SnapshotChain(spark, f"{path}/chain", [date(y, 12, 31) for y in range(1995, 2002)], ["security_id", "fiscal_year", "fiscal_month"], "report_date")
     for k, high in enumerate(cuts):  # three files, in the order in which they became known
         both.where((F.col("report_date") >= low) & (F.col("report_date") < high)).coalesce(1).write.parquet(f"{path}/in/part={k}")
         low = high
-    for k in range(len(cuts)):
-        inc.drain(inc.read_stream(spark, f"{path}/in/part={k}"), lambda batch, _, k=k: log.append(batch, k), f"{path}/checkpoint{k}")
-    log.write(both.schema, len(cuts), final=True)
-    return log.read().groupBy("snapshot_date", "security_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
+    inc.drain(inc.read_stream(spark, f"{path}/in/part=*"), chain.append, f"{path}/checkpoint")
+    return chain.snapshots().groupBy("snapshot_date", "security_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (account_mapping, sector_classify, mapping_coverage, inconsistent_mapping, subtotal_dedupe, is_cis_priority, structure_outline, context_classify, formula_checks, failure_clusters, filing_verdicts, missing_core, duplicate_risks, jump_anomalies, readiness_matrix, operating_metrics, unit_economics, operating_drivers, pqc_forecast, factor_catalog, consensus_row_keys, stream_latest_version, stream_snapshot, stream_daily_counts, stream_live_estimates, stream_late_filings)}

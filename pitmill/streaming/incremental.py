@@ -49,9 +49,20 @@ class MergedTable:
             if old:
                 rows = self.spark.read.schema(rows.schema).parquet(*old).unionByName(rows)
             self.combine(rows).withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{batch_id:012d}")
+            self._remove_superseded(batch_id)
         finally:
             batch.unpersist()
 
+    def _remove_superseded(self, batch_id: int) -> None:
+        """Delete bucket versions older than those that this batch, run again, would start from."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        needed = {k: int(re.search(r"/v(\d+)/", folder)[1]) for k, folder in self._current(batch_id).items()}
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/bucket=*")
+        for status in pattern.getFileSystem(conf).globStatus(pattern) or []:
+            version, bucket = map(int, re.search(r"/v(\d+)/bucket=(\d+)$", str(status.getPath().toString())).groups())
+            if version < needed.get(bucket, -1):
+                status.getPath().getFileSystem(conf).delete(status.getPath(), True)
+
     def read(self, schema=None) -> DataFrame:
         folders = sorted(self._current().values())
         if not folders:
