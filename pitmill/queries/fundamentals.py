@@ -10,9 +10,7 @@ from ..functions.semantics import divide
 from ..operators import periods as p
 from ..operators.asof import asof_join
 from ..sources.views import FLOWS, ITEMS, price_daily, shares_monthly, sql, statements
-from .market import rolling_beta
 from .fundamentals_sql import ratio_sql, valuation_sql
-from .market import SQL as MARKET_SQL
 
 ALL = list(ITEMS)
 LAGGED = ["SALE", "NI", "TA", "SEQ", "ACT", "LCT", "RECT", "INVT", "COGS", "SGA", "CFO", "DLTT", "DLC", "PPENT", "DP", "CHE"]
@@ -131,40 +129,6 @@ def _valuation_sql(select):
     return sql("statements price_daily shares_monthly", select.format(inner=inner), **PERIODS, **DAILY)
 
 
-#: Percent: cost of debt from interest over debt, kept within (0, 100], else the risk-free rate plus a spread.
-WACC = {
-    "debt": "DLTT + DLC", "mcap": "close * shares", "cost_of_equity": "4.0 + coalesce(beta, 1.0) * 4.5", "observed_debt": "abs(XINT) / nullif(debt, 0) * 100",
-    "cost_of_debt": "CASE WHEN observed_debt > 0 AND observed_debt <= 100 THEN observed_debt ELSE 4.0 + 2.0 END", "equity_weight": "mcap / nullif(mcap + debt, 0)",
-    "wacc": "equity_weight * cost_of_equity + (1 - equity_weight) * cost_of_debt * (1 - 0.21)", "capital": "TA - LCT - CHE", "roic": "(SALE - COGS - SGA) * 0.79 / CASE WHEN capital > 0 THEN capital END * 100",
-    "spread": "roic - wacc", "economic_profit": "spread / 100 * CASE WHEN capital > 0 THEN capital END",
-}
-
-
-def wacc(spark, d):
-    betas = rolling_beta(spark, d).withColumnRenamed("week_end", "beta_date")
-    frame = asof_join(daily_statements(spark, d).drop("report_date"), betas, ["security_id"], "trade_date", "beta_date")
-    frame = p.with_formulas(frame, WACC, None).withColumn("economic_profit_change", F.col("economic_profit") - F.lag("economic_profit", 252).over(t.security_days()))
-    return frame.select(*DAY, *(F.round(c, 8).alias(c) for c in ("cost_of_equity", "cost_of_debt", "wacc", "roic", "spread", "economic_profit", "economic_profit_change")))
-
-
-def _wacc_sql():
-    beta = MARKET_SQL["rolling_beta"].removeprefix("WITH ")
-    cut_at = beta.index("SELECT security_id, week_end, round(greatest")
-    inner = "SELECT d.*, b.beta FROM daily d ASOF LEFT JOIN betas b ON d.security_id = b.security_id AND d.trade_date >= b.week_end"
-    for name, text in WACC.items():
-        inner = f"SELECT *, {text} AS {name} FROM ({inner})"
-    names = ("cost_of_equity", "cost_of_debt", "wacc", "roic", "spread", "economic_profit", "economic_profit_change")
-    body = f"SELECT security_id, trade_date, {', '.join(f"round({n}, 8) AS {n}" for n in names)} FROM (SELECT *, economic_profit - lag(economic_profit, 252) OVER (PARTITION BY security_id ORDER BY trade_date) AS economic_profit_change FROM ({inner}))"
-    from .market import _WEEK
-
-    more = {
-        "w": f"SELECT security_id, {_WEEK} AS week_end, max_by(close, trade_date) AS close FROM price_daily GROUP BY 1, 2", "i": f"SELECT {_WEEK} AS week_end, max_by(index_close, trade_date) AS x FROM benchmark_index GROUP BY 1",
-        "b": "SELECT security_id, week_end, r, x / lag(x) OVER (PARTITION BY security_id ORDER BY week_end) - 1 AS m FROM (SELECT *, close / lag(close) OVER (PARTITION BY security_id ORDER BY week_end) - 1 AS r FROM w) JOIN i USING (week_end)",
-        "betas": beta[cut_at:],
-    }
-    return sql("statements price_daily shares_monthly benchmark_index", body, **PERIODS, **DAILY, **more)
-
-
 #: Residual income with fading returns: B + B (ROE - r) d / (1 - d + r), for 0 < r < 1 and a positive target.
 RIM = {"roe": "NI / CASE WHEN SEQ > 0 THEN SEQ END", "r": "0.085", "bps": "SEQ / CASE WHEN shares > 0 THEN shares END", "target": "bps + bps * (roe - r) * 0.8 / (1 - 0.8 + r)", "rim_upside": "CASE WHEN target > 0 THEN (target / nullif(close, 0) - 1) * 100 END"}
 
@@ -262,7 +226,7 @@ def ratio_history(spark, d):
     return frame.groupBy("security_id", "fiscal_year", "fiscal_month").agg(F.round(F.max_by("per", "trade_date"), 6).alias("per"), F.max("trade_date").alias("as_of"))
 
 
-PLAIN = (statement_wide, quarter_ttm, annual_select, asof_statements, valuation_multiples, wacc, rim_upside, equity_duration, dividend_asof, dividend_streaks, dividend_growth, unit_scale_repair, derived_accounts, statement_table, ratio_history)
+PLAIN = (statement_wide, quarter_ttm, annual_select, asof_statements, valuation_multiples, rim_upside, equity_duration, dividend_asof, dividend_streaks, dividend_growth, unit_scale_repair, derived_accounts, statement_table, ratio_history)
 QUERIES = {f.__name__: f for f in PLAIN} | {name: query for name, (query, _) in RATIOS.items()}
 
 
@@ -280,7 +244,6 @@ SQL = {name: text() for name, (_, text) in RATIOS.items()} | {
     "annual_select": sql("statements", "SELECT security_id, fiscal_year, fiscal_month, SALE, NI, TA, report_date FROM wide WHERE fiscal_month = 12", **PERIODS),
     "asof_statements": sql(_V, "SELECT security_id, trade_date, fiscal_year, fiscal_month, report_date, round(NI, 4) AS NI, SEQ FROM daily", **PERIODS, **DAILY),
     "valuation_multiples": _valuation_sql("SELECT security_id, trade_date, " + ", ".join(f"round({n}, 9) AS {n}" for n in VALUATION if n not in ("mcap", "ev", "ev_flag")) + ", ev_flag FROM ({inner})"),
-    "wacc": _wacc_sql(),
     "rim_upside": sql(_V, f"SELECT security_id, trade_date, round(rim_upside, 6) AS rim_upside FROM ({_chain('SELECT * FROM daily', RIM)})", **PERIODS, **DAILY),
     "equity_duration": sql(_V, _DURATION.format(inner=_chain("SELECT * FROM daily", {"eps": VALUATION["eps"], "per": VALUATION["per"]})), **PERIODS, **DAILY),
     "dividend_asof": sql(_V, "SELECT p.security_id, p.trade_date, y.dps, round(y.dps / p.close * 100, 6) AS dividend_yield FROM price_daily p ASOF LEFT JOIN yearly y ON p.security_id = y.security_id AND p.trade_date >= y.report_date", **PERIODS, **_YEARLY),
