@@ -7,9 +7,14 @@ becomes known 45 days after the quarter's end.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import shared_path
+
 #: Statement items of a quarter: name -> (statement, aggregate over lines). Flows are published cumulated within the year.
 ITEMS = {
     "SALE": ("IS", "sum(l_extendedprice * (1 - l_discount))"),
@@ -42,10 +47,39 @@ def cut(x: Column, digits: int = 2) -> Column:
     return F.floor(x * 10**digits + 1e-6) / 10**digits
 
 
+class Folder(str):
+    """A folder of tables of which some views have been written already: name -> path."""
+
+    derived: dict[str, str] = {}
+
+
+def derived(view: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A view that is read where a ``Folder`` has it, and made of the tables otherwise."""
+
+    @functools.wraps(view)
+    def reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = getattr(sf_dir, "derived", {}).get(view.__name__)
+        return spark.read.parquet(path) if path else view(spark, sf_dir)
+
+    return reading
+
+
+def materialised(spark: SparkSession, sf_dir: str, *views: Callable[[SparkSession, str], DataFrame]) -> Folder:
+    """The same folder, with each of the ``views`` written once as a table, so that a plan of many families scans that and not its source."""
+    out = Folder(sf_dir)
+    out.derived = dict(getattr(sf_dir, "derived", {}))
+    for view in views:
+        path = shared_path(spark, view.__name__)
+        view(spark, out).write.parquet(path)
+        out.derived[view.__name__] = path
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@derived
 def price_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a security and day: average, highest and lowest unit price, and quantity."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
@@ -75,6 +109,7 @@ def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.agg(*(cut(F.expr(text)).alias(name) for name, (_, text) in ITEMS.items()))
 
 
+@derived
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As published, long: flows cumulated within the year, and when each row became known."""
     year = Window.partitionBy("security_id", "fiscal_year").orderBy("fiscal_month").rowsBetween(Window.unboundedPreceding, 0)
@@ -90,6 +125,7 @@ def benchmark(prices: DataFrame) -> DataFrame:
     return prices.groupBy("trade_date").agg(cut(F.avg("close"), 4).alias("index_close"))
 
 
+@derived
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as analyst reports: the clerk's segment and customer stand for broker and analyst, the total price for the estimate."""
     lines = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.concat(F.lit("SEC_US_"), F.col("l_suppkey").cast("string")).alias("security_id"))
