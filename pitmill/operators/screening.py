@@ -69,19 +69,24 @@ def screen(values: DataFrame, conditions: Sequence[dict], match_all: bool = True
 
     A condition is {factor_id, op, value[, high]}; op is one of > >= < <= = != between top_percent.
     """
-    hits = None
-    for k, c in enumerate(conditions):
-        rows = values.where((F.col("factor_id") == c["factor_id"]) & F.col("factor_value").isNotNull())
-        v = F.col("factor_value")
+    rows = values.where(F.col("factor_id").isin(sorted({c["factor_id"] for c in conditions})) & F.col("factor_value").isNotNull())
+    v = F.col("factor_value")
+    if any(c["op"] == "top_percent" for c in conditions):
+        of = Window.partitionBy("trade_date", "factor_id")
+        place = {"_down": F.row_number().over(of.orderBy(v.desc(), "security_id")), "_up": F.row_number().over(of.orderBy(v.asc(), "security_id"))}
+        rows = rows.withColumns(place | {"_n": F.count("*").over(of)})
+
+    def met(c: dict) -> Column:
         if c["op"] == "top_percent":
-            met = top_percent(v, ["trade_date"], c["value"], c.get("high", True))
-        elif c["op"] == "between":
-            met = v.between(*c["value"])
-        else:
-            met = {">": v > c["value"], ">=": v >= c["value"], "<": v < c["value"], "<=": v <= c["value"], "=": v == c["value"], "!=": v != c["value"]}[c["op"]]
-        one = rows.select("trade_date", "security_id", F.lit(k).alias("_k"), met.alias("_met"), v.alias("_v"))
-        hits = one if hits is None else hits.unionByName(one)
-    found = hits.groupBy("trade_date", "security_id").agg(F.sum(F.col("_met").cast("int")).alias("n_matched"), *(F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(f"value_{k}") for k in range(len(conditions))))
+            return F.col("_down" if c.get("high", True) else "_up") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * c["value"] / 100))
+        if c["op"] == "between":
+            return v.between(*c["value"])
+        return {">": v > c["value"], ">=": v >= c["value"], "<": v < c["value"], "<=": v <= c["value"], "=": v == c["value"], "!=": v != c["value"]}[c["op"]]
+
+    # a row has one factor, so all conditions are told in one pass over the rows
+    concerns = [F.col("factor_id") == c["factor_id"] for c in conditions]
+    matched = sum((F.when(about & met(c), 1).otherwise(0) for about, c in zip(concerns, conditions, strict=True)), F.lit(0))
+    found = rows.withColumn("_met", matched).groupBy("trade_date", "security_id").agg(F.sum("_met").alias("n_matched"), *(F.max(F.when(about, v)).alias(f"value_{k}") for k, about in enumerate(concerns)))
     return found.where(F.col("n_matched") >= (len(conditions) if match_all else 1))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import divide
+from ..operators.screening import screen
 
 #: Months of a period.
 PERIODS = {"monthly": 1, "quarterly": 3, "semiannual": 6, "annual": 12}
@@ -23,8 +26,14 @@ def rebalance_calendar(days: DataFrame, every: str = "quarterly", time: str = "t
     return out.where("signal_date IS NOT NULL").select("segment_id", F.col(time).alias("rebalance_date"), "signal_date", F.col("next").alias("next_date"))
 
 
-def candidates(values: DataFrame, factors: dict[str, bool], n: int) -> DataFrame:
-    """The ``n`` securities of each signal date with the best mean percentile over all factors (name -> higher is better), equally weighted."""
+def candidates(values: DataFrame, factors: dict[str, bool], n: int, conditions: Sequence[dict] = (), match_all: bool = True) -> DataFrame:
+    """The ``n`` securities of each signal date with the best mean percentile over all factors (name -> higher is better), equally weighted.
+
+    With ``conditions`` (as of ``screening.screen``) only securities that meet all, or any, of them on the date are ranked.
+    """
+    if conditions:
+        passed = screen(values.withColumnRenamed("signal_date", "trade_date"), conditions, match_all)
+        values = values.join(passed.select(F.col("trade_date").alias("signal_date"), "security_id"), ["signal_date", "security_id"], "left_semi")
     rows = values.where(F.col("factor_id").isin(list(factors)) & F.col("factor_value").isNotNull())
     lower = [f for f, high in factors.items() if not high]
     turned = F.when(F.col("factor_id").isin(lower), -F.col("factor_value")).otherwise(F.col("factor_value")) if lower else F.col("factor_value")

@@ -46,6 +46,16 @@ def candidates(spark, d):
     return _positions(spark, d).select("signal_date", "security_id", F.round("score", 4).alias("score"), "position", F.round("weight", 6).alias("weight"))
 
 
+#: Of the candidates: a positive month, the upper half of the gap to the high, and a price not far above its average.
+SCREENED = [{"factor_id": "mom_1m", "op": ">", "value": 0}, {"factor_id": "high_gap", "op": "top_percent", "value": 50}, {"factor_id": "na_ratio", "op": "between", "value": (-20, 40)}]
+
+
+def candidates_screened(spark, d):
+    """Candidates among the securities that meet all conditions on the signal date."""
+    out = b.candidates(_signals(spark, d), GOOD, 3, SCREENED)
+    return out.select("signal_date", "security_id", F.round("score", 4).alias("score"), "position", F.round("weight", 6).alias("weight"))
+
+
 def _daily(spark, d):
     prices = price_daily(spark, d)
     return b.segment_returns(_positions(spark, d), _calendar(spark, d), b.daily_returns(prices))
@@ -142,7 +152,7 @@ def market_stress(spark, d):
     return i.select("trade_date", score.alias("stress"), F.when(score >= 70, "stress").when(score <= 30, "calm").when(score.isNotNull(), "normal").alias("regime"))
 
 
-QUERIES = {f.__name__: f for f in (rebalance_calendar, signal_values_batch, candidates, segment_returns, nav_curve, annual_returns, backtest_summary, weight_vector_grid, eval_ic, eval_decay, eval_bucket_return, eval_turnover, risk_appetite_daily, market_stress)}
+QUERIES = {f.__name__: f for f in (rebalance_calendar, signal_values_batch, candidates, candidates_screened, segment_returns, nav_curve, annual_returns, backtest_summary, weight_vector_grid, eval_ic, eval_decay, eval_bucket_return, eval_turnover, risk_appetite_daily, market_stress)}
 
 CAL = {
     "days": "SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS signal_date, date_trunc('quarter', trade_date) AS q FROM (SELECT DISTINCT trade_date FROM price_daily)",
@@ -176,6 +186,10 @@ SQL = {
     "rebalance_calendar": sql(P, "SELECT * FROM cal", **CAL),
     "signal_values_batch": sql(P, "SELECT * FROM signals", **SIG),
     "candidates": sql(P, "SELECT signal_date, security_id, round(score, 4) AS score, position, round(weight, 6) AS weight FROM pos", **SIG),
+    "candidates_screened": sql(P, "SELECT signal_date, security_id, round(score, 4) AS score, position, round(weight, 6) AS weight FROM pos2", **SIG,
+        ok="SELECT signal_date, security_id FROM signals a WHERE factor_id = 'mom_1m' AND factor_value > 0 INTERSECT SELECT signal_date, security_id FROM signals WHERE factor_id = 'high_gap' QUALIFY row_number() OVER (PARTITION BY signal_date ORDER BY factor_value DESC, security_id) <= greatest(1, ceil(count(*) OVER (PARTITION BY signal_date) * 50 / 100.0)) INTERSECT SELECT signal_date, security_id FROM signals WHERE factor_id = 'na_ratio' AND factor_value >= -20 AND factor_value <= 40",
+        pct2="SELECT *, CASE WHEN n = 1 THEN 100.0 ELSE (n - r) / (n - 1) * 100 END AS s FROM (SELECT *, count(*) OVER (PARTITION BY signal_date, factor_id) AS n, row_number() OVER (PARTITION BY signal_date, factor_id ORDER BY factor_value DESC, security_id) AS r FROM signals JOIN ok USING (signal_date, security_id) WHERE factor_id IN ('mom_1m', 'high_gap'))",
+        pos2="SELECT *, 1.0 / count(*) OVER (PARTITION BY signal_date) AS weight FROM (SELECT *, CAST(row_number() OVER (PARTITION BY signal_date ORDER BY score DESC, security_id) AS INTEGER) AS position FROM (SELECT signal_date, security_id, avg(s) AS score FROM pct2 GROUP BY 1, 2 HAVING count(*) = 2)) WHERE position <= 3"),
     "segment_returns": sql(P, "SELECT segment_id, trade_date, round(daily_return, 9) AS daily_return, n_held FROM daily", **DAILY),
     "nav_curve": sql(P, "SELECT trade_date, round(ln(nav), 6) AS log_nav, round(drawdown, 6) AS drawdown FROM curve", **DAILY),
     "annual_returns": sql(P, "SELECT CAST(y AS INTEGER) AS year, round(ln(nav / lag(nav, 1, 1.0::DOUBLE) OVER (ORDER BY y)), 6) AS log_return FROM (SELECT year(trade_date) AS y, max_by(nav, trade_date) AS nav FROM curve GROUP BY 1)", **DAILY),

@@ -15,7 +15,8 @@ SOME = """price_daily_from_lines factor_melt_long momentum rsi rolling_beta annu
 snapshot_incremental style_scores screen_mixed_all bands_market graph_nested graph_shrunk_zscore graph_weighted_renormalized nav_curve eval_ic
 target_consensus_boundaries composite_provider sector_classify formula_checks stream_latest_version factor_catalog stream_snapshot
 stream_late_filings dividend_scan risk_free_rates metric_flags asof_stale_forward strict_targets validity_marks screen_filtered lab_factor run_ranking
-rebalance_semiannual vectors_train_test central_band sign_policy reports_json industry_winsorized beneish""".split()
+rebalance_semiannual vectors_train_test central_band sign_policy reports_json industry_winsorized beneish rolling_mdd accounts_by_context
+valuation_levels country_risk_scores stream_expired_estimates stream_closed_windows metric_cells graph_at_dates candidates_screened wacc""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
 
