@@ -41,8 +41,8 @@ def dividend_scan(spark, d):
 
 def provider_observations(spark, d):
     """Nested estimate arrays to observations, summed by symbol, period and statistic."""
-    lines = read(spark, d, "lineitem").where("l_linenumber <= 4")
-    period = F.element_at(F.array(*map(F.lit, ("0q", "+1q", "0y", "+1y"))), F.col("l_linenumber").cast("int"))
+    lines = read(spark, d, "lineitem")
+    period = F.element_at(F.array(*map(F.lit, ("0q", "+1q", "0y", "+1y"))), ((F.col("l_linenumber") - 1) % 4 + 1).cast("int"))
     one = F.struct(period.alias("period"), F.col("l_extendedprice").alias("avg"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("low"), F.col("l_tax").alias("high"))
     payloads = lines.groupBy("l_orderkey").agg(F.min("l_suppkey").cast("string").alias("symbol"), F.collect_list(one).alias("trend")).select(F.to_json(F.struct("symbol", "trend")).alias("payload"))
     return f.observations(payloads).groupBy("symbol", "period", "statistic").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
@@ -139,7 +139,7 @@ SQL = {
     "statements_compacted": sql("statements", "SELECT security_id, fiscal_year, canonical_id, amount FROM statements WHERE fiscal_month = 12 AND statement_type = 'IS'"),
     "dividend_scan": """SELECT 'ok' AS kind, o_custkey % 100 AS stock_code, CAST(year(o_orderdate) AS INTEGER) AS bsns_year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY ALL
         UNION ALL SELECT 'failed', NULL, NULL, count(*), NULL FROM orders WHERE o_orderkey % 50 = 0""",
-    "provider_observations": """WITH l AS (SELECT min(CAST(s AS BIGINT)) OVER (PARTITION BY l_orderkey)::VARCHAR AS symbol, ['0q', '+1q', '0y', '+1y'][l_linenumber] AS period, * FROM (SELECT *, l_suppkey AS s FROM lineitem WHERE l_linenumber <= 4)),
+    "provider_observations": """WITH l AS (SELECT min(CAST(s AS BIGINT)) OVER (PARTITION BY l_orderkey)::VARCHAR AS symbol, ['0q', '+1q', '0y', '+1y'][CAST((l_linenumber - 1) % 4 + 1 AS BIGINT)] AS period, * FROM (SELECT *, l_suppkey AS s FROM lineitem)),
         u AS (SELECT symbol, period, 'avg' AS statistic, l_extendedprice AS value FROM l UNION ALL SELECT symbol, period, 'low', CASE WHEN l_discount > 0 THEN l_discount END FROM l UNION ALL SELECT symbol, period, 'high', l_tax FROM l)
         SELECT symbol, period, statistic, count(*) AS n, round(sum(value), 2) AS total FROM u WHERE value IS NOT NULL GROUP BY 1, 2, 3""",
     "risk_free_rates": RATES,
