@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,15 @@ def revisions(states: DataFrame, lookbacks: list[int], value: str = "mean", time
     return out
 
 
-def composite(reports: DataFrame, providers: list[str], dates: DataFrame) -> DataFrame:
-    """Each date's value of the newest provider; of equally new ones the earlier in ``providers``."""
+def composite(reports: DataFrame, providers: list[str], dates: DataFrame, historical: Sequence[str] = ()) -> DataFrame:
+    """Each date's value of the newest provider; of equally new ones the earlier in ``providers``.
+
+    A ``historical`` provider counts only until, for the same security, the first of the others has reported.
+    """
+    if historical:
+        past = F.col("broker").isin(list(historical))
+        current_from = F.min(F.when(~past & F.col("broker").isin(providers), F.col("report_date"))).over(Window.partitionBy("security_id"))
+        reports = reports.withColumn("_from", current_from).where(~past | F.col("_from").isNull() | (F.col("report_date") < F.col("_from"))).drop("_from")
     rank = F.coalesce(*(F.when(F.col("broker") == p, k) for k, p in enumerate(providers)))
     rows = reports.where(F.col("broker").isin(providers)).withColumn("_rank", rank)
     best = F.max(F.struct("report_date", -F.col("_rank"), "report_idx", "estimate", "broker"))

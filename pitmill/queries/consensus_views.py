@@ -33,6 +33,13 @@ def composite_provider(spark, d):
     return c.composite(reports(spark, d), ["B2", "B0", "B5"], dates).select("security_id", "as_of", "source_date", "estimate", "broker")
 
 
+def composite_cut_off(spark, d):
+    """The composite where one provider is historical: it ends when a current one starts on the security in 1997."""
+    dates = price_daily(spark, d).select("security_id", F.col("trade_date").alias("as_of"))
+    r = reports(spark, d).where("broker <> 'B5' OR report_date >= DATE'1997-01-01'")
+    return c.composite(r, ["B2", "B5"], dates, historical=["B2"]).select("security_id", "as_of", "source_date", "estimate", "broker")
+
+
 def split_adjust(spark, d):
     """A split of 2 on the first trading day of every odd year."""
     p = price_daily(spark, d).select("security_id", "trade_date", "close")
@@ -74,7 +81,7 @@ def estimate_revision_breadth(spark, d):
     return g.withColumn("breadth", F.round((F.col("up") - F.col("down")) / F.greatest(F.col("up") + F.col("down"), F.lit(1)), 6))
 
 
-QUERIES = {f.__name__: f for f in (daily_consensus, target_consensus_boundaries, eps_revisions, composite_provider, split_adjust, horizon_map, surprise_events, model_consensus, latest_reports, estimate_revision_breadth)}
+QUERIES = {f.__name__: f for f in (daily_consensus, target_consensus_boundaries, eps_revisions, composite_provider, composite_cut_off, split_adjust, horizon_map, surprise_events, model_consensus, latest_reports, estimate_revision_breadth)}
 
 
 def _spans(by, days):
@@ -89,6 +96,9 @@ SQL = {
     "target_consensus_boundaries": sql("reports", "SELECT d.security_id, d.as_of, count(sp.security_id) AS n, round(avg(estimate), 7) AS mean FROM dd d LEFT JOIN sp ON sp.security_id = d.security_id AND d.as_of >= report_date AND d.as_of < valid_to GROUP BY 1, 2", sp=_spans(["security_id", "analyst"], 120), dd="SELECT security_id, report_date AS as_of FROM sp UNION SELECT security_id, valid_to FROM sp"),
     "eps_revisions": sql("reports", "SELECT x.security_id, x.as_of, round((x.now - x.then_) * 100 / greatest(abs(x.then_), 0.1), 4) AS revision_30d, round((y.now - y.then_) * 100 / greatest(abs(y.then_), 0.1), 4) AS revision_90d FROM x JOIN y USING (security_id, as_of)", **_CONS, x=_prior(30).replace("AS then", "AS then_"), y=_prior(90).replace("AS then", "AS then_")),
     "composite_provider": sql("reports price_daily", "SELECT p.security_id, p.trade_date AS as_of, n.report_date AS source_date, n.estimate, n.broker FROM price_daily p ASOF LEFT JOIN nw n ON p.security_id = n.security_id AND p.trade_date >= n.report_date", nw="SELECT * FROM reports WHERE broker IN ('B2', 'B0', 'B5') QUALIFY row_number() OVER (PARTITION BY security_id, report_date ORDER BY CASE broker WHEN 'B2' THEN 0 WHEN 'B0' THEN 1 ELSE 2 END, report_idx DESC) = 1"),
+    "composite_cut_off": sql("reports price_daily", "SELECT p.security_id, p.trade_date AS as_of, n.report_date AS source_date, n.estimate, n.broker FROM price_daily p ASOF LEFT JOIN nw n ON p.security_id = n.security_id AND p.trade_date >= n.report_date",
+        st="SELECT security_id, min(report_date) AS f FROM reports WHERE broker = 'B5' AND report_date >= DATE '1997-01-01' GROUP BY 1",
+        nw="SELECT r.* FROM reports r LEFT JOIN st USING (security_id) WHERE (broker = 'B5' AND report_date >= DATE '1997-01-01') OR (broker = 'B2' AND (f IS NULL OR report_date < f)) QUALIFY row_number() OVER (PARTITION BY security_id, report_date ORDER BY broker, report_idx DESC) = 1"),
     "split_adjust": sql("price_daily", "SELECT p.security_id, trade_date, round(close / power(2, (SELECT count(*) FROM s WHERE s.security_id = p.security_id AND s.d > p.trade_date)), 8) AS adj_close FROM price_daily p", s="SELECT security_id, min(trade_date) AS d FROM price_daily GROUP BY security_id, year(trade_date) HAVING year(min(trade_date)) % 2 = 1"),
     "horizon_map": sql("statements", "SELECT security_id, e AS period_end, 'FY' || CASE WHEN f THEN row_number() OVER (PARTITION BY security_id, f ORDER BY e) ELSE 1 - row_number() OVER (PARTITION BY security_id, f ORDER BY e DESC) END AS horizon FROM (SELECT DISTINCT security_id, make_date(fiscal_year, 12, 31) AS e, make_date(fiscal_year, 12, 31) >= DATE '1998-06-30' AS f FROM statements)"),
     "surprise_events": sql("statements reports", "SELECT a.security_id, fiscal_year, CASE WHEN a.report_date - e.report_date <= 180 THEN e.report_date END AS estimate_date, round(CASE WHEN a.report_date - e.report_date <= 180 THEN (actual - estimate) * 100 / nullif(abs(estimate), 0) END, 4) AS surprise FROM a ASOF LEFT JOIN e ON a.security_id = e.security_id AND a.report_date > e.report_date",
