@@ -1,9 +1,11 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 
-from pitmill.llm.quality import BUCKETS, fit, indicators, score, train
+from pitmill.llm.labelled import training_rows
+from pitmill.llm.quality import BUCKETS, fit, indicators, keep, score, train
 
 
 def corpus(n, seed=4):
@@ -103,3 +105,22 @@ def test_training_reaches_the_optimum():
         best = min(best, w, key=loss)
     mine = np.append(np.divide(model.weights[:80], ratio[:80], out=np.zeros(80), where=ratio[:80] != 0), model.bias)
     assert loss(mine) <= 1.02 * loss(best)
+
+
+def test_a_score_equal_to_the_threshold_counts(spark):
+    rows = corpus(80)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string").coalesce(1)
+    model = train(docs, spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id long, quality int"))
+    scores = {r.doc_id: r.score for r in score(docs, model).collect()}
+    at = sorted(scores.values())[40]
+    want = {k for k, s in scores.items() if s >= at}
+    assert {r.doc_id for r in score(docs, model, at).where("predicted = 1").collect()} == want == {r.doc_id for r in keep(docs, model, at).collect()}
+
+
+def test_of_several_texts_under_one_id_the_smallest_is_learned_from(spark):
+    docs = [(1, "b"), (1, "a"), (1, None), (2, None), (3, "c"), (3, "c"), (4, "held out or not")]
+    labels = spark.createDataFrame([(k, q) for k in (1, 2, 3) for q in (0, 1)], "doc_id long, quality int")
+    for n in (1, 4):
+        got = training_rows(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), labels, "quality", 10)
+        rows = {(r.doc_id, r.text, r.label) for r in got.collect()}
+        assert rows == {x for x in ((1, "a", 1), (2, None, 1), (3, "c", 1)) if zlib.crc32(str(x[0]).encode()) % 5}
