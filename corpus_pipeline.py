@@ -46,8 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of sentences go; so does a document that consisted of nothing else.
 
-    Null texts and texts without words stay as they are. Rows that share an id keep
-    what only they share; rows without an id come last and are told apart. ``n_chars``,
+    Null texts and texts without words stay as they are. Of rows that share an id one is
+    the earlier place; rows without an id come last and are told apart. ``n_chars``,
     where there is such a column, follows the text; other columns pass through, but for
     ``n_sentences`` and ``n_removed``, which are left out.
     """
