@@ -37,7 +37,7 @@ def lab_factor(spark, d):
     path = shared_path(spark, "lab")
     lab.save_run(_run(spark, d), "gap", path)
     c = graphs.context(spark, d)
-    c = g.Context(c.factors.unionByName(lab.saved_factors(spark, path)), c.base)
+    c = g.Context(c.factors.drop("month").unionByName(lab.saved_factors(spark, path)), c.base)
     out = g.run(graphs.graph(("l", "factor_input", {"factor_id": "lab_gap"}), graphs.H, ("x", "add", {}), edges=["l>x", "h>x"]), c)
     return out.select("trade_date", "security_id", F.round("value", 9).alias("value"), "is_valid", "invalid_reason")
 
