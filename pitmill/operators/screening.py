@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cross_section import percentile_score, robust_z
 from ..functions.semantics import divide
+from ..sources.tables import shared_path
 
 DAY_FACTOR = ["trade_date", "factor_id"]
 
@@ -158,6 +159,20 @@ def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> D
     return part.withColumn("place", place).crossJoin(F.broadcast(counted))
 
 
+def placed(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """All rows in order, with each one's place and the number of all rows. Sorted parts are written once; a part's places go on where those of the parts before it end."""
+    spark = rows.sparkSession
+    path = shared_path(spark, "placed")
+    rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    part = F.shiftright("_at", 33)
+    out = spark.read.parquet(path)
+    ends = out.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    parts = Window.partitionBy(F.lit(0))  # one row a part
+    starts = ends.select("_part", (F.sum("_n").over(parts.orderBy("_part")) - F.col("_n")).alias("_start"), F.sum("_n").over(parts).alias("n_all"))
+    out = out.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return out.withColumn("place", (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_at", "_part", "_start")
+
+
 def top_k(rows: DataFrame, value: str, k: int, tie: str = "security_id") -> DataFrame:
     """The k largest values, ties by id, with rank and the number of all rows."""
     return page(rows, [F.desc_nulls_last(value), F.asc(tie)], 0, k).select(F.col("place").alias("rank"), tie, value, "n_all")

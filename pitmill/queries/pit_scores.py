@@ -142,7 +142,7 @@ def screen_filtered(spark, d):
     v = _valued(spark, d).where(F.col("factor_id").isin(ids) & F.col("sector").isin("ASIA", "EUROPE") & F.startswith("security_id", F.lit("SEC_US_")))
     v = v.join(F.broadcast(v.agg(F.max("trade_date").alias("trade_date"))), "trade_date")
     wide = v.groupBy("security_id", "industry_group").agg(F.max(F.when(F.col("factor_id") == "mom_1m", F.col("factor_value"))).alias("mom_1m"), F.max(F.when(F.col("factor_id") == "na_ratio", F.col("factor_value"))).alias("na_ratio"))
-    return s.page(wide.withColumn("mom_1m", F.when(F.col("mom_1m") > -0.2, F.col("mom_1m"))), [F.desc_nulls_last("mom_1m"), F.asc("industry_group"), F.asc("security_id")], 0, 1000)
+    return s.placed(wide.withColumn("mom_1m", F.when(F.col("mom_1m") > -0.2, F.col("mom_1m"))), [F.desc_nulls_last("mom_1m"), F.asc("industry_group"), F.asc("security_id")])
 
 
 def rnd_imputed(spark, d):
