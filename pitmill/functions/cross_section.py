@@ -58,6 +58,12 @@ def average_rank(value: Column, by: list[str], descending: bool = False) -> Colu
     return F.rank().over(w) + (ties - 1) / 2
 
 
+def percentile_of_rank(value: Column, rank: Column, ties: Column, n: Column) -> Column:
+    """0 to 100 by the mean of the places that equal values share, from the first of them; 100 in a group of one."""
+    score = divide(rank + (ties - 1) / 2 - 1, n - 1) * 100
+    return F.when(value.isNull(), None).when(n == 1, F.lit(100.0)).otherwise(score)
+
+
 def percentile_score(value: Column, by: list[str], lower_better: bool = False) -> Column:
     """0 to 100 by average rank; 100 in a group of one."""
     n = F.count("*").over(Window.partitionBy(*by))

@@ -7,16 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cross_section import percentile_score, robust_z
+from ..functions.cross_section import percentile_of_rank, robust_z
 from ..functions.semantics import divide
 from ..sources.tables import shared_path
 
 DAY_FACTOR = ["trade_date", "factor_id"]
 
 
-def peer_levels(values: DataFrame, group: str, sector: str, group_least: int, sector_least: int, financial: str = "is_financial") -> DataFrame:
-    """Add level and peer_code: the group if large enough, else the sector, else all; financials have their own group."""
-    size = lambda *by: F.count("*").over(Window.partitionBy(*DAY_FACTOR, financial, *by))
+def peer_levels(values: DataFrame, group: str, sector: str, group_least: int, sector_least: int, financial: str = "is_financial", rows: str | None = None) -> DataFrame:
+    """Add level and peer_code: the group if large enough, else the sector, else all; financials have their own group. A row stands for as many as its column ``rows`` tells."""
+    size = lambda *by: (F.sum(rows) if rows else F.count("*")).over(Window.partitionBy(*DAY_FACTOR, financial, *by))
     level = F.when(F.col(financial), "financial").when(size(group) >= group_least, "group").when(size(sector) >= sector_least, "sector").otherwise("all")
     out = values.withColumn("level", level)
     return out.withColumn("peer_code", F.when(F.col("level") == "group", F.col(group)).when(F.col("level") == "sector", F.col(sector)).otherwise(F.col("level")))
@@ -26,25 +26,38 @@ def factor_scores(values: DataFrame, group: str = "industry_group", sector: str
     """Winsorized value, percentile score, robust z and peers of each factor value.
 
     The statistics of a level are those of everyone in the level's group, whichever
-    level its members were themselves assigned to: values are laid out once a level,
-    and each security keeps the row of its own level.
+    level its members were themselves assigned to: values are laid out once a level that
+    any member of the group was assigned to, and each security keeps the row of its own level.
     """
-    levelled = peer_levels(values, group, sector, group_least, sector_least)
-    choices = F.when(F.col("is_financial"), F.array(F.struct(F.lit("financial").alias("at"), F.lit("financial").alias("code")))).otherwise(
-        F.array(F.struct(F.lit("group").alias("at"), F.col(group).alias("code")), F.struct(F.lit("sector").alias("at"), F.col(sector).alias("code")), F.struct(F.lit("all").alias("at"), F.lit("all").alias("code")))
-    )
-    rows = levelled.withColumn("_c", F.explode(choices)).withColumn("at", F.col("_c.at")).withColumn("code", F.col("_c.code")).drop("_c")
+    spark = values.sparkSession
+    path = shared_path(spark, "scored")
+    values.write.parquet(path)  # the sizes, three aggregates and the ranks read it
+    values = spark.read.schema(values.schema).parquet(path)
+    cell = [*DAY_FACTOR, "is_financial", group, sector]
+    cells = peer_levels(values.groupBy(*cell).agg(F.count("*").alias("_rows")), group, sector, group_least, sector_least, rows="_rows")
+    some = lambda level, *by: F.max(F.col("level") == level).over(Window.partitionBy(*DAY_FACTOR, "is_financial", *by))
+    laid = lambda test, at, code: F.when(test, F.struct(F.lit(at).alias("at"), code.alias("code")))
+    choices = F.array_compact(F.array(laid(F.col("level") == "financial", "financial", F.lit("financial")), laid(F.col("level") == "group", "group", F.col(group)), laid(some("sector", sector), "sector", F.col(sector)), laid(some("all"), "all", F.lit("all"))))
+    cells = cells.select(*(F.col(c).alias(f"_{c}") for c in cell), "level", "peer_code", choices.alias("_c"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell]
+    # the cells, and the statistics of groups, are as many as days and groups, however many securities there are
+    rows = values.join(F.broadcast(cells), same).drop(*(f"_{c}" for c in cell)).withColumn("_c", F.explode("_c")).withColumns({"at": F.col("_c.at"), "code": F.col("_c.code")}).drop("_c")
     by = [*DAY_FACTOR, "at", "code"]
-    w = Window.partitionBy(*by)  # one shuffle for all statistics of a group
-    rows = rows.withColumns({"q": F.percentile("factor_value", [winsor[0], winsor[1]]).over(w), "n_peers": F.count("factor_value").over(w)})
-    rows = rows.withColumn("winsorized", F.greatest(F.col("q")[0], F.least(F.col("q")[1], "factor_value")))
-    rows = rows.withColumn("median", F.percentile("winsorized", 0.5).over(w))
-    rows = rows.withColumn("mad", F.percentile(F.abs(F.col("winsorized") - F.col("median")), 0.5).over(w))
+
+    def told(rows: DataFrame, **statistics: Column) -> DataFrame:
+        of = rows.groupBy(*by).agg(*(x.alias(c) for c, x in statistics.items())).withColumnsRenamed({c: f"_{c}" for c in by})
+        return rows.join(F.broadcast(of), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*(f"_{c}" for c in by))
+
+    rows = told(rows, q=F.percentile("factor_value", [winsor[0], winsor[1]]), n_peers=F.count("factor_value"), _n=F.count("*"))
+    rows = rows.withColumn("winsorized", F.greatest(F.col("q")[0], F.least(F.col("q")[1], "factor_value"))).drop("q")
+    rows = told(rows, median=F.percentile("winsorized", 0.5))
+    rows = told(rows, mad=F.percentile(F.abs(F.col("winsorized") - F.col("median")), 0.5))
     value = F.col("winsorized")
     turned = F.when(F.col("factor_id").isin(list(lower_better)), -value).otherwise(value) if lower_better else value
-    rows = rows.withColumn("_turned", turned).withColumn("score", percentile_score(F.col("_turned"), by))
+    w = Window.partitionBy(*by).orderBy(F.col("_turned").asc_nulls_last())
+    rows = rows.withColumn("_turned", turned).withColumn("score", percentile_of_rank(F.col("_turned"), F.rank().over(w), F.count("*").over(w.rangeBetween(0, 0)), F.col("_n")))
     rows = rows.where(F.col("at") == F.col("level")).withColumn("robust_z", robust_z(value, F.col("median"), F.col("mad")))
-    return rows.withColumn("confidence", F.when(F.col("n_peers") < least, 0.25).otherwise(1.0)).drop("_turned", "q", "at", "code")
+    return rows.withColumn("confidence", F.when(F.col("n_peers") < least, 0.25).otherwise(1.0)).drop("_turned", "_n", "at", "code")
 
 
 def weighted_scores(scores: DataFrame, weights: DataFrame, name: str = "style") -> DataFrame:

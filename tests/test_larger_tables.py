@@ -63,3 +63,14 @@ def test_traded_value_is_the_whole_mean(spark, tables):
     got = {r.security_id: r.traded for r in QUERIES["universe"](spark, tables).collect()}
     want = {r["security_id"]: r["traded"] for r in of_sql(tables, "universe")}
     assert got == want and whole_means()[1].items() <= got.items()
+
+
+def test_scores_take_quantiles_from_aggregates_and_not_from_windows(spark, tables):
+    """A window holds the rows of a group; an aggregate returns one row, which is joined back."""
+    from pitmill.queries import scoring
+
+    plan = QUERIES["factor_scores"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window")]
+    assert len(windows) == 1 + sum("rank(" not in line for line in windows) and not any("percentile(" in line for line in windows)
+    assert {r.level for r in QUERIES["factor_scores"](spark, tables).select("level").distinct().collect()} == {"group", "financial"}
+    assert QUERIES["factor_scores"](spark, tables).count() == scoring._valued(spark, tables).count()
