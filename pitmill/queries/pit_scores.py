@@ -97,8 +97,9 @@ def winsorized_by_factor(spark, d):
     return out.select("trade_date", "security_id", "factor_id", F.round("winsorized", 10).alias("winsorized"), "is_winsorized")
 
 
-def _scores(spark, d):
-    return s.factor_scores(_valued(spark, d), group_least=5, sector_least=12, lower_better=["na_ratio"]).select("trade_date", "security_id", "factor_id", "score")
+def _scores(spark, d, last_only=False):
+    """Scores of all month ends, or of the last alone: a day's scores depend on no other day's."""
+    return s.factor_scores(_valued(spark, d, last_only), group_least=5, sector_least=12, lower_better=["na_ratio"]).select("trade_date", "security_id", "factor_id", "score")
 
 
 W = [("value", "na_ratio", 0.5), ("value", "high_gap", 0.5), ("consensus", "mom_1m", 0.6), ("consensus", "na_ratio", 0.4), ("lowvol", "missing_one", 0.5), ("lowvol", "high_gap", 0.5)]
@@ -116,16 +117,12 @@ def score_list(spark, d):
 
 
 def _totals(spark, d):
-    t = _scores(spark, d).groupBy("trade_date", "security_id").agg(F.round(F.avg("score"), 4).alias("total"))
-    last = t.agg(F.max("trade_date").alias("trade_date"))
-    return t.join(F.broadcast(last), "trade_date")
+    return _scores(spark, d, last_only=True).groupBy("trade_date", "security_id").agg(F.round(F.avg("score"), 4).alias("total"))
 
 
 def score_breakdown(spark, d):
     """Each factor's part in its style's score on the last day."""
-    sc = _scores(spark, d)
-    sc = sc.join(F.broadcast(sc.agg(F.max("trade_date").alias("trade_date"))), "trade_date")
-    return s.breakdown(sc, spark.createDataFrame(W, "style string, factor_id string, weight double")).select("security_id", "style", "factor_id", F.round("score", 4).alias("score"), F.round("share", 6).alias("share"), F.round("part", 4).alias("part"))
+    return s.breakdown(_scores(spark, d, last_only=True), spark.createDataFrame(W, "style string, factor_id string, weight double")).select("security_id", "style", "factor_id", F.round("score", 4).alias("score"), F.round("share", 6).alias("share"), F.round("part", 4).alias("part"))
 
 
 def factors_and_styles(spark, d):
@@ -139,8 +136,7 @@ def factors_and_styles(spark, d):
 def screen_filtered(spark, d):
     """Classification filters and alias names, in order of value with NULLs last, and the total count beside the rows."""
     ids = s.canonical_ids(["MOM/1M", "Δna_ratio"], {"mom/1m": "mom_1m", "dna_ratio": "na_ratio"})
-    v = _valued(spark, d).where(F.col("factor_id").isin(ids) & F.col("sector").isin("ASIA", "EUROPE") & F.startswith("security_id", F.lit("SEC_US_")))
-    v = v.join(F.broadcast(v.agg(F.max("trade_date").alias("trade_date"))), "trade_date")
+    v = _valued(spark, d, last_only=True).where(F.col("factor_id").isin(ids) & F.col("sector").isin("ASIA", "EUROPE") & F.startswith("security_id", F.lit("SEC_US_")))
     wide = v.groupBy("security_id", "industry_group").agg(F.max(F.when(F.col("factor_id") == "mom_1m", F.col("factor_value"))).alias("mom_1m"), F.max(F.when(F.col("factor_id") == "na_ratio", F.col("factor_value"))).alias("na_ratio"))
     return s.placed(wide.withColumn("mom_1m", F.when(F.col("mom_1m") > -0.2, F.col("mom_1m"))), [F.desc_nulls_last("mom_1m"), F.asc("industry_group"), F.asc("security_id")])
 

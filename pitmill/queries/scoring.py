@@ -23,8 +23,10 @@ def factors(spark, d):
     return wide.unpivot(["security_id", "trade_date"], IDS, "factor_id", "factor_value").where("factor_value IS NOT NULL")
 
 
-def snapshots(spark, d, max_age=None):
-    return snapshot(factors(spark, d), month_ends(price_daily(spark, d)), ["security_id", "factor_id"], max_age=max_age)
+def snapshots(spark, d, max_age=None, last_only=False):
+    days = price_daily(spark, d)
+    dates = days.agg(F.max("trade_date").alias("trade_date")) if last_only else month_ends(days)
+    return snapshot(factors(spark, d), dates, ["security_id", "factor_id"], max_age=max_age)
 
 
 def snapshot_month_end(spark, d):
@@ -59,8 +61,8 @@ def universe(spark, d):
     return out.where((F.col("mcap") >= 100000) & (F.col("x.traded.total") >= 5000 * F.col("x.traded.n"))).select("security_id", "industry_group", "sector", "is_financial", F.floor("mcap").alias("mcap"), F.expr("x.traded.total div x.traded.n").alias("traded"))
 
 
-def _valued(spark, d):
-    return snapshots(spark, d).join(security_master(spark, d), "security_id")
+def _valued(spark, d, last_only=False):
+    return snapshots(spark, d, last_only=last_only).join(security_master(spark, d), "security_id")
 
 
 def factor_scores(spark, d):

@@ -74,3 +74,11 @@ def test_scores_take_quantiles_from_aggregates_and_not_from_windows(spark, table
     assert len(windows) == 1 + sum("rank(" not in line for line in windows) and not any("percentile(" in line for line in windows)
     assert {r.level for r in QUERIES["factor_scores"](spark, tables).select("level").distinct().collect()} == {"group", "financial"}
     assert QUERIES["factor_scores"](spark, tables).count() == scoring._valued(spark, tables).count()
+
+
+def test_scores_of_the_last_day_are_those_among_all_days(spark, tables):
+    from pitmill.queries import pit_scores
+
+    every = pit_scores._scores(spark, tables)
+    last = every.agg(F.max("trade_date")).first()[0]
+    assert sorted(map(str, pit_scores._scores(spark, tables, last_only=True).collect())) == sorted(map(str, every.where(F.col("trade_date") == last).collect()))
