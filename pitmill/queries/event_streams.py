@@ -11,14 +11,14 @@ from ..streaming import event_time as et
 from ..streaming import incremental as inc
 
 
-def _in_order(df, time: str, tie: str, path: str, files: int = 4):
-    """Write ``df`` as ``files`` folders in the order of ``time``, with equal shares of its span; a stream takes one after another."""
+def _in_order(df, time: str, path: str, parts: int = 4):
+    """``df``, written once, as ``parts`` in the order of ``time`` with equal shares of its span."""
+    df.write.parquet(path)
+    df = df.sparkSession.read.parquet(path)
     ends = df.agg(F.min(time).cast("timestamp").cast("long").alias("a"), F.max(time).cast("timestamp").cast("long").alias("b"))
-    part = F.least(F.floor((F.col(time).cast("timestamp").cast("long") - F.col("a")) * files / (F.col("b") - F.col("a") + 1)), F.lit(files - 1)).cast("int")
+    part = F.least(F.floor((F.col(time).cast("timestamp").cast("long") - F.col("a")) * parts / (F.col("b") - F.col("a") + 1)), F.lit(parts - 1)).cast("int")
     placed = df.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("a", "b")
-    for k in range(files):
-        placed.where(F.col("_part") == k).drop("_part").coalesce(1).write.parquet(f"{path}/part={k}")
-    return f"{path}/part=*"
+    return [placed.where(F.col("_part") == k).drop("_part") for k in range(parts)]
 
 
 def _events(spark, d):
@@ -26,45 +26,48 @@ def _events(spark, d):
 
 
 def _with_stragglers(spark, d):
-    """Events in order of time, but for every 97th, which comes with the last file."""
+    """A stream of the events in order of time, but for every 97th, which comes with the last part."""
     e = _events(spark, d)
     path = shared_path(spark, "stragglers")
-    source = _in_order(e.where("event_id % 97 <> 0"), "ts", "event_id", path)
-    e.where("event_id % 97 = 0").coalesce(1).write.parquet(f"{path}/part=9")
-    return source
+    parts = [*_in_order(e.where("event_id % 97 <> 0"), "ts", f"{path}/all"), e.where("event_id % 97 = 0")]
+    return _stream(spark, parts, f"{path}/in")
+
+
+def _stream(spark, parts, path: str):
+    files = inc.write_in_turn(parts, path)
+    return inc.read_stream(spark, f"{path}/part=*", files)
 
 
 def stream_expired_estimates(spark, d):
     """Estimates that no newer one of the same broker followed within 180 days, as timers report them."""
     path = shared_path(spark, "expiry")
-    source = _in_order(reports(spark, d).select("security_id", "broker", F.col("report_date").cast("timestamp").alias("report_date"), "report_idx", "estimate"), "report_date", "report_idx", f"{path}/in")
-    out = et.expiries(inc.read_stream(spark, source), ["security_id", "broker"], "report_date", "report_idx", "estimate", f"{path}/out")
+    rows = reports(spark, d).select("security_id", "broker", F.col("report_date").cast("timestamp").alias("report_date"), "report_idx", "estimate")
+    stream = _stream(spark, _in_order(rows, "report_date", f"{path}/all"), f"{path}/in")
+    out = et.expiries(stream, ["security_id", "broker"], "report_date", "report_idx", "estimate", f"{path}/out")
     return out.select("security_id", "broker", F.to_date("report_date").alias("report_date"), "report_idx", F.col("value").alias("estimate"), F.to_date("expired_at").alias("expired_at"))
 
 
 def stream_closed_windows(spark, d):
     """Daily counts of the days that the watermark has closed; stragglers are not in them."""
     path = shared_path(spark, "closed")
-    out, _ = et.closed_windows(inc.read_stream(spark, _with_stragglers(spark, d)), "ts", ["event_type"], path)
+    out, _ = et.closed_windows(_with_stragglers(spark, d), "ts", ["event_type"], path)
     return out.select("event_type", F.to_date("start").alias("day"), "n")
 
 
 def stream_late_rows(spark, d):
     """The stragglers that came after their day was closed."""
     path = shared_path(spark, "late")
-    return et.late_rows(inc.read_stream(spark, _with_stragglers(spark, d)), "ts", path).select("event_id", "event_type", F.to_date("ts").alias("day"))
+    return et.late_rows(_with_stragglers(spark, d), "ts", path).select("event_id", "event_type", F.to_date("ts").alias("day"))
 
 
 def stream_first_seen(spark, d):
-    """Each event once, though every tenth comes again with the next file."""
+    """Each event once, though every tenth comes again with a later part."""
     path = shared_path(spark, "seen")
     e = _events(spark, d)
-    source = _in_order(e, "ts", "event_id", f"{path}/in")
     later = F.ntile(4).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
     again = e.where("event_id % 10 = 0").withColumn("q", later)
-    for k in range(4):
-        again.where(F.col("q") == k + 1).drop("q").coalesce(1).write.parquet(f"{path}/in/part={4 + k}")
-    out, _ = et.first_seen(inc.read_stream(spark, source), ["event_id"], "ts", f"{path}/out", "400 days")
+    stream = _stream(spark, [*_in_order(e, "ts", f"{path}/all"), *(again.where(F.col("q") == k + 1).drop("q") for k in range(4))], f"{path}/in")
+    out, _ = et.first_seen(stream, ["event_id"], "ts", f"{path}/out", "400 days")
     return out.select("event_id", "event_type", F.to_date("ts").alias("day"))
 
 

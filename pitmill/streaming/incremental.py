@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,3 +150,20 @@ def read_stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataF
     """A folder, or a pattern, of Parquet files as a stream with the schema of what is there."""
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+
+
+def write_in_turn(parts: Sequence[DataFrame], path: str, rows_a_file: int = 500_000) -> int:
+    """Write each of ``parts`` as a folder below ``path``, one after another and all of as many files.
+
+    Returns that number: a stream that takes so many files a batch takes one part a batch.
+    """
+    spark = parts[0].sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = max(1, -(-max(part.count() for part in parts) // rows_a_file))
+    for k, part in enumerate(parts):
+        target = f"{path}/part={k}"
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.parquet(target)
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{target}/part-*")
+        for _ in range(files - len(pattern.getFileSystem(conf).globStatus(pattern) or [])):  # an empty partition has left no file
+            spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(target)
+    return files

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from pitmill.operators import screening
 from pitmill.queries import QUERIES, SQL
+from pitmill.sources.tables import shared_path
+from pitmill.streaming import event_time as et
+from pitmill.streaming import incremental as inc
 
 duckdb = pytest.importorskip("duckdb")
 N, DAYS = 2600, 22
@@ -82,3 +85,34 @@ def test_scores_of_the_last_day_are_those_among_all_days(spark, tables):
     every = pit_scores._scores(spark, tables)
     last = every.agg(F.max("trade_date")).first()[0]
     assert sorted(map(str, pit_scores._scores(spark, tables, last_only=True).collect())) == sorted(map(str, every.where(F.col("trade_date") == last).collect()))
+
+
+def test_a_part_of_several_files_is_one_batch(spark):
+    """Also where a part has fewer rows than the others have files; every part has the same number of files."""
+    path, seen = shared_path(spark, "parts"), {}
+    parts = [spark.range(0, 1000), spark.range(2000, 2001), spark.range(5000, 5400), spark.range(9000, 9000)]
+    files = inc.write_in_turn(parts, path, rows_a_file=150)
+    assert files == 7
+
+    def note(batch, k):
+        seen[k] = sorted(r.id for r in batch.collect())
+
+    inc.drain(inc.read_stream(spark, f"{path}/part=*", files), note, f"{path}-checkpoint")
+    assert [seen[k] for k in sorted(seen) if seen[k]] == [sorted(r.id for r in part.collect()) for part in parts[:3]]
+    assert len(spark.read.parquet(f"{path}/part=0").inputFiles()) == files
+
+
+def test_keys_that_share_a_bucket_expire_by_themselves(spark):
+    """One bucket for all keys: rows that follow in time, that come late but within the delay, repeats, and a key that is null."""
+    path, start = shared_path(spark, "bucket"), dt.datetime(2024, 1, 1)
+    row = lambda key, day, idx, value: (key, start + dt.timedelta(days=day), idx, value)
+    batches = [
+        [row("A", 0, 1, 1.0), row("B", 5, 2, 2.0), row(None, 9, 3, 3.0), row("C", 9, 4, 4.0)],
+        [row("A", 9, 5, 5.0), row("C", 8, 6, 6.0), row("C", 9, 4, 4.0), row("D", 150, 7, 7.0), row("B", 200, 8, 8.0)],
+        [row("E", 193, 9, 9.0), row("D", 340, 10, 10.0), row("F", 400, 11, 11.0)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "key string, at timestamp, idx long, value double").coalesce(1).write.parquet(f"{path}/in/part={k}")
+    out = et.expiries(inc.read_stream(spark, f"{path}/in/part=*"), ["key"], "at", "idx", "value", f"{path}/out", buckets=1)
+    got = sorted((str(r.key), r.idx, r.value, (r.expired_at - r.at).days) for r in out.collect())
+    assert got == [("A", 5, 5.0, 181), ("B", 2, 2.0, 181), ("B", 8, 8.0, 181), ("C", 4, 4.0, 181), ("D", 7, 7.0, 181), ("E", 9, 9.0, 181), ("None", 3, 3.0, 181)]
