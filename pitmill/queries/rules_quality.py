@@ -228,16 +228,15 @@ def stream_live_estimates(spark, d):
 def stream_late_filings(spark, d):
     """Year-end snapshots of net income as known then, written once, though filings and corrections arrive in several batches."""
     path = shared_path(spark, "filings")
-    s = statements(spark, d).where("canonical_id = 'NI'").select("security_id", "fiscal_year", "fiscal_month", "amount", "report_date")
+    statements(spark, d).where("canonical_id = 'NI'").select("security_id", "fiscal_year", "fiscal_month", "amount", "report_date").write.parquet(f"{path}/all")
+    s = spark.read.parquet(f"{path}/all")
     fixed = s.where("fiscal_month = 6").withColumn("amount", F.col("amount") * 2).withColumn("report_date", F.date_add("report_date", 200))
     both = s.unionByName(fixed)
-    cuts = ["1998-01-01", "2000-01-01", "2100-01-01"]
-    low = "1900-01-01"
+    cuts = ["1900-01-01", "1998-01-01", "2000-01-01", "2100-01-01"]
     chain = SnapshotChain(spark, f"{path}/chain", [date(y, 12, 31) for y in range(1995, 2002)], ["security_id", "fiscal_year", "fiscal_month"], "report_date")
-    for k, high in enumerate(cuts):  # three files, in the order in which they became known
-        both.where((F.col("report_date") >= low) & (F.col("report_date") < high)).coalesce(1).write.parquet(f"{path}/in/part={k}")
-        low = high
-    inc.drain(inc.read_stream(spark, f"{path}/in/part=*"), chain.append, f"{path}/checkpoint")
+    between = lambda low, high: both.where((F.col("report_date") >= low) & (F.col("report_date") < high))
+    files = inc.write_in_turn([between(low, high) for low, high in zip(cuts, cuts[1:])], f"{path}/in")  # in the order in which they became known
+    inc.drain(inc.read_stream(spark, f"{path}/in/part=*", files), chain.append, f"{path}/checkpoint")
     return chain.snapshots().groupBy("snapshot_date", "security_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
 
 
