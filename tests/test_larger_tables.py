@@ -116,3 +116,19 @@ def test_keys_that_share_a_bucket_expire_by_themselves(spark):
     out = et.expiries(inc.read_stream(spark, f"{path}/in/part=*"), ["key"], "at", "idx", "value", f"{path}/out", buckets=1)
     got = sorted((str(r.key), r.idx, r.value, (r.expired_at - r.at).days) for r in out.collect())
     assert got == [("A", 5, 5.0, 181), ("B", 2, 2.0, 181), ("B", 8, 8.0, 181), ("C", 4, 4.0, 181), ("D", 7, 7.0, 181), ("E", 9, 9.0, 181), ("None", 3, 3.0, 181)]
+
+
+def test_the_days_of_a_market_stay_where_they_are(spark):
+    """A market's rate comes to its securities' days; these are not gathered by market."""
+    from pitmill.operators import capital_cost as cost
+
+    days = spark.range(0, 8000, numPartitions=8).select(F.concat(F.lit("S"), F.col("id") % 100).alias("security_id"), F.expr("date_add(date'2000-01-01', cast(id div 100 as int))").alias("trade_date"), F.lit("M").alias("market"), F.lit("C").alias("country"))
+    rates = spark.createDataFrame([("M", dt.date(2000, 1, 11), 1.0), ("M", dt.date(2000, 2, 1), 2.0)], "market string, rate_date date, rate double")
+    premiums = spark.createDataFrame([("C", 5.0, 20.0)], "country string, premium double, tax_rate double")
+    out = cost.with_rates(days, rates, premiums, "market", "country", cost.Assumptions())
+    rows = out.select("trade_date", "risk_free", "rate_flags", F.spark_partition_id().alias("part")).collect()
+    assert len(rows) == 8000 and len({r.part for r in rows}) == 8
+    assumed = cost.Assumptions().risk_free
+    for r in rows:
+        want = (assumed, "RISK_FREE_ASSUMED") if r.trade_date < dt.date(2000, 1, 11) else (1.0 if r.trade_date < dt.date(2000, 2, 1) else 2.0, "")
+        assert (r.risk_free, r.rate_flags) == want
