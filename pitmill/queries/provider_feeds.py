@@ -11,26 +11,26 @@ from ..sources.views import read
 def _payloads(spark, d):
     """An order is a payload: its lines in order, each an entry of the slot of its number and a release; every 40th text is cut off."""
     lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.to_date("l_shipdate").alias("day"))
-    slot = F.element_at(F.array(*map(F.lit, pp.HORIZONS)), ((F.col("l_linenumber") - 1) % 4 + 1).cast("int"))
-    q = F.col("l_quantity")
-    estimate = F.struct(slot.alias("period"), F.col("l_extendedprice").alias("avg"), F.when(F.col("l_discount") > 0, q * 0.5).alias("low"), (q * 2).alias("high"), F.col("l_linenumber").cast("int").alias("numberOfAnalysts"))
-    trend = F.struct(slot.alias("period"), *((q + k if k != 60 else F.lit(None).cast("double")).alias(name) for name, k in pp.LOOKBACKS.items()))
-    revisions = F.struct(slot.alias("period"), (F.col("l_discount") * 100).alias("upLast30days"), (F.col("l_tax") * 100).alias("downLast30days"))
-    history = F.struct(F.col("day").alias("date"), q.alias("epsActual"), (q - 1).alias("epsEstimate"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount")).otherwise(q).alias("surprisePercent"))
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    g = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), estimate.alias("e"), trend.alias("t"), revisions.alias("r"), history.alias("h")))).alias("x"))
-    of = lambda c: F.transform("x", lambda e: e[c])
-    data = F.struct(of("e").alias("earnings_estimate"), of("e").alias("revenue_estimate"), of("t").alias("eps_trend"), of("r").alias("eps_revisions"), of("h").alias("earnings_history"))
+    slot = lambda e: F.element_at(F.array(*map(F.lit, pp.HORIZONS)), ((e["l_linenumber"] - 1) % 4 + 1).cast("int")).alias("period")
+    estimate = lambda e: F.struct(slot(e), e["l_extendedprice"].alias("avg"), F.when(e["l_discount"] > 0, e["l_quantity"] * 0.5).alias("low"), (e["l_quantity"] * 2).alias("high"), e["l_linenumber"].cast("int").alias("numberOfAnalysts"))
+    trend = lambda e: F.struct(slot(e), *((e["l_quantity"] + k if k != 60 else F.lit(None).cast("double")).alias(name) for name, k in pp.LOOKBACKS.items()))
+    revisions = lambda e: F.struct(slot(e), (e["l_discount"] * 100).alias("upLast30days"), (e["l_tax"] * 100).alias("downLast30days"))
+    history = lambda e: F.struct(e["day"].alias("date"), e["l_quantity"].alias("epsActual"), (e["l_quantity"] - 1).alias("epsEstimate"), F.when(e["l_linenumber"] % 2 == 0, e["l_discount"]).otherwise(e["l_quantity"]).alias("surprisePercent"))
+    # a line's own columns are collected; what the payload says of them is made of the order's list
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_quantity", "l_tax", "day")
+    g = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    arrays = {"earnings_estimate": estimate, "revenue_estimate": estimate, "eps_trend": trend, "eps_revisions": revisions, "earnings_history": history}
+    data = F.struct(*(F.transform("x", of).alias(name) for name, of in arrays.items()))
     text = F.to_json(F.struct(F.concat(F.lit("S"), (F.col("l_orderkey") % 50).cast("string")).alias("symbol"), F.lit("2000-01-01").alias("snapshot"), data.alias("data")))
     return pp.parsed(g.select("l_orderkey", F.when(F.col("l_orderkey") % 40 == 0, F.substring(text, 1, 30)).otherwise(text).alias("payload")))
 
 
 def provider_arrays(spark, d):
     """Observations of all arrays by horizon, metric, statistic and lookback, and the number of payloads that do not parse."""
-    rows = _payloads(spark, d)
-    o = pp.observations(rows).groupBy("symbol", "horizon", "metric", "statistic", "lookback").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.sum("analysts").alias("analysts"))
-    bad = rows.agg(F.count_if("is_bad").alias("n")).select(F.lit("unparsed").alias("metric"), "n")
-    return o.unionByName(bad, allowMissingColumns=True)
+    by = ["symbol", "horizon", "metric", "statistic", "lookback"]
+    o = pp.observations(_payloads(spark, d), unparsed=True).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.sum("analysts").alias("analysts"))
+    none = spark.range(1).select(F.lit(pp.UNPARSED).alias("metric"), F.lit(0).cast("long").alias("n"))  # told also where all parse
+    return o.unionByName(none, allowMissingColumns=True).groupBy(*by).agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.max("analysts").alias("analysts"))
 
 
 def provider_releases(spark, d):

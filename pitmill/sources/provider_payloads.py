@@ -28,28 +28,40 @@ def parsed(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return payloads.withColumn("p", p).withColumn("is_bad", F.col("p._bad").isNotNull() | F.col("p.symbol").isNull())
 
 
-def _measures(array: str, metric: str, fields: dict[str, tuple[str, int]]) -> Column:
-    """All (slot, metric, statistic, lookback, value) of one array; of several entries of a slot the first counts."""
-    entries = F.coalesce(F.col(f"p.data.{array}"), F.array())
-    of_slot = lambda slot: F.get(F.filter(entries, lambda e: e["period"] == slot), F.lit(0))
-    row = lambda slot, field, statistic, lookback: F.struct(F.lit(slot).alias("slot"), F.lit(metric).alias("metric"), F.lit(statistic).alias("statistic"), F.lit(lookback).alias("lookback"), of_slot(slot)[field].alias("value"))
-    return F.array(*(row(slot, field, *spec) for slot in HORIZONS for field, spec in fields.items()))
-
-
-def observations(rows: DataFrame) -> DataFrame:
-    """(symbol, snapshot, slot, horizon, metric, statistic, lookback, value, analysts) of the ``parsed`` payloads, one explode for all arrays."""
-    sides = {"low": ("low", 0), "high": ("high", 0)}
-    parts = [
-        _measures("eps_trend", "eps", {field: ("average", days) for field, days in LOOKBACKS.items()}),
-        _measures("earnings_estimate", "eps", sides),
-        _measures("revenue_estimate", "revenue", {"avg": ("average", 0)} | sides),
-        _measures("eps_revisions", "eps_revision", {"upLast30days": ("up", 30), "downLast30days": ("down", 30)}),
-    ]
-    long = rows.where(~F.col("is_bad")).select("p.symbol", "p.snapshot", F.col("p.data.earnings_estimate").alias("_e"), F.explode(F.concat(*parts)).alias("o"))
-    long = long.where("o.value IS NOT NULL")
-    horizon = F.element_at(F.create_map(*(F.lit(x) for pair in HORIZONS.items() for x in pair)), F.col("o.slot"))
-    analysts = F.get(F.filter("_e", lambda e: e["period"] == F.col("o.slot")), F.lit(0))["numberOfAnalysts"]
-    return long.select("symbol", "snapshot", "o.slot", horizon.alias("horizon"), "o.metric", "o.statistic", "o.lookback", "o.value", analysts.alias("analysts"))
+def _measure(metric: str, statistic: str | None, lookback: int | None, value: Column) -> Column:
+    return F.struct(F.lit(metric).alias("metric"), F.lit(statistic).cast("string").alias("statistic"), F.lit(lookback).cast("int").alias("lookback"), value.cast("double").alias("value"))
+
+
+#: The metric of the row that stands for a payload which does not parse.
+UNPARSED = "unparsed"
+_SIDES = {"low": ("low", 0), "high": ("high", 0)}
+#: By array: the metric, and by field the statistic and lookback.
+MEASURES = {
+    "eps_trend": ("eps", {field: ("average", days) for field, days in LOOKBACKS.items()}),
+    "earnings_estimate": ("eps", _SIDES),
+    "revenue_estimate": ("revenue", {"avg": ("average", 0)} | _SIDES),
+    "eps_revisions": ("eps_revision", {"upLast30days": ("up", 30), "downLast30days": ("down", 30)}),
+}
+
+
+def observations(rows: DataFrame, unparsed: bool = False) -> DataFrame:
+    """(symbol, snapshot, slot, horizon, metric, statistic, lookback, value, analysts) of the ``parsed`` payloads; of several entries of a slot the first counts.
+
+    A payload is parsed once and each array searched once a slot; with ``unparsed``, one that does not parse
+    gives a row of that metric and nothing else. (Filters stand above the generators, so that none repeats what is below.)
+    """
+    entry = lambda array, slot: F.get(F.filter(f"p.data.{array}", lambda e: e["period"] == slot), F.lit(0)).alias(array)
+    slots = F.array(*(F.struct(F.lit(slot).alias("slot"), F.lit(horizon).alias("horizon"), *(entry(a, slot) for a in MEASURES)) for slot, horizon in HORIZONS.items()))
+    good = ~F.col("is_bad")
+    by_slot = rows.select(F.when(good, F.col("p.symbol")).alias("symbol"), F.when(good, F.col("p.snapshot")).alias("snapshot"), "is_bad", F.explode_outer(F.when(good, slots)).alias("s"))
+    measures = [_measure(metric, *spec, F.col(f"s.{array}.{field}")) for array, (metric, fields) in MEASURES.items() for field, spec in fields.items()]
+    if unparsed:
+        measures.append(_measure(UNPARSED, None, None, F.lit(None)))
+    long = by_slot.select("symbol", "snapshot", "is_bad", "s.slot", "s.horizon", F.col("s.earnings_estimate.numberOfAnalysts").alias("analysts"), F.inline(F.array(*measures)))
+    kept = F.col("value").isNotNull()
+    if unparsed:
+        kept |= F.col("is_bad") & (F.col("metric") == UNPARSED)
+    return long.where(kept).select("symbol", "snapshot", "slot", "horizon", "metric", "statistic", "lookback", "value", "analysts")
 
 
 def releases(rows: DataFrame) -> DataFrame:
