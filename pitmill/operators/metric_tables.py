@@ -8,8 +8,9 @@ are parameters. Cells without a number, of excluded labels or of earlier periods
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,12 +46,16 @@ COUNTED = ["개", "대", "톤", "명", "매", "본"]
 # End of the fixed values.
 
 
+#: What \\s matches.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def compact(text: Column) -> Column:
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""))
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), BLANKS, ""))
 
 
 def _any(text: Column, tokens: Sequence[str]) -> Column:
-    return text.rlike("|".join(map(re.escape, tokens)))
+    return reduce(or_, (F.contains(text, F.lit(token)) for token in tokens))
 
 
 def _first(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
@@ -59,23 +64,36 @@ def _first(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
 
 
 def metric_of(label: Column, context: Column) -> Column:
-    head, whole = compact(F.element_at(F.split(label, ">"), 1)), compact(label)
-    near = compact(context)
-    by_context = F.coalesce(_first(F.concat_ws(" ", whole, near), BY_CONTEXT), F.when(_any(whole, AMOUNT_LABELS) & _any(near, SALES_CONTEXT), "revenue"))
+    return _metric(compact(F.substring_index(label, ">", 1)), compact(label), compact(context))
+
+
+def _metric(head: Column, whole: Column, near: Column, both: Column | None = None) -> Column:
+    """Of compact texts."""
+    by_context = F.coalesce(_first(F.concat_ws(" ", whole, near) if both is None else both, BY_CONTEXT), F.when(_any(whole, AMOUNT_LABELS) & _any(near, SALES_CONTEXT), "revenue"))
     return F.when(~_any(head, EXCLUDED), F.coalesce(_first(head, BY_LABEL), F.when(~_any(whole, EXCLUDED), by_context)))
 
 
 def number_of(text: Column) -> Column:
     """The first number of a text, with thousands separators; a triangle before it is a minus. Null for none, "-" and "N/A"."""
-    found = F.regexp_extract(F.trim(text), r"[△▲+-]?\s*\d[\d,]*(?:\.\d+)?", 0)
-    size = F.regexp_replace(found, r"[△▲+,\s]", "").try_cast("double")
-    return F.when(F.trim(text).isin("-", "N/A"), None).otherwise(F.when(found.rlike("^[△▲]"), -size).otherwise(size))
+    return _number(text, _digits(text))
+
+
+def _digits(text: Column) -> Column:
+    return F.regexp_extract(F.trim(text), r"[△▲+-]?\s*\d[\d,]*(?:\.\d+)?", 0)
+
+
+def _number(text: Column, found: Column) -> Column:
+    size = F.translate(found, "△▲+," + BLANKS, "").try_cast("double")
+    return F.when(F.trim(text).isin("-", "N/A"), None).otherwise(F.when(F.startswith(found, F.lit("△")) | F.startswith(found, F.lit("▲")), -size).otherwise(size))
 
 
 def scaled(metric: Column, value: Column, unit_text: Column, label: Column) -> Column:
     """struct(unit, amount): amounts of money and counts in whole units; "inferred_" where no unit was told."""
     source = F.concat_ws(" ", unit_text, label)
-    told = compact(source)
+    return _scaled(metric, value, source, compact(source))
+
+
+def _scaled(metric: Column, value: Column, source: Column, told: Column) -> Column:
     of = lambda unit, factor: F.struct(F.lit(unit).alias("unit"), (value * F.lit(float(factor))).alias("amount"))
     has = lambda *tokens: _any(told, tokens)
     ladder = lambda units, name: [F.when(has(token), of(name, factor)) for token, factor in units]
@@ -95,16 +113,23 @@ def extract_metrics(rows: DataFrame) -> DataFrame:
     cells = F.col("header_values")
     if rows.schema["header_values"].dataType.simpleString() == "string":
         cells = F.coalesce(F.from_json(cells, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    out = rows.withColumn("_cells", F.map_entries(cells)).drop("header_values").select("*", F.posexplode("_cells").alias("col_idx", "_cell")).drop("_cells")
-    out = out.withColumn("raw_label", F.col("_cell.key")).withColumn("raw_value", F.col("_cell.value")).drop("_cell")
-    label = compact(F.col("raw_label"))
-    earlier = label.rlike(r"제\d+기") & ~_any(label, CURRENT_PERIOD)
-    metric = metric_of(F.col("raw_label"), F.concat_ws(" ", "caption", "unit_text", "row_text"))
-    out = out.where(~earlier).withColumn("metric_id", metric).withColumn("_v", number_of(F.col("raw_value"))).where("metric_id IS NOT NULL AND _v IS NOT NULL")
-    out = out.withColumn("_s", scaled(F.col("metric_id"), F.col("_v"), F.col("unit_text"), F.col("raw_label")))
     given = lambda k: F.nullif(F.trim(F.get("row_values", F.lit(k))), F.lit(""))
-    texts = F.filter(F.transform(F.split(F.coalesce("row_text", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    segment = F.coalesce(given(0), F.get(texts, F.lit(0)), F.lit(""))
-    product = F.when(_any(compact(segment), TOTALS), segment).otherwise(F.coalesce(F.when(given(0).isNotNull(), given(1)).otherwise(F.get(texts, F.lit(1))), F.nullif(segment, F.lit("")), F.lit("company")))
-    out = out.withColumn("unit", F.col("_s.unit")).withColumn("amount", F.col("_s.amount")).withColumn("segment", segment).withColumn("product", product)
-    return out.withColumn("confidence", confidence_of(F.col("metric_id"), F.col("table_kind"), F.col("unit"))).drop("_v", "_s")
+    row_texts = F.filter(F.transform(F.split(F.coalesce("row_text", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    out = rows.withColumns({"_texts": row_texts, "_given": given(0), "_cells": F.map_entries(cells)}).drop("header_values")
+    out = out.withColumn("segment", F.coalesce("_given", F.get("_texts", F.lit(0)), F.lit("")))
+    product = F.coalesce(F.when(F.col("_given").isNotNull(), given(1)).otherwise(F.get("_texts", F.lit(1))), F.nullif("segment", F.lit("")), F.lit("company"))
+    out = out.withColumn("product", F.when(_any(compact(F.col("segment")), TOTALS), F.col("segment")).otherwise(product)).drop("_texts", "_given")
+    # outer, as Spark else parses the JSON again for a filter of its own; a row without cells has no number and goes below
+    out = out.select("*", F.posexplode_outer("_cells").alias("col_idx", "_cell")).drop("_cells")
+    out = out.withColumn("raw_label", F.col("_cell.key")).withColumn("raw_value", F.col("_cell.value")).drop("_cell")
+    texts = {"_head": compact(F.substring_index("raw_label", ">", 1)), "_whole": compact(F.col("raw_label")), "_near": compact(F.concat_ws(" ", "caption", "unit_text", "row_text")), "_found": _digits(F.col("raw_value")), "_source": F.concat_ws(" ", "unit_text", "raw_label")}
+    out = out.withColumns(texts).withColumns({"_both": F.concat_ws(" ", "_whole", "_near"), "_told": compact(F.col("_source"))})  # each text once a cell, whatever number of rules reads it
+    earlier = F.contains(F.col("_whole"), F.lit("제")) & F.col("_whole").rlike(r"제\d+기") & ~_any(F.col("_whole"), CURRENT_PERIOD)
+    metric = F.when(~earlier, _metric(*map(F.col, ("_head", "_whole", "_near", "_both"))))
+    cell = F.struct(metric.alias("metric_id"), _number(F.col("raw_value"), F.col("_found")).alias("_v"))
+    out = out.select("*", F.inline(F.array(cell))).where("metric_id IS NOT NULL AND _v IS NOT NULL")  # the rules run below the filter, once
+    out = out.withColumn("_s", _scaled(*map(F.col, ("metric_id", "_v", "_source", "_told")))).drop("_head", "_whole", "_near", "_found", "_source", "_both", "_told")
+    out = out.withColumn("unit", F.col("_s.unit")).withColumn("amount", F.col("_s.amount"))
+    out = out.withColumn("confidence", confidence_of(F.col("metric_id"), F.col("table_kind"), F.col("unit"))).drop("_v", "_s")
+    last = ["segment", "product", "confidence"]
+    return out.select(*(c for c in out.columns if c not in last), *last)
