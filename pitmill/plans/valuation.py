@@ -14,6 +14,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_path
+
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 #: The bases in the order in which they stand in for a missing one. Fixed values.
 BASES = ("annual", "ttm", "quarterly")
@@ -31,13 +33,14 @@ def _rank(basis: Column, order: Sequence[str]) -> Column:
 
 
 def _marked(rows: DataFrame, as_of: date | None) -> DataFrame:
-    """Known rows with a multiple, with whether they are the newest of their security, factor and basis, and the last of their month."""
+    """Of the known rows with a multiple those that are the newest of their security, factor and basis, or the last of their month, and which they are."""
     known = rows.where("multiple IS NOT NULL")
     if as_of is not None:
         known = known.where(F.col("trade_date") <= F.lit(as_of))
     w = Window.partitionBy("security_id", "factor_id", "basis").orderBy(F.desc("trade_date"))
     later = F.lag("trade_date").over(w)
-    return known.withColumn("_newest", later.isNull()).withColumn("_month_last", later.isNull() | (F.trunc(later, "month") != F.trunc("trade_date", "month")))
+    told = known.withColumn("_later", later).withColumn("_newest", F.col("_later").isNull())
+    return told.withColumn("_month_last", F.col("_newest") | (F.trunc("_later", "month") != F.trunc("trade_date", "month"))).drop("_later").where("_month_last")
 
 
 def level_statistics(rows: DataFrame, levels: Mapping[str, str], wanted: str = "annual", history: str = "annual", as_of: date | None = None) -> DataFrame:
@@ -46,7 +49,10 @@ def level_statistics(rows: DataFrame, levels: Mapping[str, str], wanted: str = "
     ``levels``: name -> column; rows without a group are not in that level. The level ``own`` is each
     security's history of month ends, on the basis ``history`` alone.
     """
-    marked = _marked(rows, as_of)
+    return _statistics(_marked(rows, as_of), levels, wanted, history)
+
+
+def _statistics(marked: DataFrame, levels: Mapping[str, str], wanted: str, history: str) -> DataFrame:
     at = lambda level, group, holds: F.when(holds & F.col(group).isNotNull(), F.struct(F.lit(level).alias("level"), F.col(group).cast("string").alias("group")))
     places = F.array(at(OWN, "security_id", F.col("_month_last") & (F.col("basis") == history)), *(at(name, column, F.col("_newest")) for name, column in levels.items()))
     placed = marked.select("factor_id", "basis", "multiple", F.explode(F.array_compact(places)).alias("p")).select("p.*", "factor_id", "basis", "multiple")
@@ -61,8 +67,11 @@ def valuation(rows: DataFrame, levels: Mapping[str, str], wanted: str = "annual"
 
     For each level, ``own`` too: <level>_n, <level>_basis, <level>_p25, _p50 and _p75; null where the level has none.
     """
-    stats = level_statistics(rows, levels, wanted, history, as_of)
-    newest = _marked(rows, as_of).where("_newest").withColumn("_rank", _rank(F.col("basis"), basis_order(wanted))).where("_rank IS NOT NULL")
+    path = shared_path(rows.sparkSession, "marked")  # a row a month, which statistics and current values both read
+    _marked(rows, as_of).write.parquet(path)
+    marked = rows.sparkSession.read.parquet(path)
+    stats = _statistics(marked, levels, wanted, history)
+    newest = marked.where("_newest").withColumn("_rank", _rank(F.col("basis"), basis_order(wanted))).where("_rank IS NOT NULL")
     groups = list(dict.fromkeys(levels.values()))
     current = newest.groupBy("security_id", "factor_id").agg(F.min_by(F.struct("basis", "multiple", "trade_date", *groups), "_rank").alias("c")).select("security_id", "factor_id", "c.*")
     keys = F.array(F.struct(F.lit(OWN).alias("level"), F.col("security_id").cast("string").alias("group")), *(F.struct(F.lit(k).alias("level"), F.col(c).cast("string").alias("group")) for k, c in levels.items()))

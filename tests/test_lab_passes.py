@@ -25,3 +25,15 @@ def test_a_run_and_the_graph_over_it_share_one_table_of_snapshots(spark, monkeyp
     monkeypatch.setattr(graphs, "write_factors", lambda rows, path, write=graphs.write_factors: (written.append(path), write(rows, path)))
     lab.lab_factor(spark, DATA)
     assert len(written) == 1
+
+
+def test_valuation_keeps_a_row_a_month(spark):
+    days = [("a", "per", "annual", D(2024, 1, k), float(k), "x") for k in range(1, 32)] + [("a", "per", "annual", D(2024, 2, 1), 50.0, "x")]
+    rows = spark.createDataFrame(days, "security_id string, factor_id string, basis string, trade_date date, multiple double, g string")
+    assert sorted((r.trade_date, r._newest) for r in valuation._marked(rows, None).collect()) == [(D(2024, 1, 31), False), (D(2024, 2, 1), True)]
+
+
+@tables
+def test_valuation_does_not_write_every_day(spark, monkeypatch):
+    monkeypatch.setattr(lab, "write_factors", None)
+    assert lab.valuation_levels(spark, DATA).columns[:2] == ["security_id", "factor_id"]
