@@ -186,8 +186,10 @@ def require_coverage(graph: Mapping, factors: DataFrame, dates: Sequence[date])
         raise ValueError("no complete snapshot at " + ", ".join(d.isoformat() for d in missing))
 
 
-def with_groups(frame: DataFrame, context: Context) -> DataFrame:
-    return frame.join(context.base, KEYS, "left")
+def with_groups(frame: DataFrame, context: Context, *by: str) -> DataFrame:
+    """The group columns that ``by`` names; the day alone needs none."""
+    asked = [c for c in dict.fromkeys(by) if c not in frame.columns]
+    return frame.join(context.base.select(*KEYS, *asked), KEYS, "left") if asked else frame
 
 
 def _joined(inputs: list[DataFrame], how: str = "inner") -> DataFrame:
@@ -271,7 +273,7 @@ def unary(inputs, config, context):
 @register("winsorize")
 def winsorize(inputs, config, context):
     by = context.by(config.get("scope", "market"))
-    frame = with_groups(inputs[0], context)
+    frame = with_groups(inputs[0], context, *by)
     bounds = quantile_exact(frame.where("is_valid"), by, "value", {"_low": config.get("low", 0.01), "_high": config.get("high", 0.99)})
     frame = frame.join(bounds, by, "left")
     return result(frame, F.greatest("_low", F.least("_high", "value")), F.col("invalid_reason"))
@@ -279,8 +281,9 @@ def winsorize(inputs, config, context):
 
 def _grouped(value: Callable[[Column, list[str], Mapping], Column], empty: str) -> Builder:
     def builder(inputs, config, context):
-        frame = with_groups(inputs[0], context)
-        found = value(F.col("value"), context.by(config.get("scope", "market")), config)
+        by = context.by(config.get("scope", "market"))
+        frame = with_groups(inputs[0], context, *by)
+        found = value(F.col("value"), by, config)
         return result(frame, found, F.coalesce(F.col("invalid_reason"), F.when(found.isNull(), empty)))
 
     return builder
@@ -298,8 +301,9 @@ NODE_TYPES["neutralize"] = _grouped(lambda v, by, c: neutralized(v, by), "source
 
 @register("shrunk_zscore")
 def shrunk(inputs, config, context):
-    frame = with_groups(inputs[0], context)
-    z = shrunk_z_score(F.col("value"), context.by(config.get("scope", "sector")), ["trade_date"], config.get("strength", 10.0), config.get("min_count", 3))
+    by = context.by(config.get("scope", "sector"))
+    frame = with_groups(inputs[0], context, *by)
+    z = shrunk_z_score(F.col("value"), by, ["trade_date"], config.get("strength", 10.0), config.get("min_count", 3))
     return result(frame, _clipped(z, config), F.coalesce(F.col("invalid_reason"), F.when(z.isNull(), "zscore_min_count")))
 
 
@@ -307,7 +311,7 @@ def shrunk(inputs, config, context):
 def ranks(inputs, config, context):
     """Ranks over the valid rows of a group; ties go by security."""
     by = context.by(config.get("scope", "market"))
-    frame = with_groups(inputs[0].where("is_valid"), context)
+    frame = with_groups(inputs[0].where("is_valid"), context, *by)
     v, down = F.col("value"), config.get("descending", True)
     n = F.count("*").over(Window.partitionBy(*by))
     kind = config["op"]

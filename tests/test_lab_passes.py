@@ -37,3 +37,8 @@ def test_valuation_keeps_a_row_a_month(spark):
 def test_valuation_does_not_write_every_day(spark, monkeypatch):
     monkeypatch.setattr(lab, "write_factors", None)
     assert lab.valuation_levels(spark, DATA).columns[:2] == ["security_id", "factor_id"]
+
+
+@tables
+def test_scores_of_the_market_need_no_groups(spark):
+    assert "Join" not in plan_of(QUERIES["graph_dense_score"](spark, DATA))
