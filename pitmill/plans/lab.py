@@ -54,9 +54,10 @@ def dense_score_observed(frame: DataFrame, neutral: float = 50.0) -> DataFrame:
 
 def entered_and_left(positions: DataFrame, calendar: DataFrame) -> DataFrame:
     """(segment_id, security_id, change): what a rebalance bought that the one before did not hold, and what it no longer holds."""
-    held = positions.join(F.broadcast(calendar.select("segment_id", "signal_date")), "signal_date").select("segment_id", "security_id", F.lit(True).alias("now"))
-    before = held.select((F.col("segment_id") + 1).alias("segment_id"), "security_id", F.col("now").alias("old"))
-    both = held.join(before, ["segment_id", "security_id"], "full_outer").join(F.broadcast(calendar.select("segment_id")), "segment_id", "left_semi")
+    held = positions.join(F.broadcast(calendar.select("segment_id", "signal_date")), "signal_date").select("segment_id", "security_id")  # made once: each row tells of its segment and of the next
+    at = lambda k, now, old: F.struct((F.col("segment_id") + k).alias("segment_id"), F.lit(now).alias("now"), F.lit(old).alias("old"))
+    both = held.select("security_id", F.inline(F.array(at(0, True, None), at(1, None, True)))).groupBy("segment_id", "security_id").agg(F.max("now").alias("now"), F.max("old").alias("old"))
+    both = both.join(F.broadcast(calendar.select("segment_id")), "segment_id", "left_semi")
     change = F.when(F.col("old").isNull(), "entered").when(F.col("now").isNull(), "left")
     return both.withColumn("change", change).where("change IS NOT NULL").select("segment_id", "security_id", "change")
 

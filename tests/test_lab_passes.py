@@ -42,3 +42,11 @@ def test_valuation_does_not_write_every_day(spark, monkeypatch):
 @tables
 def test_scores_of_the_market_need_no_groups(spark):
     assert "Join" not in plan_of(QUERIES["graph_dense_score"](spark, DATA))
+
+
+def test_changes_read_positions_once(spark):
+    calendar = spark.createDataFrame([(k, D(2024, k, 1)) for k in (1, 2, 3)], "segment_id int, signal_date date")
+    positions = spark.createDataFrame([(D(2024, 1, 1), "a"), (D(2024, 1, 1), "b"), (D(2024, 2, 1), "a"), (D(2024, 3, 1), "c")], "signal_date date, security_id string")
+    out = lab_plans.entered_and_left(positions, calendar)
+    assert "FullOuter" not in plan_of(out)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "entered"), (1, "b", "entered"), (2, "b", "left"), (3, "a", "left"), (3, "c", "entered")]
