@@ -75,8 +75,8 @@ def long_short(buckets: DataFrame, n: int) -> DataFrame:
     return buckets.groupBy("trade_date").agg((at(1) - at(n)).alias("long_short"))
 
 
-#: Weight vectors whose scores a task holds at once.
-VECTORS_AT_ONCE = 512
+#: Weight vectors, and scores of them, that a task holds at once.
+VECTORS_AT_ONCE, SCORES_AT_ONCE = 512, 1 << 23
 
 
 def best_of_day(scores: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -104,8 +104,9 @@ def daily_best(panel: DataFrame, vectors: DataFrame, factors: Sequence[str], pos
     def day_rows(day, x: np.ndarray, forward: np.ndarray) -> Iterator[pa.RecordBatch]:
         weights, names, most = shared.value
         known = ~np.isnan(forward)
-        for at in range(0, len(names), VECTORS_AT_ONCE):
-            part = slice(at, at + VECTORS_AT_ONCE)
+        step = max(1, min(VECTORS_AT_ONCE, SCORES_AT_ONCE // max(1, len(x))))
+        for at in range(0, len(names), step):
+            part = slice(at, at + step)
             scores = np.round(x @ weights[part].T, 9)
             scores[np.isnan(scores)] = -np.inf
             best = best_of_day(scores, most[part]) & known[:, None]

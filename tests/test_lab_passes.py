@@ -64,3 +64,14 @@ def test_latest_values_come_from_the_last_day(spark, monkeypatch):
     monkeypatch.setattr(deepen, "_valued", lambda *a, made=deepen._valued, **k: (asked.append(k), made(*a, **k))[1])
     deepen.industry_winsorized(spark, DATA)
     assert asked == [{"last_only": True}]
+
+
+def test_a_snapshot_joins_no_spine(spark):
+    facts = spark.createDataFrame([("a", D(2023, 1, 2), 1.0), ("a", D(2024, 1, 8), None), ("a", D(2024, 1, 8), 2.0), ("b", D(2024, 3, 9), 3.0), ("c", None, 4.0), (None, D(2024, 1, 5), 5.0)], "k string, day date, v double")
+    dates = spark.createDataFrame([(D(2024, 1, 5),), (D(2024, 1, 9),), (D(2024, 3, 8),), (None,)], "day date")
+    out = snapshot(facts, dates, ["k"], "day")
+    rows = sorted((str(r.k), r.day, r.source_trade_date, r.v) for r in out.collect())
+    assert rows == [("None", D(2024, 1, 5), D(2024, 1, 5), 5.0), ("None", D(2024, 1, 9), D(2024, 1, 5), 5.0), ("None", D(2024, 3, 8), D(2024, 1, 5), 5.0), ("a", D(2024, 1, 5), D(2023, 1, 2), 1.0), ("a", D(2024, 1, 9), D(2024, 1, 8), 2.0), ("a", D(2024, 3, 8), D(2024, 1, 8), 2.0)]
+    assert "Union" not in plan_of(out) and out.columns == ["k", "day", "source_trade_date", "v"]
+    assert sorted(r.day for r in snapshot(facts, dates, ["k"], "day", max_age=1).collect()) == [D(2024, 1, 5), D(2024, 1, 9)]
+    assert snapshot(facts, dates.where("day IS NULL"), ["k"], "day").collect() == []
