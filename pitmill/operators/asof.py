@@ -76,10 +76,11 @@ def snapshot(facts: DataFrame, dates: DataFrame, keys: list[str], time: str = "t
     calendar = ordered.select("_dates", F.posexplode("_dates").alias("_k", "_date")).select("_k", F.explode(F.sequence(begin, "_date")).alias("_day"))
     known = facts.where(F.col(time).isNotNull()).crossJoin(F.broadcast(ordered)).withColumn("_day", F.greatest(F.col(time).cast("date"), F.get("_dates", F.lit(0)))).drop("_dates")
     last = known.join(F.broadcast(calendar), "_day").groupBy(*keys, "_k").agg(F.max(F.struct(F.col(time).alias("source_trade_date"), *values)).alias("_fact"))
+    last = last.select(*keys, "_k", "_fact.*")  # before the explode: Spark 4.1 loses all but one of the fields that are read above it where others are not
     until = F.lead("_k").over(Window.partitionBy(*keys).orderBy("_k"))
     held = last.withColumn("_until", until).crossJoin(F.broadcast(ordered))
     dated = F.explode(F.slice("_dates", F.col("_k") + 1, F.coalesce("_until", F.size("_dates")) - F.col("_k")))
-    out = held.select(*keys, dated.alias(time), "_fact").select(*keys, time, "_fact.*")
+    out = held.select(*keys, dated.alias(time), "source_trade_date", *values)
     return out if max_age is None else out.where(F.datediff(time, "source_trade_date") <= max_age)
 
 
